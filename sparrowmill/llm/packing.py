@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common
 from .tokens import encoder
 
-#: Pieces of a group (mean), fillings tried for a bin, bins that one search may open in all.
-GROUP, FILLINGS, NODES = 20_000, 6, 60_000
+#: Pieces of a group (mean), fillings kept for a bin and steps spent to find them, bins that one search may open
+#: besides one for each piece. A search that runs out leaves the incumbent, so these bound time, not the result's rows.
+GROUP, FILLINGS, STEPS, NODES = 20_000, 4, 60, 5_000
 
 
 class Sizes:
@@ -66,15 +67,18 @@ def best_fit(sizes: list[int], cap: int) -> list[list[int]]:
 def fillings(left: Sizes, room: int, waste: int) -> list[list[int]]:
     """Some undominated fillings of ``room`` that waste at most ``waste``, the fullest first."""
     found: list[tuple[int, list[int]]] = []
+    steps = 0
 
     def grow(own: list[int], room: int, top: int) -> None:
+        nonlocal steps
+        steps += 1
         s = left.at_most(min(room, top))
         if not s:
             if room <= waste and not any(left.at_most(a + room) > a for a in own):
                 found.append((room, own))
             return
         tried = 0
-        while s and tried < 3 and len(found) < FILLINGS:
+        while s and tried < 3 and len(found) < FILLINGS and steps < STEPS:
             left.take(s)
             grow([*own, s], room - s, s)
             left.put(s)
