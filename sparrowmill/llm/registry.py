@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, media, packing, token_files
+from . import chat, language, media, packing, pii, token_files
 
 QUERIES = {
     "op2_media_columns": media.op2_media_columns,
     "op5_chat_format": chat.op5_chat_format,
+    "op6_pii": pii.op6_pii,
     "op7_token_files": token_files.op7_token_files,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op10_language": language.op10_language,
 }
 ORACLES = {"op5_chat_format": chat.OP5_SQL}
