@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, language, media, packing, pii, token_files
+from . import chat, language, media, packing, pii, suffix_dedup, token_files
 
 QUERIES = {
     "op2_media_columns": media.op2_media_columns,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op5_chat_format": chat.op5_chat_format,
     "op6_pii": pii.op6_pii,
     "op7_token_files": token_files.op7_token_files,
