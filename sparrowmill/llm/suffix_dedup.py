@@ -115,7 +115,8 @@ def candidates(texts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, uids, ps)], schema=arrow)
 
     found = texts.select("uid", "packed").mapInArrow(rows, "h long, uid long, p int")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written first, so that the join deals both sides anew and Spark can split a frequent fingerprint
+    twice = common.stash(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-fingerprints")
     return found.join(twice, "h").groupBy("uid").agg(F.collect_list("p").alias("at"))
 
 
