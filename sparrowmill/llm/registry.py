@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, language, media, packing, pii, suffix_dedup, token_files
+from . import chat, language, media, near_dup, packing, pii, suffix_dedup, token_files
 
 QUERIES = {
     "op2_media_columns": media.op2_media_columns,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_near_dup": near_dup.op4_near_dup,
     "op5_chat_format": chat.op5_chat_format,
     "op6_pii": pii.op6_pii,
     "op7_token_files": token_files.op7_token_files,
