@@ -4,8 +4,10 @@
 2. A signature of minima gives band keys for candidate generation; its low bits, packed, estimate similarity later.
 3. Every class is compared with the least class of each of its buckets. Candidates whose collision-corrected estimate
    leaves the threshold in reach are confirmed on full sets. Confirmed links join classes into components.
-4. Buckets that still hold several components have all their cross-component candidates estimated by bit counts, block
-   by block, and confirmed likewise, so no link between different components is lost.
+4. Classes that buckets connect form clusters. In clusters that still hold several components, bit counts mark, block
+   by block, the classes with a candidate in another component; the full sets of those are then compared, again block by
+   block, and only links that join components are emitted. So no link between different components is lost, and neither
+   pairs nor candidates of a group are ever listed.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ BANDS, ROWS, BITS = 32, 3, 2
 MINIMA = BANDS * ROWS
 #: Standard errors below the threshold at which an estimate rules a candidate out (about 1e-9 of true links).
 SIGMAS = 6.0
-#: Classes of a block in the comparison of components.
-BLOCK = 512
+#: Classes of a block in the comparison of components, shingles compared at a time.
+BLOCK, COLUMNS = 512, 4096
 MULT = np.random.default_rng(11).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = np.random.default_rng(12).integers(0, 2**63, MINIMA, dtype=np.uint64)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -78,9 +80,9 @@ def signature(own: np.ndarray) -> np.ndarray:
 
 
 def packed(least: np.ndarray) -> bytes:
-    """BITS low bits (after mixing) of each minimum."""
-    low = (mix(least)[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(low.astype(np.uint8)).tobytes()
+    """The low BITS bits (after mixing) of each minimum, side by side in 64-bit words."""
+    low = (mix(least) & np.uint64(2**BITS - 1)).reshape(-1, 64 // BITS)
+    return np.bitwise_or.reduce(low << np.arange(0, 64, BITS, dtype=np.uint64)[None], 1).tobytes()
 
 
 def bands(least: np.ndarray) -> np.ndarray:
@@ -90,61 +92,62 @@ def bands(least: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+#: The lowest bit of each packed minimum.
+LOWEST = np.bitwise_or.reduce(np.uint64(1) << np.arange(0, 64, BITS, dtype=np.uint64))
+
+
 def in_reach(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether estimates of ``a`` (n, bytes) against ``b`` (m, bytes), or row by row if a third axis is missing, allow the threshold.
+    """Whether the estimated similarity of signatures ``a`` and ``b`` (words last, else broadcast) allows the threshold.
 
-    Equal b-bit values are counted; chance collisions (2 ** -BITS) are taken out of the estimate.
+    Equal b-bit values are counted by bits; chance collisions (2 ** -BITS) are taken out of the estimate.
     """
     x = a ^ b
-    agree = MINIMA - np.unpackbits(x, axis=-1).reshape(*x.shape[:-1], MINIMA, BITS).any(-1).sum(-1)
+    differ = x & LOWEST
+    for k in range(1, BITS):
+        differ |= (x >> np.uint64(k)) & LOWEST
+    agree = MINIMA - np.bitwise_count(differ).sum(-1, dtype=np.int64)
     chance = 2.0**-BITS
-    estimate = (agree / MINIMA - chance) / (1 - chance)
     share = threshold + chance * (1 - threshold)
-    return estimate >= threshold - SIGMAS * np.sqrt(share * (1 - share) / MINIMA) / (1 - chance)
-
+    least = threshold - SIGMAS * np.sqrt(share * (1 - share) / MINIMA) / (1 - chance)
+    return (agree / MINIMA - chance) / (1 - chance) >= least
 
-SETS = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary())])
 
-
-def set_keys(docs: DataFrame, words: int) -> DataFrame:
-    """id, n_shingles and a 128-bit key of each document's shingle set (null for an empty set)."""
-
-    def rows(batches):
-        for b in batches:
-            own = [shingles(t, words) for t in common.texts(b.column(1))]
-            yield common.batch(SETS, id=b.column(0), n_shingles=[len(s) for s in own], set_key=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in own])
-
-    return docs.mapInArrow(rows, "id long, n_shingles long, set_key binary")
+SIGNED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    arrow = pa.schema([("id", pa.int64()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """id, n_shingles, a 128-bit key of the set, packed signature and band keys (null for an empty set)."""
 
     def rows(batches):
         for b in batches:
             out = []
             for i, t in zip(b.column(0).to_pylist(), common.texts(b.column(1))):
-                if len(own := shingles(t, words)):
+                own = shingles(t, words)
+                if len(own):
                     least = signature(own)
-                    out.append((i, packed(least), bands(least).tolist()))
-            yield common.batch(arrow, **dict(zip(arrow.names, zip(*out) if out else [[]] * 3)))
+                    out.append((i, len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), packed(least), bands(least).tolist()))
+                else:
+                    out.append((i, 0, None, None, None))
+            yield common.batch(SIGNED, **dict(zip(SIGNED.names, zip(*out) if out else [[]] * 5)))
 
-    return docs.mapInArrow(rows, "id long, bits binary, keys array<long>")
+    return docs.mapInArrow(rows, "id long, n_shingles long, set_key binary, bits binary, keys array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose full shingle sets have 100 * intersection >= percent * union.
-
-    Each set goes once to each partition of its pairs: pairs are dealt by the pair's smaller side in salted blocks.
-    """
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, own): the shingle sets of the documents in ``ids`` as bytes."""
     arrow = pa.schema([("id", pa.int64()), ("own", pa.binary())])
 
     def sets(batches):
         for b in batches:
             yield common.batch(arrow, id=b.column(0), own=[shingles(t, words).tobytes() for t in common.texts(b.column(1))])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = common.stash(docs.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, own binary"), "shingle-sets", "none")
+    found = docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, own binary")
+    return common.stash(found, "shingle-sets", "none")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+    own = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words)
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -162,6 +165,46 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return both.select("a", "b", "own_a", "own_b").mapInArrow(check, "a long, b long")
 
 
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two blocks, by products of their incidence matrices, some columns at a time."""
+    sizes = [len(s) for s in left] + [len(s) for s in right]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, col, count = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    shared = count > 1
+    keep = shared[col]
+    row, col = row[keep], (np.cumsum(shared) - 1)[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(col, (at, at + COLUMNS))
+        m = np.zeros((len(sizes), COLUMNS), np.float32)
+        m[row[a:b], col[a:b] - at] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out.astype(np.int64)
+
+
+def block_pairs(rows: DataFrame, group: str) -> DataFrame:
+    """Deals each group's rows (id and more) to blocks, and each block to every pair of blocks (x, y) with it; ``first``: it is x."""
+    counts = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("k"))
+    dealt = rows.join(counts, group).withColumn("mine", F.pmod(F.xxhash64("id"), "k"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    return met.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other"), "first": F.col("mine") <= F.col("other")}).drop("k", "mine", "other")
+
+
+def reach(rows: pd.DataFrame, threshold: float):
+    """The sides of a pair of blocks and which of their classes of different components are in reach of each other."""
+    first = rows["first"].to_numpy()
+    left = np.flatnonzero(first)
+    right = left if rows["x"].iloc[0] == rows["y"].iloc[0] else np.flatnonzero(~first)
+    comp = rows["component"].to_numpy()
+    sig = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(len(rows), -1)
+    near = np.zeros((len(left), len(right)), bool)
+    for i, at in enumerate(left):
+        near[i] = in_reach(sig[at][None], sig[right], threshold)
+    return left, right, near & (comp[left][:, None] != comp[right][None])
+
+
 def components(links: DataFrame, tag: str) -> DataFrame:
     """(id, component) of the vertices of ``links`` (a, b): least reachable id, by rounds of least neighbours and jumps.
 
@@ -188,61 +231,61 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     need 100 * intersection >= percent * union. Ids name documents and are not null; repeated rows get equal results;
     an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    keys = common.stash(set_keys(docs, words), "set-keys")
-    classes = common.stash(keys.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "set-classes")
-    reps = docs.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    signed = common.stash(signatures(reps, words).dropDuplicates(["id"]), "signatures")
-
-    spread = signed.select("id", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    shared = common.stash(shared, "buckets")
-    members = common.stash(spread.join(shared, "key"), "members")
-    bits = lambda c: signed.select(F.col("id").alias(c), F.col("bits").alias(f"bits_{c}"))
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        def keep(batches):
-            for b in batches:
-                if b.num_rows:
-                    x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
-                    yield b.filter(pa.array(in_reach(x, y, percent / 100))).select(["a", "b"])
-
-        return pairs.join(bits("a"), "a").join(bits("b"), "b").select("a", "b", "bits_a", "bits_b").mapInArrow(keep, "a long, b long")
-
-    first = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = common.stash(confirm(common.stash(estimated(first), "candidates"), reps, words, percent), "links")
+    signed = common.stash(signatures(docs, words), "signatures")
+    own = signed.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    classes = common.stash(own, "set-classes")
+
+    spread = classes.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
+    shared = common.stash(spread.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"), "buckets")
+    first = common.stash(spread.join(shared, "key").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "bucket-edges")
+    bits = lambda c: classes.select(F.col("rep").alias(c), F.col("bits").alias(f"bits_{c}"))
+    threshold = percent / 100
+
+    def keep(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 3))
+                yield b.filter(pa.array(in_reach(x, y, threshold))).select(["a", "b"])
+
+    likely = first.join(bits("a"), "a").join(bits("b"), "b").select("a", "b", "bits_a", "bits_b").mapInArrow(keep, "a long, b long")
+    links = common.stash(confirm(common.stash(likely, "candidates"), docs, words, percent), "links")
     label = components(links, "first")
 
-    # buckets with several components: compare across components, in blocks
-    named = members.select("key", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    mixed = common.stash(mixed, "mixed-buckets")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("long")
-    dealt = named.join(mixed, "key").join(signed.select("id", "bits"), "id").withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("id", "key"), "k"))
-    # each block meets each other block once: row "own" with every other
-    met = dealt.select("key", "id", "component", "bits", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
-    met = met.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "key", "id", "component", "bits", (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
+    # clusters of several components: compare across components, block by block
+    cluster = components(first, "clusters").withColumnRenamed("component", "cluster")
+    named = cluster.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = named.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("cluster")
+    named = common.stash(named.join(mixed, "cluster").join(classes.select(F.col("rep").alias("id"), "bits"), "id"), "mixed-clusters")
+
+    def mark(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right, near = reach(rows, threshold)
+        at = np.unique(np.concatenate([left[near.any(1)], right[near.any(0)]]))
+        return rows.iloc[at][["id"]]
 
     def across(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, comp = rows["id"].to_numpy(), rows["component"].to_numpy()
-        sig = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1)
-        left, right = np.flatnonzero(rows["left"]), np.flatnonzero(rows["right"])
-        out = []
-        for i in left:
-            other = right[(comp[right] != comp[i])]
-            if len(other):
-                good = other[in_reach(sig[i][None], sig[other], percent / 100)]
-                out.append(np.stack([np.minimum(ids[i], ids[good]), np.maximum(ids[i], ids[good])], 1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        left, right, near = reach(rows, threshold)
+        i, j = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        if not len(i):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        left, right, near = left[i], right[j], near[np.ix_(i, j)]
+        sets = [np.frombuffer(x, np.uint64) for x in rows["own"]]
+        size = np.array([len(x) for x in sets])
+        inner = intersections([sets[k] for k in left], [sets[k] for k in right])
+        good = near & (100 * inner >= percent * (size[left][:, None] + size[right][None] - inner))
+        comp = rows["component"].to_numpy()
+        pairs = np.sort(np.stack([comp[left[np.nonzero(good)[0]]], comp[right[np.nonzero(good)[1]]]], 1), 1)
+        pairs = np.unique(pairs, axis=0)  # a link between components stands for all between them
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    more = common.stash(met.groupBy("key", "x", "y").applyInPandas(across, "a long, b long").distinct(), "cross-candidates")
+    marked = common.stash(block_pairs(named, "cluster").groupBy("cluster", "x", "y").applyInPandas(mark, "id long").distinct(), "marked")
+    close = named.join(marked, "id").join(shingle_sets(docs, marked, words), "id")
+    more = common.stash(block_pairs(close, "cluster").groupBy("cluster", "x", "y").applyInPandas(across, "a long, b long").distinct(), "cross-links")
     if more.limit(1).count():
-        known = common.stash(confirm(more, reps, words, percent), "cross-links")
-        if known.limit(1).count():
-            label = components(links.union(known), "second")
-    classes = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    return keys.join(classes, "set_key", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+        joined = components(more, "second").select(F.col("id").alias("component"), F.col("component").alias("whole"))
+        every = classes.select(F.col("rep").alias("id")).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        label = every.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    classes = classes.select("set_key", F.col("rep").alias("id")).join(label, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+    return signed.select("id", "n_shingles", "set_key").join(classes, "set_key", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
