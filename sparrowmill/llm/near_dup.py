@@ -28,6 +28,8 @@ MINIMA = BANDS * ROWS
 SIGMAS = 6.0
 #: Classes of a block in the comparison of components, shingles compared at a time.
 BLOCK, COLUMNS = 512, 4096
+#: Ids (8 bytes each) that are broadcast at most.
+BROADCAST_IDS = 2_000_000
 MULT = np.random.default_rng(11).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = np.random.default_rng(12).integers(0, 2**63, MINIMA, dtype=np.uint64)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -141,8 +143,10 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         for b in batches:
             yield common.batch(arrow, id=b.column(0), own=[shingles(t, words).tobytes() for t in common.texts(b.column(1))])
 
-    found = docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, own binary")
-    return common.stash(found, "shingle-sets", "none")
+    # few ids go to every task; more are joined by shuffling the texts
+    held = common.stash(ids, "wanted-ids")
+    held = F.broadcast(held) if held.count() <= BROADCAST_IDS else held
+    return common.stash(docs.join(held, "id", "left_semi").mapInArrow(sets, "id long, own binary"), "shingle-sets", "none")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -189,7 +193,7 @@ def block_pairs(rows: DataFrame, group: str) -> DataFrame:
     counts = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("k"))
     dealt = rows.join(counts, group).withColumn("mine", F.pmod(F.xxhash64("id"), "k"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    return met.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other"), "first": F.col("mine") <= F.col("other")}).drop("k", "mine", "other")
+    return met.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other"), "first": F.col("mine") <= F.col("other")}).drop("k", "mine", "other").repartition(common.partitions(rows.sparkSession), group, "x", "y")
 
 
 def reach(rows: pd.DataFrame, threshold: float):

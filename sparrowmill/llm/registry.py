@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, language, media, near_dup, packing, pii, suffix_dedup, token_files
+from . import chat, language, media, near_dup, packing, pii, sentencepiece_codec, suffix_dedup, token_files, topk_search
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_media_columns": media.op2_media_columns,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_near_dup": near_dup.op4_near_dup,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_pii": pii.op6_pii,
     "op7_token_files": token_files.op7_token_files,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_topk_search": topk_search.op9_topk_search,
     "op10_language": language.op10_language,
 }
-ORACLES = {"op5_chat_format": chat.OP5_SQL}
+ORACLES = {"op5_chat_format": chat.OP5_SQL, "op9_topk_search": topk_search.OP9_SQL}
