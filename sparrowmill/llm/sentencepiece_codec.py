@@ -8,20 +8,20 @@ as all surviving backpointer paths pass one boundary. Ids equal those of the lib
 
 from __future__ import annotations
 
-import hashlib
 import heapq
-import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
 from .tokens import Recent
 
 SPACE = "▁"
-#: Longest word that is cached, pairs of pieces that are.
-CACHE_CHARS, PAIRS = 40, 600_000
+#: Longest word that is cached, pairs of pieces that are, words of a generation of the cache.
+CACHE_CHARS, PAIRS = 40, 300_000
+CACHE_WORDS = 200_000
 
 
 class Codec:
@@ -41,7 +41,6 @@ class Codec:
         self.id_of = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (1, 4)}
         self.score = {p.piece: p.score for p in proto.pieces if p.type in (1, 4)}
         self.longest = max(map(len, self.id_of), default=1)
-        self.starts = {p[:k] for p in self.id_of for k in range(1, len(p) + 1)}
         self.byte_id = [0] * 256
         for i, p in enumerate(proto.pieces):
             if p.type == 6:
@@ -53,9 +52,16 @@ class Codec:
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.id_of)
         self.steps: dict[str, tuple] = {}  # of the pieces and single characters
         self.known: dict[tuple[str, str], bool] = {}  # agree() of pairs met
-        # pieces that the merges of their own characters give
-        self.whole = {p for p in self.score if self.merges and self._merge(p) == [p]}
-        self.words = Recent()
+        self.words = Recent(CACHE_WORDS)
+
+    @cached_property
+    def starts(self) -> set[str]:
+        return {p[:k] for p in self.id_of for k in range(1, len(p) + 1)}
+
+    @cached_property
+    def whole(self) -> set[str]:
+        """Pieces that the merges of their own characters give."""
+        return {p for p in self.score if self.merges and self._merge(p) == [p]}
 
     @staticmethod
     def _proto(raw: bytes):
@@ -277,16 +283,10 @@ def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("n_chars", pa.int64()), ("decoded_sha256", pa.string())])
-
-
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``; the decoded text is the text itself."""
-    back = decode_ids(encode_texts(common.load(spark, sf_dir, "documents"), "piece_bpe_32k.model"), "piece_bpe_32k.model")
-
-    def digest(batches):
-        for b in batches:
-            ids, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
-            yield common.batch(DIGEST, doc_id=b.column(0), n_tokens=[len(i) // 4 for i in ids], ids_crc32=[zlib.crc32(i) for i in ids], n_chars=[len(t) for t in texts], decoded_sha256=[hashlib.sha256(t.encode()).hexdigest() for t in texts])
-
-    return back.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, n_chars long, decoded_sha256 string")
+    model = "piece_bpe_32k.model"
+    back = decode_ids(encode_texts(common.load(spark, sf_dir, "documents"), model), model)
+    return back.select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+        F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256"))
