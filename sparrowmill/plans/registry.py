@@ -1,4 +1,291 @@
-"""All registered queries of the reference's own operators, with their SQL."""
+"""All registered queries of the reference's own operators on the given tables, with their SQL.
+
+``documents.text`` split at line ends stands in for captions, ``source`` for the shard, ``labels`` for a partial mapping,
+``conversations`` for (reference, hypothesis) pairs and ``events`` for utterances.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import text as T, timecode, wer
+from ..operators import filters, joins, sampling, segments, tags
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def captioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").withColumn("captions", T.lines(F.coalesce("text", F.lit(""))))
+
+
+L = "(SELECT *, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)"
+W = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> ''))"
+KIND = "CASE WHEN trim(x) = '' OR (regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]')) THEN 'mixed' WHEN regexp_matches(x, '[A-Z]') THEN 'upper' ELSE 'lower' END"
+CASING = f"""(SELECT *, CASE
+  WHEN (u = t)::INT + (lo = t)::INT + (m = t)::INT > 1 THEN CASE WHEN m = t THEN 'mixed' WHEN u = t THEN 'upper' ELSE 'lower' END
+  WHEN m = t THEN 'mixed' WHEN lo = t THEN CASE WHEN m / lo > 0.6 THEN 'mixed' ELSE 'lower' END
+  ELSE CASE WHEN m / u > 0.6 THEN 'mixed' ELSE 'upper' END END AS casing FROM (SELECT *, greatest(u, lo, m) AS t FROM (SELECT *,
+    len(list_filter(k, lambda x: x = 'upper')) AS u, len(list_filter(k, lambda x: x = 'lower')) AS lo, len(list_filter(k, lambda x: x = 'mixed')) AS m
+    FROM (SELECT *, list_transform(l, lambda x: {KIND}) AS k FROM {L}))))"""
+REPEAT = f"len(list_filter(range(1, len(l)), lambda i: {W.format('l[i]')} > 1 AND {W.format('l[i + 1]')} > 1 AND contains(l[i + 1], l[i]))) > 0"
+WORDS = f"CAST(list_sum(list_transform(l, lambda x: {W.format('x')})) AS BIGINT)"
+
+
+@query(f"SELECT doc_id, CAST(i AS BIGINT) AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM {L})")
+def q_lines(spark, sf_dir):
+    docs = captioned(spark, sf_dir).select("doc_id", F.posexplode("captions").alias("i", "line"))
+    return docs.select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), "line")
+
+
+@query(f"SELECT doc_id, trim(array_to_string(list_transform(l, lambda x: trim(x)), ' ')) AS plain FROM {L}")
+def q_extract_text(spark, sf_dir):
+    return captioned(spark, sf_dir).select("doc_id", T.plain_text(F.col("captions")).alias("plain"))
+
+
+@query(f"SELECT doc_id, {WORDS} AS num_words FROM {L}")
+def q_word_count(spark, sf_dir):
+    return tags.tag(captioned(spark, sf_dir), ["num_words"]).select("doc_id", "num_words")
+
+
+@query(f"SELECT doc_id, u AS n_upper, lo AS n_lower, m AS n_mixed, casing FROM {CASING}")
+def q_casing(spark, sf_dir):
+    docs = captioned(spark, sf_dir).withColumn("c", T.casing_counts(F.col("captions")))
+    return docs.select("doc_id", *(F.col(f"c.{k}").alias(f"n_{k}") for k in ("upper", "lower", "mixed")), T.casing(F.col("c")).alias("casing"))
+
+
+@query(f"SELECT source, casing, count(*) AS n FROM {CASING} GROUP BY ALL")
+def q_casing_stats(spark, sf_dir):
+    return tags.tag(captioned(spark, sf_dir), ["casing"]).groupBy("source", "casing").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, contains(coalesce(text, ''), ',') AND contains(coalesce(text, ''), '.') AS has_comma_period FROM documents")
+def q_comma_period(spark, sf_dir):
+    return tags.tag(captioned(spark, sf_dir), ["has_comma_period"]).select("doc_id", "has_comma_period")
+
+
+@query(f"SELECT doc_id, {REPEAT} AS repeating_lines FROM {L}")
+def q_repeating_lines(spark, sf_dir):
+    return tags.tag(captioned(spark, sf_dir), ["repeating_lines"]).select("doc_id", "repeating_lines")
+
+
+@query(rf"SELECT doc_id, len(list_filter(range(1, len(l)), lambda i: regexp_matches(l[i], '[.!?]\s*$') AND regexp_matches(l[i + 1], '^[a-z]'))) = 0 AS proper FROM {L}")
+def q_proper_cap(spark, sf_dir):
+    return captioned(spark, sf_dir).select("doc_id", T.capital_after_stop(F.col("captions")).alias("proper"))
+
+
+@query(f"SELECT page_id, c AS cleaned, c <> coalesce(html, '') AS changed FROM (SELECT *, regexp_replace(coalesce(html, ''), '{T.NOISE}', ' ', 'g') AS c FROM pages)")
+def q_text_clean(spark, sf_dir):
+    html = F.coalesce("html", F.lit(""))
+    return load(spark, sf_dir, "pages").select("page_id", T.clean_caption(html).alias("cleaned"), (T.clean_caption(html) != html).alias("changed"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, '[]', '{}'), '/([A-Za-z ]+?)/', '\1', 'g'), '\{[^{}]*\}', '', 'g'), '<[^<>]*>', '', 'g'), '\([^()]*\)', '', 'g') AS cleaned FROM documents""")
+def q_dialect_clean(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", T.clean_dialect(F.col("text")).alias("cleaned"))
+
+
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[<\[][^>\]]*[>\]]', '', 'g'), '\([^)]+\)', '', 'g'), '[^a-z0-9'' ]', ' ', 'g'), ' +', ' ', 'g')) AS normal FROM conversations""")
+def q_normalise(spark, sf_dir):
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalise(F.col("text")).alias("normal"))
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def q_lang_lookup(spark, sf_dir):
+    return joins.lookup(load(spark, sf_dir, "documents").select("doc_id"), load(spark, sf_dir, "labels"), "doc_id", "quality", -1)
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def q_lang_missing(spark, sf_dir):
+    return joins.missing(load(spark, sf_dir, "documents").select("doc_id", "source"), load(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first, event_type DESC) AS r
+FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL)) WHERE r = 1""")
+def q_majority_vote(spark, sf_dir):
+    return joins.majority(load(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@query("SELECT lang, count(*) AS n, count(DISTINCT source) AS n_sources FROM documents GROUP BY lang")
+def q_lang_distribution(spark, sf_dir):
+    return load(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"))
+
+
+STEPS = [
+    {"tag": "lang", "ref_value": ["en", "de"]},
+    {"tag": "casing", "ref_value": "lower", "comparison": "not_in"},
+    {"tag": "repeating_lines", "reference_value": False},
+    {"tag": "quality", "lower_bound": 1},
+    {"tag": "num_words", "lower_bound": 50, "upper_bound": 5000, "inclusive": False},
+]
+HITS = f"""(SELECT d.*, CASE WHEN NOT coalesce(lang IN ('en', 'de'), true) THEN 'lang' WHEN casing = 'lower' THEN 'casing' WHEN {REPEAT} THEN 'repeating_lines'
+  WHEN NOT coalesce(quality >= 1, true) THEN 'quality' WHEN NOT ({WORDS} > 50 AND {WORDS} < 5000) THEN 'num_words' ELSE 'pass' END AS hit
+  FROM {CASING} d LEFT JOIN labels USING (doc_id))"""
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = captioned(spark, sf_dir).join(load(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return filters.with_hit(tags.tag(docs, ["casing", "repeating_lines", "num_words"]), STEPS)
+
+
+@query(f"SELECT doc_id, hit FROM {HITS}")
+def q_filter_pipeline(spark, sf_dir):
+    return hits(spark, sf_dir).select("doc_id", "hit")
+
+
+@query(f"SELECT hit, count(*) AS n FROM {HITS} GROUP BY hit")
+def q_hitlist(spark, sf_dir):
+    return filters.hit_list(hits(spark, sf_dir))
+
+
+@query(f"""SELECT step, hit, n, round(n / sum(n) OVER (), 6) AS of_all, round(n / (sum(n) OVER () - coalesce(sum(n) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 6) AS of_rest
+FROM (SELECT CAST(coalesce(list_position(['lang', 'casing', 'repeating_lines', 'quality', 'num_words'], hit) - 1, 5) AS INTEGER) AS step, hit, count(*) AS n FROM {HITS} GROUP BY ALL)""")
+def q_step_report(spark, sf_dir):
+    return filters.step_report(hits(spark, sf_dir), STEPS)
+
+
+@query(f"""SELECT *, round(rows_kept * 30 / 3600, 6) AS hours_kept, round(rows_kept / rows_in, 6) AS share_kept FROM (SELECT count(*) AS rows_in, count(*) FILTER (hit = 'pass') AS rows_kept,
+CAST(sum(length(text)) AS BIGINT) AS chars_in, CAST(coalesce(sum(length(text)) FILTER (hit = 'pass'), 0) AS BIGINT) AS chars_kept FROM {HITS})""")
+def q_survival(spark, sf_dir):
+    return filters.survival(hits(spark, sf_dir))
+
+
+@query(f"SELECT round(avg(n), 6) AS mean_kept, median(n) AS median_kept FROM (SELECT source, count(*) FILTER (hit = 'pass') AS n FROM {HITS} GROUP BY source)")
+def q_kept_mean_median(spark, sf_dir):
+    kept = hits(spark, sf_dir).groupBy("source").agg(F.sum((F.col("hit") == "pass").cast("long")).alias("n"))
+    return kept.agg(F.round(F.avg("n"), 6).alias("mean_kept"), F.percentile("n", F.lit(0.5)).alias("median_kept"))
+
+
+@query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS r FROM documents) WHERE r <= 10")
+def q_subsample_per_shard(spark, sf_dir):
+    return sampling.per_shard(load(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 10)
+
+
+@query("SELECT event_id, value FROM events ORDER BY md5('42|' || event_id), event_id LIMIT 1000")
+def q_reservoir(spark, sf_dir):
+    return sampling.overall(load(spark, sf_dir, "events").select("event_id", "value"), "event_id", 1000)
+
+
+@query("""SELECT CAST(p AS INTEGER) AS percentile, CASE WHEN p = 100 THEN s[n] ELSE s[CAST(least(round_even(p * n / 100.0, 0), n - 1) AS BIGINT) + 1] END AS value
+FROM (SELECT list_sort(list(value)) AS s, count(value) AS n FROM events), range(0, 101) r(p)""")
+def q_percentiles(spark, sf_dir):
+    return sampling.percentiles(load(spark, sf_dir, "events"), "value", int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@query(f"""SELECT source, tag, stat, value FROM (SELECT source, count(*) FILTER (casing = 'upper') AS a, count(*) FILTER (casing = 'lower') AS b, count(*) FILTER (casing = 'mixed') AS c,
+count(*) FILTER ({REPEAT}) AS d, CAST(sum({WORDS}) AS BIGINT) AS e FROM {CASING} GROUP BY source),
+LATERAL (VALUES ('casing', 'upper', a), ('casing', 'lower', b), ('casing', 'mixed', c), ('repeating_lines', 'count', d), ('num_words', 'total', e)) v(tag, stat, value)""")
+def q_tag_stats(spark, sf_dir):
+    return tags.tag_stats(tags.tag(captioned(spark, sf_dir), ["casing", "repeating_lines", "num_words"]), "source")
+
+
+DAY_MS = "(epoch_us(ts) // 1000) % 86400000"
+CODE = "printf('%02d:%02d:%02d.%03d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60, ms % 1000)"
+
+
+def timed(spark, sf_dir):
+    return load(spark, sf_dir, "events").withColumn("ms", F.expr("unix_millis(cast(ts AS timestamp)) % 86400000"))
+
+
+@query(f"SELECT event_id, {CODE} AS code, ms AS back, CASE WHEN ms >= 3600000 THEN ms - 3600000 ELSE -1 END AS since_one FROM (SELECT *, {DAY_MS} AS ms FROM events)")
+def q_timecode_roundtrip(spark, sf_dir):
+    code = timecode.from_ms(F.col("ms"))
+    return timed(spark, sf_dir).select("event_id", code.alias("code"), timecode.to_ms(code).alias("back"), F.coalesce(timecode.difference(F.lit(3600000), F.col("ms")), F.lit(-1)).cast("long").alias("since_one"))
+
+
+@query(f"SELECT event_id, CASE WHEN ms % 60000 <= 30000 THEN 50363 + (ms % 60000) // 20 ELSE -1 END AS token FROM (SELECT *, {DAY_MS} AS ms FROM events)")
+def q_ts_token(spark, sf_dir):
+    return timed(spark, sf_dir).select("event_id", F.coalesce(timecode.timestamp_token(F.col("ms") % 60000), F.lit(-1)).cast("long").alias("token"))
+
+
+@query(f"SELECT event_id, 'u' || user_id AS base, round((ms // 10) / 100, 2) AS start_s FROM (SELECT *, {DAY_MS} AS ms FROM events)")
+def q_utt_id_parse(spark, sf_dir):
+    made = timed(spark, sf_dir).withColumn("utt_id", F.concat(F.lit("u"), "user_id", F.lit("-00000-"), F.lpad(F.expr("ms div 10").cast("string"), 8, "0"), F.lit("-00000000")))
+    raw = F.regexp_extract("utt_id", r"-(\d{8})-\d{8}$", 1)
+    return made.select("event_id", F.regexp_extract("utt_id", r"^(.*?)-\d{5}(?!\d)", 1).alias("base"), F.round(timecode.utterance_seconds(raw), 2).alias("start_s"))
+
+
+@query(f"SELECT doc_id, list_reduce(list_transform(l, lambda x: [length(x), 1]), lambda a, b: CASE WHEN a[1] + b[1] <= 300 THEN [a[1] + b[1], a[2]] ELSE [b[1], a[2] + 1] END)[2] AS packs FROM {L}")
+def q_pack_greedy(spark, sf_dir):
+    return captioned(spark, sf_dir).select("doc_id", segments.pack_count(F.transform("captions", lambda c: F.length(c).cast("long")), 300).alias("packs"))
+
+
+@query("""WITH u AS (SELECT conv_id, text AS ref, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, text AS hyp, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant'),
+p AS (SELECT conv_id, n, u.ref, a.hyp FROM u FULL JOIN a USING (conv_id, n))
+SELECT conv_id, CAST(n AS INTEGER) AS n, ref, coalesce(hyp, '') AS hyp FROM p WHERE conv_id NOT IN (SELECT conv_id FROM p WHERE ref IS NULL)""")
+def q_pair_turns(spark, sf_dir):
+    turns = load(spark, sf_dir, "conversations")
+    return joins.pair_positions(turns.where("role = 'user'"), turns.where("role = 'assistant'"), "conv_id", "turn", "text")
+
+
+@query()
+def q_wer(spark, sf_dir):
+    pairs = q_pair_turns(spark, sf_dir)
+    ref, hyp = T.normalise(F.col("ref")), T.normalise(F.col("hyp"))
+    rate = wer.wer(ref, hyp)
+    return pairs.select("conv_id", "n", F.size(T.words(ref)).cast("long").alias("ref_words"), wer.word_edits(T.words(ref), T.words(hyp)).alias("edits"), F.round(rate, 6).alias("wer"), wer.bucket(rate).alias("bucket"))
+
+
+@query()
+def q_wer_corpus(spark, sf_dir):
+    pairs = q_wer(spark, sf_dir)
+    return pairs.agg(F.sum("edits").alias("edits"), F.sum("ref_words").alias("ref_words"), F.round(F.sum("edits") * 100 / F.sum("ref_words"), 6).alias("corpus_wer"), F.round(F.sum(F.col("wer") * F.col("ref_words")) / F.sum("ref_words"), 6).alias("weighted_wer"))
+
+
+@query("SELECT event_id, (value / 100 > 0.6 AND NOT value / 10 - 8 > -1.0) AS skipped FROM events")
+def q_skip_rule(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", ((F.col("value") / 100 > 0.6) & ~(F.col("value") / 10 - 8 > -1.0)).alias("skipped"))
+
+
+@query(f"""SELECT doc_id, array_to_string(list_concat(t, list_transform(range(448 - len(t)), lambda i: 51864)), ',') AS text_input, array_to_string(list_concat(t[2:], list_transform(range(449 - len(t)), lambda i: 51864)), ',') AS text_y
+FROM (SELECT doc_id, list_concat([50257], list_transform(list_filter(regexp_split_to_array(array_to_string(l, ' '), '\\s+'), lambda w: w <> ''), lambda w: length(w))[1:446], [50256]) AS t FROM {L})""")
+def q_token_seq(spark, sf_dir):
+    ids = F.slice(F.transform(T.words(F.array_join("captions", " ")), lambda w: F.length(w)), 1, 446)
+    seq = F.concat(F.array(F.lit(50257)), ids, F.array(F.lit(50256)))
+    docs = captioned(spark, sf_dir).select("doc_id", seq.alias("t"))
+    pad = lambda n: F.array_repeat(F.lit(51864), n - F.size("t"))
+    return docs.select("doc_id", F.array_join(F.concat("t", pad(F.lit(448))), ",").alias("text_input"), F.array_join(F.concat(F.slice("t", 2, 448), pad(F.lit(449))), ",").alias("text_y"))
+
+
+@query("""WITH w AS (SELECT value, b, CAST('0x' || substr(md5(b || '|' || event_id), 1, 6) AS BIGINT) / 16777216.0 AS h FROM events, range(0, 20) r(b)),
+p AS (SELECT b, value, CASE WHEN h < 0.367879 THEN 0 WHEN h < 0.735759 THEN 1 WHEN h < 0.919699 THEN 2 WHEN h < 0.981012 THEN 3 ELSE 4 END AS k FROM w)
+SELECT CAST(b AS INTEGER) AS b, round(sum(value * k) / sum(k), 6) AS mean FROM p GROUP BY b""")
+def q_bootstrap_det(spark, sf_dir):
+    drawn = load(spark, sf_dir, "events").select("event_id", "value", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("b"))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "b", "event_id")), 1, 6), 16, 10).cast("long") / 16777216.0
+    k = F.when(h < 0.367879, 0).when(h < 0.735759, 1).when(h < 0.919699, 2).when(h < 0.981012, 3).otherwise(4)
+    return drawn.groupBy("b").agg(F.round(F.sum(F.col("value") * k) / F.sum(k), 6).alias("mean"))
+
+
+@query("SELECT user_id, event_id, CAST(gap_ms AS BIGINT) AS gap_ms, gap_ms // 30000 AS full_windows, gap_ms % 30000 AS rest_ms FROM (SELECT user_id, event_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_ms FROM events) WHERE gap_ms >= 30000")
+def q_gap_segments(spark, sf_dir):
+    ms = F.expr("unix_millis(cast(ts AS timestamp))")
+    rows = load(spark, sf_dir, "events").withColumn("ms", ms)
+    gap = F.col("ms") - F.lag("ms").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return rows.withColumn("gap_ms", gap).where("gap_ms >= 30000").select("user_id", "event_id", "gap_ms", F.expr("gap_ms div 30000").alias("full_windows"), (F.col("gap_ms") % 30000).alias("rest_ms"))
+
+
+@query()
+def q_segments(spark, sf_dir):
+    """Captions of made-up length (120 ms a character) with a pause before every seventh one."""
+    shaped = F.transform("captions", lambda c, i: F.struct((F.length(c) * 120).cast("long").alias("d"), c.alias("text"), F.when(i % 7 == 6, 40000).otherwise(0).cast("long").alias("gap")))
+    start = lambda a, x: a + x.gap + x.d
+    ends = F.transform(F.sequence(F.lit(1), F.size("c")), lambda k: F.aggregate(F.slice("c", F.lit(1), k), F.lit(0).cast("long"), start))
+    docs = captioned(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), shaped.alias("c"))
+    made = F.zip_with("c", ends, lambda x, e: F.struct((e - x.d).alias("start"), e.alias("end"), x.text.alias("text")))
+    return segments.segments(docs.select("id", made.alias("captions")))
