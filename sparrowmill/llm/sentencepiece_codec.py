@@ -21,7 +21,7 @@ from .tokens import Recent
 SPACE = "▁"
 #: Longest word that is cached, pairs of pieces that are, words of a generation of the cache.
 CACHE_CHARS, PAIRS = 40, 300_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 
 
 class Codec:

@@ -27,7 +27,7 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
 #: The published pattern of the byte-level vocabulary that has its pattern built in (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a generation of a worker's cache, and the longest word that it holds.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 40
 
 
 def latin(pattern: str) -> str:
