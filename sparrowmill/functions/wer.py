@@ -18,8 +18,14 @@ def _symbols(text_words: Column, vocabulary: Column) -> Column:
 
 def word_edits(ref: Column, hyp: Column) -> Column:
     """Word-level edit distance of arrays of words whose joint vocabulary has at most SYMBOLS words; null beyond."""
-    vocabulary = F.array_union(ref, hyp)
-    return F.when(F.size(vocabulary) <= SYMBOLS, F.levenshtein(_symbols(ref, vocabulary), _symbols(hyp, vocabulary)).cast("long"))
+    # bound as lambda variables, so that words and vocabulary are made once a row
+    def edits(p: Column, vocabulary: Column) -> Column:
+        return F.when(F.size(vocabulary) <= SYMBOLS, F.levenshtein(_symbols(p.r, vocabulary), _symbols(p.h, vocabulary)).cast("long"))
+
+    def each(p: Column) -> Column:
+        return F.transform(F.array(F.array_union(p.r, p.h)), lambda v: edits(p, v))[0]
+
+    return F.transform(F.array(F.struct(ref.alias("r"), hyp.alias("h"))), each)[0]
 
 
 def wer(ref: Column, hyp: Column) -> Column:

@@ -20,7 +20,7 @@ def captions(content: Column) -> Column:
 
 def read_transcripts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Document records of transcript files below ``path``: id, subtitle_file, content, captions, length (s), failed."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{vtt,srt}").option("wholetext", True).text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{vtt,srt}").text(path, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     docs = raw.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("id"), F.col("_metadata.file_path").alias("subtitle_file"), F.col("value").alias("content"), captions(F.col("value")).alias("captions"))
     span = F.element_at("captions.end", -1) - F.element_at("captions.start", 1)
@@ -45,7 +45,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataF
 
 def read_language_maps(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(id, lang) of ``{id: lang}`` files; of an id in several files the last file by name wins."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     pairs = raw.select(F.col("_metadata.file_path").alias("f"), F.explode(F.from_json("value", "map<string,string>")).alias("id", "lang"))
     return pairs.groupBy("id").agg(F.max_by("lang", "f").alias("lang"))
 
