@@ -8,7 +8,8 @@ as all surviving backpointer paths pass one boundary. Ids equal those of the lib
 
 from __future__ import annotations
 
-import heapq
+import re
+from array import array
 from functools import cached_property
 
 import numpy as np
@@ -21,7 +22,9 @@ from .tokens import Recent
 SPACE = "▁"
 #: Longest word that is cached, pairs of pieces that are, words of a generation of the cache.
 CACHE_CHARS, PAIRS = 40, 300_000
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
+#: Rows that are encoded and decoded at a time.
+PART = 256
 
 
 class Codec:
@@ -55,8 +58,34 @@ class Codec:
         self.words = Recent(CACHE_WORDS)
 
     @cached_property
-    def starts(self) -> set[str]:
-        return {p[:k] for p in self.id_of for k in range(1, len(p) + 1)}
+    def ends(self) -> dict[str, bool]:
+        """All endings of pieces, and whether each is a piece that can be used."""
+        usable = self.whole if self.merges else self.score
+        return {p[k:]: p[k:] in usable for p in self.id_of for k in range(len(p))}
+
+    @cached_property
+    def cut(self) -> re.Pattern:
+        """Cuts before every run of space signs and between characters of different groups.
+
+        A group holds the characters that are linked by standing side by side in pieces. No piece, so no merge and no
+        path either, crosses from one group into another.
+        """
+        group: dict[str, str] = {}
+
+        def top(c: str) -> str:
+            while group.setdefault(c, c) != c:
+                group[c] = c = group[group[c]]
+            return c
+
+        for p in self.id_of:
+            own = p.lstrip(SPACE)
+            for a, b in zip(own, own[1:]):
+                group[top(a)] = top(b)
+        members: dict[str, list[str]] = {}
+        for c in list(group):
+            members.setdefault(top(c), []).append(c)
+        classes = ["[" + "".join(map(re.escape, sorted(m))) + "]+" for m in sorted(members.values(), key=len, reverse=True)]
+        return re.compile(SPACE + "*(?:" + "|".join([*classes, "."]) + ")", re.S)
 
     @cached_property
     def whole(self) -> set[str]:
@@ -118,67 +147,60 @@ class Codec:
 
     def _walk(self, text: str):
         """Yields runs of pieces as soon as every surviving path shares them."""
-        end = len(text)
-        back = {0: ("", 0.0)}  # boundary -> piece that ends there, score sum
-        done, reach = 0, 0
-        starts, score, whole, known = self.starts, self.score, self.whole, self.known
-        for at in range(end):
-            if at in back:
-                last, total = back[at]
-                for k in range(at + 1, min(end, at + self.longest) + 1):
-                    piece = text[at:k]
-                    if k > at + 1 and piece not in starts:
+        ends, score, known, longest, worst = self.ends.get, self.score, self.known, self.longest, self.worst
+        merges, done = self.merges, 0
+        last, total = [""], [0.0]  # of the boundaries from ``done`` on: the piece that ends there, the score sum
+        for end in range(1, len(text) + 1):
+            best, gain = None, float("-inf")
+            for at in range(end - 1, max(end - longest, 0) - 1, -1):
+                piece = text[at:end]
+                use = ends(piece)
+                if use or at == end - 1:
+                    before = last[at - done]
+                    if not merges:
+                        sum_ = total[at - done] + score.get(piece, worst)
+                        if sum_ >= gain:  # the longest of equals
+                            best, gain = piece, sum_
+                    elif not before:
+                        best, gain = piece, 0.0
                         break
-                    if self.merges:
-                        if piece not in whole and k > at + 1:
-                            continue
-                        reach = max(reach, k)
-                        if k not in back:
-                            fits = not last or known.get((last, piece))
-                            if fits is None:
-                                fits = known[last, piece] = self.agree(last, piece)
-                            if fits:
-                                back[k] = (piece, total)
-                    elif piece in score or k == at + 1:
-                        reach = max(reach, k)
-                        sum_ = total + score.get(piece, self.worst)
-                        if k not in back or sum_ > back[k][1]:
-                            back[k] = (piece, sum_)
-                    if piece not in starts:
-                        break
-            if reach == at + 1:  # nothing spans this boundary: all paths pass it
-                yield self._back(back, at + 1, done)
-                back, done = {at + 1: back[at + 1]}, at + 1
-            elif at - done > 2 * self.longest and at % self.longest == 0:
-                meet = self._meet(back, at + 1, reach, done)
+                    else:
+                        fits = known.get((before, piece))
+                        if fits is None:
+                            fits = known[before, piece] = self.agree(before, piece)
+                        if fits:
+                            best, gain = piece, 0.0
+                            break
+                if use is None:
+                    break
+            last.append(best)
+            total.append(gain)
+            if end % longest == 0 and end - done > 2 * longest:
+                meet = self._meet(last, done, end - longest + 1, end)
                 if meet > done:
-                    yield self._back(back, meet, done)
-                    back, done = {k: v for k, v in back.items() if k >= meet}, meet
+                    yield self._back(last, done, meet)
+                    last, total, done = last[meet - done :], total[meet - done :], meet
+        if done < len(text):
+            yield self._back(last, done, len(text))
 
     @staticmethod
-    def _back(back: dict, k: int, done: int) -> list[str]:
+    def _back(last: list, done: int, k: int) -> list[str]:
         out = []
         while k > done:
-            piece = back[k][0]
+            piece = last[k - done]
             out.append(piece)
             k -= len(piece)
         return out[::-1]
 
     @staticmethod
-    def _meet(back: dict, low: int, high: int, done: int) -> int:
+    def _meet(last: list, done: int, low: int, high: int) -> int:
         """The last boundary that the paths from all live boundaries low..high share."""
-        live = [-k for k in range(low, high + 1) if k in back]
-        heapq.heapify(live)
-        seen = set()
+        live = set(range(low, high + 1))
         while len(live) > 1:
-            k = -heapq.heappop(live)
-            if k in seen:
-                continue
-            seen.add(k)
-            if k > done:
-                heapq.heappush(live, -(k - len(back[k][0])))
-            live = sorted(set(live))
-        return -live[0] if live else done
+            k = max(live)
+            live.remove(k)
+            live.add(k - len(last[k - done]))
+        return live.pop()
 
     def _ids(self, piece: str) -> list[int]:
         got = self.id_of.get(piece)
@@ -189,7 +211,7 @@ class Codec:
     def _encode(self, word: str) -> bytes:
         got = self.words.get(word) or self.words.older(word)
         if got is None:
-            got = np.array([i for run in self._walk(word) for p in run for i in self._ids(p)], "<u4").tobytes()
+            got = array("I", [i for run in self._walk(word) for p in run for i in self._ids(p)]).tobytes()
             if len(word) <= CACHE_CHARS:
                 self.words[word] = got
         return got
@@ -205,28 +227,12 @@ class Codec:
         parts = ((" " if self.prefix else "") + text).replace(" ", SPACE)
         if not self.by_word:
             return np.frombuffer(self._encode(parts), "<u4")
-        words, held = self._split(parts), self.words
+        words, held = self.cut.findall(parts), self.words
         out = list(map(held.get, words))
         if None in out:
             out = [self._encode(w) if x is None else x for x, w in zip(out, words)]
         return np.frombuffer(b"".join(out), "<u4")
 
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        """Cuts before every run of space signs."""
-        words, spaces = [], ""
-        first, *rest = text.split(SPACE)
-        if first:
-            words.append(first)
-        for w in rest:
-            spaces += SPACE
-            if w:
-                words.append(spaces + w)
-                spaces = ""
-        if spaces:
-            words.append(spaces)
-        return words
-
     def decode(self, ids) -> str:
         """The text of ``ids``; bytes that are no UTF-8 give the replacement character, control ids nothing."""
         out, raw = [], bytearray()
@@ -283,10 +289,28 @@ def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
+def transcode(docs: DataFrame, model: str) -> DataFrame:
+    """(doc_id, ids, text): ``encode_texts`` and ``decode_ids`` in one pass, so that a task keeps one Python worker.
+
+    Texts come out again in parts of ``PART`` rows; null and empty texts, empty tables and other columns as there.
+    """
+    arrow = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
+
+    def run(batches):
+        c = codec(model)
+        for whole in batches:
+            for at in range(0, whole.num_rows, PART):
+                b = whole.slice(at, PART)
+                ids = [c.encode(t) for t in common.texts(b.column(1))]
+                yield common.batch(arrow, doc_id=b.column(0), ids=[i.tobytes() for i in ids], text=[c.decode(i) for i in ids])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, text string")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``; the decoded text is the text itself."""
     model = "piece_bpe_32k.model"
-    back = decode_ids(encode_texts(common.load(spark, sf_dir, "documents"), model), model)
+    back = transcode(common.load(spark, sf_dir, "documents"), model)
     return back.select(
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
         F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256"))

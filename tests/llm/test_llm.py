@@ -48,6 +48,9 @@ def test_sentencepiece(spark, odd, empty):
     got = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_texts(odd, model), model).collect()
     assert sorted((g["doc_id"], g["text"]) for g in got) == sorted(docs_of(odd))
     assert sentencepiece_codec.encode_texts(empty, model).count() == 0
+    assert sorted(sentencepiece_codec.transcode(odd, model).collect()) == sorted(got)
+    mixed = ["ab.,\n12", "\t#x.y\n\nZ é中9", "the" * 300, "a" * 500 + ".", "² .²."]
+    assert [c.encode(t).tolist() for t in mixed] == sp.encode(mixed)
 
 
 def test_media(odd, empty):
