@@ -90,3 +90,22 @@ def test_transcripts(spark, tmp_path):
     assert got["v1"] == ([(0, 4000, "Hello there."), (4000, 9500, "two\nlines")], 9.5, False)
     assert got["v2"] == ([(1000, 2500, "x"), (3000, 4000, "y")], 3.0, False)
     assert got["v3"] == ([], 0.0, True)
+
+
+def test_evaluation_sets(spark, tmp_path):
+    from sparrowmill.sources import evalsets
+
+    def rows(layout, body, root="r"):
+        path = tmp_path / f"{layout}.txt"
+        path.write_text(body, encoding="utf-8")
+        return [tuple(r) for r in evalsets.load(spark, layout, str(path), root).collect()]
+
+    assert rows("chapters", "1-2-03 HE SAID SO\n\n1-2-04\n") == [("r/1/2/1-2-03.flac", "HE SAID SO"), ("r/1/2/1-2-04.flac", None)]
+    assert rows("tsv_header", 'id\tpath\ttext\nx\ta.wav\t"so\n') == [("r/a.wav", '"so')]
+    assert rows("tsv_plain", "x\ta.wav\tone\nx\tb.wav\ttwo\n", "") == [("a.wav", "one"), ("b.wav", "two")]
+    assert rows("tsv_wav", "id\ttext\nu1\tone\n") == [("r/u1.wav", "one")]
+    assert rows("csv_dialect", 'a,b,c,d,e,f,g,h\n1,2,3,4,x.wav,6,7,"yes, ""so"""\n') == [("r/x.wav", 'yes, "so"')]
+    assert rows("json_lines", '{"audio": "a", "text": "t"}\n{"audio": "b"}\n') == [("r/a", "t"), ("r/b", None)]
+    assert rows("stm", ";; note\nf 1 s 0.5  2.25 <o,f0> well yes\n") == [("r/f", "well yes", 0.5, 2.25)]
+    with pytest.raises(ValueError):
+        evalsets.load(spark, "none", "x")
