@@ -262,6 +262,21 @@ def q_token_seq(spark, sf_dir):
     return docs.select("doc_id", F.array_join(F.concat("t", pad(F.lit(448))), ",").alias("text_input"), F.array_join(F.concat(F.slice("t", 2, 448), pad(F.lit(449))), ",").alias("text_y"))
 
 
+@query(f"""SELECT doc_id, CAST(w AS INTEGER) AS window_no, array_to_string(list_concat(t, list_transform(range(448 - len(t)), lambda i: 51864)), ',') AS text_input, array_to_string(list_concat(t[2:], list_transform(range(449 - len(t)), lambda i: 51864)), ',') AS text_y
+FROM (SELECT doc_id, w, list_concat([50257], ids[w * 446 + 1:w * 446 + 446], [50256]) AS t FROM (SELECT doc_id, ids, unnest(range(greatest(1, (len(ids) + 445) // 446))) AS w
+FROM (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(array_to_string(l, ' '), '\\s+'), lambda w: w <> ''), lambda w: length(w)) AS ids FROM {L})))""")
+def q_token_windows(spark, sf_dir):
+    """All words of each text as consecutive sequences of at most 446 ids; q_token_seq has the first one only."""
+    ids = F.transform(T.words(F.array_join("captions", " ")), lambda w: F.length(w))
+    cut = lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(446)), lambda at: F.slice(v, at, F.lit(446)))
+    # bound as a lambda variable, so that words are made once a row
+    windows = F.transform(F.array(ids), cut)[0]
+    docs = captioned(spark, sf_dir).select("doc_id", F.posexplode(windows).alias("window_no", "part"))
+    docs = docs.select("doc_id", "window_no", F.concat(F.array(F.lit(50257)), "part", F.array(F.lit(50256))).alias("t"))
+    pad = lambda n: F.array_repeat(F.lit(51864), n - F.size("t"))
+    return docs.select("doc_id", "window_no", F.array_join(F.concat("t", pad(F.lit(448))), ",").alias("text_input"), F.array_join(F.concat(F.slice("t", 2, 448), pad(F.lit(449))), ",").alias("text_y"))
+
+
 @query("""WITH w AS (SELECT value, b, CAST('0x' || substr(md5(b || '|' || event_id), 1, 6) AS BIGINT) / 16777216.0 AS h FROM events, range(0, 20) r(b)),
 p AS (SELECT b, value, CASE WHEN h < 0.367879 THEN 0 WHEN h < 0.735759 THEN 1 WHEN h < 0.919699 THEN 2 WHEN h < 0.981012 THEN 3 ELSE 4 END AS k FROM w)
 SELECT CAST(b AS INTEGER) AS b, round(sum(value * k) / sum(k), 6) AS mean FROM p GROUP BY b""")

@@ -50,6 +50,18 @@ def test_word_edits(spark):
     assert got == [distance(a.split(), b.split()) for a, b in pairs]
 
 
+def test_token_windows(spark, tmp_path):
+    lengths = {1: [1 + i % 9 for i in range(1000)], 2: [3] * 446, 3: [], 4: [2] * 447}
+    spark.createDataFrame([(i, " ".join("x" * n for n in v)) for i, v in lengths.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in registry.QUERIES["q_token_windows"](spark, str(tmp_path)).orderBy("doc_id", "window_no").collect():
+        x, y = ([int(i) for i in r[k].split(",")] for k in ("text_input", "text_y"))
+        own = x[1 : x.index(50256)]
+        assert len(x) == len(y) == 448 and x[0] == 50257 and y == [*x[1:], 51864] and len(own) <= 446
+        got.setdefault(r["doc_id"], []).append(own)
+    assert {i: sum(v, []) for i, v in got.items()} == lengths and [len(got[i]) for i in (1, 2, 3, 4)] == [3, 1, 1, 2]
+
+
 def test_timecode(spark):
     rows = spark.createDataFrame([("00:00:01.5",), ("01:02:03,004",), ("02:03",), ("27:00:00.000",), ("x",)], "c string")
     assert [r[0] for r in rows.select(timecode.to_ms(F.col("c"))).collect()] == [1500, 3723004, 123000, 97200000, None]
