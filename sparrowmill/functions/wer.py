@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import LongType
 
 from .text import words
 
@@ -16,8 +19,26 @@ def _symbols(text_words: Column, vocabulary: Column) -> Column:
     return F.decode(F.unhex(codes), "UTF-16BE")
 
 
+def distance(ref: list[str], hyp: list[str]) -> int:
+    """Edit distance of two lists of words of any size; two rows of the table in memory."""
+    ids: dict[str, int] = {}
+    a, b = (np.array([ids.setdefault(w, len(ids)) for w in t], np.int64) for t in (ref, hyp))
+    step = np.arange(len(b) + 1)
+    row = step
+    for i, x in enumerate(a, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (b != x))
+        # insertions: the least of what is left of a cell, plus the way from there
+        row = np.minimum.accumulate(np.concatenate([[i], best]) - step) + step
+    return int(row[-1])
+
+
+@F.pandas_udf(LongType())
+def _long_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None or h is None else distance(list(r), list(h)) for r, h in zip(ref, hyp)], dtype="Int64")
+
+
 def word_edits(ref: Column, hyp: Column) -> Column:
-    """Word-level edit distance of arrays of words whose joint vocabulary has at most SYMBOLS words; null beyond."""
+    """Word-level edit distance of arrays of words; pairs with more than SYMBOLS distinct words go through Arrow, the others stay native."""
     # bound as lambda variables, so that words and vocabulary are made once a row
     def edits(p: Column, vocabulary: Column) -> Column:
         return F.when(F.size(vocabulary) <= SYMBOLS, F.levenshtein(_symbols(p.r, vocabulary), _symbols(p.h, vocabulary)).cast("long"))
@@ -25,7 +46,9 @@ def word_edits(ref: Column, hyp: Column) -> Column:
     def each(p: Column) -> Column:
         return F.transform(F.array(F.array_union(p.r, p.h)), lambda v: edits(p, v))[0]
 
-    return F.transform(F.array(F.struct(ref.alias("r"), hyp.alias("h"))), each)[0]
+    short = F.transform(F.array(F.struct(ref.alias("r"), hyp.alias("h"))), each)[0]
+    beyond = (F.size(ref) + F.size(hyp) > SYMBOLS) & (F.size(F.array_union(ref, hyp)) > SYMBOLS)
+    return F.coalesce(short, _long_edits(F.when(beyond, ref), F.when(beyond, hyp)))
 
 
 def wer(ref: Column, hyp: Column) -> Column:

@@ -62,6 +62,19 @@ def test_token_windows(spark, tmp_path):
     assert {i: sum(v, []) for i, v in got.items()} == lengths and [len(got[i]) for i in (1, 2, 3, 4)] == [3, 1, 1, 2]
 
 
+def test_word_edits_beyond_alphabet(spark):
+    many = [f"w{i}" for i in range(wer.SYMBOLS + 1000)]
+    hyp = ["new", *many[:50], "x", *many[51:6000], *many[6003:]]
+    pairs = [(many, hyp, 5), (many, [], len(many)), (many[: wer.SYMBOLS], many[1 : wer.SYMBOLS], 1), (["a", "b"], ["b"], 1)]
+    df = spark.createDataFrame([(" ".join(a), " ".join(b)) for a, b, _ in pairs], "a string, b string")
+    got = df.select(wer.word_edits(T.words(F.col("a")), T.words(F.col("b"))).alias("e"), wer.wer(F.col("a"), F.col("b")).alias("r")).collect()
+    assert [(g["e"], round(g["r"], 9)) for g in got] == [(e, round(e / len(a), 9)) for a, _, e in pairs]
+    r = random.Random(2)
+    pairs = [(r.choices("abcde", k=r.randint(0, 12)), r.choices("abcde", k=r.randint(0, 12))) for _ in range(200)]
+    df = spark.createDataFrame([("".join(a), "".join(b)) for a, b in pairs], "a string, b string")
+    assert [wer.distance(a, b) for a, b in pairs] == [x[0] for x in df.select(F.levenshtein("a", "b")).collect()]
+
+
 def test_timecode(spark):
     rows = spark.createDataFrame([("00:00:01.5",), ("01:02:03,004",), ("02:03",), ("27:00:00.000",), ("x",)], "c string")
     assert [r[0] for r in rows.select(timecode.to_ms(F.col("c"))).collect()] == [1500, 3723004, 123000, 97200000, None]
