@@ -11,6 +11,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common
 from .tokens import encoder
 
-#: Pieces of a group (mean), fillings kept for a bin and steps spent to find them, bins that one search may open
+#: Pieces of a group (mean), fillings kept for a bin and alternatives tried to find them, bins that one search may open
 #: besides one for each piece. A search that runs out leaves the incumbent, so these bound time, not the result's rows.
-GROUP, FILLINGS, STEPS, NODES = 20_000, 4, 60, 5_000
+GROUP, FILLINGS, STEPS, NODES = 20_000, 6, 60, 60_000
 
 
 class Sizes:
@@ -30,13 +31,13 @@ class Sizes:
         self.count = Counter(sizes)
         self.mask = sum(1 << s for s in self.count)
 
-    def take(self, s: int) -> None:
-        self.count[s] -= 1
+    def take(self, s: int, n: int = 1) -> None:
+        self.count[s] -= n
         if not self.count[s]:
             self.mask &= ~(1 << s)
 
-    def put(self, s: int) -> None:
-        self.count[s] += 1
+    def put(self, s: int, n: int = 1) -> None:
+        self.count[s] += n
         self.mask |= 1 << s
 
     def at_most(self, s: int) -> int:
@@ -65,28 +66,34 @@ def best_fit(sizes: list[int], cap: int) -> list[list[int]]:
 
 
 def fillings(left: Sizes, room: int, waste: int) -> list[list[int]]:
-    """Some undominated fillings of ``room`` that waste at most ``waste``, the fullest first."""
-    found: list[tuple[int, list[int]]] = []
+    """Some undominated fillings of ``room`` that waste at most ``waste``, the fullest first.
+
+    Equal pieces are taken together, and only alternatives count as steps: each descent goes on to its end.
+    """
+    found: list[tuple[int, list[tuple[int, int]]]] = []
     steps = 0
 
-    def grow(own: list[int], room: int, top: int) -> None:
+    def grow(own: list[tuple[int, int]], room: int, top: int) -> None:
         nonlocal steps
-        steps += 1
         s = left.at_most(min(room, top))
         if not s:
-            if room <= waste and not any(left.at_most(a + room) > a for a in own):
+            if room <= waste and not any(left.at_most(a + room) > a for a, _ in own):
                 found.append((room, own))
             return
-        tried = 0
-        while s and tried < 3 and len(found) < FILLINGS and steps < STEPS:
-            left.take(s)
-            grow([*own, s], room - s, s)
-            left.put(s)
+        tried, n = 0, min(left.count[s], room // s)
+        while s and (not tried or tried < 3 and len(found) < FILLINGS and steps < STEPS):
+            steps += tried > 0
+            left.take(s, n)
+            grow([*own, (s, n)], room - n * s, s - 1)
+            left.put(s, n)
             tried += 1
-            s = left.at_most(s - 1)
+            if tried == 1 and n > 1:
+                n -= 1
+            elif s := left.at_most(s - 1):
+                n = min(left.count[s], room // s)
 
     grow([], room, room)
-    return [f for _, f in sorted(found, key=lambda x: x[0])]
+    return [[s for s, n in f for _ in range(n)] for _, f in sorted(found, key=lambda x: x[0])]
 
 
 def complete(sizes: list[int], cap: int, goal: int) -> list[list[int]] | None:
@@ -121,10 +128,23 @@ def complete(sizes: list[int], cap: int, goal: int) -> list[list[int]] | None:
             down = False
 
 
+def lower_bound(sizes: list[int], cap: int) -> int:
+    """Bins that any packing needs (L2): for each a, sizes over ``cap - a`` leave no room for sizes from a on."""
+    if not sizes:
+        return 0
+    n = np.bincount(sizes, minlength=cap + 1)
+    counts, sums = np.cumsum(n), np.cumsum(n * np.arange(cap + 1))
+    half = cap // 2
+    a = np.arange(1, half + 1)
+    room = (counts[cap - a] - counts[half]) * cap - (sums[cap - a] - sums[half])
+    need = counts[cap] - counts[half] + np.maximum(0, -((room - (sums[half] - sums[a - 1])) // cap))
+    return int(max(-(-sum(sizes) // cap), need.max(initial=0)))
+
+
 def pack(sizes: list[int], cap: int) -> list[list[int]]:
     """Bins of sizes: best fit, improved by bin completion until the bound is met or the search gives no better one."""
     bins = best_fit(sizes, cap)
-    least = math.ceil(sum(sizes) / cap)
+    least = lower_bound(sizes, cap)
     while len(bins) > least and (better := complete(sizes, cap, len(bins) - 1)) is not None:
         bins = better
     return bins

@@ -198,6 +198,17 @@ def test_packing(odd, empty):
     assert len(packing.pack([6, 6, 4, 4, 3, 3, 2, 2], 10)) == 3
 
 
+def test_packing_short_pieces():
+    assert packing.fillings(packing.Sizes([10] * 120), 1000, 0) == [[10] * 100]
+    bins = packing.complete([10] * 300, 1000, 3)
+    assert sorted(map(sum, bins)) == [1000] * 3
+    r = random.Random(4)
+    sizes = r.choices(range(3, 16), k=900)
+    bins = packing.complete(sizes, 1000, -(-sum(sizes) // 1000))
+    assert sorted(s for b in bins for s in b) == sorted(sizes) and max(map(sum, bins)) <= 1000
+    assert packing.lower_bound([6] * 5, 10) == 5 and packing.lower_bound([7, 7, 3, 3, 2], 10) == 3 and packing.lower_bound([], 10) == 0
+
+
 def test_topk(spark):
     r = np.random.default_rng(4)
     rows = [(i, [float(x) for x in r.normal(size=6)]) for i in range(300)] + [(300, None), (301, [None] * 6), (302, [float("nan")] * 6), (303, [0.0] * 6), (304, [0.0] * 6)]
