@@ -11,7 +11,7 @@ import struct
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common
 
@@ -82,14 +82,14 @@ def table(data, at: int, width: int) -> list[tuple]:
     return list(struct.iter_unpack(f">{width}I", data[at + 8 : at + 8 + 4 * width * n]))
 
 
-def features(data: bytes) -> dict:
-    """Codec, duration and the byte ranges of samples and keyframes of the first track, from its sample tables."""
-    found = {path[-1]: body for path, body, _ in walk(data)}
-    scale, length = struct.unpack_from(">II", data, found[b"mdhd"] + 12)
+def track(data, at: int, end: int) -> dict:
+    """Codec, duration and the byte ranges of samples and keyframes of the track whose body is ``at`` to ``end``."""
+    found = {path[-1]: body for path, body, _ in walk(data, at, end)}
+    scale, length = struct.unpack_from(">IQ", data, found[b"mdhd"] + 20) if data[found[b"mdhd"]] == 1 else struct.unpack_from(">II", data, found[b"mdhd"] + 12)
     codec = data[found[b"stsd"] + 12 : found[b"stsd"] + 16].decode("latin-1")
     one, count = struct.unpack_from(">II", data, found[b"stsz"] + 4)
     sizes = [one] * count if one else [s for (s,) in struct.iter_unpack(">I", data[found[b"stsz"] + 12 : found[b"stsz"] + 12 + 4 * count])]
-    places = [p for (p,) in table(data, found[b"stco"], 1)]
+    places = [p for (p,) in table(data, found[b"stco"], 1)] if b"stco" in found else [a << 32 | b for a, b in table(data, found[b"co64"], 2)]
     runs = table(data, found[b"stsc"], 3)
     ends = [r[0] for r in runs[1:]] + [len(places) + 1]
     ranges, k = [], 0
@@ -103,12 +103,23 @@ def features(data: bytes) -> dict:
     return {"codec": codec, "duration_ms": length * 1000 // scale, "ticks": spent, "samples": ranges, "keyframes": [ranges[k - 1] for k in keys]}
 
 
+def tracks(data: bytes) -> list[dict]:
+    """All tracks in the order of their boxes."""
+    return [track(data, body, stop) for path, body, stop in walk(data) if path[-1] == b"trak"]
+
+
+def features(data: bytes) -> dict:
+    """Codec, duration and the byte ranges of samples and keyframes of the first track, from its sample tables."""
+    return next(track(data, body, stop) for path, body, stop in walk(data) if path[-1] == b"trak")
+
+
 def payload_of(data: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join([data[a : a + n] for a, n in ranges])
 
 
 MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()),
+                      ("codec", pa.string()), ("duration_ms", pa.int64()), ("samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())])))])
 
 
 def media_column(docs: DataFrame) -> DataFrame:
@@ -126,7 +137,7 @@ def media_column(docs: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Read each container back: digests of its payload and its feature string (codec, duration, keyframe byte ranges)."""
+    """Read each container back: digests of its payload, codec, duration_ms, number of samples and all keyframe byte ranges of its first track."""
 
     def read(batches):
         for b in batches:
@@ -134,14 +145,22 @@ def media_features(media: DataFrame) -> DataFrame:
             for doc, n, data in zip(*(b.column(i).to_pylist() for i in range(3))):
                 f = features(data)
                 payload = payload_of(data, f["samples"])
-                keys = f["keyframes"]
-                said = ";".join(f"{a}+{n}" for a, n in keys)
-                text = f"codec={f['codec'].strip()},duration_ms={f['duration_ms']},samples={len(f['samples'])},keyframes={len(keys)},first={keys[0][0]}+{keys[0][1]},last={keys[-1][0]}+{keys[-1][1]},ranges_crc32={zlib.crc32(said.encode())}"
-                out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), text))
+                keys = [{"offset": at, "size": size} for at, size in f["keyframes"]]
+                out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f["codec"].strip(), f["duration_ms"], len(f["samples"]), keys))
             yield common.batch(FEATURES, **dict(zip(FEATURES.names, zip(*out) if out else [[]] * len(FEATURES))))
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, duration_ms long, samples long, keyframes array<struct<offset:long,size:long>>")
+
+
+def feature_string(codec: Column, duration_ms: Column, samples: Column, keyframes: Column) -> Column:
+    """One line of the features: number of keyframes, the first and last byte range and a checksum over all."""
+    said = lambda k: F.concat(k.offset.cast("string"), F.lit("+"), k.size.cast("string"))
+    edge = lambda at: F.coalesce(said(F.try_element_at(keyframes, F.lit(at))), F.lit(""))
+    parts = {"codec": codec, "duration_ms": duration_ms, "samples": samples, "keyframes": F.size(keyframes), "first": edge(1), "last": edge(-1), "ranges_crc32": F.crc32(F.array_join(F.transform(keyframes, said), ";").cast("binary"))}
+    return F.concat_ws(",", *(F.concat(F.lit(f"{k}="), c.cast("string")) for k, c in parts.items()))
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(media_column(common.load(spark, sf_dir, "documents")))
+    read = media_features(media_column(common.load(spark, sf_dir, "documents")))
+    shown = ("codec", "duration_ms", "samples", "keyframes")
+    return read.withColumn("feature", feature_string(*map(F.col, shown))).drop(*shown)

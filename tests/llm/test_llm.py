@@ -63,6 +63,39 @@ def test_media(odd, empty):
     assert media.media_features(media.media_column(empty)).count() == 0
 
 
+def test_media_keyframes(spark, tmp_path):
+    texts = {1: "ab" * 5000, 2: "x" * 2048, 3: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {g["doc_id"]: g for g in media.media_features(media.media_column(docs)).collect()}
+    for i, t in texts.items():
+        raw = t.encode() + bytes(-len(t) % 64 or (not t) * 64)
+        data = media.to_container(raw)
+        keys = [(k["offset"], k["size"]) for k in got[i]["keyframes"]]
+        assert [data[a : a + n] for a, n in keys] == [raw[k : k + 64] for k in range(0, len(raw), 1024)]
+        assert (got[i]["codec"], got[i]["duration_ms"]) == ("raw", len(raw) // 64 * 8)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for g in media.op2_media_columns(spark, str(tmp_path)).collect():
+        keys = got[g["doc_id"]]["keyframes"]
+        said = [f"{a}+{n}" for a, n in keys]
+        n = got[g["doc_id"]]["samples"]
+        assert g["feature"] == f"codec=raw,duration_ms={n * 8},samples={n},keyframes={len(keys)},first={said[0]},last={said[-1]},ranges_crc32={zlib.crc32(';'.join(said).encode())}"
+
+
+def test_media_tracks():
+    def trak(kind, length, offsets, wide):
+        n = len(offsets)
+        u = lambda *v: b"".join(x.to_bytes(4, "big") for x in v)
+        places = media.full(b"co64", u(n), *(o.to_bytes(8, "big") for o in offsets)) if wide else media.full(b"stco", u(n, *offsets))
+        stbl = media.box(b"stbl", media.full(b"stsd", u(1), media.box(kind)), media.full(b"stts", u(1, n, 1)), media.full(b"stsc", u(1, 1, 1, 1)), media.full(b"stsz", u(8, n)), places)
+        mdhd = media.box(b"mdhd", u(1 << 24), bytes(16), u(1000), length.to_bytes(8, "big")) if wide else media.full(b"mdhd", u(0, 0, 1000, length, 0))
+        return media.box(b"trak", media.box(b"mdia", mdhd, media.box(b"minf", stbl)))
+
+    data = media.box(b"moov", trak(b"aaaa", 7, [5 << 32, 16], True), trak(b"bbbb", 9, [24], False))
+    first, second = media.tracks(data)
+    assert media.features(data) == first and (first["codec"], first["duration_ms"], first["samples"]) == ("aaaa", 7, [(5 << 32, 8), (16, 8)])
+    assert (second["codec"], second["duration_ms"], second["keyframes"]) == ("bbbb", 9, [(24, 8)])
+
+
 def brute_repeats(docs, length):
     seen, out = set(), {}
     for i, t in sorted(set(docs)):
