@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -28,3 +32,41 @@ def percentiles(rows: DataFrame, value: str, partitions: int) -> DataFrame:
     at = lambda i: F.least(F.bround(i * F.col("total") / 100.0).cast("long"), F.col("total") - 1)
     wanted = F.filter(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: F.struct(i.alias("i"), F.when(i == 100, F.col("total") - 1).otherwise(at(i)).alias("at"))), lambda w: w["at"] == F.col("rank"))
     return ranked.select("v", F.explode(wanted).alias("w")).select(F.col("w.i").alias("percentile"), F.col("v").alias("value"))
+
+
+def poisson(keys: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson(1) draws, a row for each key and a column for each replicate, fixed by key and replicate number."""
+    chances = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(25)])
+    z = keys.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return np.searchsorted(chances, (z >> np.uint64(11)) * 2.0**-53, side="right")
+
+
+def bootstrap_means(df: DataFrame, key: list[str], value: str, weight: str, replicates: int = 1000) -> DataFrame:
+    """b and the weighted mean of each Poisson resample of ``df``; a resample without weight has a null mean.
+
+    Rows are folded into a pair of sums for each replicate inside the tasks. Rows without value or weight are left out.
+    """
+    arrow = pa.schema([("b", pa.int32()), ("total", pa.float64()), ("weight", pa.float64())])
+
+    def fold(batches):
+        total, weights = np.zeros(replicates), np.zeros(replicates)
+        for b in batches:
+            k, v, w = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for at in range(0, len(k), 1024):
+                drawn = poisson(k[at : at + 1024], replicates)
+                total += (v[at : at + 1024] * w[at : at + 1024]) @ drawn
+                weights += w[at : at + 1024] @ drawn
+        yield pa.RecordBatch.from_arrays([pa.array(range(replicates), pa.int32()), pa.array(total), pa.array(weights)], schema=arrow)
+
+    rows = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).select(F.xxhash64(*key), F.col(value).cast("double"), F.col(weight).cast("double"))
+    sums = rows.mapInArrow(fold, "b int, total double, weight double").groupBy("b").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+    return sums.select("b", F.try_divide("total", "weight").alias("mean"))
+
+
+def error_bars(means: DataFrame) -> DataFrame:
+    """n_bootstrap, mean, population std_dev and std_err of the means that are not null."""
+    spread = F.stddev_pop("mean")
+    return means.agg(F.count("mean").alias("n_bootstrap"), F.round(F.avg("mean"), 6).alias("mean"), F.round(spread, 6).alias("std_dev"), F.round(F.try_divide(spread, F.sqrt(F.count("mean"))), 6).alias("std_err"))

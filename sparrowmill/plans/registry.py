@@ -287,6 +287,13 @@ def q_bootstrap_det(spark, sf_dir):
     return drawn.groupBy("b").agg(F.round(F.sum(F.col("value") * k) / F.sum(k), 6).alias("mean"))
 
 
+@query()
+def q_bootstrap(spark, sf_dir):
+    """Error bars of the word error rate in percent, weighted by reference words, from 1,000 resamples."""
+    means = sampling.bootstrap_means(q_wer(spark, sf_dir), ["conv_id", "n"], "wer", "ref_words")
+    return sampling.error_bars(means.withColumn("mean", F.col("mean") * 100))
+
+
 @query("SELECT user_id, event_id, CAST(gap_ms AS BIGINT) AS gap_ms, gap_ms // 30000 AS full_windows, gap_ms % 30000 AS rest_ms FROM (SELECT user_id, event_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_ms FROM events) WHERE gap_ms >= 30000")
 def q_gap_segments(spark, sf_dir):
     ms = F.expr("unix_millis(cast(ts AS timestamp))")

@@ -4,11 +4,12 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparrowmill.functions import text as T, timecode, wer
-from sparrowmill.operators import filters, segments
+from sparrowmill.operators import filters, sampling, segments
 from sparrowmill.plans import registry
 from sparrowmill.sources import transcripts
 
@@ -75,6 +76,25 @@ def test_word_edits_beyond_alphabet(spark):
     assert [wer.distance(a, b) for a, b in pairs] == [x[0] for x in df.select(F.levenshtein("a", "b")).collect()]
 
 
+def test_bootstrap(spark):
+    drawn = sampling.poisson(np.arange(4000) * 7919, 1000)
+    assert abs(drawn.mean() - 1) < 0.01 and abs(drawn.var() - 1) < 0.01 and drawn.max() > 7
+    r = np.random.default_rng(1)
+    rows = [(i, float(v), int(w)) for i, (v, w) in enumerate(zip(r.random(400), r.integers(1, 30, 400)))]
+    df = spark.createDataFrame([*rows, (400, None, 0)], "id long, v double, w long").repartition(3)
+    keys = [x["k"] for x in df.where("v is not null").orderBy("id").select(F.xxhash64("id").alias("k")).collect()]
+    k = sampling.poisson(np.array(keys), 1000)
+    v, w = np.array([x[1] for x in rows]), np.array([x[2] for x in rows])
+    want = (v * w) @ k / (w @ k)
+    got = sampling.bootstrap_means(df, ["id"], "v", "w").orderBy("b").toPandas()["mean"].to_numpy()
+    assert len(got) == 1000 and np.allclose(got, want)
+    bars = sampling.error_bars(sampling.bootstrap_means(df, ["id"], "v", "w")).first()
+    assert bars["n_bootstrap"] == 1000 and np.allclose(bars[1:], [want.mean(), want.std(), want.std() / 1000**0.5], atol=1e-6)
+    analytic = (((v - (v @ w) / w.sum()) * w) ** 2).sum() ** 0.5 / w.sum()
+    assert abs(bars["std_dev"] / analytic - 1) < 0.1
+    assert registry.QUERIES["q_bootstrap"](spark, SF).first()["n_bootstrap"] == 1000
+
+
 def test_timecode(spark):
     rows = spark.createDataFrame([("00:00:01.5",), ("01:02:03,004",), ("02:03",), ("27:00:00.000",), ("x",)], "c string")
     assert [r[0] for r in rows.select(timecode.to_ms(F.col("c"))).collect()] == [1500, 3723004, 123000, 97200000, None]
