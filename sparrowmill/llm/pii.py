@@ -8,6 +8,7 @@ span classifier that decides which candidates become spans. Base spans always st
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -26,12 +27,14 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 #: Candidates beyond the base patterns.
-ASSIGNED = re.compile(r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi_?[Kk]ey|API_?KEY)[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9/+_-]{6,300})")
-KEYLIKE = re.compile(r"\b(?:AKIA|ASIA|ghp_|gho_|xox[bp]-|sk-)[A-Za-z0-9-]{10,300}")
-NUMBER = re.compile(r"(?<![0-9A-Za-z.+])[0-9](?:[0-9]|[ ().-][0-9]|\) [0-9]){6,30}(?![0-9A-Za-z])")
+ASSIGNED = re.compile(r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi_?[Kk]ey|API_?KEY)[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9/+_-]{6,})")
+KEYLIKE = re.compile(r"\b(?:AKIA|ASIA|ghp_|gho_|xox[bp]-|sk-)[A-Za-z0-9-]{10,}")
+NUMBER = re.compile(r"(?<![0-9A-Za-z.+])[0-9](?:[0-9]|[ ().-][0-9]|\) [0-9]){6,}(?![0-9A-Za-z])")
 #: Words before a span that speak for personal data (fixed list), and top-level domains of the gazetteer.
 CUES = re.compile(r"(?i)(?:e-?mail|mail|phone|tel|call|mobile|fax|card|iban|ssn|account|ip|address|password|passwd|token|secret|key|login|contact)\W{0,4}\w{0,3}\W{0,3}$")
 DOMAINS = frozenset("com org net edu gov io co de fr es uk eu info".split())
+#: Characters of a secret and digits of a number beyond which a candidate that meets base spans is cut at them, not dropped.
+LONG_SECRET, LONG_NUMBER = 300, 31
 #: Posterior that a candidate needs to become a span.
 ACCEPT = 0.9
 LABELERS = ("pattern", "assigned", "key prefix", "domain list", "checksum", "cue before", "mixed shape", "plain number")
@@ -75,6 +78,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def outside(text: str, a: int, k: int, b: int, taken: list[list[int]]) -> list[tuple[int, int, int]]:
+    """The parts of a long candidate that lie between base spans and are long enough to be candidates."""
+    i = bisect.bisect_right(taken, a, key=lambda t: t[1])
+    if i == len(taken) or taken[i][0] >= b or (b - a <= LONG_SECRET if k == 4 else len(digits(text[a:b])) <= LONG_NUMBER):
+        return [(a, k, b)]
+    found = []
+    while a < b:
+        low, high = taken[i] if i < len(taken) else (b, b)
+        end = min(low, b)
+        if k == 4 and end - a >= 6:
+            found.append((a, k, end))
+        elif k == 5 and len(digits(text[a:end])) >= 7:
+            own = [m.start() for m in DIGIT.finditer(text, a, end)]
+            found.append((own[0], k, own[-1] + 1))
+        a, i = max(high, end), i + 1
+    return found
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans beyond the base ones that the classifier may add; none overlaps a base span or another candidate."""
     found = [(m.start(1), 4, m.end(1)) for m in ASSIGNED.finditer(text)] if "=" in text or ":" in text else []
@@ -90,7 +111,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             taken[-1][1] = max(taken[-1][1], b)
         else:
             taken.append([a, b])
-    for a, k, b in sorted(found):
+    for a, k, b in sorted(part for f in found for part in outside(text, *f, taken)):
         while i < len(taken) and taken[i][1] <= a:
             i += 1
         if a >= last and (i == len(taken) or taken[i][0] >= b):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -189,6 +190,23 @@ def test_pii(odd, empty):
     assert [text[a:b] for a, _, b in pii.all_spans(text, model)[1]] == ["bob.1@mail.example.com", "e3b3ed3cc8548923d6"]
 
 
+def test_pii_long_spans():
+    def found(text):
+        return [(k, text[a:b]) for a, k, b in pii.candidates(text, pii.base_spans(text))]
+
+    secret, number = "aB3_" * 150, "1234567890" * 6
+    assert found(f"token={secret} x") == [(4, secret)] and found(f"x ghp_{'a1' * 300} y") == [(4, "ghp_" + "a1" * 300)]
+    assert found(f"no {number} x") == [(5, number)] and found(f"no {'12 ' * 40}x") == [(5, ("12 " * 40).strip())]
+    inner = "Z" * 400 + "+14155550123" + "Z" * 400
+    assert found(f"token={inner} x") == [(4, "Z" * 400)] * 2
+    spaced = "7 " * 40 + "10.0.0.1" + " 8" * 40
+    assert len(found(spaced)) == 2 and all(k == 5 and len(pii.digits(t)) == 40 for k, t in found(spaced))
+    began = time.time()
+    for t in ("9" * 200000 + "a", "9 " * 100000 + "a", "1)" * 100000, "token=" * 30000, "sk-" * 60000, "(1" * 100000 + "x"):
+        pii.candidates(t, [])
+    assert time.time() - began < 10
+
+
 def test_token_files(odd, empty):
     files = token_files.write_token_files(odd, "byte_bpe_50k.json", 2, 50257)
     got = sorted(token_files.read_token_files(files).collect(), key=lambda g: g["start"])
