@@ -13,7 +13,7 @@ BUFFER = 100_000
 
 
 def buffered(stream: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
-    """For each session of (session, seq, chunk): its whole buffer after every batch; a chunk null clears it."""
+    """For each session of (session, seq, chunk): its buffer (the last BUFFER characters) after every batch; a chunk null clears it."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
