@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
-from .tokens import Recent
 
 SPACE = "▁"
 #: Longest word that is cached, pairs of pieces that are, words of a generation of the cache.
@@ -27,6 +26,24 @@ CACHE_WORDS = 300_000
 PART = 256
 
 
+class Recent(dict):
+    """A dictionary of about ``size`` entries over the one before it; what is used again moves up."""
+
+    def __init__(self, size: int):
+        self.size, self.old = size, {}
+
+    def older(self, key):
+        got = self.old.get(key)
+        if got is not None:
+            self[key] = got
+        return got
+
+    def turn(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
 class Codec:
     def __init__(self, model: str):
         import sentencepiece

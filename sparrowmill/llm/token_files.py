@@ -1,7 +1,7 @@
 """Token-id output: adaptive context-mixing range coding in independently reset, checksummed blocks.
 
 Every block starts from an empty model. Three predictors speak about the next id: order 2 and order 1 (the id that last
-followed the same two ids, or the same id, in this block) and order 0 (adaptive counts of groups of 16 ids). Their
+followed the same two ids, or the same id, in this block) and order 0 (adaptive counts of groups of ids). Their
 predictions are mixed with weights that follow each predictor's recent success, and the mixed distribution drives a
 64-bit range coder. Blocks do not depend on each other, so NumPy codes many of them side by side, one lane a block.
 """
@@ -18,152 +18,205 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import common
 from .tokens import encoder
 
-MAGIC = b"SMT1"
-#: Ids of a block, blocks coded side by side, ids after which a frame ends (at a document's end).
-BLOCK, LANES, FRAME = 4096, 512, 2_000_000
+MAGIC = b"SMT2"
+#: Ids of a block, blocks coded side by side (about), ids after which a frame ends (at a document's end).
+BLOCK, LANES = 1024, 4096
+FRAME = 2 * BLOCK * LANES
 #: Positions at which the order-0 distribution is rebuilt from the counts so far.
-REBUILD = (128, 512, 2048)
-H1, H2 = 4096, 8192
+REBUILD = (128, 512)
+#: Entries of a block's tables of orders 1 and 2; bits of the place in a group of ids.
+H1, H2, WIDE = 512, 1024, 6
+#: Success of a predictor in sixteenths: at a block's start, and what a miss or a hit makes of it (of 16 and up: it did not speak).
+FIRST1, FIRST2 = 4, 12
+AFTER = np.array([[c - max(1, c // 4) if c else 0, c + max(1, (15 - c) // 4) if c < 15 else 15] for c in range(16)] + [[c, c] for c in range(16)], np.uint8).ravel()
+
+
+def mixing(bits: int) -> np.ndarray:
+    """By both predictors' success and whether they agree: widths of order 2, of order 1 and of both, eighths left to order 0."""
+    rows = np.zeros((4, 1 << 14), np.uint32)
+    for c2 in range(32):
+        for c1 in range(32):
+            a2, a1 = (2 * c2 + 1 if c2 < 16 else 0), (2 * c1 + 1 if c1 < 16 else 0)
+            q = (7 * (32 * (a1 + a2) - a1 * a2) + 512) // 1024
+            for same in (0, 1):
+                both = q << (bits - 3)
+                own = both * (a1 + a2 if same and a2 else a2) // max(a1 + a2, 1)
+                rows[:, c2 << 8 | same << 6 | c1] = own, both - own, both, 8 - q
+    return rows
 
 
 class Mixer:
     """Model state of ``lanes`` blocks; the coder asks for the split of the range, then tells the id that came."""
 
-    def __init__(self, lanes: int, vocab: int):
-        self.lanes, self.groups = lanes, (vocab + 15) // 16
+    def __init__(self, lanes: int, vocab: int, decodes: bool):
+        self.lanes, self.groups, self.decodes = lanes, (vocab >> WIDE) + 1, decodes
         self.low_bits = max(1, int(2 * self.groups - 1).bit_length())
-        self.bits = self.low_bits + 7
+        self.bits = self.low_bits + WIDE + 3
+        self.id = np.uint16 if vocab < 65535 else np.uint32
         at = np.arange(lanes, dtype=np.int64)
         self.at1, self.at2, self.at0, self.atl = at * H1, at * H2, at * self.groups, at << self.low_bits
-        self.tab1, self.tab2 = np.zeros(lanes * H1, np.int32), np.zeros(lanes * H2, np.int32)
-        self.seen = np.zeros(lanes * self.groups, np.int32)
-        self.p1 = self.p2 = np.zeros(lanes, np.int64)
-        self.s1, self.s2 = np.full(lanes, 1024, np.int64), np.full(lanes, 3072, np.int64)
+        self.tab1, self.tab2 = np.zeros(lanes * H1, self.id), np.zeros(lanes * H2, self.id)
+        self.seen = np.zeros(lanes * self.groups, np.uint32)
+        self.p1 = self.p2 = np.zeros(lanes, np.uint32)
+        self.c1, self.c2 = np.full(lanes, FIRST1, np.uint8), np.full(lanes, FIRST2, np.uint8)
+        self.spoke = np.empty((lanes, 2), np.uint8)  # both predictors' success and flags, read as one number
+        self.two, self.one, self.both, self.eighths = mixing(self.bits)
         self.rebuild(0)
 
     def rebuild(self, n: int) -> None:
-        """Order-0 frequencies of the groups: one each, the rest in proportion to the counts."""
+        """Order-0 frequencies of the groups: one each, the rest in proportion to the counts. ``cells``: start and frequency."""
         total, seen = 1 << self.low_bits, self.seen.reshape(self.lanes, -1)
-        if n:
-            freq = 1 + seen * np.int64(total - self.groups) // n
-        else:
-            freq = np.full(seen.shape, total // self.groups, np.int64)
-        freq[:, 0] += total - freq.sum(1)
-        self.cum = (np.cumsum(freq, 1) - freq).ravel()
-        self.group_of = np.repeat(np.tile(np.arange(self.groups, dtype=np.uint16), self.lanes), freq.ravel())
-        self.freq = freq.ravel()
-
-    def split(self):
-        """Widths of the order-2 and order-1 predictions, and the eighths left to order 0."""
-        h = self.p1 * 40503
-        self.k1 = self.at1 + ((h >> 4) & (H1 - 1))
-        self.k2 = self.at2 + (((h ^ (self.p2 * 60493)) >> 3) & (H2 - 1))
-        self.g1, self.g2 = self.tab1[self.k1], self.tab2[self.k2]
-        self.has1, self.has2 = self.g1 > 0, self.g2 > 0
-        a1, a2 = self.s1 * self.has1, self.s2 * self.has2
-        self.q = ((a1 + a2 - (a1 * a2 >> 12)) * 7 + 2048) >> 12
-        self.u = self.q << (self.bits - 3)
-        w2 = self.u * a2 // np.maximum(a1 + a2, 1)
-        self.w2 = np.where((self.g1 == self.g2) & self.has2, self.u, w2)
-
-    def learn(self, x1: np.ndarray, ids: np.ndarray) -> None:
-        self.s1 += ((((x1 == self.g1) * 4095) - self.s1) >> 4) * self.has1
-        self.s2 += ((((x1 == self.g2) * 4095) - self.s2) >> 4) * self.has2
+        if not n:
+            seen = seen[:1]
+        freq = 1 + seen * np.uint32(total - self.groups) // np.uint32(n) if n else np.full(seen.shape, total // self.groups, np.uint32)
+        freq[:, 0] += total - freq.sum(1, dtype=np.uint32)
+        cells = (np.cumsum(freq, 1, dtype=np.uint32) - freq) << np.uint32(16) | freq
+        self.cells = (cells if n else np.repeat(cells, self.lanes, 0)).ravel()
+        if self.decodes:
+            names = np.tile(np.arange(self.groups, dtype=np.uint16), len(freq))
+            own = np.repeat(names, freq.ravel())
+            self.group_of = own if n else np.tile(own, self.lanes)
+
+    def split(self) -> None:
+        """Widths of the order-2 and of both predictions, and the eighths left to order 0."""
+        h = self.p1 * np.uint32(0x9E3779B1)
+        self.k1 = self.at1 + (h >> np.uint32(20) & np.uint32(H1 - 1))
+        self.k2 = self.at2 + ((h ^ self.p2 * np.uint32(0x85EBCA6B)) >> np.uint32(19) & np.uint32(H2 - 1))
+        self.g1, self.g2 = self.tab1.take(self.k1), self.tab2.take(self.k2)
+        self.e1 = self.c1 | (self.g1 == 0).view(np.uint8) << np.uint8(4)
+        self.e2 = self.c2 | (self.g2 == 0).view(np.uint8) << np.uint8(4)
+        np.bitwise_or(self.e1, (self.g1 == self.g2).view(np.uint8) << np.uint8(6), out=self.spoke[:, 0])
+        self.spoke[:, 1] = self.e2
+        at = self.spoke.view("<u2").ravel().astype(np.int64)
+        self.w2, self.w1, self.u, self.left = self.two.take(at), self.one.take(at), self.both.take(at), self.eighths.take(at)
+
+    def learn(self, x1: np.ndarray, ids: np.ndarray, group: np.ndarray) -> None:
+        """``x1``: the ids plus one in the tables' type; ``group``: where their groups' cells lie."""
+        self.c1 = AFTER.take(self.e1 << np.uint8(1) | (x1 == self.g1).view(np.uint8))
+        self.c2 = AFTER.take(self.e2 << np.uint8(1) | (x1 == self.g2).view(np.uint8))
         self.tab1[self.k1] = x1
         self.tab2[self.k2] = x1
-        self.seen[self.at0 + (ids >> 4)] += 1
+        self.seen[group] += np.uint32(1)
         self.p2, self.p1 = self.p1, ids
 
 
 def code_blocks(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
-    """The coded words of each block, at most LANES of them."""
+    """The coded words of each block."""
     lanes, steps = len(blocks), max(map(len, blocks))
-    ids = np.zeros((steps, lanes), np.int64)
+    ids = np.zeros((steps, lanes), np.uint32)
     for i, b in enumerate(blocks):
         ids[: len(b), i] = b
-    m, mask = Mixer(lanes, vocab), np.uint64(0xFFFFFFFF)
+    m, mask = Mixer(lanes, vocab, False), np.uint64(0xFFFFFFFF)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out, pos = np.zeros((lanes, steps + 3), np.int64), np.zeros(lanes, np.int64)
-    bits, s32 = np.uint64(m.bits), np.uint64(32)
+    out, pos = np.zeros((lanes, steps * (m.bits + 2) // 32 + 4), np.int64), np.zeros(lanes, np.int64)
+    bits, s32, low_mask, wide = np.uint64(m.bits), np.uint64(32), np.uint32((1 << WIDE) - 1), np.uint32(WIDE)
+    zero = np.uint32(0)
+    plus_one, inner = (ids + np.uint32(1)).astype(m.id), ids & low_mask
+    groups = ids >> wide
     for t in range(steps):
         if t in REBUILD:
             m.rebuild(t)
-        x = ids[t]
         m.split()
-        x1 = x + 1
-        hit2 = (x1 == m.g2) & (m.w2 > 0)
-        hit1 = (x1 == m.g1) & (m.u > m.w2) & ~hit2
-        g = m.at0 + (x >> 4)
-        f, eighths = m.freq[g], 8 - m.q
-        start = np.where(hit2, 0, np.where(hit1, m.w2, m.u + eighths * (m.cum[g] * 16 + (x & 15) * f)))
-        size = np.where(hit2, m.w2, np.where(hit1, m.u - m.w2, eighths * f))
+        x1 = plus_one[t]
+        hit2 = (x1 == m.g2) & (m.w2 > zero)
+        hit1 = (x1 == m.g1) & (m.w1 > zero)
+        group = m.at0 + groups[t]
+        cell = m.cells.take(group)
+        f = cell & np.uint32(0xFFFF)
+        start = m.u + m.left * ((cell >> np.uint32(16) << wide) + inner[t] * f)
+        size = m.left * f
+        np.copyto(start, m.w2, where=hit1)
+        np.copyto(size, m.w1, where=hit1)
+        np.copyto(start, zero, where=hit2)
+        np.copyto(size, m.w2, where=hit2)
         r = width >> bits
-        add = r * start.astype(np.uint64)
+        add = r * start
         low += add
-        width = r * size.astype(np.uint64)
+        width = r * size
         carry = low < add
         if carry.any():
             i = np.flatnonzero(carry)
             out[i, pos[i] - 1] += 1
         i = np.flatnonzero(width <= mask)
         if len(i):
-            out[i, pos[i]] = low[i] >> s32
-            pos[i] += 1
-            low[i] <<= s32
+            own = low[i]
+            at = pos[i]
+            out[i, at] = own >> s32
+            pos[i] = at + 1
+            low[i] = own << s32
             width[i] <<= s32
-        m.learn(x1, x)
+        m.learn(x1, ids[t], group)
     i = np.arange(lanes)
     out[i, pos] = low >> s32
     out[i, pos + 1] = low & mask
     while (over := out >> 32).any():
         out &= 0xFFFFFFFF
         out[:, :-1] += over[:, 1:]
-    return [out[i, : pos[i] + 2].astype("<u4").tobytes() for i in range(lanes)]
+    out = out.astype("<u4")
+    return [out[i, : n + 2].tobytes() for i, n in enumerate(pos.tolist())]
 
 
 def decode_blocks(coded: list[bytes], sizes: list[int], vocab: int) -> list[np.ndarray]:
     lanes, steps = len(coded), max(sizes)
-    words = np.zeros((lanes, max(map(len, coded)) // 4 + 4), np.uint64)
+    words = np.zeros((lanes, max(map(len, coded)) // 4 + 4), np.uint32)
     for i, c in enumerate(coded):
         words[i, : len(c) // 4] = np.frombuffer(c, "<u4")
-    m, mask, at = Mixer(lanes, vocab), np.uint64(0xFFFFFFFF), np.arange(lanes)
-    bits, s32, limit = np.uint64(m.bits), np.uint64(32), np.int64((1 << m.bits) - 1)
-    code, width, pos = (words[:, 0] << s32) | words[:, 1], np.full(lanes, 2**64 - 1, np.uint64), np.full(lanes, 2)
-    out = np.empty((steps, lanes), np.int64)
-    last = words.shape[1] - 1
+    m, mask = Mixer(lanes, vocab, True), np.uint64(0xFFFFFFFF)
+    bits, s32, limit, wide = np.uint64(m.bits), np.uint64(32), np.uint64((1 << m.bits) - 1), np.uint32(WIDE)
+    last, row = words.shape[1] - 1, np.arange(lanes, dtype=np.int64) * words.shape[1]
+    flat = words.ravel()
+    code, width, pos = words[:, 0].astype(np.uint64) << s32 | words[:, 1], np.full(lanes, 2**64 - 1, np.uint64), np.full(lanes, 2)
+    out = np.empty((steps, lanes), "<u4")
+    zero, one = np.uint32(0), np.uint32(1)
     for t in range(steps):
         if t in REBUILD:
             m.rebuild(t)
         m.split()
         r = width >> bits
-        v = np.minimum((code // r).astype(np.int64), limit)
-        eighths = 8 - m.q
-        slot = np.maximum(v - m.u, 0) // eighths
-        group = m.group_of[m.atl + (slot >> 4)].astype(np.int64)
-        g = m.at0 + group
-        f, c = m.freq[g], m.cum[g]
-        low4 = (slot - c * 16) // f
-        lit, hit2 = v >= m.u, v < m.w2
-        x1 = np.where(lit, group * 16 + low4 + 1, np.where(hit2, m.g2, m.g1))
-        start = np.where(lit, m.u + eighths * (c * 16 + low4 * f), np.where(hit2, 0, m.w2))
-        size = np.where(lit, eighths * f, np.where(hit2, m.w2, m.u - m.w2))
-        code -= r * start.astype(np.uint64)
-        width = r * size.astype(np.uint64)
+        v = np.minimum(code // r, limit).astype(np.uint32)
+        hit2, hit1 = v < m.w2, v < m.u  # what both claim is order 2's
+        slot = np.maximum(v, m.u)
+        slot -= m.u
+        slot //= m.left
+        group = m.group_of.take(m.atl + (slot >> wide))
+        cell = m.cells.take(m.at0 + group)
+        f = cell & np.uint32(0xFFFF)
+        low = cell >> np.uint32(16) << wide
+        inner = (slot - low) // f
+        x = (group.astype(np.uint32) << wide) + inner
+        start = m.u + m.left * (low + inner * f)
+        size = m.left * f
+        np.copyto(x, m.g1 - one, where=hit1)
+        np.copyto(start, m.w2, where=hit1)
+        np.copyto(size, m.w1, where=hit1)
+        np.copyto(x, m.g2 - one, where=hit2)
+        np.copyto(start, zero, where=hit2)
+        np.copyto(size, m.w2, where=hit2)
+        code -= r * start
+        width = r * size
         i = np.flatnonzero(width <= mask)
         if len(i):
-            code[i] = (code[i] << s32) | words[i, np.minimum(pos[i], last)]
-            pos[i] += 1
+            at = pos[i]
+            code[i] = code[i] << s32 | flat.take(row[i] + np.minimum(at, last))
+            pos[i] = at + 1
             width[i] <<= s32
-        x = x1 - 1
-        m.learn(x1, x)
+        # damaged words may give ids beyond the vocabulary; the block's checksum tells
+        m.learn((x + one).astype(m.id), x, m.at0 + np.minimum(x >> wide, np.uint32(m.groups - 1)))
         out[t] = x
-    return [out[:n, i].astype("<u4") for i, n in zip(at, sizes)]
+    out = out.T.copy()
+    return [out[i, :n] for i, n in enumerate(sizes)]
+
+
+def batches_of(blocks: int) -> list[slice]:
+    """Blocks coded together: about LANES each, in equal parts."""
+    cuts = np.linspace(0, blocks, max(1, round(blocks / LANES)) + 1).astype(int).tolist()
+    return [slice(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
 def write_frame(docs: list[int | None], lengths: list[int], ids: np.ndarray, vocab: int) -> bytes:
     """A file image: header, document index, block table (ids, bytes, crc32 of the ids), coded blocks."""
     blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    coded = [c for i in range(0, len(blocks), LANES) for c in code_blocks(blocks[i : i + LANES], vocab)]
+    coded = [c for part in batches_of(len(blocks)) for c in code_blocks(blocks[part], vocab)]
     table = np.array([[len(b), len(c), zlib.crc32(b.tobytes())] for b, c in zip(blocks, coded)], "<u4").reshape(-1, 3)
     head = struct.pack("<4sIIQI", MAGIC, vocab, len(docs), len(ids), len(blocks))
     null = np.array([d is None for d in docs], "u1").tobytes()
@@ -183,10 +236,9 @@ def read_frame(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     table = np.frombuffer(image, "<u4", 3 * blocks, at).reshape(-1, 3).astype(np.int64)
     ends = at + 12 * blocks + np.cumsum(table[:, 1])
     ids = np.empty(total, "<u4")
-    for i in range(0, blocks, LANES):
-        part = slice(i, i + LANES)
+    for part in batches_of(blocks):
         coded = [image[e - s : e] for e, s in zip(ends[part], table[part, 1])]
-        for k, b in enumerate(decode_blocks(coded, table[part, 0].tolist(), vocab), i):
+        for k, b in enumerate(decode_blocks(coded, table[part, 0].tolist(), vocab), part.start):
             if zlib.crc32(b.tobytes()) != table[k, 2]:
                 raise ValueError(f"block {k} is damaged")
             ids[k * BLOCK : k * BLOCK + len(b)] = b
