@@ -4,10 +4,10 @@
 2. A signature of minima gives band keys for candidate generation; its low bits, packed, estimate similarity later.
 3. Every class is compared with the least class of each of its buckets. Candidates whose collision-corrected estimate
    leaves the threshold in reach are confirmed on full sets. Confirmed links join classes into components.
-4. Classes that buckets connect form clusters. In clusters that still hold several components, bit counts mark, block
-   by block, the classes with a candidate in another component; the full sets of those are then compared, again block by
-   block, and only links that join components are emitted. So no link between different components is lost, and neither
-   pairs nor candidates of a group are ever listed.
+4. In buckets that still hold several components, bit counts mark the classes with a candidate in another component; the
+   full sets of those are then compared, and only links that join components are emitted. Rows of a bucket's largest
+   component meet only the bucket's other rows, all in blocks of bounded size. So no link between different components
+   is lost, and neither pairs nor candidates of a group are ever listed.
 """
 
 from __future__ import annotations
@@ -21,17 +21,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
 
-#: Bands of ROWS minima each (a pair at the threshold 0.8 shares no band in about 1e-10 of cases), bits kept of a minimum.
-BANDS, ROWS, BITS = 32, 3, 2
+#: Bands of ROWS minima each (a pair at the threshold 0.8 shares no band in about 5e-7 of cases, one at 0.3 in 96 of 100), bits kept of a minimum.
+BANDS, ROWS, BITS = 48, 6, 2
 MINIMA = BANDS * ROWS
 #: Standard errors below the threshold at which an estimate rules a candidate out (about 1e-9 of true links).
 SIGMAS = 6.0
-#: Classes of a block in the comparison of components, shingles compared at a time.
-BLOCK, COLUMNS = 512, 4096
+#: Classes of a block in the comparison of components, rows of a task's group (about), shingles compared at a time.
+BLOCK, GROUP, COLUMNS = 512, 4096, 4096
 #: Ids (8 bytes each) that are broadcast at most.
 BROADCAST_IDS = 2_000_000
-MULT = np.random.default_rng(11).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = np.random.default_rng(12).integers(0, 2**63, MINIMA, dtype=np.uint64)
+MULT = np.random.default_rng(11).integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+ADD = np.random.default_rng(12).integers(0, 2**32, MINIMA, dtype=np.uint32)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 WORD_MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -74,16 +74,18 @@ def shingles(text: str, words: int) -> np.ndarray:
 
 def signature(own: np.ndarray) -> np.ndarray:
     """The MINIMA minima of a non-empty set."""
-    least = np.full(MINIMA, 2**64 - 1, np.uint64)
-    for at in range(0, len(own), 4096):
-        part = own[at : at + 4096]
-        least = np.minimum(least, (part[None] * MULT[:, None] + ADD[:, None]).min(1))
+    least = np.full(MINIMA, 2**32 - 1, np.uint32)
+    high = (own >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), 512):
+        part = high[at : at + 512] * MULT[:, None]
+        part += ADD[:, None]
+        np.minimum(least, part.min(1), out=least)
     return least
 
 
 def packed(least: np.ndarray) -> bytes:
     """The low BITS bits (after mixing) of each minimum, side by side in 64-bit words."""
-    low = (mix(least) & np.uint64(2**BITS - 1)).reshape(-1, 64 // BITS)
+    low = (mix(least.astype(np.uint64)) & np.uint64(2**BITS - 1)).reshape(-1, 64 // BITS)
     return np.bitwise_or.reduce(low << np.arange(0, 64, BITS, dtype=np.uint64)[None], 1).tobytes()
 
 
@@ -121,7 +123,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """id, n_shingles, a 128-bit key of the set, packed signature and band keys (null for an empty set)."""
 
     def rows(batches):
-        for b in batches:
+        for b in common.slices(batches):
             out = []
             for i, t in zip(b.column(0).to_pylist(), common.texts(b.column(1))):
                 own = shingles(t, words)
@@ -140,7 +142,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     arrow = pa.schema([("id", pa.int64()), ("own", pa.binary())])
 
     def sets(batches):
-        for b in batches:
+        for b in common.slices(batches):
             yield common.batch(arrow, id=b.column(0), own=[shingles(t, words).tobytes() for t in common.texts(b.column(1))])
 
     # few ids go to every task; more are joined by shuffling the texts
@@ -156,7 +158,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches):
-        for b in batches:
+        for b in common.slices(batches):
             good = []
             for x, y, p, q in zip(*(b.column(i).to_pylist() for i in range(4))):
                 s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
@@ -188,25 +190,47 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out.astype(np.int64)
 
 
-def block_pairs(rows: DataFrame, group: str) -> DataFrame:
-    """Deals each group's rows (id and more) to blocks, and each block to every pair of blocks (x, y) with it; ``first``: it is x."""
-    counts = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("k"))
-    dealt = rows.join(counts, group).withColumn("mine", F.pmod(F.xxhash64("id"), "k"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    return met.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other"), "first": F.col("mine") <= F.col("other")}).drop("k", "mine", "other").repartition(common.partitions(rows.sparkSession), group, "x", "y")
-
+def dealt(rows: DataFrame, wide: int, groups: int) -> DataFrame:
+    """Deals rows (key, id, component, major, n_minor, n_major and more) to blocks whose rows have to meet.
 
-def reach(rows: pd.DataFrame, threshold: float):
-    """The sides of a pair of blocks and which of their classes of different components are in reach of each other."""
+    Rows of a bucket's components other than its largest one, ``major``, meet each other block by block (x <= y, s = -1),
+    and the rows of ``major`` in parts s of about ``wide`` rows (y = -1). ``first``: the row is of block x. ``chunk``
+    gathers many small blocks for one call.
+    """
+    minor = F.col("component") != F.col("major")
+    blocks, parts = (F.ceil(F.col(n) / size).cast("long") for n, size in (("n_minor", BLOCK), ("n_major", wide)))
+    deal = lambda n: F.pmod(F.xxhash64("id"), n)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    spot = lambda x, y, s, first: F.struct(x.alias("x"), y.alias("y"), s.alias("s"), first.alias("first"))
+    none = F.lit(-1).cast("long")
+    each = F.transform(upto(blocks), lambda o: spot(F.least(F.col("mine"), o), F.greatest(F.col("mine"), o), none, F.col("mine") <= o))
+    beside = F.transform(upto(parts), lambda s: spot(F.col("mine"), none, s, F.lit(True)))
+    across = F.transform(upto(blocks), lambda x: spot(x, none, F.col("mine"), F.lit(False)))
+    rows = rows.withColumn("mine", F.when(minor, deal(blocks)).otherwise(deal(parts)))
+    met = rows.withColumn("spot", F.explode(F.when(minor, F.concat(each, beside)).otherwise(across))).select("*", "spot.*").drop("spot", "mine", "n_minor", "n_major", "major")
+    return met.withColumn("chunk", F.pmod(F.xxhash64("key", "x", "y", "s"), F.lit(groups)))
+
+
+def blocks_of(rows: pd.DataFrame):
+    """The places of the left and right side of each block of a chunk; both sides are the same where a block meets itself."""
+    order = np.lexsort([rows[k] for k in ("s", "y", "x", "key")])
+    spots = rows[["key", "x", "y", "s"]].to_numpy()[order]
+    cuts = np.flatnonzero((spots[1:] != spots[:-1]).any(1)) + 1
     first = rows["first"].to_numpy()
-    left = np.flatnonzero(first)
-    right = left if rows["x"].iloc[0] == rows["y"].iloc[0] else np.flatnonzero(~first)
-    comp = rows["component"].to_numpy()
-    sig = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(len(rows), -1)
-    near = np.zeros((len(left), len(right)), bool)
-    for i, at in enumerate(left):
-        near[i] = in_reach(sig[at][None], sig[right], threshold)
-    return left, right, near & (comp[left][:, None] != comp[right][None])
+    for at in np.split(order, cuts) if len(order) else []:
+        _, x, y, _ = (int(rows[k].iat[at[0]]) for k in ("key", "x", "y", "s"))
+        left = at[first[at]]
+        right = left if x == y else at[~first[at]]
+        if len(left) and len(right):
+            yield left, right
+
+
+def reach(sig: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of different components are in reach of each other."""
+    near = comp[left][:, None] != comp[right][None]
+    for i in np.flatnonzero(near.any(1)):
+        near[i] &= in_reach(sig[left[i]][None], sig[right], threshold)
+    return near
 
 
 def components(links: DataFrame, tag: str) -> DataFrame:
@@ -222,6 +246,7 @@ def components(links: DataFrame, tag: str) -> DataFrame:
         low = label.join(near, "id").select("id", "component", F.least("component", "c").alias("low"))
         roots = label.select(F.col("id").alias("low"), F.col("component").alias("root"))
         new = common.stash(low.join(roots, "low").select("id", F.least("low", "root").alias("component"), (F.least("low", "root") != F.col("component")).alias("moved")), f"{tag}-labels")
+        common.sweep(links.sparkSession, common.made(links.sparkSession) - 2, common.made(links.sparkSession) - 1)  # the labels before
         label = new.select("id", "component")
         if not new.where("moved").limit(1).count():
             return label
@@ -241,7 +266,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     spread = classes.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
     shared = common.stash(spread.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"), "buckets")
-    first = common.stash(spread.join(shared, "key").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "bucket-edges")
+    members = common.stash(spread.join(shared, "key"), "bucket-members")
+    first = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     bits = lambda c: classes.select(F.col("rep").alias(c), F.col("bits").alias(f"bits_{c}"))
     threshold = percent / 100
 
@@ -255,35 +281,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = common.stash(confirm(common.stash(likely, "candidates"), docs, words, percent), "links")
     label = components(links, "first")
 
-    # clusters of several components: compare across components, block by block
-    cluster = components(first, "clusters").withColumnRenamed("component", "cluster")
-    named = cluster.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("cluster")
-    named = common.stash(named.join(mixed, "cluster").join(classes.select(F.col("rep").alias("id"), "bits"), "id"), "mixed-clusters")
+    # buckets of several components: compare across components, block by block
+    named = common.stash(members.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "named-members")
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    per_key = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all"))
+    # written first, so that a small table is broadcast at once and a large one is joined by exchanges that Spark can split
+    mixed = common.stash(per_key.where("n_all > n_major").select("key", "major", "n_major", (F.col("n_all") - F.col("n_major")).alias("n_minor")), "mixed-buckets")
+    rows = common.stash(named.join(mixed, "key").join(classes.select(F.col("rep").alias("id"), "bits"), "id"), "mixed-members")
+    copies = mixed.agg(F.coalesce(F.sum(F.expr(f"n_minor * (ceil(n_minor / {BLOCK}) + ceil(n_major / {BLOCK})) + n_major * ceil(n_minor / {BLOCK})")), F.lit(0))).first()[0]
+    groups = max(1, int(copies) // GROUP)
 
     def mark(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right, near = reach(rows, threshold)
-        at = np.unique(np.concatenate([left[near.any(1)], right[near.any(0)]]))
-        return rows.iloc[at][["id"]]
+        sig, comp, found = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(len(rows), -1), rows["component"].to_numpy(), []
+        for left, right in blocks_of(rows):
+            near = reach(sig, comp, left, right, threshold)
+            found += [left[near.any(1)], right[near.any(0)]]
+        at = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+        return rows.iloc[at][["id"]].drop_duplicates()
 
     def across(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right, near = reach(rows, threshold)
-        i, j = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-        if not len(i):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        left, right, near = left[i], right[j], near[np.ix_(i, j)]
+        sig, comp, found = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(len(rows), -1), rows["component"].to_numpy(), [np.zeros((0, 2), np.int64)]
         sets = [np.frombuffer(x, np.uint64) for x in rows["own"]]
         size = np.array([len(x) for x in sets])
-        inner = intersections([sets[k] for k in left], [sets[k] for k in right])
-        good = near & (100 * inner >= percent * (size[left][:, None] + size[right][None] - inner))
-        comp = rows["component"].to_numpy()
-        pairs = np.sort(np.stack([comp[left[np.nonzero(good)[0]]], comp[right[np.nonzero(good)[1]]]], 1), 1)
-        pairs = np.unique(pairs, axis=0)  # a link between components stands for all between them
+        for left, right in blocks_of(rows):
+            near = reach(sig, comp, left, right, threshold)
+            left, right, near = left[near.any(1)], right[near.any(0)], near[np.ix_(near.any(1), near.any(0))]
+            if len(left):
+                inner = intersections([sets[k] for k in left], [sets[k] for k in right])
+                i, j = np.nonzero(near & (100 * inner >= percent * (size[left][:, None] + size[right][None] - inner)))
+                found.append(np.sort(np.stack([comp[left[i]], comp[right[j]]], 1), 1))
+        pairs = np.unique(np.concatenate(found), axis=0)  # a link between components stands for all between them
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    marked = common.stash(block_pairs(named, "cluster").groupBy("cluster", "x", "y").applyInPandas(mark, "id long").distinct(), "marked")
-    close = named.join(marked, "id").join(shingle_sets(docs, marked, words), "id")
-    more = common.stash(block_pairs(close, "cluster").groupBy("cluster", "x", "y").applyInPandas(across, "a long, b long").distinct(), "cross-links")
+    marked = common.stash(dealt(rows, GROUP, groups).groupBy("chunk").applyInPandas(mark, "id long").distinct(), "marked")
+    close = rows.join(marked, "id").join(shingle_sets(docs, marked, words), "id")
+    more = common.stash(dealt(close, BLOCK, groups).groupBy("chunk").applyInPandas(across, "a long, b long").distinct(), "cross-links")
     if more.limit(1).count():
         joined = components(more, "second").select(F.col("id").alias("component"), F.col("component").alias("whole"))
         every = classes.select(F.col("rep").alias("id")).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -300,11 +332,16 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of ``docs``: that with the smallest doc_id (of repeated rows with one id, one).
+    """One document of each group of ``docs``: that with the smallest doc_id. Rows of one id and text are one document.
 
-    Rows whose doc_id is null cannot be named by a group and stay, as do texts without words.
+    Of different texts that share an id, those go that are near-duplicates of a text with a smaller id; the others stay.
+    Rows whose doc_id is null cannot be named by a group and stay, as do texts without words. Other columns stay,
+    whatever their names; of repeated rows one stays.
     """
-    own = docs.where("doc_id is not null")
+    name, = common.fresh(docs.columns, "near_id")
+    own = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
     found = near_duplicates(own.select(F.col("doc_id").alias("id"), "text"), words, percent)
-    gone = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return own.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    # an id stays if one of its texts leads a group
+    judged = found.groupBy("id").agg(F.max((F.col("id") == F.col("component")).cast("int")).alias("leads"))
+    gone = judged.where("leads = 0").select(F.col("id").alias(name))
+    return own.join(gone, own["doc_id"] == F.col(name), "left_anti").select(docs.columns).unionByName(docs.where("doc_id is null"))
