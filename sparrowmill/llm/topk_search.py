@@ -1,8 +1,11 @@
 """Exact top-k inner-product search by Fagin's threshold algorithm.
 
-Candidates are dealt to blocks of bounded size. Each block keeps one sorted list for each dimension; a query reads the
-lists from the end that its sign favours, scores what it meets, and stops when the bound on all rows not met (the
-query's product with the values at the current depth) cannot beat its k-th score. A window merges the blocks' winners.
+Candidates are dealt to parts of bounded size, each row to one part; the queries stream past every part. A part orders
+its rows along its main direction and cuts them into blocks; each block keeps one sorted list for each dimension, built
+once. A query visits the blocks from the best bound down and carries its k best along: a block whose bound cannot beat
+the k-th of them ends the visit. Within a block it reads the lists from the end that its sign favours, scores what it
+meets, and stops when the bound on all rows not met (the query's product with the values at the current depth) cannot
+beat the k-th score. A window merges the parts' winners.
 """
 
 from __future__ import annotations
@@ -10,13 +13,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import common
 
-#: Candidates of a block and queries of a batch (means).
-BLOCK, QUERIES = 4096, 512
+#: Candidates of a part (mean) and of a block.
+PART, BLOCK = 32_768, 4_096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -30,36 +33,38 @@ class SortedLists:
     """A block of vectors with, for each dimension, the rows in ascending order of their value."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], np.ascontiguousarray(x[order])
-        self.rows = np.argsort(self.x, axis=0, kind="stable").T.copy()
+        self.ids, self.x = ids, np.ascontiguousarray(x)
+        self.rows = np.argsort(self.x, axis=0, kind="stable").T.astype(np.int32)
         self.values = np.take_along_axis(self.x, self.rows.T, 0).T.copy()
 
-    def search(self, q: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but ``own``, ties to smaller ids; exact."""
+    def search(self, q: np.ndarray, k: int, own: int, best_id: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best of the rows but ``own`` and of those given, ties to smaller ids; exact."""
         n = len(self.ids)
         dims = np.flatnonzero(q)
-        up = q[dims] > 0
-        met, best_id, best = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0)
+        top, low = dims[q[dims] > 0], dims[q[dims] < 0]
+        met = np.zeros(n, bool)
         done, depth = 0, 8
         while True:
-            depth = min(depth, n)
-            top, low = dims[up], dims[~up]
-            rows = np.concatenate([self.rows[top, n - depth : n - done].ravel(), self.rows[low, done:depth].ravel()]) if len(dims) else np.arange(n)
+            depth = min(depth, n) if len(dims) else n
             fresh = np.zeros(n, bool)
-            fresh[rows] = True
-            fresh &= ~met
+            if len(dims) and depth < n:
+                fresh[self.rows[top, n - depth : n - done].ravel()] = True
+                fresh[self.rows[low, done:depth].ravel()] = True
+                fresh &= ~met
+            else:
+                fresh = ~met
             met |= fresh
             at = np.flatnonzero(fresh)
             if len(at):
                 score = self.x[at] @ q
-                ids = np.concatenate([best_id, self.ids[at]])
-                score = np.concatenate([best, score])
+                if len(best) == k:
+                    at, score = at[score >= best[-1]], score[score >= best[-1]]
+                ids, score = np.concatenate([best_id, self.ids[at]]), np.concatenate([best, score])
                 mine = ids != own
                 ids, score = ids[mine], score[mine]
                 first = np.lexsort((ids, -score))[:k]
                 best_id, best = ids[first], score[first]
-            if depth == n or not len(dims):
+            if depth == n:
                 return best_id, best
             bound = q[top] @ self.values[top, n - depth] + q[low] @ self.values[low, depth - 1]
             if len(best) == k and bound < best[-1]:  # equal scores could still bring a smaller id
@@ -67,34 +72,72 @@ class SortedLists:
             done, depth = depth, depth * 4
 
 
+class Part:
+    """The rows of a part in blocks, with each block's range of every dimension."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        axis = np.ones(x.shape[1])
+        centred = x - x.mean(0) if len(x) else x
+        for _ in range(8):  # power iteration; any direction gives right results, a good one narrow blocks
+            axis = centred.T @ (centred @ axis)
+            axis /= np.linalg.norm(axis) or 1.0
+        order = np.argsort(centred @ axis, kind="stable")
+        self.blocks = [SortedLists(ids[at], x[at]) for at in np.array_split(order, max(1, math.ceil(len(ids) / BLOCK))) if len(at)]
+        self.high = np.array([b.x.max(0) for b in self.blocks]).reshape(len(self.blocks), -1)
+        self.low = np.array([b.x.min(0) for b in self.blocks]).reshape(len(self.blocks), -1)
+
+    def search(self, q: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+        best_id, best = np.zeros(0, np.int64), np.zeros(0)
+        bound = self.high @ np.maximum(q, 0) + self.low @ np.minimum(q, 0) if self.blocks else np.zeros(0)
+        for i in np.argsort(-bound):
+            if len(best) == k and bound[i] < best[-1]:
+                break
+            best_id, best = self.blocks[i].search(q, k, own, best_id, best)
+        return best_id, best
+
+
+def vectors(column: pa.ListArray) -> list[np.ndarray]:
+    """The vectors of an Arrow column as doubles."""
+    flat, at = column.flatten().to_numpy(zero_copy_only=False).astype(float), np.cumsum([0, *column.value_lengths().to_pylist()])
+    return [flat[a:b] for a, b in zip(at, at[1:])]
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (id, v) its k best candidates (id, v) by inner product.
 
     A candidate with the query's id is not its candidate; ties go to smaller ids; fewer candidates give fewer rows;
     vectors of another length than the query's do not meet it; repeated rows of an id count once each. Products are
-    exact while they stay below 2 ** 53. An empty table gives no rows.
+    exact while they stay below 2 ** 53. An empty table gives no rows; other columns are ignored.
     """
-    n, m = candidates.count(), queries.count()
-    blocks, batches = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(m / QUERIES))
-    spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    part = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
-    left = candidates.select("id", "v", part(blocks).alias("block")).withColumn("batch", spread(batches))
-    right = queries.select("id", "v", part(batches).alias("batch")).withColumn("block", spread(blocks))
-
-    def search(key, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for size, some in own.groupby(own["v"].map(len)):
-            lists = SortedLists(some["id"].to_numpy(), np.array(some["v"].tolist(), float).reshape(len(some), size))
-            for q, v in zip(asked["id"].tolist(), asked["v"]):
-                if len(v) == size:
-                    ids, score = lists.search(np.array(v, float), k, q)
-                    out.append((np.full(len(ids), q), ids, score))
-        if not out:
-            out = [(np.zeros(0, np.int64),) * 3]
-        q, ids, score = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"query_id": q, "vec_id": ids, "score": score.astype(np.int64)})
-
-    found = left.groupBy("block", "batch").cogroup(right.groupBy("block", "batch")).applyInPandas(search, "query_id long, vec_id long, score long")
+    parts = max(common.partitions(candidates.sparkSession), math.ceil(candidates.count() / PART))
+    left = candidates.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("asks"), "id", "v")
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("asks"), "id", "v")
+    arrow = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def search(batches):
+        part, held, built = None, {}, None  # rows of the part so far by length, its blocks once a query comes
+        for b in common.slices(batches, 512):
+            out = []
+            for p, asks, i, v in zip(*(b.column(c).to_pylist() for c in range(3)), vectors(b.column(3))):
+                if p != part:
+                    part, held, built = p, {}, None
+                if not asks:
+                    ids, x = held.setdefault(len(v), ([], []))
+                    ids.append(i)
+                    x.append(v)
+                    continue
+                if built is None:
+                    built = {n: Part(np.array(ids, np.int64), np.array(x).reshape(len(ids), n)) for n, (ids, x) in held.items()}
+                    held = {}
+                if len(v) in built:
+                    ids, score = built[len(v)].search(v, k, i)
+                    out.append((np.full(len(ids), i), ids, score.astype(np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=arrow)
+
+    # a part's rows come before the queries that stream past it
+    met = left.unionByName(right).repartition(parts, "part").sortWithinPartitions("part", "asks")
+    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
     order: list[Column] = [F.col("score").desc(), F.col("vec_id")]
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
