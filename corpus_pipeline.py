@@ -6,7 +6,7 @@ columns of ``documents``. Nulls, empty tables and repeated rows are handled as t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparrowmill.llm import common, language, near_dup, packing, pii, suffix_dedup
 
@@ -14,8 +14,9 @@ from sparrowmill.llm import common, language, near_dup, packing, pii, suffix_ded
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no text, no letters, or the two nearest codewords too close."""
     model = language.train(docs.where(~language.held_out()).select("doc_id", "text", "lang"))
-    judged = language.predict(docs, model)
-    return judged.where("lang_pred <> 'und' and not ambiguous").select(docs.columns)
+    names = common.fresh(docs.columns, "lang_pred", "lang_score", "lang_ambiguous")
+    judged = language.predict(docs, model, tuple(names))
+    return judged.where((F.col(names[0]) != "und") & ~F.col(names[2])).drop(*names)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.load(spark, sf_dir, "documents")
+    docs, before = common.load(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
+        start = common.made(spark)
         docs = common.stash(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        # what the stage wrote on its way, and its input, are of no use any more
+        common.sweep(spark, start, common.made(spark) - 1)
+        if before is not None:
+            common.sweep(spark, before, before + 1)
+        before = common.made(spark) - 1
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,12 +10,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from . import common
 
 #: Labelled rows that the classifiers are fitted on at most, features, characters counted at a time.
-SAMPLE_ROWS, DIMS, STEP = 4_000, 2_048, 1 << 20
+SAMPLE_ROWS, DIMS, STEP = 4_000, 2_048, 1 << 18
 #: Difference of normalised losses below which the two nearest codewords are too close.
 AMBIGUOUS = 0.05
 LETTER = re.compile(r"[^\W\d_]")
@@ -35,7 +35,7 @@ def ngrams(text: str) -> np.ndarray:
         for h in (c * np.uint32(0x165667B1), two, three):
             total += np.bincount((h ^ (h >> 15)) * np.uint32(0x2C1B3C6D) >> 21, minlength=DIMS)
         tail = c[-2:]
-    return np.sqrt(total / max(total.sum(), 1))
+    return np.sqrt(total / max(total.sum(), 1)).astype(np.float32)
 
 
 def codewords(n: int) -> np.ndarray:
@@ -75,45 +75,46 @@ def decode(margin: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Fit on the ``sample_rows`` labelled rows (doc_id, text, lang) that come first by a hash of their id.
+    """Fit on at most ``sample_rows`` labelled rows (doc_id, text, lang), those whose hashed ids lie below a threshold.
 
-    Rows without a language or letters take no part; without any row the model knows no language. Ids of the sample
-    and its feature vectors (DIMS floats each) are all that reaches the driver.
+    The threshold comes from the number of labelled rows, so that no task sorts or gathers ids. Rows without a language
+    or letters take no part; without any row the model knows no language. Feature vectors of the sample (DIMS floats
+    each) are all that reaches the driver.
     """
-    rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    own = common.stash(ids, "language-sample").select("doc_id")
+    rows = docs.where("lang is not null").select("doc_id", "text", "lang")
+    share = min(1.0, 0.9 * sample_rows / max(1, rows.count()))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else rows
     arrow = pa.schema([("lang", pa.string()), ("x", pa.binary())])
 
     def featurise(batches):
-        for b in batches:
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if LETTER.search(text):
-                    yield common.batch(arrow, lang=[lang], x=[ngrams(text).astype("<f4").tobytes()])
+        for b in common.slices(batches):
+            own = [(lang, ngrams(text).tobytes()) for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if LETTER.search(text)]
+            if own:
+                yield common.batch(arrow, lang=[v for v, _ in own], x=[x for _, x in own])
 
-    sample = rows.join(F.broadcast(own), "doc_id").select("text", "lang").mapInArrow(featurise, "lang string, x binary")
+    sample = chosen.where("text is not null").select("text", "lang").mapInArrow(featurise, "lang string, x binary")
     got = sample.limit(sample_rows).toPandas()
     return fit(np.array([np.frombuffer(x, "<f4") for x in got["x"]]).reshape(-1, DIMS), got["lang"].tolist())
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with lang_pred, score and ambiguous. Texts that are null or without letters are ``und`` with score 0.
+def predict(docs: DataFrame, model: dict, added: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """``docs`` with the columns ``added``. Texts that are null or without letters are ``und`` with score 0.
 
-    So are all texts if the model knows no language. Every row is judged by its whole text alone, so repeated rows get
-    equal values; an empty table stays empty; columns of these names are replaced.
+    So are all texts if the model knows no language. Every row is judged by its whole text alone, however long, so
+    repeated rows get equal values; an empty table stays empty; columns of these names are replaced.
     """
-    added = ["lang_pred", "score", "ambiguous"]
     docs = docs.drop(*added)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, lang_pred string, score double, ambiguous boolean"
+    kinds = dict(zip(added, (T.StringType(), T.DoubleType(), T.BooleanType())))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in kinds.items())])
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches):
             texts, names = common.texts(b.column("text")), model["names"]
             own = [i for i, t in enumerate(texts) if names and LETTER.search(t)]
             lang, score, close = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
             if own:
                 x = np.stack([ngrams(texts[i]) for i in own])
-                for i, k, s, c in zip(own, *decode(x @ model["beta"][:-1] + model["beta"][-1], model)):
+                for i, k, s, c in zip(own, *decode((x @ model["beta"][:-1] + model["beta"][-1]).astype(float), model)):
                     lang[i], score[i], close[i] = names[k], float(s), bool(c)
             for name, v in zip(added, (lang, score, close)):
                 b = b.append_column(name, pa.array(v))
