@@ -1,9 +1,10 @@
 """Personal data by weak supervision.
 
-Fixed patterns find the base spans. Further candidates (long numbers, odd addresses, assigned secrets, key-like words)
-and the base spans get votes from regex, gazetteer and context labelers. Spark counts the vote patterns of the whole
-corpus; expectation-maximisation over those counts estimates each labeler's reliability, and its posteriors train the
-span classifier that decides which candidates become spans. Base spans always stay.
+Fixed patterns find the base spans. Further candidates (long numbers, written-out addresses, strings that could be
+secrets) and the base spans get votes from regex, gazetteer and context labelers, none of which is the pattern that
+made the candidate. Spark counts the vote patterns of the whole corpus; expectation-maximisation over those counts
+estimates each labeler's reliability, and its posteriors train the span classifier, on votes and on features of the span
+and of its context, that decides which candidates become spans. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
 
-KINDS = ("email", "ip", "card", "phone", "secret", "number")
+KINDS = ("email", "ip", "card", "phone", "secret", "number", "address")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: As the stated patterns; the look-behind only spares tries inside a run of digits, which fail as the run's start does.
@@ -26,18 +27,23 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
-#: Candidates beyond the base patterns.
-ASSIGNED = re.compile(r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi_?[Kk]ey|API_?KEY)[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9/+_-]{6,})")
-KEYLIKE = re.compile(r"\b(?:AKIA|ASIA|ghp_|gho_|xox[bp]-|sk-)[A-Za-z0-9-]{10,}")
+#: Candidates beyond the base patterns: what is assigned to a name, strings that hold digits and letters, long numbers, written-out addresses.
+ASSIGNED = re.compile(r"[A-Za-z][A-Za-z_-]{1,30}[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9/+_-]{6,})")
+KEYLIKE = re.compile(r"(?<![A-Za-z0-9/+_-])(?=[A-Za-z/+_-]*[0-9])(?=[0-9/+_-]*[A-Za-z])[A-Za-z0-9/+_-]{16,}")
 NUMBER = re.compile(r"(?<![0-9A-Za-z.+])[0-9](?:[0-9]|[ ().-][0-9]|\) [0-9]){6,}(?![0-9A-Za-z])")
-#: Words before a span that speak for personal data (fixed list), and top-level domains of the gazetteer.
-CUES = re.compile(r"(?i)(?:e-?mail|mail|phone|tel|call|mobile|fax|card|iban|ssn|account|ip|address|password|passwd|token|secret|key|login|contact)\W{0,4}\w{0,3}\W{0,3}$")
+SPELT = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[a-z0-9][a-z0-9._%+-]{0,63} ?[\[(]?\bat\b[\])]? ?[a-z0-9-]{1,63}(?: ?[\[(]?\bdot\b[\])]? ?[a-z0-9-]{1,63})+")
+#: Gazetteers (fixed lists): top-level domains, beginnings of issued keys, and names that secrets and personal data are given.
 DOMAINS = frozenset("com org net edu gov io co de fr es uk eu info".split())
-#: Characters of a secret and digits of a number beyond which a candidate that meets base spans is cut at them, not dropped.
-LONG_SECRET, LONG_NUMBER = 300, 31
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk-", "sk_live_", "AIza", "glpat-", "eyJ")
+SECRET_NAMES = re.compile(r"(?i)(?:passw(?:or)?d|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth|credential|bearer)[\w -]{0,12}[=:\"' \t]{0,6}$")
+CUES = re.compile(r"(?i)(?:e-?mail|mail|phone|tel|call|mobile|fax|card|iban|ssn|account|ip|address|login|contact|write|reach)\W{0,4}\w{0,3}\W{0,3}$")
+#: Words that speak for a measure, a price or an ordinary number.
+COUNTS = re.compile(r"(?i)(?:[$€£#%]|\b(?:no|nr|number|page|pages|year|vol|isbn|version|rows|items|total|about|id)\b[.:]?)\s{0,2}$")
+#: Characters before a span that the labelers look at, characters of a secret and digits of a number beyond which a candidate that meets base spans is cut at them, not dropped.
+CONTEXT, LONG_SECRET, LONG_NUMBER = 64, 300, 31
 #: Posterior that a candidate needs to become a span.
 ACCEPT = 0.9
-LABELERS = ("pattern", "assigned", "key prefix", "domain list", "checksum", "cue before", "mixed shape", "plain number")
+LABELERS = ("pattern", "named", "key prefix", "domain list", "checksum", "cue before", "mixed shape", "plain number")
 
 
 def digits(text: str) -> str:
@@ -99,9 +105,11 @@ def outside(text: str, a: int, k: int, b: int, taken: list[list[int]]) -> list[t
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans beyond the base ones that the classifier may add; none overlaps a base span or another candidate."""
     found = [(m.start(1), 4, m.end(1)) for m in ASSIGNED.finditer(text)] if "=" in text or ":" in text else []
-    found += [(m.start(), 4, m.end()) for m in KEYLIKE.finditer(text)]
     if DIGIT.search(text):
+        found += [(m.start(), 4, m.end()) for m in KEYLIKE.finditer(text)]
         found += [(m.start(), 5, m.end()) for m in NUMBER.finditer(text)]
+    if "dot" in text or "Dot" in text or "DOT" in text:
+        found += [(m.start(), 6, m.end()) for m in SPELT.finditer(text)]
     if not found:
         return []
     own, last, i = [], -1, 0
@@ -121,25 +129,32 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 
 
 def votes(text: str, start: int, kind: int, end: int) -> str:
-    """One letter for each labeler: p for, n against, - no vote."""
-    span, before = text[start:end], text[max(0, start - 24) : start]
+    """One letter for each labeler (p for, n against, - no vote), then features: length, digits, letter case, signs before and after, kind."""
+    span, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + 1]
     d = digits(span)
-    bare = len(span) == len(d)
-    return "".join((
+    letters = [c for c in span[:256] if c.isalpha()]
+    last = span.replace(")", "").replace("]", "").rsplit(".", 1)[-1].rsplit(" ", 1)[-1].lower()
+    named = SECRET_NAMES.search(before)
+    said = (
         "p" if kind < 4 else "-",
-        "p" if re.search(r"[=:]\s{0,3}[\"']?$", before) and kind == 4 else "-",
-        "p" if KEYLIKE.match(span) else "-",
-        ("p" if span.rsplit(".", 1)[-1].lower() in DOMAINS else "n") if kind == 0 else "-",
+        ("p" if named else "-") if kind == 4 else "-",
+        "p" if kind == 4 and span.startswith(PREFIXES) else "-",
+        ("p" if last in DOMAINS else "n") if kind in (0, 6) else "-",
         ("p" if luhn(d) else "n") if 13 <= len(d) <= 19 and kind in (2, 5) else "-",
-        "p" if CUES.search(before) else "-",
-        "p" if len(span) >= 12 and d and not bare and re.search("[A-Za-z]", span) else "-",
-        "n" if bare and len(d) < 9 or re.search(r"[$€#%]\s?$", before) else "-",
-    ))
+        ("p" if CUES.search(before) else "-"),
+        ("p" if len(span) >= 16 and len(d) >= 2 and letters else "n" if not d else "-") if kind == 4 else "-",
+        "n" if kind in (4, 5) and (len(d) == len(span) and len(d) < 9 or COUNTS.search(before)) else "-",
+    )
+    size = "abcd"[(len(span) > 8) + (len(span) > 16) + (len(span) > 40)]
+    share = "0123"[(len(d) > 0) + (4 * len(d) > len(span)) + (4 * len(d) > 3 * len(span))]
+    case = "m" if any(c.islower() for c in letters) and any(c.isupper() for c in letters) else "u" if letters and letters[0].isupper() else "l" if letters else "-"
+    sign = lambda c: "w" if c.isspace() or not c else "a" if c.isalnum() else "q" if c in "\"'" else "=" if c in "=:" else "."
+    return "".join(said) + size + share + case + sign(before[-1:]) + sign(after) + str(kind)
 
 
 def scan(docs: DataFrame, what, schema: str, arrow: pa.Schema) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches):
             rows = [r for doc, t in zip(b.column(0).to_pylist(), common.texts(b.column(1))) for r in what(doc, t)]
             yield common.batch(arrow, **dict(zip(arrow.names, zip(*rows) if rows else [[]] * len(arrow))))
 
@@ -147,7 +162,7 @@ def scan(docs: DataFrame, what, schema: str, arrow: pa.Schema) -> DataFrame:
 
 
 def vote_counts(docs: DataFrame) -> dict[str, int]:
-    """How often each vote pattern occurs in the corpus; at most 3 ** len(LABELERS) patterns reach the driver."""
+    """How often each vote pattern occurs in the corpus; their number is bounded by the letters of a pattern, not by the corpus."""
 
     def of(_, text):
         base = base_spans(text)
@@ -160,15 +175,17 @@ def vote_counts(docs: DataFrame) -> dict[str, int]:
 def fit(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
     """Probability that spans with a vote pattern are personal data.
 
-    EM over the counts (a naive Bayes label model with abstentions, started from the majority vote), then a logistic
-    span classifier on the votes trained on the posteriors. Without spans there is nothing to decide.
+    EM over the counts of votes (a naive Bayes label model with abstentions, started from the majority vote), then a
+    logistic span classifier on votes and features trained on the posteriors. Without spans there is nothing to decide.
     """
     if not counts:
         return {}
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
-    v = np.array([["-np".index(c) for c in p] for p in patterns])
+    v = np.array([["-np".index(c) for c in p[: len(LABELERS)]] for p in patterns])
     hot = np.stack([v == k for k in range(3)], 2).astype(float)  # pattern, labeler, vote
+    marks = sorted({(k, p[k]) for p in patterns for k in range(len(LABELERS), len(p))})
+    shape = np.array([[p[k : k + 1] == c for k, c in marks] for p in patterns], float).reshape(len(patterns), len(marks))
     post = np.clip(0.5 + 0.2 * ((v == 2).sum(1) - (v == 1).sum(1)), 0.05, 0.95)
     for _ in range(rounds):
         like = []
@@ -180,7 +197,7 @@ def fit(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
         post = np.clip(1 / (1 + np.exp(np.clip(like[0] - like[1], -50, 50))), 1e-4, 1 - 1e-4)
         post = np.where((v == 2).any(1) & ~(v == 1).any(1), np.maximum(post, 0.5), post)
         post = np.where(~(v == 2).any(1), np.minimum(post, 0.5), post)
-    x = np.concatenate([np.ones((len(patterns), 1)), hot[:, :, 1], hot[:, :, 2]], 1)
+    x = np.concatenate([np.ones((len(patterns), 1)), hot[:, :, 1], hot[:, :, 2], shape], 1)
     w, beta = n / n.sum(), np.zeros(x.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-x @ beta))
@@ -200,6 +217,8 @@ def all_spans(text: str, model: dict[str, float]) -> tuple[list, list]:
 def find_pii(docs: DataFrame, model: dict[str, float] | None = None) -> DataFrame:
     """doc_id, base and spans (arrays of start, kind, end in code points, end exclusive), one row for each row of ``docs``.
 
+    Texts are read whole, however long, in time that grows with their length.
+
     A null text is empty and has no spans; rows are judged each for itself, so repeated rows and shared ids do no harm;
     an empty table gives no rows; other columns are ignored. ``model``: what ``fit`` returns, else fitted on ``docs``.
     """
@@ -223,7 +242,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     held = fit(vote_counts(docs))
 
     def mask(batches):
-        for b in batches:
+        for b in common.slices(batches):
             out = []
             for text in b.column("text").to_pylist():
                 parts, last = [], 0
@@ -241,4 +260,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(common.load(spark, sf_dir, "documents"))
     said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(count(k) for k in KINDS[:4]), F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"))
+    added = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *(count(k) for k in KINDS[:4]), F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"),
+        *(added(k) for k in KINDS[4:]), F.size("spans").cast("long").alias("n_spans"))
