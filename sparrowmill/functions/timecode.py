@@ -24,6 +24,11 @@ def difference(start: Column, end: Column) -> Column:
     return F.when(end >= start, end - start)
 
 
+def shift(ms: Column, by: Column, wrap: bool = False) -> Column:
+    """``ms`` moved ``by`` milliseconds; ``wrap``: as a time of day, else any whole number."""
+    return F.pmod(ms + by, F.lit(86_400_000)) if wrap else ms + by
+
+
 def timestamp_token(ms: Column, begin: int = 50363) -> Column:
     """20 ms a token from ``begin``; null beyond 30 s."""
     return F.when(ms <= 30000, F.lit(begin) + F.floor(ms / 20))

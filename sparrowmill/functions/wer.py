@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructType
 
 from .text import words
 
@@ -59,3 +59,56 @@ def wer(ref: Column, hyp: Column) -> Column:
 
 def bucket(rate: Column) -> Column:
     return F.when(rate == 0, "zero").when(rate == 1, "one").when(rate > 1, "over one").when(rate > 0, "between")
+
+
+def distance_ladder(manual: Column, machine: Column, norm_manual: Column, norm_machine: Column) -> Column:
+    """Edit rate of a manual against a machine text: of the normalised texts; without a manual text of the machine text
+    against nothing; of the raw manual text where only normalising empties it; 0 where nothing is left on either side."""
+    given = lambda c: c != ""
+    ref = F.when(given(norm_manual), norm_manual).when(given(manual), manual).when(given(norm_machine), norm_machine).otherwise(machine)
+    hyp = F.when(given(norm_manual) | given(manual), norm_machine).otherwise(F.lit(""))
+    return wer(ref, hyp)
+
+
+def edit_counts(ref: list[str], hyp: list[str], step: int = 256) -> tuple[int, int, int]:
+    """Substitutions, deletions and insertions of a least alignment; of equally good ones matches and substitutions come
+    first, then deletions, seen from the end. Every ``step``-th row of costs is kept and the rows between are made again on the
+    way back, so memory is that of a few rows, not of the whole table."""
+    ids: dict[str, int] = {}
+    a, b = (np.array([ids.setdefault(w, len(ids)) for w in t], np.int64) for t in (ref, hyp))
+    column = np.arange(len(b) + 1)
+
+    def following(row: np.ndarray, i: int) -> np.ndarray:
+        best = np.minimum(row[1:] + 1, row[:-1] + (b != a[i - 1]))
+        return np.minimum.accumulate(np.concatenate([[i], best]) - column) + column
+
+    kept, row = {0: column}, column
+    for i in range(1, len(a) + 1):
+        row = following(row, i)
+        if i % step == 0:
+            kept[i] = row
+    subs = dels = ins = 0
+    i, j = len(a), len(b)
+    while i or j:
+        first = max(0, (i - 1) // step * step)
+        rows = [kept[first]]
+        for k in range(first + 1, i + 1):
+            rows.append(following(rows[-1], k))
+        while i > first or j and not i:
+            here = rows[i - first][j]
+            before = rows[i - first - 1] if i > first else None
+            if before is not None and j and before[j - 1] + (a[i - 1] != b[j - 1]) == here:
+                subs += int(a[i - 1] != b[j - 1])
+                i, j = i - 1, j - 1
+            elif before is not None and before[j] + 1 == here:
+                dels, i = dels + 1, i - 1
+            else:
+                ins, j = ins + 1, j - 1
+    return subs, dels, ins
+
+
+@F.pandas_udf(StructType().add("subs", "long").add("dels", "long").add("ins", "long"))
+def alignment(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    """Substitutions, deletions and insertions of arrays of words; null arrays are empty."""
+    rows = [edit_counts(list(r) if r is not None else [], list(h) if h is not None else []) for r, h in zip(ref, hyp)]
+    return pd.DataFrame(rows, columns=["subs", "dels", "ins"], dtype="int64")

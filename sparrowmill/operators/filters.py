@@ -7,9 +7,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions.text import clean_caption
+from ..sources.transcripts import captions, write_subtitles
+
 KEYS = {"tag", "ref_value", "reference_value", "comparison", "lower_bound", "upper_bound", "inclusive"}
 
 
+def clean_content(content: Column) -> Column:
+    """Subtitle text with every caption cleaned; text without captions is passed through."""
+    own = F.transform(captions(content), lambda c: c.withField("text", clean_caption(c.text)))
+    zero = F.lit(0).cast("long")
+    made = F.when(content.startswith("WEBVTT"), write_subtitles(own, zero)).otherwise(write_subtitles(own, zero, "srt"))
+    return F.when(F.size(own) > 0, made).otherwise(content)
+
+
 def load_config(path: str) -> list[dict]:
     import yaml
 
@@ -41,10 +52,26 @@ def predicate(step: dict, schema: T.StructType) -> Column | None:
     return out
 
 
+#: Steps that rewrite their column and reject nothing.
+MUTATIONS = {"seg_content": clean_content}
+
+
 def with_hit(rows: DataFrame, steps: list[dict]) -> DataFrame:
-    """``rows`` with ``hit``; the order of cases keeps the attribution to the first failing step."""
-    tests = [(s["tag"], predicate(s, rows.schema)) for s in steps]
-    return rows.withColumn("hit", F.coalesce(*(F.when(~F.coalesce(p, F.lit(True)), t) for t, p in tests if p is not None), F.lit("pass")))
+    """``rows`` with ``hit``; the order of cases keeps the attribution to the first failing step.
+
+    A step that only names a column of ``MUTATIONS`` cleans it; later steps see the cleaned text.
+    """
+    out, tests = rows, []
+    for k, s in enumerate(steps):
+        if s["tag"] in MUTATIONS and set(s) == {"tag"}:
+            if s["tag"] in out.columns:
+                out = out.withColumn(s["tag"], MUTATIONS[s["tag"]](F.col(s["tag"])))
+        elif (p := predicate(s, out.schema)) is not None:
+            name = f"__step_{k}"
+            out = out.withColumn(name, ~F.coalesce(p, F.lit(True)))
+            tests.append((s["tag"], name))
+    hit = F.coalesce(*(F.when(F.col(name), t) for t, name in tests), F.lit("pass"))
+    return out.withColumn("hit", hit).drop(*(name for _, name in tests))
 
 
 def hit_list(hits: DataFrame) -> DataFrame:

@@ -30,3 +30,8 @@ def pair_positions(left: DataFrame, right: DataFrame, key: str, order: str, valu
     pairs = number(left, "ref").join(number(right, "hyp"), [key, "n"], "full")
     bad = pairs.where(F.col("ref").isNull()).select(key).distinct()
     return pairs.join(bad, key, "left_anti").withColumn("hyp", F.coalesce("hyp", F.lit("")))
+
+
+def merge_maps(entries: DataFrame) -> DataFrame:
+    """(id, lang) of map entries (id, lang, f); of an id in several maps that of the last map name counts."""
+    return entries.groupBy("id").agg(F.max_by("lang", "f").alias("lang"))

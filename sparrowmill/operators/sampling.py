@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def per_shard(rows: DataFrame, shard: str, key: str, k: int, seed: int = 42) -> DataFrame:
@@ -70,3 +70,18 @@ def error_bars(means: DataFrame) -> DataFrame:
     """n_bootstrap, mean, population std_dev and std_err of the means that are not null."""
     spread = F.stddev_pop("mean")
     return means.agg(F.count("mean").alias("n_bootstrap"), F.round(F.avg("mean"), 6).alias("mean"), F.round(spread, 6).alias("std_dev"), F.round(F.try_divide(spread, F.sqrt(F.count("mean"))), 6).alias("std_err"))
+
+
+def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """``rows`` with a seeded ``position`` key; sort by it for a reproducible order."""
+    return rows.withColumn("position", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))))
+
+
+def reader_share(rows: DataFrame, key: str, rank: int, world: int, seed: int = 42) -> DataFrame:
+    """The rows that reader ``rank`` of ``world`` takes: every row has one reader, whatever the partitions."""
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(world)) == rank)
+
+
+def drawn(key: Column, seed: int = 42) -> Column:
+    """A fair draw, fixed by the key."""
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"))), 1, 1) < "8"

@@ -5,17 +5,28 @@ Documents are rows, so no shuffle is needed; the loop over a document's captions
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-WINDOW, MOST = 30_000, 120
+from ..functions import timecode
+from ..functions.tokens import context_modes
+
+WINDOW, MOST, CONTEXT, SHORTEST = 30_000, 120, 448, 15
 SCHEMA = "id string, seg_id long, start_ms long, length_ms long, n_captions long, text string, silent boolean, reason string"
+#: What happened to a document's windows; columns of ``segment_table`` and of ``counters``.
+COUNTERS = ("segment_count", "over_30_line_segment_count", "bad_text_segment_count", "over_ctx_len_segment_count", "faulty_audio_segment_count", "failed_transcript_count")
+TABLE = (
+    "id string, seg_no long, seg_id string, audio_timestamp string, text_timestamp string, start_ms long, length_ms long, norm_end_ms long, seg_content string, silent boolean, "
+    "ts_mode boolean, no_ts_mode boolean, only_no_ts_mode boolean, num_tokens_ts_mode long, num_tokens_no_ts_mode long, audio_file string, reason string, "
+    + ", ".join(f"{c} long" for c in COUNTERS)
+)
 
 
-def segment(captions: list[tuple[int, int, str]], window: int = WINDOW, most: int = MOST) -> tuple[list[tuple], int, str | None]:
-    """Segments (start, length, captions, text, silent), captions longer than the window, and why the document failed.
+def windows(captions: list[tuple[int, int, str]], window: int = WINDOW) -> tuple[list[tuple[int, int, list]], int, str | None]:
+    """Windows (start, end, captions), captions longer than the window, and why the document failed.
 
     Equal (start, end) keys are one caption with the last text. A caption longer than the window is left out and counted.
     A gap before a caption that does not fit becomes silent windows, full ones and a remainder that the caption may share
@@ -30,7 +41,7 @@ def segment(captions: list[tuple[int, int, str]], window: int = WINDOW, most: in
     def flush() -> None:
         nonlocal held
         if held:
-            out.append((at, held[-1][1] - at, len(held), "\n".join(t for _, _, t in held), False))
+            out.append((at, held[-1][1], held))
         held = []
 
     for (start, end), text in own.items():
@@ -50,19 +61,102 @@ def segment(captions: list[tuple[int, int, str]], window: int = WINDOW, most: in
             gap = start - at
             if gap >= window:
                 for _ in range(gap // window):
-                    out.append((at, window, 0, "", True))
+                    out.append((at, at + window, []))
                     at += window
                 if end - at > window:
-                    out.append((at, start - at, 0, "", True))
+                    out.append((at, start, []))
                     at = start
             elif gap > 0:
-                out.append((at, gap, 0, "", True))
+                out.append((at, start, []))
                 at = start
             else:
                 at = start
         held.append((start, end, text))
     flush()
-    return out[:most], long, None
+    return out, long, None
+
+
+def segment(captions: list[tuple[int, int, str]], window: int = WINDOW, most: int = MOST) -> tuple[list[tuple], int, str | None]:
+    """The first ``most`` windows as (start, length, captions, text, silent), captions longer than the window, and why the document failed."""
+    found, long, reason = windows(captions, window)
+    return [(a, b - a, len(own), "\n".join(t for _, _, t in own), not own) for a, b, own in found[:most]], long, reason
+
+
+def clock(ms: int, sign: str = ".") -> str:
+    return f"{ms // 3600000:02}:{ms // 60000 % 60:02}:{ms // 1000 % 60:02}{sign}{ms % 1000:03}"
+
+
+def subtitles(own: list[tuple[int, int, str]], begin: int, kind: str) -> str:
+    """A subtitle file of captions with times from ``begin`` on; what lies before it counts from zero."""
+    sign = "," if kind == "srt" else "."
+    body = "".join(f"{f'{k}' + chr(10) if kind == 'srt' else ''}{clock(max(0, a - begin), sign)} --> {clock(max(0, b - begin), sign)}\n{t}\n\n" for k, (a, b, t) in enumerate(own, 1))
+    return ("WEBVTT\n\n" if kind == "vtt" else "") + body
+
+
+def checked(captions: list[tuple[int, int, str]], count: Callable[[str], int], kind: str = "vtt") -> tuple[list[dict], dict[str, int], str | None]:
+    """The document's usable segments, its counters, and why it failed.
+
+    A window of speech needs captions in order within it (else bad_text), a number of tokens that fits with or without
+    times (else over_ctx_len), and 15 ms of sound (else faulty_audio). At most MOST segments are kept.
+    """
+    found, long, reason = windows(captions)
+    n = dict.fromkeys(COUNTERS, 0) | {"over_30_line_segment_count": long, "failed_transcript_count": int(reason is not None)}
+    out = []
+    for k, (a, b, own) in enumerate(found):
+        if len(out) == MOST:
+            break
+        tokens = sum(count(t.strip()) for _, _, t in own)
+        last = k == len(found) - 1
+        timed, plain = tokens + 2 * len(own) + (not last) + 2, tokens + 3
+        if own and not all(own[0][0] <= x <= y <= own[-1][1] <= b for x, y, _ in own):
+            n["bad_text_segment_count"] += 1
+        elif own and timed > CONTEXT and plain > CONTEXT:
+            n["over_ctx_len_segment_count"] += 1
+        elif b - a < SHORTEST:
+            n["faulty_audio_segment_count"] += 1
+        else:
+            early = any(x < a for x, _, _ in own)
+            out.append({
+                "seg_no": len(out), "audio_timestamp": f"{clock(a, ',')}_{clock(b if last or not own else a + WINDOW, ',')}", "text_timestamp": f"{clock(a, ',')}_{clock(b, ',')}", "start_ms": a, "length_ms": b - a,
+                "norm_end_ms": b - a, "seg_content": subtitles(own, a, kind), "silent": not own, "ts_mode": timed <= CONTEXT, "no_ts_mode": plain <= CONTEXT, "only_no_ts_mode": early, "num_tokens_ts_mode": timed if own else 0, "num_tokens_no_ts_mode": plain if own else 0})
+    n["segment_count"] = len(out)
+    return out, n, reason
+
+
+def word_count(text: str) -> int:
+    return len(text.split())
+
+
+def segment_table(docs: DataFrame, count: Callable[[str], int] = word_count, kind: str = "vtt") -> DataFrame:
+    """Segments of ``docs`` (id, captions) that pass all checks, as TABLE. The counters stand on a document's first row;
+    a document without a segment is one row that has only them and its reason."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in TABLE.split(", ")])
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, captions in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found, n, reason = checked([(c["start"], c["end"], c["text"]) for c in captions or []], count, kind)
+                for s in found or [{"reason": reason or "no segment"}]:
+                    named = {"seg_id": f"{i}_{s['seg_no']}", "audio_file": f"{i}/{s['audio_timestamp']}.npy"} if found else {}
+                    rows.append({"id": i} | s | named | (n if s.get("seg_no", 0) == 0 else {}))
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return docs.select("id", "captions").mapInArrow(run, TABLE)
+
+
+def counters(table: DataFrame, *by: str) -> DataFrame:
+    """Sums of the counters, and the hours that the documents with segments stand for at 30 s each."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS]
+    return table.groupBy(*by).agg(*sums, F.count_distinct(F.when(F.col("seg_no").isNotNull(), F.col("id"))).alias("video_id_count")).withColumn("dur_by_video_id_count", F.col("video_id_count") * 30 / 3600)
+
+
+def dead_letters(table: DataFrame) -> DataFrame:
+    """(id, stage, reason, n) of what segmentation left out."""
+    kinds = {c: c.removesuffix("_segment_count").removesuffix("_transcript_count") for c in COUNTERS[1:]}
+    entries = F.array(*(F.struct(F.lit(name).alias("reason"), F.col(c).alias("n")) for c, name in kinds.items()))
+    return table.select("id", F.lit("segment").alias("stage"), F.explode(entries).alias("e")).select("id", "stage", "e.*").where("n > 0")
 
 
 def segments(docs: DataFrame) -> DataFrame:
@@ -87,3 +181,38 @@ def pack_count(sizes: Column, most: int) -> Column:
     fits = lambda s, x: (s.packs > 0) & (s.filled + x <= most)
     fold = F.aggregate(sizes, start, lambda s, x: F.struct(F.when(fits(s, x), s.filled + x).otherwise(x).alias("filled"), F.when(fits(s, x), s.packs).otherwise(s.packs + 1).alias("packs")))
     return fold.packs
+
+
+def pack_numbers(spans: Column, most: float) -> Column:
+    """The pack of each span (start, end) of an array in order: a pack closes when the next end lies more than ``most`` after its start."""
+    seed = F.struct(F.lit(None).cast("double").alias("start"), F.lit(-1).alias("pack"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = F.coalesce(F.round(x.end - s.start, 6) <= most, F.lit(False))
+        pack = F.when(fits, s["pack"]).otherwise(s["pack"] + 1)
+        return F.struct(F.when(fits, s.start).otherwise(x.start.cast("double")).alias("start"), pack.alias("pack"), F.concat(s.out, F.array(pack)).alias("out"))
+
+    return F.aggregate(spans, seed, step, lambda s: s.out)
+
+
+def pack_utterances(utterances: DataFrame, most: float = WINDOW / 1000, limit: int = CONTEXT) -> DataFrame:
+    """Utterances (utt_id ``<base>-<5 digits>-<start>-<end>``, text) joined to segments of one base and at most ``most`` seconds.
+
+    Returns utt_id (base, running number, first start, last end), text, ts (from the segment's start), dur, ts_mode,
+    no_ts_mode; a single utterance that is longer stands alone; ids of another form and segments over the context are
+    left out. All utterances of one base, a recording, are one row while they are packed.
+    """
+    part = lambda k: F.regexp_extract("utt_id", r"^(.*)-\d{5}-(\d{3,})-(\d{3,})$", k)
+    rows = utterances.where(part(2) != "").select(
+        part(1).alias("base"), part(2).alias("from"), part(3).alias("to"), timecode.utterance_seconds(part(2)).alias("start"), timecode.utterance_seconds(part(3)).alias("end"), "utt_id", "text")
+    whole = rows.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("utt_id", "start", "end", "from", "to", "text"))).alias("u"))
+    numbered = whole.select("base", F.explode(F.arrays_zip("u", pack_numbers(F.col("u"), most).alias("pack"))).alias("x")).select("base", "x.pack", "x.u.*")
+    packs = numbered.groupBy("base", "pack").agg(F.array_sort(F.collect_list(F.struct("utt_id", "start", "end", "from", "to", "text"))).alias("u"), F.max("pack").alias("m"))
+    last = F.col("pack") == F.max("pack").over(Window.partitionBy("base"))
+    first = F.col("u")[0]
+    tokens = context_modes(F.col("u.text"), last, limit=limit)
+    found = packs.select(
+        F.concat_ws("-", "base", F.lpad(F.col("pack").cast("string"), 5, "0"), first["from"], F.element_at("u.to", -1)).alias("utt_id"), F.col("u.text").alias("text"),
+        F.transform("u", lambda x: F.struct(F.round(x.start - first["start"], 6).alias("start"), F.round(x.end - first["start"], 6).alias("end"))).alias("ts"),
+        F.round(F.element_at("u.end", -1) - first["start"], 6).alias("dur"), tokens.alias("k"))
+    return found.where(~F.col("k.over")).select("utt_id", "text", "ts", "dur", "k.ts_mode", "k.no_ts_mode")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text as T
+from ..functions import text as T, wer
 
 TAGS = {
     "casing": lambda c: T.casing(T.casing_counts(c)),
@@ -12,14 +12,53 @@ TAGS = {
     "has_comma_period": T.has_comma_period,
     "has_proper_cap_after_punct_line": T.capital_after_stop,
     "num_words": T.word_count,
+    "text_lang": lambda c: T.text_language(T.plain_text(c)),
 }
+#: Tags that also need the machine captions (null: none).
+PAIR_TAGS = {"edit_dist": lambda c, m: edit_distance(T.plain_text(c), T.machine_text(m, keep_first=False))}
 
 
-def tag(docs: DataFrame, names: list[str], captions: str = "captions") -> DataFrame:
+def edit_distance(manual: Column, machine: Column) -> Column:
+    return wer.distance_ladder(manual, machine, T.normalise(manual), T.normalise(machine))
+
+
+def tag(docs: DataFrame, names: list[str], captions: str = "captions", machine: str = "mach_captions") -> DataFrame:
     """``docs`` with one column for each tag; an unknown tag is an error."""
-    if unknown := [n for n in names if n not in TAGS]:
+    if unknown := [n for n in names if n not in TAGS | PAIR_TAGS]:
         raise ValueError(f"unknown tags: {unknown}")
-    return docs.withColumns({n: TAGS[n](F.col(captions)) for n in names})
+    no_captions = F.array().cast("array<string>")
+    other = F.coalesce(F.col(machine), no_captions) if machine in docs.columns else no_captions
+    return docs.withColumns({n: TAGS[n](F.col(captions)) if n in TAGS else PAIR_TAGS[n](F.col(captions), other) for n in names})
+
+
+def tag_segments(rows: DataFrame, manual: str = "seg_text", machine: str = "mach_seg_text") -> DataFrame:
+    """Segments with seg_num_words and seg_edit_dist; null texts are empty."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return rows.withColumns({"seg_num_words": F.size(T.words(text(manual))).cast("long"), "seg_edit_dist": edit_distance(text(manual), text(machine))})
+
+
+def from_config(docs: DataFrame, steps: list[dict]) -> DataFrame:
+    """The tags that a configuration's steps name; whatever else a step has is handed to the tag."""
+    for s in steps:
+        docs = tag(docs, [s["tag"]], **{k: v for k, v in s.items() if k != "tag"})
+    return docs
+
+
+def stat_rows(rows: DataFrame, stats: dict[str, tuple[str, Column]], shard: str) -> DataFrame:
+    """(shard, tag, stat, total, n): sums of each statistic and the number of rows, so that shards add up.
+
+    ``stats``: name of the statistic -> (tag, its value for a row).
+    """
+    wide = rows.groupBy(shard).agg(F.count("*").alias("n"), *(F.sum(F.coalesce(v, F.lit(0)).cast("double")).alias(k) for k, (_, v) in stats.items()))
+    entries = F.array(*(F.struct(F.lit(t).alias("tag"), F.lit(k).alias("stat"), F.col(f"`{k}`").alias("total")) for k, (t, _) in stats.items()))
+    return wide.select(shard, "n", F.explode(entries).alias("e")).select(shard, "e.*", "n")
+
+
+def rolled_up(stats: DataFrame, *by: str) -> DataFrame:
+    """(tag, stat, value) over all shards or ``by``: durations and other statistics are sums, counts are means over rows, named avg."""
+    is_count = F.col("stat").contains("count") & ~F.col("stat").contains("dur")
+    whole = stats.groupBy(*by, "tag", "stat").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return whole.select(*by, "tag", F.when(is_count, F.replace("stat", F.lit("count"), F.lit("avg"))).otherwise(F.col("stat")).alias("stat"), F.when(is_count, F.col("total") / F.col("n")).otherwise(F.col("total")).alias("value"))
 
 
 def tag_stats(tagged: DataFrame, shard: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""All registered queries of the reference's own operators on the given tables, with their SQL.
+"""All registered queries of the core operators on the given tables, with their SQL.
 
 ``documents.text`` split at line ends stands in for captions, ``source`` for the shard, ``labels`` for a partial mapping,
 ``conversations`` for (reference, hypothesis) pairs and ``events`` for utterances.
@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import text as T, timecode, wer
-from ..operators import filters, joins, sampling, segments, tags
+from ..functions import decode, text as T, timecode, tokens, wer
+from ..operators import align, filters, joins, sampling, scoring, segments, tags
+from ..session import scratch
+from ..sinks import tables
+from ..streaming import sessions
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -83,22 +86,48 @@ def q_repeating_lines(spark, sf_dir):
     return tags.tag(captioned(spark, sf_dir), ["repeating_lines"]).select("doc_id", "repeating_lines")
 
 
-@query(rf"SELECT doc_id, len(list_filter(range(1, len(l)), lambda i: regexp_matches(l[i], '[.!?]\s*$') AND regexp_matches(l[i + 1], '^[a-z]'))) = 0 AS proper FROM {L}")
+@query(rf"SELECT doc_id, len(list_filter(range(1, len(l)), lambda i: regexp_matches(l[i], '[.!?]\s*$') AND regexp_matches(l[i + 1], '^\s*\p{{L}}') AND NOT regexp_matches(l[i + 1], '^\s*\p{{Lu}}'))) = 0 AS proper FROM {L}")
 def q_proper_cap(spark, sf_dir):
     return captioned(spark, sf_dir).select("doc_id", T.capital_after_stop(F.col("captions")).alias("proper"))
 
 
-@query(f"SELECT page_id, c AS cleaned, c <> coalesce(html, '') AS changed FROM (SELECT *, regexp_replace(coalesce(html, ''), '{T.NOISE}', ' ', 'g') AS c FROM pages)")
+@query(r"""SELECT page_id, c AS cleaned, c <> coalesce(html, '') AS changed FROM (SELECT *, regexp_replace(coalesce(html, ''),
+'[ ]*(?:[A-Z][a-zA-Z]*[ ])+:[ ]*|[ ]*(?:&nbsp;|&amp;|&lt;|&gt;|=|\.{3}|\\h)+[ ]*', ' ', 'g') AS c FROM pages)""")
 def q_text_clean(spark, sf_dir):
     html = F.coalesce("html", F.lit(""))
     return load(spark, sf_dir, "pages").select("page_id", T.clean_caption(html).alias("cleaned"), (T.clean_caption(html) != html).alias("changed"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, '[]', '{}'), '/([A-Za-z ]+?)/', '\1', 'g'), '\{[^{}]*\}', '', 'g'), '<[^<>]*>', '', 'g'), '\([^()]*\)', '', 'g') AS cleaned FROM documents""")
+DIALECT = r"""array_to_string(list_transform(list_filter(regexp_split_to_array(translate(text, '[]', '{}'), '\s+'), lambda w: w <> ''),
+lambda w: CASE w WHEN 'busses' THEN 'buses' WHEN 'aks' THEN 'ask' WHEN 'aksing' THEN 'asking' WHEN 'aksed' THEN 'asked' ELSE w END), ' ')"""
+for pattern in (r"(?i)/unintelligible/", r"(?i)/inaudible/", r"/RD(.*?)/", r"/\?+/", r" ?<[^>]+>", r" ?\([^)]+\)", r" ?\{[^}]+\}"):
+    DIALECT = f"regexp_replace({DIALECT}, '{pattern}', '', 'g')"
+
+
+@query(f"SELECT doc_id, {DIALECT} AS cleaned FROM documents")
 def q_dialect_clean(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", T.clean_dialect(F.col("text")).alias("cleaned"))
 
 
+@query("""SELECT doc_id, array_to_string(list_filter(t, lambda x, i: NOT contains(x, chr(10)) AND NOT (twice AND i <= 2)), ' ') AS document_text,
+array_to_string(list_filter(t, lambda x, i: NOT contains(x, chr(10)) AND NOT (twice AND i = 2)), ' ') AS segment_text
+FROM (SELECT doc_id, list_transform(c, lambda x, i: CASE WHEN i = len(c) THEN string_split(x, chr(10))[-1] ELSE x END) AS t, len(c) > 1 AND coalesce(c[1] = c[2], false) AS twice
+FROM (SELECT doc_id, string_split(coalesce(text, ''), '. ') AS c FROM documents))""")
+def q_machine_text(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").withColumn("c", F.split(F.coalesce("text", F.lit("")), r"\. ", -1))
+    return docs.select("doc_id", T.machine_text(F.col("c"), False).alias("document_text"), T.machine_text(F.col("c"), True).alias("segment_text"))
+
+
+COMMON = {k: ", ".join(f"'{w}'" for w in v) for k, v in T.COMMON_WORDS.items()}
+COUNTED = ", ".join(f"len(list_filter(w, lambda x: x IN ({v}))) AS n_{k}" for k, v in COMMON.items())
+
+
+@query(rf"""SELECT doc_id, CASE WHEN greatest(n_en, n_fr, n_de, n_es) = 0 OR n_en = greatest(n_en, n_fr, n_de, n_es) THEN 'en' WHEN n_fr = greatest(n_fr, n_de, n_es) THEN 'fr' WHEN n_de = greatest(n_de, n_es) THEN 'de' ELSE 'es' END AS text_lang
+FROM (SELECT doc_id, {COUNTED} FROM (SELECT doc_id, string_split(regexp_replace(lower(trim(array_to_string(list_transform(l, lambda x: trim(x)), ' '))), '[^\p{{L}}'']+', ' ', 'g'), ' ') AS w FROM {L}))""")
+def q_text_lang(spark, sf_dir):
+    return tags.tag(captioned(spark, sf_dir), ["text_lang"]).select("doc_id", "text_lang")
+
+
 @query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[<\[][^>\]]*[>\]]', '', 'g'), '\([^)]+\)', '', 'g'), '[^a-z0-9'' ]', ' ', 'g'), ' +', ' ', 'g')) AS normal FROM conversations""")
 def q_normalise(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalise(F.col("text")).alias("normal"))
@@ -233,7 +262,23 @@ def q_pair_turns(spark, sf_dir):
     return joins.pair_positions(turns.where("role = 'user'"), turns.where("role = 'assistant'"), "conv_id", "turn", "text")
 
 
-@query()
+NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({}), '[<\[][^>\]]*[>\]]', '', 'g'), '\([^)]+\)', '', 'g'), '[^a-z0-9'' ]', ' ', 'g'), ' +', ' ', 'g'))"
+SPLIT = "list_filter(string_split({}, ' '), lambda w: w <> '')"
+# one row of costs after another: the row before, then what insertions make of it
+EDITS = """list_reduce(list_prepend({{'w': '', 'c': range(0, len({h}) + 1)}}, list_transform({r}, lambda x: {{'w': x, 'c': CAST([] AS BIGINT[])}})),
+lambda a, x: {{'w': '', 'c': list_transform([list_transform(a.c, lambda v, j: CASE WHEN j = 1 THEN v + 1 ELSE least(v + 1, a.c[j - 1] + CASE WHEN {h}[j - 1] = x.w THEN 0 ELSE 1 END) END)],
+lambda d: list_transform(d, lambda v, j: list_min(list_transform(d[1:j], lambda y, k: y + j - k))))[1]}}).c[-1]"""
+PAIRS = """(SELECT conv_id, n, ref, coalesce(hyp, '') AS hyp FROM (SELECT conv_id, CAST(n AS INTEGER) AS n, u.ref, a.hyp FROM
+(SELECT conv_id, text AS ref, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user') u FULL JOIN
+(SELECT conv_id, text AS hyp, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant') a USING (conv_id, n)) p
+WHERE conv_id NOT IN (SELECT a.conv_id FROM (SELECT conv_id, count(*) AS k FROM conversations WHERE role = 'assistant' GROUP BY conv_id) a
+LEFT JOIN (SELECT conv_id, count(*) AS k FROM conversations WHERE role = 'user' GROUP BY conv_id) u USING (conv_id) WHERE a.k > coalesce(u.k, 0)))"""
+EDITED = f"""(SELECT conv_id, n, len(r) AS ref_words, {EDITS.format(r='r', h='h')} AS edits, len(h) AS hyp_words FROM
+(SELECT conv_id, n, {SPLIT.format(NORMAL.format('ref'))} AS r, {SPLIT.format(NORMAL.format('hyp'))} AS h FROM {PAIRS}))"""
+RATED = f"(SELECT *, CASE WHEN ref_words > 0 THEN edits / ref_words WHEN hyp_words = 0 THEN 0.0 END AS rate FROM {EDITED})"
+
+
+@query(f"SELECT conv_id, n, ref_words, edits, round(rate, 6) AS wer, CASE WHEN rate = 0 THEN 'zero' WHEN rate = 1 THEN 'one' WHEN rate > 1 THEN 'over one' WHEN rate > 0 THEN 'between' END AS bucket FROM {RATED}")
 def q_wer(spark, sf_dir):
     pairs = q_pair_turns(spark, sf_dir)
     ref, hyp = T.normalise(F.col("ref")), T.normalise(F.col("hyp"))
@@ -241,12 +286,63 @@ def q_wer(spark, sf_dir):
     return pairs.select("conv_id", "n", F.size(T.words(ref)).cast("long").alias("ref_words"), wer.word_edits(T.words(ref), T.words(hyp)).alias("edits"), F.round(rate, 6).alias("wer"), wer.bucket(rate).alias("bucket"))
 
 
-@query()
+@query(f"""SELECT CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(ref_words) AS BIGINT) AS ref_words, round(sum(edits) * 100 / sum(ref_words), 6) AS corpus_wer,
+round(sum(round(rate, 6) * ref_words) / sum(ref_words), 6) AS weighted_wer FROM {RATED}""")
 def q_wer_corpus(spark, sf_dir):
     pairs = q_wer(spark, sf_dir)
     return pairs.agg(F.sum("edits").alias("edits"), F.sum("ref_words").alias("ref_words"), F.round(F.sum("edits") * 100 / F.sum("ref_words"), 6).alias("corpus_wer"), F.round(F.sum(F.col("wer") * F.col("ref_words")) / F.sum("ref_words"), 6).alias("weighted_wer"))
 
 
+@query(f"""SELECT conv_id, n, round(CASE WHEN len(r) = 0 THEN 0.0 ELSE {EDITS.format(r='r', h='h')} / len(r) END, 6) AS edit_dist FROM (SELECT conv_id, n,
+string_split(CASE WHEN nr <> '' THEN nr WHEN ref <> '' THEN ref WHEN nh <> '' THEN nh ELSE hyp END, ' ') AS r0, list_filter(r0, lambda w: w <> '') AS r,
+list_filter(string_split(CASE WHEN nr <> '' OR ref <> '' THEN nh ELSE '' END, ' '), lambda w: w <> '') AS h
+FROM (SELECT *, {NORMAL.format('ref')} AS nr, {NORMAL.format('hyp')} AS nh FROM (SELECT conv_id, n, CASE WHEN n % 3 = 0 THEN '' ELSE ref END AS ref, CASE WHEN n % 4 = 0 THEN '' ELSE hyp END AS hyp FROM {PAIRS})))""")
+def q_edit_ladder(spark, sf_dir):
+    """Every third reference and every fourth hypothesis empty, so that each step of the ladder is met."""
+    blank = lambda c, k: F.when(F.col("n") % k == 0, "").otherwise(F.col(c)).alias(c)
+    pairs = q_pair_turns(spark, sf_dir).select("conv_id", "n", blank("ref", 3), blank("hyp", 4))
+    ladder = wer.distance_ladder(F.col("ref"), F.col("hyp"), T.normalise(F.col("ref")), T.normalise(F.col("hyp")))
+    return pairs.select("conv_id", "n", F.round(ladder, 6).alias("edit_dist"))
+
+
+def scored_pairs(spark, sf_dir):
+    pairs = q_pair_turns(spark, sf_dir).withColumns({"ref": T.normalise(F.col("ref")), "hyp": T.normalise(F.col("hyp"))})
+    return scoring.pair_scores(scoring.valid_references(pairs), F.col("ref"), F.col("hyp"))
+
+
+@query()
+def q_sdi(spark, sf_dir):
+    """Substitutions, deletions and insertions of each pair; a least alignment isn't unique, so brute force tests it."""
+    return scored_pairs(spark, sf_dir).select("conv_id", "n", "ref_words", "subs", "dels", "ins")
+
+
+@query(f"""SELECT CAST(conv_id % 3 AS INTEGER) AS eval_set, count(*) AS pairs, CAST(sum(ref_words) AS BIGINT) AS ref_words, CAST(sum(edits) AS BIGINT) AS edits, round(sum(edits) * 100 / sum(ref_words), 6) AS wer,
+round(sum(rate * ref_words) / sum(ref_words), 6) AS by_words FROM {RATED} WHERE ref_words > 0 GROUP BY ALL""")
+def q_scores_by_set(spark, sf_dir):
+    found = scoring.corpus_scores(scored_pairs(spark, sf_dir).withColumn("eval_set", (F.col("conv_id") % 3).cast("int")), ["eval_set"])
+    return found.select("eval_set", "pairs", "ref_words", "edits", F.round("wer", 6).alias("wer"), F.round("by_words", 6).alias("by_words"))
+
+
+@query(f"SELECT count(*) AS sets, round(avg(wer), 6) AS mean, round(min(wer), 6) AS best FROM (SELECT sum(edits) * 100 / sum(ref_words) AS wer FROM {RATED} WHERE ref_words > 0 GROUP BY conv_id % 3)")
+def q_scores_over_sets(spark, sf_dir):
+    found = scoring.over_sets(scoring.corpus_scores(scored_pairs(spark, sf_dir).withColumn("eval_set", F.col("conv_id") % 3), ["eval_set"]))
+    return found.select("sets", F.round("mean", 6).alias("mean"), F.round("best", 6).alias("best"))
+
+
+@query(f"SELECT conv_id, n, r AS ref FROM (SELECT conv_id, n, {NORMAL.format('ref')} AS r FROM {PAIRS}) WHERE r <> '' AND r <> 'ignore time segment in scoring'")
+def q_eval_valid(spark, sf_dir):
+    pairs = q_pair_turns(spark, sf_dir).select("conv_id", "n", T.normalise(F.col("ref")).alias("ref"))
+    return scoring.valid_references(pairs)
+
+
+@query()
+def q_overall_bars(spark, sf_dir):
+    """Error bars over three sets taken together, and of the plain mean over all pairs."""
+    scored = scored_pairs(spark, sf_dir).withColumn("eval_set", F.col("conv_id") % 3)
+    named = lambda bars, name: bars.withColumn("kind", F.lit(name))
+    return named(scoring.overall_bars(scored, "eval_set", ["conv_id", "n"]), "weighted").unionByName(named(scoring.unweighted_bars(scored, ["conv_id", "n"]), "plain"))
+
+
 @query("SELECT event_id, (value / 100 > 0.6 AND NOT value / 10 - 8 > -1.0) AS skipped FROM events")
 def q_skip_rule(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", ((F.col("value") / 100 > 0.6) & ~(F.col("value") / 10 - 8 > -1.0)).alias("skipped"))
@@ -311,3 +407,263 @@ def q_segments(spark, sf_dir):
     docs = captioned(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), shaped.alias("c"))
     made = F.zip_with("c", ends, lambda x, e: F.struct((e - x.d).alias("start"), e.alias("end"), x.text.alias("text")))
     return segments.segments(docs.select("id", made.alias("captions")))
+
+
+SHIFTED = "CASE WHEN ms - 7200000 < 0 THEN ms - 7200000 + 86400000 ELSE ms - 7200000 END"
+
+
+@query(f"SELECT event_id, ms - 7200000 AS plain, {SHIFTED} AS wrapped, printf('%02d:%02d:%02d.%03d', w // 3600000, (w // 60000) % 60, (w // 1000) % 60, w % 1000) AS code FROM (SELECT *, {SHIFTED} AS w FROM (SELECT *, {DAY_MS} AS ms FROM events))")
+def q_tc_shift(spark, sf_dir):
+    by = F.lit(-7200000)
+    wrapped = timecode.shift(F.col("ms"), by, wrap=True)
+    return timed(spark, sf_dir).select("event_id", timecode.shift(F.col("ms"), by).alias("plain"), wrapped.alias("wrapped"), timecode.from_ms(wrapped).alias("code"))
+
+
+@query(f"SELECT event_id, CASE WHEN ms >= before THEN ms - before ELSE -1 END AS gap FROM (SELECT event_id, ms, lag(ms, 1, 0) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM (SELECT *, {DAY_MS} AS ms FROM events))")
+def q_tc_diff(spark, sf_dir):
+    before = F.lag("ms", 1, 0).over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = timed(spark, sf_dir).withColumn("before", before)
+    return rows.select("event_id", F.coalesce(timecode.difference(F.col("before"), F.col("ms")), F.lit(-1)).cast("long").alias("gap"))
+
+
+@query(f"""SELECT doc_id, t + 2 * len(l) + CASE WHEN doc_id % 2 = 1 THEN 0 ELSE 1 END + 2 AS num_tokens_ts_mode, t + 3 AS num_tokens_no_ts_mode,
+t + 2 * len(l) + CASE WHEN doc_id % 2 = 1 THEN 0 ELSE 1 END + 2 <= 448 AS ts_mode, t + 3 <= 448 AS no_ts_mode, t + 2 * len(l) + CASE WHEN doc_id % 2 = 1 THEN 0 ELSE 1 END + 2 > 448 AND t + 3 > 448 AS over
+FROM (SELECT doc_id, l, {WORDS} AS t FROM {L})""")
+def q_ctx_len(spark, sf_dir):
+    docs = captioned(spark, sf_dir)
+    return docs.select("doc_id", tokens.context_modes(F.col("captions"), F.col("doc_id") % 2 == 1).alias("k")).select("doc_id", "k.*")
+
+
+def spans_by_hour(spark, sf_dir):
+    """The events of a user and hour as spans (start, end) in order, value x 100 ms long."""
+    rows = timed(spark, sf_dir).withColumn("hour", F.expr("ms div 3600000"))
+    spans = F.array_sort(F.collect_list(F.struct("event_id", F.col("ms").alias("start"), (F.col("ms") + F.floor(F.col("value") * 100)).alias("end"), "event_type", "value")))
+    return rows.groupBy("user_id", "hour").agg(spans.alias("spans"))
+
+
+SPANS = f"(SELECT user_id, ms // 3600000 AS hour, list({{'s': ms, 'e': ms + CAST(floor(value * 100) AS BIGINT), 't': event_type, 'v': value}} ORDER BY event_id) AS p FROM (SELECT *, {DAY_MS} AS ms FROM events) GROUP BY ALL)"
+
+
+@query(f"""SELECT user_id, hour, p[1].s >= hour * 3600000 AND p[-1].e <= (hour + 1) * 3600000 AND len(list_filter(p, lambda x: x.s > x.e OR x.s < p[1].s OR x.e > p[-1].e OR x.s < hour * 3600000 OR x.e > (hour + 1) * 3600000)) = 0 AS valid FROM {SPANS}""")
+def q_ts_valid(spark, sf_dir):
+    start = F.col("hour") * 3600000
+    return spans_by_hour(spark, sf_dir).select("user_id", "hour", tokens.times_valid(F.col("spans"), start, start + 3600000).alias("valid"))
+
+
+@query("SELECT event_id, value < 15 AS short_span, value * 100 / 16000 < 0.015 AS short_audio FROM events")
+def q_too_short(spark, sf_dir):
+    zero = F.lit(0)
+    return load(spark, sf_dir, "events").select("event_id", tokens.too_short(zero, F.col("value")).alias("short_span"), tokens.too_short_audio(F.col("value") * 100).alias("short_audio"))
+
+
+@query("SELECT event_id, (value / 20 > 2.4 OR -value / 50 < -1.0) AND NOT (value / 100 > 0.6 AND -value / 50 < -1.0) AS falls_back FROM events")
+def q_fallback(spark, sf_dir):
+    v = F.col("value")
+    return load(spark, sf_dir, "events").select("event_id", decode.falls_back(v / 20, -v / 50, v / 100).alias("falls_back"))
+
+
+@query("""SELECT user_id, coalesce(min(event_id) FILTER (NOT bad), max(event_id)) AS event_id FROM
+(SELECT *, (value / 20 > 2.4 OR -value / 50 < -1.0) AND NOT (value / 100 > 0.6 AND -value / 50 < -1.0) AS bad FROM events) GROUP BY user_id""")
+def q_first_attempt(spark, sf_dir):
+    v = F.col("value")
+    attempts = load(spark, sf_dir, "events").select("user_id", "event_id", (v / 20).alias("compression_ratio"), (-v / 50).alias("avg_logprob"), (v / 100).alias("no_speech_prob"))
+    return decode.first_good_attempt(attempts, "user_id", "event_id").select("user_id", "event_id")
+
+
+@query(f"""SELECT user_id, hour, round(score, 6) AS score, score >= 3 OR score + 0.01 >= n AS odd FROM (SELECT user_id, hour, len(w) AS n, list_sum(list_transform(w, lambda x: CASE WHEN x.v / 100 < 0.15 THEN 1.0 ELSE 0.0 END
++ CASE WHEN x.v / 40 < 0.133 THEN (0.133 - x.v / 40) * 15 ELSE 0.0 END + CASE WHEN x.v / 40 > 2.0 THEN x.v / 40 - 2.0 ELSE 0.0 END)) AS score FROM (SELECT user_id, hour, p[1:8] AS w FROM {SPANS}))""")
+def q_anomaly(spark, sf_dir):
+    words = F.transform("spans", lambda x: F.struct(x.event_type.alias("word"), F.lit(0.0).alias("start"), (x.value / 40).alias("end"), (x.value / 100).alias("probability")))
+    rows = spans_by_hour(spark, sf_dir).withColumn("w", words)
+    score = F.aggregate(F.slice("w", 1, decode.FIRST_WORDS), F.lit(0.0), lambda s, w: s + decode.word_score(w))
+    return rows.select("user_id", "hour", F.round(score, 6).alias("score"), decode.segment_odd(F.col("w")).alias("odd"))
+
+
+CHUNK_TEXT = "CASE WHEN event_id % 17 = 0 THEN ' you' WHEN event_id % 5 = 0 THEN '  ' WHEN event_id % 3 = 0 THEN event_type || ' foreign' ELSE event_type END"
+
+
+@query(f"""SELECT user_id, len(k) AS chunks, array_to_string(list_transform(k, lambda x, i: CASE WHEN i = len(k) THEN regexp_replace(x, '\\s*foreign\\s*$', '') ELSE x END), '|') AS text FROM (
+SELECT user_id, list_filter(CASE WHEN list_position(c, 'you') > 0 THEN c[1:list_position(c, 'you') - 1] ELSE c END, lambda x: x <> '') AS k
+FROM (SELECT user_id, list(trim({CHUNK_TEXT}) ORDER BY event_id) AS c FROM events GROUP BY user_id))""")
+def q_takewhile(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").withColumn("text", F.expr(CHUNK_TEXT))
+    chunks = F.array_sort(F.collect_list(F.struct("event_id", F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), "text")))
+    kept = rows.groupBy("user_id").agg(chunks.alias("c")).select("user_id", decode.spoken(F.col("c")).alias("k"))
+    return kept.select("user_id", F.size("k").cast("long").alias("chunks"), F.array_join("k.text", "|").alias("text"))
+
+
+@query(f"""SELECT event_id, round(s + o, 3) AS start_s, round(e + o, 3) AS end_s FROM (SELECT *, coalesce(sum(CASE WHEN s < before THEN before - zero ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS o FROM (
+SELECT event_id, user_id, s, e, lag(e) OVER (PARTITION BY user_id ORDER BY event_id) AS before, first_value(s) OVER (PARTITION BY user_id ORDER BY event_id) AS zero
+FROM (SELECT event_id, user_id, (ms % 100000) / 1000 AS s, (ms % 100000) / 1000 + 2.0 AS e FROM (SELECT *, {DAY_MS} AS ms FROM events))))""")
+def q_offset_reset(spark, sf_dir):
+    s = (F.col("ms") % 100000) / 1000
+    rows = timed(spark, sf_dir).select("user_id", "event_id", s.alias("start"), (s + 2.0).alias("end"))
+    whole = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "start", "end"))).alias("c"))
+    found = whole.select(F.explode(decode.running_times(F.col("c"))).alias("c"))
+    return found.select("c.event_id", F.round("c.start", 3).alias("start_s"), F.round("c.end", 3).alias("end_s"))
+
+
+TOKEN = "CASE WHEN event_id % 3 = 0 OR event_id % 7 = 0 THEN 50363 + event_id % 1500 ELSE event_id % 50000 END"
+
+
+@query(f"""WITH t AS (SELECT user_id, list(CAST({TOKEN} AS INTEGER) ORDER BY event_id) AS t FROM events GROUP BY user_id),
+c AS (SELECT *, list_filter(range(2, len(t) + 1), lambda i: t[i] >= 50363 AND t[i - 1] >= 50363) AS inner_cuts, len(t) > 1 AND t[-1] >= 50363 AND t[-2] < 50363 AS single FROM t),
+d AS (SELECT *, CASE WHEN len(inner_cuts) > 0 AND single THEN list_append(inner_cuts, len(t) + 1) ELSE inner_cuts END AS cuts FROM c),
+u AS (SELECT user_id, t, cuts, unnest(range(1, greatest(len(cuts), 1) + 1)) AS k FROM d),
+v AS (SELECT *, CASE WHEN len(cuts) = 0 THEN 1 WHEN k = 1 THEN 1 ELSE cuts[k - 1] END AS a, CASE WHEN len(cuts) = 0 THEN len(t) + 1 ELSE cuts[k] END AS b FROM u)
+SELECT user_id, CAST(k - 1 AS INTEGER) AS k, CASE WHEN len(cuts) = 0 THEN 0 ELSE t[a] - 50363 END AS start_at,
+coalesce(CASE WHEN len(cuts) = 0 THEN nullif(list_filter(t, lambda x: x >= 50363)[-1] - 50363, 0) ELSE t[b - 1] - 50363 END, -1) AS end_at, CAST(b - a AS INTEGER) AS n_tokens FROM v""")
+def q_time_slices(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").withColumn("t", F.expr(TOKEN).cast("int"))
+    whole = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "t"))).alias("x"))
+    cut = whole.select("user_id", F.posexplode(decode.time_slices(F.col("x.t"))).alias("k", "s"))
+    return cut.select("user_id", "k", F.col("s.start").alias("start_at"), F.coalesce("s.end", F.lit(-1)).alias("end_at"), F.size("s.tokens").alias("n_tokens"))
+
+
+@query("SELECT event_id, round(CASE WHEN event_id < 20 THEN event_id / 20 ELSE greatest(0.0, (10000 - event_id) / 9980) END, 9) AS rate FROM events")
+def q_learning_rate(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", F.round(decode.learning_rate(F.col("event_id"), 10000), 9).alias("rate"))
+
+
+@query("""SELECT vec_id, round(list_sum(m), 4) AS total, round(list_max(p), 4) AS top, len(f) AS n FROM (SELECT vec_id, m,
+list_transform(m, lambda x: CASE WHEN list_max(list_transform(m, lambda y: abs(y))) > 0 THEN x / list_max(list_transform(m, lambda y: abs(y))) ELSE x END) AS p, list_concat(m[1:40], list_transform(range(greatest(0, 40 - len(m))), lambda i: 0.0)) AS f
+FROM (SELECT vec_id, list_transform(embedding, lambda x, i: (CAST(x AS DOUBLE) + CAST(embedding[len(embedding) + 1 - i] AS DOUBLE)) / 2) AS m FROM embeddings))""")
+def q_audio_arrays(spark, sf_dir):
+    """Vectors and their mirror images as the channels of a recording: mean, peak, cut to a length."""
+    left = F.transform("embedding", lambda x: x.cast("double"))
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", decode.mono(F.array(left, F.reverse(left))).alias("m"))
+    return rows.select("vec_id", F.round(F.aggregate("m", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.array_max(decode.peak_normalised(F.col("m"))), 4).alias("top"), F.size(decode.trimmed_audio(F.col("m"), 40)).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, lang, -1 AS quality FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, '' AS lang, quality FROM labels WHERE doc_id % 2 = 1")
+def q_union_shards(spark, sf_dir):
+    a = load(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "lang")
+    both = align.shard_union(a, load(spark, sf_dir, "labels").where("doc_id % 2 = 1").select("doc_id", "quality"))
+    return both.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("quality", F.lit(-1)).cast("int").alias("quality"))
+
+
+@query("SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NOT NULL THEN 'labelled' ELSE d.lang END AS lang FROM documents d LEFT JOIN labels l USING (doc_id)")
+def q_map_merge(spark, sf_dir):
+    """Two language maps; of an id in both the later map wins."""
+    a = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.lit("map-1").alias("f"))
+    b = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("labelled").alias("lang"), F.lit("map-2").alias("f"))
+    return joins.merge_maps(align.shard_union(a, b))
+
+
+@query(f"SELECT d.doc_id, '{{\"num_words\":' || {WORDS} || ',\"repeating_lines\":' || CASE WHEN {REPEAT} THEN 'true' ELSE 'false' END || '}}' AS tags FROM {L} d")
+def q_tag_map(spark, sf_dir):
+    return tables.tag_map(tags.tag(captioned(spark, sf_dir), ["num_words", "repeating_lines"]), "doc_id", ["num_words", "repeating_lines"])
+
+
+@query(f"""WITH s AS (SELECT source, count(*) AS n, count(*) FILTER (casing = 'upper') AS upper_count, CAST(sum(n_chars) FILTER (casing = 'upper') AS DOUBLE) AS upper_dur, CAST(sum({WORDS}) AS DOUBLE) AS words FROM {CASING} GROUP BY source)
+SELECT 'casing' AS tag, 'upper_avg' AS stat, round(sum(upper_count) / sum(n), 6) AS value FROM s UNION ALL SELECT 'casing', 'upper_dur', round(coalesce(sum(upper_dur), 0), 6) FROM s UNION ALL SELECT 'num_words', 'words', round(sum(words), 6) FROM s""")
+def q_tag_rollup(spark, sf_dir):
+    tagged = tags.tag(captioned(spark, sf_dir), ["casing", "num_words"])
+    upper = F.col("casing") == "upper"
+    stats = {"upper_count": ("casing", upper.cast("long")), "upper_dur": ("casing", F.when(upper, F.col("n_chars"))), "words": ("num_words", F.col("num_words"))}
+    return tags.rolled_up(tags.stat_rows(tagged, stats, "source")).select("tag", "stat", F.round("value", 6).alias("value"))
+
+
+CUE = r"rtrim(regexp_replace(regexp_replace(l[1], '<[^<>]*>', '', 'g'), '\r', '', 'g'))"
+
+
+@query(f"""SELECT doc_id, CASE WHEN lang = 'en' THEN 'pass' ELSE 'lang' END AS hit, 'WEBVTT' || chr(10) || chr(10) || '00:00:01.000 --> 00:00:02.500' || chr(10) || regexp_replace({CUE}, '[ ]*(?:[A-Z][a-zA-Z]*[ ])+:[ ]*|[ ]*(?:&nbsp;|&amp;|&lt;|&gt;|=|\\.{{3}}|\\\\h)+[ ]*', ' ', 'g') || chr(10) || chr(10) AS seg_content FROM {L}""".replace("\\\\.", "\\.").replace("\\\\\\\\h", "\\\\h"))
+def q_seg_clean(spark, sf_dir):
+    """The cleaning step in a filter pipeline, on a subtitle of each document's first line."""
+    content = F.concat(F.lit("WEBVTT\n\n00:00:01.000 --> 00:00:02.500\n"), F.col("captions")[0], F.lit("\n\n"))
+    docs = captioned(spark, sf_dir).withColumn("seg_content", content)
+    return filters.with_hit(docs, [{"tag": "lang", "ref_value": ["en"]}, {"tag": "seg_content"}]).select("doc_id", "hit", "seg_content")
+
+
+SEQ = """SELECT doc_id, CASE WHEN n = 0 THEN [50257, 50362, 50256] WHEN timed AND NOT bare AND ne <= 30000 THEN list_concat(list_concat([50257], flatten(list_transform(c, lambda x, i: list_concat(list_concat([50363 + (i - 1) * 100], x), [50363 + (i - 1) * 100 + 75])))), [50363 + ne // 20, 50256])
+ELSE list_concat(list_concat([50257, 50362], flatten(own)), [50256]) END AS t FROM (SELECT *, CASE WHEN ne > 30000 AND n > 1 THEN c[1:n - 1] ELSE c END AS own FROM (SELECT doc_id, doc_id % 3 = 0 AS bare, substr(md5('42|' || doc_id), 1, 1) < '8' AS timed, len(l) AS n, len(l) * 2000 AS ne,
+list_transform(l, lambda x: list_transform(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> ''), lambda w: length(w))) AS c FROM """ + L + "))"
+
+
+@query(f"SELECT doc_id, len(t) AS n_ids, array_to_string(t, ',') AS ids, len(t) - 1 > 448 AS too_long FROM ({SEQ})")
+def q_token_modes(spark, sf_dir):
+    """Captions two seconds apart, word lengths for ids, a draw fixed by the id."""
+    ids = lambda c: F.transform(T.words(c), lambda w: F.length(w))
+    own = F.transform("captions", lambda c, i: F.struct((i * 2000).alias("start"), (i * 2000 + 1500).alias("end"), ids(c).alias("ids")))
+    seq = tokens.sequence(own, F.size("captions") * 2000, F.lit(True), F.col("doc_id") % 3 == 0, sampling.drawn(F.col("doc_id")))
+    docs = captioned(spark, sf_dir).select("doc_id", seq.alias("t"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n_ids"), F.array_join("t", ",").alias("ids"), F.array_contains(tokens.sequence_faults(F.col("t")), "too long").alias("too_long"))
+
+
+@query("SELECT page_id, CASE string_split(url, '/')[-3] WHEN 'ow_ckpts' THEN 'open' WHEN 'yodas' THEN 'yodas' WHEN 'owsm' THEN 'owsm' ELSE 'other' END AS kind, CASE WHEN contains(url, 'tiny') THEN 'tiny' WHEN contains(url, 'small') THEN 'small' WHEN contains(url, 'base') THEN 'base' WHEN contains(url, 'medium') THEN 'medium' WHEN contains(url, 'large') THEN 'large' ELSE 'unknown' END AS size FROM pages")
+def q_model_info(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", T.model_kind(F.col("url")).alias("kind"), T.model_size(F.col("url")).alias("size"))
+
+
+def event_captions(spark, sf_dir):
+    """Captions of a user: events in order, gaps and lengths from their values."""
+    rows = load(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value") * 300).alias("d"), F.when(F.col("event_id") % 9 == 0, 40000).otherwise(500).alias("gap"), F.concat_ws(" ", "event_type", "user_id").alias("text"))
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    end = F.sum(F.col("d") + F.col("gap")).over(order)
+    spans = rows.select(F.col("user_id").cast("string").alias("id"), "event_id", (end - F.col("d")).alias("start"), end.alias("end"), "text")
+    whole = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("event_id", "start", "end", "text"))).alias("c"))
+    return whole.select("id", F.transform("c", lambda c: F.struct(c.start.alias("start"), c.end.alias("end"), c.text.alias("text"))).alias("captions"))
+
+
+@query()
+def q_segment_table(spark, sf_dir):
+    """Segments that pass the checks of order, context and length, as subtitles."""
+    found = segments.segment_table(event_captions(spark, sf_dir))
+    return found.where("seg_no is not null").select("id", "seg_no", "start_ms", "length_ms", "silent", "ts_mode", "no_ts_mode", "num_tokens_ts_mode", "seg_content", "audio_timestamp")
+
+
+@query()
+def q_segment_counters(spark, sf_dir):
+    return segments.counters(segments.segment_table(event_captions(spark, sf_dir)))
+
+
+@query()
+def q_dead_letters(spark, sf_dir):
+    return segments.dead_letters(segments.segment_table(event_captions(spark, sf_dir)))
+
+
+@query()
+def q_nearest_align(spark, sf_dir):
+    """A user's windows of three captions each against captions 700 ms late."""
+    docs = event_captions(spark, sf_dir)
+    spans = F.transform(F.sequence(F.lit(1), F.size("captions"), F.lit(3)), lambda k: F.struct(F.get("captions", k - 1)["start"].alias("start"), F.get("captions", F.least(k + 1, F.size("captions") - 1))["end"].alias("end")))
+    late = F.transform("captions", lambda c: F.struct((c.start + 700).alias("start"), (c.end + 700).alias("end"), c.text.alias("text")))
+    found = align.nearest_align(docs.select("id", spans.alias("segments"), late.alias("captions")))
+    return found.select("id", "seg_no", "start", "end", "first", "last", F.array_join("texts", " ").alias("text"))
+
+
+@query()
+def q_pack_utterances(spark, sf_dir):
+    rows = event_captions(spark, sf_dir).select("id", F.posexplode("captions").alias("i", "c"))
+    stamp = lambda ms: F.lpad(F.expr(f"{ms} div 10").cast("string"), 8, "0")
+    made = rows.select(F.concat(F.concat(F.lit("u"), "id"), F.lit("-"), F.lpad(F.col("i").cast("string"), 5, "0"), F.lit("-"), stamp("c.start"), F.lit("-"), stamp("c.end")).alias("utt_id"), F.col("c.text").alias("text"))
+    return segments.pack_utterances(made).select("utt_id", F.size("text").cast("long").alias("n"), "dur", "ts_mode", "no_ts_mode")
+
+
+def event_stream(spark, sf_dir):
+    """The events table as a file source; a pattern, as it is one file or a folder."""
+    schema = load(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
+def drained(spark, stream, tag, mode):
+    path = scratch(spark, tag)
+    sessions.drain(stream, f"{path}/out", f"{path}/checkpoint", mode)
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def q_stream_counts(spark, sf_dir):
+    """Hourly counts of a stream in update mode; of a window's rows the last batch's counts."""
+    stream = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = drained(spark, sessions.windowed_counts(stream, "ts", "event_type", late="400 days"), "stream-counts", "update")
+    return counts.groupBy("start", "event_type").agg(F.max_by("n", "batch_no").alias("n")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("SELECT user_id AS session, right(string_agg(event_type || ' ', '' ORDER BY event_id), 200) AS text, CAST(sum(length(event_type) + 1) AS BIGINT) AS n_seen FROM events GROUP BY user_id")
+def q_stream_sessions(spark, sf_dir):
+    """Session buffers of the last 200 characters at the stream's end."""
+    stream = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit(" ")).alias("chunk"))
+    kept = drained(spark, sessions.buffered(stream, timeout_ms=None, buffer=200), "stream-sessions", "update")
+    last = kept.groupBy("session").agg(F.max_by(F.struct("text", "n_seen"), "batch_no").alias("k"))
+    return last.select(F.col("session").cast("long").alias("session"), "k.text", "k.n_seen")

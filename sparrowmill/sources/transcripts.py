@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.timecode import to_ms
+from ..operators.joins import merge_maps
 
 
 def captions(content: Column) -> Column:
@@ -37,6 +38,11 @@ def write_subtitles(segment_captions: Column, begin: Column, kind: str = "vtt")
     return F.concat(F.lit("WEBVTT\n\n" if kind == "vtt" else ""), body)
 
 
+def flatten_samples(rows: DataFrame, nested: str = "sample_dicts") -> DataFrame:
+    """Records that hold an array of records become those; null entries go."""
+    return rows.select(F.explode(nested).alias("r")).where("r is not null").select("r.*")
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Record shards (plain, gzip, zstd), with the shard's number from its name; the schema is given, never inferred."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
@@ -47,7 +53,7 @@ def read_language_maps(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(id, lang) of ``{id: lang}`` files; of an id in several files the last file by name wins."""
     raw = spark.read.text(path, wholetext=True)
     pairs = raw.select(F.col("_metadata.file_path").alias("f"), F.explode(F.from_json("value", "map<string,string>")).alias("id", "lang"))
-    return pairs.groupBy("id").agg(F.max_by("lang", "f").alias("lang"))
+    return merge_maps(pairs)
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:

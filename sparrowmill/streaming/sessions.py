@@ -1,34 +1,51 @@
-"""Streams: per-session text buffers with a bounded state, and event-time counts."""
+"""Streams: per-session text buffers with a bounded state, event-time counts, and tagging of new files only."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Characters that a session's buffer keeps; older ones go.
+#: Characters that a session's buffer keeps unless the caller says otherwise; older ones go.
 BUFFER = 100_000
 
 
-def buffered(stream: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
-    """For each session of (session, seq, chunk): its buffer (the last BUFFER characters) after every batch; a chunk null clears it."""
+def buffered(stream: DataFrame, timeout_ms: int | None = 600_000, buffer: int = BUFFER) -> DataFrame:
+    """For each session of (session, seq, chunk): its whole buffer after every batch, at most the last ``buffer`` characters,
+    n_seen (characters since it was last cleared) and n_chars; a chunk null clears it, silence of ``timeout_ms`` too. A stream
+    that only drains what is there takes no timeout (None), as one would keep it running."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        text = state.get[0] if state.exists else ""
+        text, seen = state.get if state.exists else ("", 0)
         rows = pd.concat(list(frames)).sort_values("seq")
         for chunk in rows["chunk"]:
-            text = "" if chunk is None else (text + chunk)[-BUFFER:]
-        state.update((text,))
-        state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame({"session": [key[0]], "text": [text], "n_chars": [len(text)]})
+            text, seen = ("", 0) if chunk is None else ((text + chunk)[-buffer:], seen + len(chunk))
+        state.update((text, seen))
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
+        yield pd.DataFrame({"session": [key[0]], "text": [text], "n_chars": [len(text)], "n_seen": [seen]})
 
-    return stream.groupBy("session").applyInPandasWithState(step, "session string, text string, n_chars long", "text string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("session").applyInPandasWithState(step, "session string, text string, n_chars long, n_seen long", "text string, n_seen long", "update", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, size: str = "1 hour", late: str = "1 hour") -> DataFrame:
     return stream.withWatermark(ts, late).groupBy(F.window(ts, size), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Runs a stream over all input there is, appending each batch with its number (``batch_no``) to Parquet in ``path``."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.withColumn("batch_no", F.lit(number)).write.mode("append").parquet(path)
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def new_files_only(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+    """``work`` on the rows of files that no earlier call with this checkpoint has seen; their results are added to ``path``."""
+    drain(work(stream), path, checkpoint)

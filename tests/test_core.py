@@ -149,7 +149,7 @@ def test_evaluation_sets(spark, tmp_path):
     assert rows("tsv_header", 'id\tpath\ttext\nx\ta.wav\t"so\n') == [("r/a.wav", '"so')]
     assert rows("tsv_plain", "x\ta.wav\tone\nx\tb.wav\ttwo\n", "") == [("a.wav", "one"), ("b.wav", "two")]
     assert rows("tsv_wav", "id\ttext\nu1\tone\n") == [("r/u1.wav", "one")]
-    assert rows("csv_dialect", 'a,b,c,d,e,f,g,h\n1,2,3,4,x.wav,6,7,"yes, ""so"""\n') == [("r/x.wav", 'yes, "so"')]
+    assert rows("csv_dialect", 'a,b,c,d,e,f,g,h\n1,2,3,4,x.wav,6,7,"yes, ""so"""\n') == [("r/x.wav/1", 'yes, "so"')]
     assert rows("json_lines", '{"audio": "a", "text": "t"}\n{"audio": "b"}\n') == [("r/a", "t"), ("r/b", None)]
     assert rows("stm", ";; note\nf 1 s 0.5  2.25 <o,f0> well yes\n") == [("r/f", "well yes", 0.5, 2.25)]
     with pytest.raises(ValueError):
