@@ -23,15 +23,23 @@ def overall(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
 def percentiles(rows: DataFrame, value: str, partitions: int) -> DataFrame:
     """(percentile, value) for 0..99 at rank min(round-half-even(p * n / 100), n - 1), and 100, the maximum.
 
-    Rows are dealt by ranges of the value; ranks come from counts of the ranges and a rank within each.
+    Equal values are counted first, so that ties are one row; distinct values are dealt to ranges between approximate
+    quantiles, and ranks come from the counts of the ranges and a running count within each. Nulls are left out.
     """
-    dealt = rows.select(F.col(value).alias("v")).where("v is not null").repartitionByRange(partitions, "v").withColumn("p", F.spark_partition_id())
-    counts = dealt.groupBy("p").agg(F.count("*").alias("n"))
-    starts = counts.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
-    ranked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("v")) - 1).join(F.broadcast(starts), "p").withColumn("rank", F.col("r") + F.col("start"))
+    own = rows.select(F.col(value).alias("v")).where("v is not null")
+    cuts = own.agg(F.percentile_approx("v", [k / partitions for k in range(1, partitions)])).first()[0] if partitions > 1 else None
+    span = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col("v"))) if cuts else F.lit(0)
+    dealt = own.groupBy("v").agg(F.count("*").alias("n")).withColumn("p", span)
+    counts = dealt.groupBy("p").agg(F.sum("n").alias("held"))
+    starts = counts.select("p", (F.sum("held").over(Window.orderBy("p")) - F.col("held")).alias("start"), F.sum("held").over(Window.partitionBy(F.lit(0))).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v"))
+    ranked = dealt.withColumn("upto", upto).join(F.broadcast(starts), "p").select("v", "total", (F.col("start") + F.col("upto") - F.col("n")).alias("low"), (F.col("start") + F.col("upto")).alias("high"))
     at = lambda i: F.least(F.bround(i * F.col("total") / 100.0).cast("long"), F.col("total") - 1)
-    wanted = F.filter(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: F.struct(i.alias("i"), F.when(i == 100, F.col("total") - 1).otherwise(at(i)).alias("at"))), lambda w: w["at"] == F.col("rank"))
-    return ranked.select("v", F.explode(wanted).alias("w")).select(F.col("w.i").alias("percentile"), F.col("v").alias("value"))
+    # only percentiles around a value's ranks are looked at
+    near = F.sequence(F.greatest(F.floor(F.col("low") * 100 / F.col("total")) - 1, F.lit(0)), F.least(F.ceil(F.col("high") * 100 / F.col("total")) + 1, F.lit(99)))
+    held = F.filter(near, lambda i: (at(i) >= F.col("low")) & (at(i) < F.col("high")))
+    last = F.when(F.col("high") == F.col("total"), F.array(F.lit(100).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return ranked.select("v", F.explode(F.concat(held, last)).alias("i")).select(F.col("i").cast("int").alias("percentile"), F.col("v").alias("value"))
 
 
 def poisson(keys: np.ndarray, replicates: int) -> np.ndarray:

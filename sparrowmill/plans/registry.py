@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import decode, text as T, timecode, tokens, wer
@@ -348,21 +350,25 @@ def q_skip_rule(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", ((F.col("value") / 100 > 0.6) & ~(F.col("value") / 10 - 8 > -1.0)).alias("skipped"))
 
 
-@query(f"""SELECT doc_id, array_to_string(list_concat(t, list_transform(range(448 - len(t)), lambda i: 51864)), ',') AS text_input, array_to_string(list_concat(t[2:], list_transform(range(449 - len(t)), lambda i: 51864)), ',') AS text_y
-FROM (SELECT doc_id, list_concat([50257], list_transform(list_filter(regexp_split_to_array(array_to_string(l, ' '), '\\s+'), lambda w: w <> ''), lambda w: length(w))[1:446], [50256]) AS t FROM {L})""")
+@query(f"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_ids, len(t) > 448 AS over_length, array_to_string(list_concat(t, list_transform(range(greatest(0, 448 - len(t))), lambda i: 51864)), ',') AS text_input,
+array_to_string(list_concat(t[2:], list_transform(range(greatest(0, 449 - len(t))), lambda i: 51864)), ',') AS text_y
+FROM (SELECT doc_id, list_concat([50257], list_transform(list_filter(regexp_split_to_array(array_to_string(l, ' '), '\\s+'), lambda w: w <> ''), lambda w: length(w)), [50256]) AS t FROM {L})""")
 def q_token_seq(spark, sf_dir):
-    ids = F.slice(F.transform(T.words(F.array_join("captions", " ")), lambda w: F.length(w)), 1, 446)
+    """All ids of each text as one sequence, padded to 448; longer ones stay whole and are marked."""
+    ids = F.transform(T.words(F.array_join("captions", " ")), lambda w: F.length(w))
     seq = F.concat(F.array(F.lit(50257)), ids, F.array(F.lit(50256)))
     docs = captioned(spark, sf_dir).select("doc_id", seq.alias("t"))
-    pad = lambda n: F.array_repeat(F.lit(51864), n - F.size("t"))
-    return docs.select("doc_id", F.array_join(F.concat("t", pad(F.lit(448))), ",").alias("text_input"), F.array_join(F.concat(F.slice("t", 2, 448), pad(F.lit(449))), ",").alias("text_y"))
+    pad = lambda n: F.array_repeat(F.lit(51864), F.greatest(n - F.size("t"), F.lit(0)))
+    return docs.select(
+        "doc_id", F.size("t").cast("long").alias("n_ids"), (F.size("t") > 448).alias("over_length"),
+        F.array_join(F.concat("t", pad(F.lit(448))), ",").alias("text_input"), F.array_join(F.concat(F.slice("t", F.lit(2), F.size("t")), pad(F.lit(449))), ",").alias("text_y"))
 
 
 @query(f"""SELECT doc_id, CAST(w AS INTEGER) AS window_no, array_to_string(list_concat(t, list_transform(range(448 - len(t)), lambda i: 51864)), ',') AS text_input, array_to_string(list_concat(t[2:], list_transform(range(449 - len(t)), lambda i: 51864)), ',') AS text_y
 FROM (SELECT doc_id, w, list_concat([50257], ids[w * 446 + 1:w * 446 + 446], [50256]) AS t FROM (SELECT doc_id, ids, unnest(range(greatest(1, (len(ids) + 445) // 446))) AS w
 FROM (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(array_to_string(l, ' '), '\\s+'), lambda w: w <> ''), lambda w: length(w)) AS ids FROM {L})))""")
 def q_token_windows(spark, sf_dir):
-    """All words of each text as consecutive sequences of at most 446 ids; q_token_seq has the first one only."""
+    """All words of each text as consecutive sequences of at most 446 ids."""
     ids = F.transform(T.words(F.array_join("captions", " ")), lambda w: F.length(w))
     cut = lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(446)), lambda at: F.slice(v, at, F.lit(446)))
     # bound as a lambda variable, so that words are made once a row
@@ -373,13 +379,17 @@ def q_token_windows(spark, sf_dir):
     return docs.select("doc_id", "window_no", F.array_join(F.concat("t", pad(F.lit(448))), ",").alias("text_input"), F.array_join(F.concat(F.slice("t", 2, 448), pad(F.lit(449))), ",").alias("text_y"))
 
 
-@query("""WITH w AS (SELECT value, b, CAST('0x' || substr(md5(b || '|' || event_id), 1, 6) AS BIGINT) / 16777216.0 AS h FROM events, range(0, 20) r(b)),
-p AS (SELECT b, value, CASE WHEN h < 0.367879 THEN 0 WHEN h < 0.735759 THEN 1 WHEN h < 0.919699 THEN 2 WHEN h < 0.981012 THEN 3 ELSE 4 END AS k FROM w)
+#: Poisson(1) chances of at most k, in units of 2 ** -24, as far as draws of 24 bits can tell them apart.
+AT_MOST = [math.ceil(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**24) for k in range(10)]
+
+
+@query(f"""WITH w AS (SELECT value, b, CAST('0x' || substr(md5(b || '|' || event_id), 1, 6) AS BIGINT) AS h FROM events, range(0, 20) r(b)),
+p AS (SELECT b, value, {" + ".join(f"(h >= {c})::INT" for c in AT_MOST)} AS k FROM w)
 SELECT CAST(b AS INTEGER) AS b, round(sum(value * k) / sum(k), 6) AS mean FROM p GROUP BY b""")
 def q_bootstrap_det(spark, sf_dir):
     drawn = load(spark, sf_dir, "events").select("event_id", "value", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("b"))
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", "b", "event_id")), 1, 6), 16, 10).cast("long") / 16777216.0
-    k = F.when(h < 0.367879, 0).when(h < 0.735759, 1).when(h < 0.919699, 2).when(h < 0.981012, 3).otherwise(4)
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "b", "event_id")), 1, 6), 16, 10).cast("long")
+    k = sum((h >= c).cast("int") for c in AT_MOST)
     return drawn.groupBy("b").agg(F.round(F.sum(F.col("value") * k) / F.sum(k), 6).alias("mean"))
 
 
@@ -398,15 +408,20 @@ def q_gap_segments(spark, sf_dir):
     return rows.withColumn("gap_ms", gap).where("gap_ms >= 30000").select("user_id", "event_id", "gap_ms", F.expr("gap_ms div 30000").alias("full_windows"), (F.col("gap_ms") % 30000).alias("rest_ms"))
 
 
+def placed(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(id, captions) of rows (key, order, d, gap, text): each caption starts ``gap`` ms after the one before and takes ``d``."""
+    end = F.sum(F.col("d") + F.col("gap")).over(Window.partitionBy(key).orderBy(order))
+    spans = rows.select(F.col(key).cast("string").alias("id"), order, (end - F.col("d")).alias("start"), end.alias("end"), "text")
+    whole = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(order, "start", "end", "text"))).alias("c"))
+    return whole.select("id", F.transform("c", lambda c: F.struct(c.start.alias("start"), c.end.alias("end"), c.text.alias("text"))).alias("captions"))
+
+
 @query()
 def q_segments(spark, sf_dir):
     """Captions of made-up length (120 ms a character) with a pause before every seventh one."""
-    shaped = F.transform("captions", lambda c, i: F.struct((F.length(c) * 120).cast("long").alias("d"), c.alias("text"), F.when(i % 7 == 6, 40000).otherwise(0).cast("long").alias("gap")))
-    start = lambda a, x: a + x.gap + x.d
-    ends = F.transform(F.sequence(F.lit(1), F.size("c")), lambda k: F.aggregate(F.slice("c", F.lit(1), k), F.lit(0).cast("long"), start))
-    docs = captioned(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), shaped.alias("c"))
-    made = F.zip_with("c", ends, lambda x, e: F.struct((e - x.d).alias("start"), e.alias("end"), x.text.alias("text")))
-    return segments.segments(docs.select("id", made.alias("captions")))
+    rows = captioned(spark, sf_dir).select("doc_id", F.posexplode("captions").alias("i", "text"))
+    timed_rows = rows.withColumns({"d": (F.length("text") * 120).cast("long"), "gap": F.when(F.col("i") % 7 == 6, 40000).otherwise(0).cast("long")})
+    return segments.segments(placed(timed_rows, "doc_id", "i"))
 
 
 SHIFTED = "CASE WHEN ms - 7200000 < 0 THEN ms - 7200000 + 86400000 ELSE ms - 7200000 END"
@@ -598,11 +613,7 @@ def q_model_info(spark, sf_dir):
 def event_captions(spark, sf_dir):
     """Captions of a user: events in order, gaps and lengths from their values."""
     rows = load(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value") * 300).alias("d"), F.when(F.col("event_id") % 9 == 0, 40000).otherwise(500).alias("gap"), F.concat_ws(" ", "event_type", "user_id").alias("text"))
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    end = F.sum(F.col("d") + F.col("gap")).over(order)
-    spans = rows.select(F.col("user_id").cast("string").alias("id"), "event_id", (end - F.col("d")).alias("start"), end.alias("end"), "text")
-    whole = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("event_id", "start", "end", "text"))).alias("c"))
-    return whole.select("id", F.transform("c", lambda c: F.struct(c.start.alias("start"), c.end.alias("end"), c.text.alias("text"))).alias("captions"))
+    return placed(rows, "user_id", "event_id")
 
 
 @query()

@@ -1,4 +1,4 @@
-"""Streams: per-session text buffers with a bounded state, event-time counts, and tagging of new files only."""
+"""Streams: per-session text buffers, event-time counts, and tagging of new files only."""
 
 from __future__ import annotations
 
@@ -8,12 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Characters that a session's buffer keeps unless the caller says otherwise; older ones go.
-BUFFER = 100_000
 
-
-def buffered(stream: DataFrame, timeout_ms: int | None = 600_000, buffer: int = BUFFER) -> DataFrame:
-    """For each session of (session, seq, chunk): its whole buffer after every batch, at most the last ``buffer`` characters,
+def buffered(stream: DataFrame, timeout_ms: int | None = 600_000, buffer: int | None = None) -> DataFrame:
+    """For each session of (session, seq, chunk): its whole text after every batch (the last ``buffer`` characters if given),
     n_seen (characters since it was last cleared) and n_chars; a chunk null clears it, silence of ``timeout_ms`` too. A stream
     that only drains what is there takes no timeout (None), as one would keep it running."""
 
@@ -24,7 +21,8 @@ def buffered(stream: DataFrame, timeout_ms: int | None = 600_000, buffer: int =
         text, seen = state.get if state.exists else ("", 0)
         rows = pd.concat(list(frames)).sort_values("seq")
         for chunk in rows["chunk"]:
-            text, seen = ("", 0) if chunk is None else ((text + chunk)[-buffer:], seen + len(chunk))
+            text, seen = ("", 0) if chunk is None else (text + chunk, seen + len(chunk))
+        text = text[-buffer:] if buffer else text
         state.update((text, seen))
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)

@@ -204,3 +204,31 @@ def test_command_line(spark, tmp_path):
     assert (got["casing"], got["text_lang"], got["shard"]) == ("mixed", "en", 3)
     cli.run(["segment", "--input", f"{tmp_path}/in", "--output", f"{tmp_path}/seg"], spark)
     assert spark.read.json(f"{tmp_path}/seg").first()["seg_id"] == "v1_0"
+
+
+@pytest.mark.parametrize("values", [[], [None], [3.0], [5.0] * 400 + [1.0, 9.0, None], [float(i * i % 97) for i in range(1000)], [7.0] * 50])
+def test_percentiles_with_ties(spark, values):
+    own = sorted(v for v in values if v is not None)
+    n = len(own)
+    want = [(p, own[min(round(p * n / 100), n - 1)] if p < 100 else own[-1]) for p in range(101) if n]
+    for parts in (1, 8):
+        found = sampling.percentiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", parts)
+        assert sorted(map(tuple, found.collect())) == want
+
+
+def test_token_seq_keeps_long_texts(spark, tmp_path):
+    from sparrowmill.plans import registry
+
+    spark.createDataFrame([(1, "ab c"), (2, "w " * 600), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in registry.QUERIES["q_token_seq"](spark, str(tmp_path)).collect()}
+    assert [(got[i]["n_ids"], got[i]["over_length"]) for i in (1, 2, 3)] == [(4, False), (602, True), (2, False)]
+    assert got[2]["text_input"].split(",") == ["50257", *["1"] * 600, "50256"] and got[2]["text_y"].split(",") == ["1"] * 600 + ["50256"]
+    assert got[1]["text_input"].split(",") == ["50257", "2", "1", "50256", *["51864"] * 444] and len(got[1]["text_y"].split(",")) == 448
+
+
+def test_session_text_is_whole(spark, tmp_path):
+    rows = spark.createDataFrame([("s", i, "x" * 1000) for i in range(150)], "session string, seq long, chunk string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    sessions.drain(sessions.buffered(stream, timeout_ms=None), str(tmp_path / "out"), str(tmp_path / "checkpoint"), "update")
+    assert spark.read.parquet(str(tmp_path / "out")).first()["n_chars"] == 150_000
