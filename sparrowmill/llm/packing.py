@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,8 @@ from . import common
 from .tokens import encoder
 
 #: Pieces of a group (mean), fillings kept for a bin and alternatives tried to find them, bins that one search may open
-#: besides one for each piece. A search that runs out leaves the incumbent, so these bound time, not the result's rows.
+#: besides one for each piece. A search that runs out leaves the incumbent, so these bound time, not the result's rows;
+#: ``exact`` lifts all but the first.
 GROUP, FILLINGS, STEPS, NODES = 20_000, 6, 60, 60_000
 
 
@@ -29,7 +31,7 @@ class Sizes:
 
     def __init__(self, sizes):
         self.count = Counter(sizes)
-        self.mask = sum(1 << s for s in self.count)
+        self.mask = sum(1 << s for s, n in self.count.items() if n)
 
     def take(self, s: int, n: int = 1) -> None:
         self.count[s] -= n
@@ -96,10 +98,27 @@ def fillings(left: Sizes, room: int, waste: int) -> list[list[int]]:
     return [[s for s, n in f for _ in range(n)] for _, f in sorted(found, key=lambda x: x[0])]
 
 
-def complete(sizes: list[int], cap: int, goal: int) -> list[list[int]] | None:
-    """A packing into ``goal`` bins, or None if the search ends or runs out of nodes."""
+def all_fillings(left: Sizes, room: int, waste: int) -> Iterator[list[int]]:
+    """Every filling of ``room`` that wastes at most ``waste`` and that no added or larger piece improves, one at a time."""
+
+    def grow(own: list[tuple[int, int]], room: int, top: int) -> Iterator[list[int]]:
+        s = left.at_most(min(room, top))
+        if not s and room <= waste and not left.at_most(room) and not any(left.at_most(a + room) > a for a, _ in own):
+            yield [s for s, n in own for _ in range(n)]
+        while s:
+            for n in range(min(left.count[s], room // s), 0, -1):
+                left.take(s, n)
+                yield from grow([*own, (s, n)], room - n * s, s - 1)
+                left.put(s, n)
+            s = left.at_most(s - 1)
+
+    return grow([], room, room)
+
+
+def complete(sizes: list[int], cap: int, goal: int, exact: bool = False) -> list[list[int]] | None:
+    """A packing into ``goal`` bins, or None if the search ends or, unless ``exact``, runs out of nodes."""
     left, spare, bins, nodes = Sizes(sizes), goal * cap - sum(sizes), [], 0
-    stack: list[tuple[int, list[list[int]], int]] = []  # size that opened the bin, fillings not tried, waste allowed before it
+    stack: list[tuple[int, Iterator[list[int]], int]] = []  # size that opened the bin, fillings not tried, waste allowed before it
     down = True
     while True:
         if down:
@@ -107,13 +126,15 @@ def complete(sizes: list[int], cap: int, goal: int) -> list[list[int]] | None:
             if top <= 0:
                 return bins
             nodes += 1
-            if nodes > NODES + len(sizes):
+            if nodes > NODES + len(sizes) and not exact:
                 return None
             left.take(top)
-            stack.append((top, fillings(left, cap - top, spare)[::-1], spare))
+            # a search through all fillings goes on while other bins are filled, so it has a copy of what is left
+            tries = all_fillings(Sizes(left.count), cap - top, spare) if exact else iter(fillings(left, cap - top, spare))
+            stack.append((top, tries, spare))
         top, rest, before = stack[-1]
-        if rest:
-            fill = rest.pop()
+        fill = next(rest, None)
+        if fill is not None:
             for s in fill:
                 left.take(s)
             bins.append([top, *fill])
@@ -141,11 +162,14 @@ def lower_bound(sizes: list[int], cap: int) -> int:
     return int(max(-(-sum(sizes) // cap), need.max(initial=0)))
 
 
-def pack(sizes: list[int], cap: int) -> list[list[int]]:
-    """Bins of sizes: best fit, improved by bin completion until the bound is met or the search gives no better one."""
+def pack(sizes: list[int], cap: int, exact: bool = False) -> list[list[int]]:
+    """Bins of sizes: best fit, improved by bin completion until the bound is met or the search gives no better one.
+
+    With ``exact`` the search has no bounds and the bins are as few as can be, in time that may grow exponentially.
+    """
     bins = best_fit(sizes, cap)
     least = lower_bound(sizes, cap)
-    while len(bins) > least and (better := complete(sizes, cap, len(bins) - 1)) is not None:
+    while len(bins) > least and (better := complete(sizes, cap, len(bins) - 1, exact)) is not None:
         bins = better
     return bins
 
@@ -170,11 +194,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, cap: int) -> Data
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int, cap: int) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int, cap: int, exact: bool = False) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``cap`` tokens.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is one piece with the
     end id; rows that share an id are packed each for itself; an empty table gives no rows; other columns are ignored.
+    Of equal lengths any piece may take any place. ``exact``: each group has as few sequences as can be, however long
+    the search takes.
     """
     pieces = common.stash(token_pieces(docs, tokenizer, end_id, cap), "pieces")
     groups = max(1, math.ceil(pieces.count() / GROUP))
@@ -182,7 +208,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int, cap: int) ->
     def pack_group(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, sizes in enumerate(pack(rows["length"].tolist(), cap)):
+        for k, sizes in enumerate(pack(rows["length"].tolist(), cap, exact)):
             at = 0
             for s in sizes:
                 places[s].append((k, at))

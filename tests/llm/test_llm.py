@@ -260,6 +260,37 @@ def test_packing_short_pieces():
     assert packing.lower_bound([6] * 5, 10) == 5 and packing.lower_bound([7, 7, 3, 3, 2], 10) == 3 and packing.lower_bound([], 10) == 0
 
 
+def test_packing_exact():
+    def fewest(sizes, cap):
+        """By placing each size, the largest first, in every open bin that takes it and in a new one."""
+        best = len(sizes)
+
+        def place(k, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if k == len(sizes):
+                best = len(rooms)
+                return
+            for room in {*rooms, cap}:
+                if room >= sizes[k]:
+                    rest = list(rooms)
+                    if room in rest:
+                        rest.remove(room)
+                    place(k + 1, [*rest, room - sizes[k]])
+
+        sizes = sorted(sizes, reverse=True)
+        place(0, [])
+        return best
+
+    r = random.Random(9)
+    for _ in range(60):
+        sizes = r.choices(range(2, 30), k=11)
+        bins = packing.pack(sizes, 40, exact=True)
+        assert sorted(s for b in bins for s in b) == sorted(sizes) and max(map(sum, bins)) <= 40 and len(bins) == fewest(sizes, 40)
+    assert sorted(packing.all_fillings(packing.Sizes([5, 4, 4, 3, 1]), 8, 1)) == [[4, 3, 1], [4, 4], [5, 3]]
+
+
 def test_topk(spark):
     r = np.random.default_rng(4)
     rows = [(i, [float(x) for x in r.normal(size=6)]) for i in range(300)] + [(300, None), (301, [None] * 6), (302, [float("nan")] * 6), (303, [0.0] * 6), (304, [0.0] * 6)]
