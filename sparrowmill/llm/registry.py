@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, divergence, language, media, mixing, near_dup, packing, pii, sentencepiece_codec, suffix_dedup, token_files, topk_search
+from . import chat, divergence, language, media, mixing, near_dup, packing, pii, repair, sentencepiece_codec, suffix_dedup, token_files, topk_search
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_language": language.op10_language,
     "op11_mixing": mixing.op11_mixing,
+    "op12_repair": repair.op12_repair,
     "op13_divergence": divergence.op13_divergence,
 }
-ORACLES = {"op5_chat_format": chat.OP5_SQL, "op9_topk_search": topk_search.OP9_SQL, "op11_mixing": mixing.OP11_SQL, "op13_divergence": divergence.OP13_SQL}
+ORACLES = {"op5_chat_format": chat.OP5_SQL, "op9_topk_search": topk_search.OP9_SQL, "op11_mixing": mixing.OP11_SQL, "op12_repair": repair.OP12_SQL, "op13_divergence": divergence.OP13_SQL}
