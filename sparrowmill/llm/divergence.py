@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import common
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What is left of the terms' signs once A-Z are small: a-z and all beyond ASCII, stated as ranges, which match several times as fast as what they exclude.
+TERM = r"[a-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Groups (language, source) that are sent to every task; beyond that they are joined by language and SALTS parts of the terms.
 BROADCAST_GROUPS, SALTS = 100_000, 64
@@ -22,11 +23,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     plain = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
     terms = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), F.regexp_extract_all(plain, F.lit(TERM), F.lit(0)).alias("terms"))
-    # every term with its occurrences, and once more each distinct term of the row
-    kinds = lambda c, n, d: F.struct(c.alias("t"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("d"))
-    both = terms.select("lang", "source", F.explode(F.array(kinds(F.col("terms"), 1, 0), kinds(F.array_distinct("terms"), 0, 1))).alias("k"))
-    rows = both.select("lang", "source", F.col("k.n").alias("n"), F.col("k.d").alias("d"), F.explode("k.t").alias("term"))
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("in_docs"))
+    # every term with its occurrences, and behind them once more each distinct term of the row; the outer form keeps the pattern from being matched again to rule out empty lists
+    both = terms.select("lang", "source", F.size("terms").alias("z"), F.concat("terms", F.array_distinct("terms")).alias("a"))
+    rows = both.select("lang", "source", "z", F.posexplode_outer("a").alias("i", "term")).where("term is not null")
+    return rows.groupBy("lang", "source", "term").agg(F.sum((F.col("i") < F.col("z")).cast("long")).alias("n"), F.sum((F.col("i") >= F.col("z")).cast("long")).alias("in_docs"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -56,18 +56,18 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFrame:
     Ranks go by value, largest first, ties by item. Rows are documents, so repeated rows count again; empty texts make
     groups without terms; long texts are read whole; an empty table gives no rows; other columns are ignored.
     """
-    counts = common.stash(term_counts(docs), "term-counts")
-    kept = common.stash(counts.groupBy("lang", "term").agg(F.sum("in_docs").alias("in_docs"), F.sum("n").alias("lang_n")).where(F.col("in_docs") >= least_docs).drop("in_docs"), "kept")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-    held = counts.join(kept, ["lang", "term"])
+    own = Window.partitionBy("lang", "term")
+    counts = term_counts(docs).select("lang", "source", "term", "n", F.sum("in_docs").over(own).alias("in_docs"), F.sum("n").over(own).alias("lang_n"), (F.min("source").over(own) == F.col("source")).alias("first"))
+    held = common.stash(counts.where(F.col("in_docs") >= least_docs).drop("in_docs"), "held")
+    langs = held.groupBy("lang").agg(F.sum(F.col("first").cast("long")).alias("v"), F.sum("n").alias("lang_total"))
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     names = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     groups = names.join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = common.stash(groups.select("lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "v", "lang_total"))), "groups")
     bounded = groups.count() <= BROADCAST_GROUPS
     # absent terms count zero
-    crossed = by_lang(kept.select("lang", "term"), groups.select("lang", "source", "total", "v"), bounded, "term")
-    dense = crossed.join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
+    crossed = by_lang(held.where("first").select("lang", "term"), groups.select("lang", "source", "total", "v"), bounded, "term")
+    dense = crossed.join(held.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
     dense = dense.select("lang", "term", "source", share(F.coalesce("n", F.lit(0)), F.col("total"), F.col("v")).alias("p"))
     dense = common.stash(dense, "dense")
     other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
