@@ -39,8 +39,12 @@ SECRET_NAMES = re.compile(r"(?i)(?:passw(?:or)?d|pwd|passphrase|token|secret|api
 CUES = re.compile(r"(?i)(?:e-?mail|mail|phone|tel|call|mobile|fax|card|iban|ssn|account|ip|address|login|contact|write|reach)\W{0,4}\w{0,3}\W{0,3}$")
 #: Words that speak for a measure, a price or an ordinary number.
 COUNTS = re.compile(r"(?i)(?:[$€£#%]|\b(?:no|nr|number|page|pages|year|vol|isbn|version|rows|items|total|about|id)\b[.:]?)\s{0,2}$")
-#: Characters before a span that the labelers look at, characters of a secret and digits of a number beyond which a candidate that meets base spans is cut at them, not dropped.
-CONTEXT, LONG_SECRET, LONG_NUMBER = 64, 300, 31
+#: Characters before a span that the labelers look at.
+CONTEXT = 64
+#: What is believed of a labeler before any count: how often its votes are right, with the weight of so many votes, beside so many votes of the corpus, however large.
+TRUST, PRIOR_VOTES, CORPUS_VOTES = 0.85, 200.0, 1000.0
+#: Within these no labeler decides alone, and two that agree do when none objects.
+RELIABILITY = (0.76, 0.88)
 #: Posterior that a candidate needs to become a span.
 ACCEPT = 0.9
 LABELERS = ("pattern", "named", "key prefix", "domain list", "checksum", "cue before", "mixed shape", "plain number")
@@ -85,9 +89,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def outside(text: str, a: int, k: int, b: int, taken: list[list[int]]) -> list[tuple[int, int, int]]:
-    """The parts of a long candidate that lie between base spans and are long enough to be candidates."""
+    """The parts of a candidate that lie between base spans and are long enough to be candidates."""
     i = bisect.bisect_right(taken, a, key=lambda t: t[1])
-    if i == len(taken) or taken[i][0] >= b or (b - a <= LONG_SECRET if k == 4 else len(digits(text[a:b])) <= LONG_NUMBER):
+    if i == len(taken) or taken[i][0] >= b:
         return [(a, k, b)]
     found = []
     while a < b:
@@ -132,7 +136,7 @@ def votes(text: str, start: int, kind: int, end: int) -> str:
     """One letter for each labeler (p for, n against, - no vote), then features: length, digits, letter case, signs before and after, kind."""
     span, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + 1]
     d = digits(span)
-    letters = [c for c in span[:256] if c.isalpha()]
+    letters = [c for c in span if c.isalpha()]
     last = span.replace(")", "").replace("]", "").rsplit(".", 1)[-1].rsplit(" ", 1)[-1].lower()
     named = SECRET_NAMES.search(before)
     said = (
@@ -142,7 +146,7 @@ def votes(text: str, start: int, kind: int, end: int) -> str:
         ("p" if last in DOMAINS else "n") if kind in (0, 6) else "-",
         ("p" if luhn(d) else "n") if 13 <= len(d) <= 19 and kind in (2, 5) else "-",
         ("p" if CUES.search(before) else "-"),
-        ("p" if len(span) >= 16 and len(d) >= 2 and letters else "n" if not d else "-") if kind == 4 else "-",
+        ("p" if len(span) >= 8 and len(d) >= 2 and letters else "n" if not d else "-") if kind == 4 else "-",
         "n" if kind in (4, 5) and (len(d) == len(span) and len(d) < 9 or COUNTS.search(before)) else "-",
     )
     size = "abcd"[(len(span) > 8) + (len(span) > 16) + (len(span) > 40)]
@@ -175,34 +179,31 @@ def vote_counts(docs: DataFrame) -> dict[str, int]:
 def fit(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
     """Probability that spans with a vote pattern are personal data.
 
-    EM over the counts of votes (a naive Bayes label model with abstentions, started from the majority vote), then a
-    logistic span classifier on votes and features trained on the posteriors. Without spans there is nothing to decide.
+    EM over the counts of votes estimates how reliable each labeler is where it votes, from a common belief that weighs
+    alike beside a corpus of any size (personal data and other strings count as equally likely, abstentions say nothing).
+    Its posteriors train a logistic span classifier on votes and features. Without spans there is nothing to decide.
     """
     if not counts:
         return {}
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
-    v = np.array([["-np".index(c) for c in p[: len(LABELERS)]] for p in patterns])
-    hot = np.stack([v == k for k in range(3)], 2).astype(float)  # pattern, labeler, vote
+    share = n * CORPUS_VOTES / n.sum()
+    v = np.array([["n-p".index(c) - 1 for c in p[: len(LABELERS)]] for p in patterns], float)
+    right = np.full(v.shape[1], TRUST)
+    for _ in range(rounds):
+        post = 1 / (1 + np.exp(-v @ np.log(right / (1 - right))))
+        agreed = share @ ((v > 0) * post[:, None] + (v < 0) * (1 - post)[:, None])
+        right = np.clip((PRIOR_VOTES * TRUST + agreed) / (PRIOR_VOTES + share @ np.abs(v)), *RELIABILITY)
+    post = 1 / (1 + np.exp(-v @ np.log(right / (1 - right))))
     marks = sorted({(k, p[k]) for p in patterns for k in range(len(LABELERS), len(p))})
     shape = np.array([[p[k : k + 1] == c for k, c in marks] for p in patterns], float).reshape(len(patterns), len(marks))
-    post = np.clip(0.5 + 0.2 * ((v == 2).sum(1) - (v == 1).sum(1)), 0.05, 0.95)
-    for _ in range(rounds):
-        like = []
-        for q in (1 - post, post):
-            w = n * q
-            rate = (np.einsum("p,plk->lk", w, hot) + 0.5) / (w.sum() + 1.5)
-            like.append(np.log(w.sum() + 1) + np.einsum("plk,lk->p", hot, np.log(rate)))
-        # a labeler's votes may not count against what it votes for
-        post = np.clip(1 / (1 + np.exp(np.clip(like[0] - like[1], -50, 50))), 1e-4, 1 - 1e-4)
-        post = np.where((v == 2).any(1) & ~(v == 1).any(1), np.maximum(post, 0.5), post)
-        post = np.where(~(v == 2).any(1), np.minimum(post, 0.5), post)
-    x = np.concatenate([np.ones((len(patterns), 1)), hot[:, :, 1], hot[:, :, 2], shape], 1)
-    w, beta = n / n.sum(), np.zeros(x.shape[1])
+    x = np.concatenate([np.ones((len(patterns), 1)), v, shape], 1)
+    # rare patterns count too: by the logarithm of their number
+    w, beta = np.log1p(n) / np.log1p(n).sum(), np.zeros(x.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-x @ beta))
-        grad = x.T @ (w * (p - post)) + 1e-4 * beta
-        hess = (x * (w * p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-4 * np.eye(len(beta))
+        grad = x.T @ (w * (p - post)) + 1e-7 * beta
+        hess = (x * (w * p * (1 - p) + 1e-12)[:, None]).T @ x + 1e-7 * np.eye(len(beta))
         beta -= np.linalg.solve(hess, grad)
     return dict(zip(patterns, (1 / (1 + np.exp(-x @ beta))).tolist()))
 
