@@ -130,15 +130,15 @@ def damage(turns: DataFrame) -> DataFrame:
     return rows.withColumn("tie", F.struct("told", "digest", "copy")).drop("told", "digest", "copy")
 
 
-def in_order(turns: DataFrame) -> DataFrame:
-    """Rows (key, conv_id, at, turn, role, text, who, fault), written; ``at`` grows along each conversation.
+def in_order(turns: DataFrame, ties: str | None = None) -> DataFrame:
+    """Rows (key, at, turn, role, text, who, fault, digest), written; ``at`` grows along each conversation.
 
-    Sorted in ranges, so that a long conversation may lie in several parts. A later turn with the role and text of an
+    Sorted in ranges, so that a long conversation may lie in several parts. ``ties``: a column that orders turns of one number. A later turn with the role and text of an
     earlier one is a duplicate.
     """
-    tie = F.col("tie") if "tie" in turns.columns else F.struct("role", F.sha2("text", 256).alias("digest"))
-    rows = turns.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")).alias("key"), "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), tie.alias("tie"))
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    tie = F.struct(said("role").alias("role"), F.sha2(said("text"), 256).alias("digest")) if ties is None else F.col(ties)
+    rows = turns.select(said("conv_id").alias("key"), "turn", said("role").alias("role"), said("text").alias("text"), tie.alias("tie"))
     rows = rows.orderBy("key", F.col("turn").asc_nulls_first(), "tie").withColumn("at", F.monotonically_increasing_id())
     initial = F.substring("role", 1, 1)
     fault = F.when(~F.col("text").rlike(SOLID), "blank").when(~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), "truncated").otherwise("")
@@ -277,16 +277,16 @@ def digests(turns: DataFrame) -> DataFrame:
     return turns.mapInArrow(run, "key string, repaired_sha256 string")
 
 
-def repair(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repair(turns: DataFrame, ties: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Report and repaired turns of ``turns`` (conv_id, turn, role, text).
 
     The report has a row for each conversation: key (conv_id as text, null as one space), gaps, blank, duplicate, truncated,
     illegal, cost, audit; the repaired turns are (key, role, text) in order. Turns go by number (nulls first), ties by
-    role and a hash of the text; null roles and texts are one space; repeated rows are duplicates; roles that are none of
+    role and a hash of the text unless ``ties`` names a column; null roles and texts are one space; repeated rows are duplicates; roles that are none of
     the pattern's, an empty one too, are given another or go; texts of any length are only streamed. An empty table gives
     no rows; other columns are ignored.
     """
-    rows = in_order(turns)
+    rows = in_order(turns, ties)
     marked = common.stash(with_duplicates(rows), "faults")
     told, pieces = audits(blocks(marked))
     count = lambda kind: F.sum((F.col("fault") == kind).cast("long")).alias(kind)
@@ -299,7 +299,7 @@ def repair(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of every conversation of the damaged table, with a digest of its repaired turns; those without turns have zeros."""
     turns = common.load(spark, sf_dir, "conversations")
-    report, fixed = repair(damage(turns))
+    report, fixed = repair(damage(turns), "tie")
     every = turns.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")).alias("key")).distinct()
     found = every.join(report, "key", "left").join(digests(fixed), "key", "left")
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
