@@ -1,4 +1,4 @@
-"""Command line: ``python -m sparrowmill.cli tag|filter|segment|sample|score ...`` (or through spark-submit)."""
+"""Command line: ``python -m sparrowmill.cli COMMAND ...`` (or through spark-submit); the commands are in ``run``."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as T
-from .operators import filters, sampling, scoring, segments, tags
-from .session import session
-from .sinks import tables
-from .sources import transcripts
+from .operators import filters, joins, sampling, scoring, segments, tags
+from .session import scratch, session
+from .sinks import outputs, tables
+from .sources import evalsets, transcripts
 
 DOCUMENT = "id string, subtitle_file string, audio_file string, content string, mach_content string, length double, audio_lang string, text_lang string, casing string, repeating_lines boolean, edit_dist double, seg_edit_dist double, seg_content string"
 
@@ -23,10 +23,60 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return parsed.withColumns({"captions": F.col("timed.text"), "mach_captions": machine}).select(*(own(c) for c in rows.columns), "timed", "captions", "mach_captions")
 
 
+def tagged_shards(rows: DataFrame, config: str, path: str) -> None:
+    steps = filters.load_config(config)
+    tagged = tags.from_config(rows, steps).drop(*PARTS)
+    own = {s["tag"]: tagged.schema[s["tag"]].dataType.simpleString() for s in steps if s["tag"] in tagged.columns}
+    stats = {f"{t}_count": (t, F.col(t).cast("long")) for t, kind in own.items() if kind == "boolean"} | {f"{t}_sum": (t, F.col(t)) for t, kind in own.items() if kind in ("bigint", "double", "int")}
+    stats |= {f"{t}_{v}_count": (t, (F.col(t) == v).cast("long")) for t, kind in own.items() if kind == "string" for v in VALUES.get(t, ())}
+    rolled = tags.rolled_up(tags.stat_rows(tagged, stats, "shard"), "shard") if stats else None
+    if rolled is None:
+        tables.write_shards(tagged, path, "shard")
+    else:
+        outputs.write_tagged(tagged, rolled, path)
+
+
+def segment(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Segments are made once and written, then sorted into their files."""
+    kept = scratch(spark, "segments")
+    segments.segment_table(rows.select("id", F.col("timed").alias("captions"))).join(rows.select("id", "shard").dropDuplicates(["id"]), "id", "left").write.parquet(kept)
+    outputs.write_segments(spark.read.parquet(kept), path)
+
+
+def score(spark: SparkSession, source: str, path: str) -> None:
+    pairs = spark.read.schema("eval_set string, ref string, hyp string").json(source)
+    ref, hyp = T.normalise_english(F.col("ref")), T.normalise_english(F.col("hyp"))
+    scored = scoring.pair_scores(scoring.valid_references(pairs.withColumns({"ref": ref, "hyp": hyp})), F.col("ref"), F.col("hyp"))
+    tables.write_table(scoring.corpus_scores(scored, ["eval_set"]), path)
+
+
+def assign(spark: SparkSession, rows: DataFrame, maps: str, path: str) -> None:
+    """Records with the languages of the maps, ``en`` where they say nothing; those are dead letters too."""
+    held = transcripts.read_language_maps(spark, maps).withColumnRenamed("lang", "audio_lang")
+    own = rows.drop("audio_lang", *PARTS)
+    missing = joins.missing(own.select("id"), held, "id").select("id", F.lit("language").alias("stage"), F.lit("missing").alias("reason"), F.lit(1).alias("n"))
+    known = joins.lookup(own, held, "id", "audio_lang", "en")
+    outputs.write_parts(
+        path, outputs.part(known, outputs.shard_name("shard", "shard_%05d.jsonl.gz"), outputs.record(known, "shard"), F.col("id")),
+        outputs.part(missing, "missing_audio_lang.jsonl.gz", outputs.record(missing), F.col("id")))
+
+
+#: Columns of ``documents`` that are parsed from the record, and values that statistics count.
+PARTS = ("timed", "captions", "mach_captions")
+VALUES = {"casing": ("upper", "lower", "mixed"), "text_lang": ("en",)}
+#: Command -> its arguments besides --input, --output, --size and --seed.
+COMMANDS = {
+    "ingest": (), "tag": ("--config",), "filter": ("--config",), "segment": (), "sample": (), "score": (), "assign": ("--maps",), "vote": (), "reseg": (), "percentiles": ("--column",), "bars": (),
+}
+
+
 def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
+    """ingest: transcripts to records. tag, filter, segment, sample: records by shard. assign: languages of maps. vote: a map
+    from (id, lang) votes. reseg: utterances (utt_id, text) to segments. score: word error rates. percentiles: of a column of
+    an overall sample of --size rows. bars: error bars of score files (wer, ref_length)."""
     parser = argparse.ArgumentParser(prog="sparrowmill")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, texts in {"tag": ("--config",), "filter": ("--config",), "segment": (), "sample": (), "score": ()}.items():
+    for name, texts in COMMANDS.items():
         sub = commands.add_parser(name)
         for flag in ("--input", "--output", *texts):
             sub.add_argument(flag, required=True)
@@ -35,23 +85,36 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
     args = parser.parse_args(argv)
     spark = spark or session()
     if args.command == "score":
-        pairs = spark.read.schema("eval_set string, ref string, hyp string").json(args.input)
-        ref, hyp = T.normalise_english(F.col("ref")), T.normalise_english(F.col("hyp"))
-        scored = scoring.pair_scores(scoring.valid_references(pairs.withColumns({"ref": ref, "hyp": hyp})), F.col("ref"), F.col("hyp"))
-        tables.write_table(scoring.corpus_scores(scored, ["eval_set"]), args.output)
-        return
+        return score(spark, args.input, args.output)
+    if args.command == "ingest":
+        found = transcripts.read_transcripts(spark, args.input).drop("captions")
+        sharded = found.withColumn("shard", F.regexp_extract("subtitle_file", r"shard_(\d+)/", 1).try_cast("int"))
+        return outputs.write_parts(args.output, outputs.part(sharded, outputs.shard_name("shard", "shard_%05d.jsonl.gz"), outputs.record(found), F.col("id")))
+    if args.command == "vote":
+        votes = spark.read.schema("id string, seg_no long, content string, lang string").json(args.input)
+        voted = joins.majority(votes.where("content <> ''"), "id", "lang", "seg_no")
+        return outputs.write_map(voted, args.output)
+    if args.command == "reseg":
+        return tables.write_table(segments.pack_utterances(spark.read.schema("utt_id string, text string").json(args.input)), args.output)
+    if args.command == "percentiles":
+        rows = spark.read.schema(f"id string, {args.column} double").json(args.input)
+        held = sampling.overall(rows, "id", args.size, args.seed)
+        return tables.write_table(sampling.percentiles(held, args.column, int(spark.conf.get("spark.sql.shuffle.partitions"))), args.output)
+    if args.command == "bars":
+        scores = evalsets.read_scores(spark, args.input).withColumn("n", F.monotonically_increasing_id())
+        return tables.write_table(sampling.error_bars(sampling.bootstrap_means(scores, ["n"], "wer", "ref_length")), args.output)
     rows = documents(spark, args.input)
-    parts = ["timed", "captions", "mach_captions"]
     if args.command == "tag":
-        tables.write_shards(tags.from_config(rows, filters.load_config(args.config)).drop(*parts), args.output, "shard")
+        tagged_shards(rows, args.config, args.output)
+    elif args.command == "assign":
+        assign(spark, rows, args.maps, args.output)
     elif args.command == "filter":
-        kept = filters.with_hit(rows, filters.load_config(args.config)).where("hit = 'pass'").drop("hit", *parts)
+        kept = filters.with_hit(rows, filters.load_config(args.config)).where("hit = 'pass'").drop("hit", *PARTS)
         tables.write_shards(kept, args.output, "shard")
     elif args.command == "segment":
-        found = segments.segment_table(rows.select("id", F.col("timed").alias("captions")))
-        tables.write_shards(found.where("seg_no is not null"), args.output)
+        segment(spark, rows, args.output)
     else:
-        tables.write_shards(sampling.per_shard(rows.drop(*parts), "shard", "id", args.size, args.seed), args.output, "shard")
+        tables.write_shards(sampling.per_shard(rows.drop(*PARTS), "shard", "id", args.size, args.seed), args.output, "shard")
 
 
 if __name__ == "__main__":

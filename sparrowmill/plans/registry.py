@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import decode, text as T, timecode, tokens, wer
 from ..operators import align, filters, joins, sampling, scoring, segments, tags
 from ..session import scratch
-from ..sinks import tables
+from ..sinks import committed, outputs, tables
+from ..sources import archives, transcripts
 from ..streaming import sessions
 
 QUERIES: dict = {}
@@ -678,3 +679,38 @@ def q_stream_sessions(spark, sf_dir):
     kept = drained(spark, sessions.buffered(stream, timeout_ms=None, buffer=200), "stream-sessions", "update")
     last = kept.groupBy("session").agg(F.max_by(F.struct("text", "n_seen"), "batch_no").alias("k"))
     return last.select(F.col("session").cast("long").alias("session"), "k.text", "k.n_seen")
+
+
+@query("SELECT source || '.tar' AS archive, CAST(doc_id AS VARCHAR) AS key, lang, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, md5(coalesce(text, '')) AS text_md5 FROM documents")
+def q_tar_shards(spark, sf_dir):
+    """Each document as two members of its source's archive, written in one commit and read again as samples."""
+    docs = load(spark, sf_dir, "documents")
+    member = lambda ending, c: docs.select("source", F.concat("doc_id", F.lit(ending)).alias("member"), F.coalesce(c, F.lit("")).alias("content"))
+    path = scratch(spark, "tar-shards")
+    both = member(".txt", "text").unionByName(member(".lang", "lang"))
+    committed.write_archives(both, path, F.concat("source", F.lit(".tar")), F.col("member"), F.col("content"))
+    samples = archives.tar_samples(spark, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    text = F.col("parts")["txt"]
+    return samples.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "key", F.decode(F.col("parts")["lang"], "UTF-8").alias("lang"), F.octet_length(text).cast("long").alias("n_bytes"), F.md5(text).alias("text_md5"))
+
+
+@query("""SELECT source || '.jsonl.gz' AS name, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line_no, doc_id, md5(coalesce(text, '')) AS text_md5, count(*) OVER (PARTITION BY source) AS n_rows FROM documents""")
+def q_shard_files(spark, sf_dir):
+    """Records by source in files of their own names, read again line by line, with the rows that the manifest says."""
+    docs = load(spark, sf_dir, "documents")
+    path = scratch(spark, "shards")
+    committed.write_shards(docs, path, F.concat("source", F.lit(".jsonl.gz")), ["doc_id"], ["doc_id", "text"])
+    lines = archives.read_lines(spark, path, "*.jsonl.gz").select(F.element_at(F.split("file", "/"), -1).alias("name"), "line_no", F.from_json("line", "doc_id long, text string").alias("r"))
+    told = committed.manifest(docs, path).select("name", F.col("rows").alias("n_rows"))
+    return lines.join(told, "name").select("name", "line_no", "r.doc_id", F.md5(F.coalesce("r.text", F.lit(""))).alias("text_md5"), "n_rows")
+
+
+@query("""SELECT conv_id || '/' || turn || '.srt' AS name, md5('1' || chr(10) || '00:00:00,000 --> 00:00:02,000' || chr(10) || coalesce(text, '') || chr(10) || chr(10)) AS content_md5 FROM conversations""")
+def q_segment_files(spark, sf_dir):
+    """Each turn as a subtitle file of its own, in a folder for each conversation, written in one commit and read again."""
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    caption = F.array(F.struct(F.lit(0).alias("start"), F.lit(2000).alias("end"), F.col("text")))
+    path = scratch(spark, "segment-files")
+    committed.write_files(turns, path, F.concat_ws("/", "conv_id", F.concat("turn", F.lit(".srt"))), transcripts.write_subtitles(caption, F.lit(0), "srt"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.srt").load(path)
+    return found.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("name"), F.md5("content").alias("content_md5"))

@@ -200,10 +200,10 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "in" / "shard_00003.jsonl").write_text(json.dumps(record) + "\n")
     (tmp_path / "t.yaml").write_text("pipeline:\n  - tag: casing\n  - tag: text_lang\n")
     cli.run(["tag", "--input", f"{tmp_path}/in", "--output", f"{tmp_path}/tagged", "--config", f"{tmp_path}/t.yaml"], spark)
-    got = spark.read.json(f"{tmp_path}/tagged").first()
-    assert (got["casing"], got["text_lang"], got["shard"]) == ("mixed", "en", 3)
+    got = spark.read.json(f"{tmp_path}/tagged/shard_00003.jsonl.gz").first()
+    assert (got["casing"], got["text_lang"]) == ("mixed", "en")
     cli.run(["segment", "--input", f"{tmp_path}/in", "--output", f"{tmp_path}/seg"], spark)
-    assert spark.read.json(f"{tmp_path}/seg").first()["seg_id"] == "v1_0"
+    assert spark.read.json(f"{tmp_path}/seg/shard_seg_00003.jsonl.gz").first()["seg_id"] == "v1_0"
 
 
 @pytest.mark.parametrize("values", [[], [None], [3.0], [5.0] * 400 + [1.0, 9.0, None], [float(i * i % 97) for i in range(1000)], [7.0] * 50])
