@@ -1,6 +1,7 @@
 """Token budgets and training sequences over arrays of token ids. Times are milliseconds from a segment's start.
 
-``count`` says how many tokens a caption has; words stand for tokens unless a caller brings a vocabulary's own counts.
+``count`` says how many tokens a caption has; words stand for tokens unless a caller brings a vocabulary's own counts
+(``bpe.token_counts`` over ``spoken``, with ``context_of``).
 """
 
 from __future__ import annotations
@@ -39,8 +40,18 @@ def context_modes(captions: Column, last: Column, count: Callable[[Column], Colu
     With times every caption has two more tokens, a segment that isn't the last one more, and a sequence has its start
     and end; without, a sequence has three tokens besides the text. Null captions are over.
     """
-    text = F.aggregate(captions, F.lit(0), lambda n, c: n + count(F.trim(c)))
-    with_times = text + 2 * F.size(captions) + F.when(last, 0).otherwise(1) + 2
+    return context_of(F.transform(captions, lambda c: count(F.trim(c))), last, limit)
+
+
+def spoken(captions: Column) -> Column:
+    """Captions as a vocabulary counts them: trimmed, behind a space."""
+    return F.transform(captions, lambda c: F.concat(F.lit(" "), F.trim(F.coalesce(c, F.lit("")))))
+
+
+def context_of(counts: Column, last: Column, limit: int = CONTEXT) -> Column:
+    """``context_modes`` of captions with these numbers of tokens."""
+    text = F.aggregate(counts, F.lit(0), lambda n, c: n + c)
+    with_times = text + 2 * F.size(counts) + F.when(last, 0).otherwise(1) + 2
     without = text + 3
     return F.struct(
         F.coalesce(with_times <= limit, F.lit(False)).alias("ts_mode"), F.coalesce(without <= limit, F.lit(False)).alias("no_ts_mode"),

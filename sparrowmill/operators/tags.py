@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, wer
+from .language import language_of
 
 TAGS = {
     "casing": lambda c: T.casing(T.casing_counts(c)),
@@ -22,13 +23,14 @@ def edit_distance(manual: Column, machine: Column) -> Column:
     return wer.distance_ladder(manual, machine, T.normalise(manual), T.normalise(machine))
 
 
-def tag(docs: DataFrame, names: list[str], captions: str = "captions", machine: str = "mach_captions") -> DataFrame:
-    """``docs`` with one column for each tag; an unknown tag is an error."""
+def tag(docs: DataFrame, names: list[str], captions: str = "captions", machine: str = "mach_captions", profiles: dict | None = None) -> DataFrame:
+    """``docs`` with one column for each tag; an unknown tag is an error. ``profiles``: learned languages for text_lang, else its word lists decide."""
     if unknown := [n for n in names if n not in TAGS | PAIR_TAGS]:
         raise ValueError(f"unknown tags: {unknown}")
     no_captions = F.array().cast("array<string>")
     other = F.coalesce(F.col(machine), no_captions) if machine in docs.columns else no_captions
-    return docs.withColumns({n: TAGS[n](F.col(captions)) if n in TAGS else PAIR_TAGS[n](F.col(captions), other) for n in names})
+    own = TAGS | ({"text_lang": lambda c: language_of(T.plain_text(c), profiles)} if profiles else {})
+    return docs.withColumns({n: own[n](F.col(captions)) if n in own else PAIR_TAGS[n](F.col(captions), other) for n in names})
 
 
 def tag_segments(rows: DataFrame, manual: str = "seg_text", machine: str = "mach_seg_text") -> DataFrame:
@@ -37,10 +39,10 @@ def tag_segments(rows: DataFrame, manual: str = "seg_text", machine: str = "mach
     return rows.withColumns({"seg_num_words": F.size(T.words(text(manual))).cast("long"), "seg_edit_dist": edit_distance(text(manual), text(machine))})
 
 
-def from_config(docs: DataFrame, steps: list[dict]) -> DataFrame:
+def from_config(docs: DataFrame, steps: list[dict], profiles: dict | None = None) -> DataFrame:
     """The tags that a configuration's steps name; whatever else a step has is handed to the tag."""
     for s in steps:
-        docs = tag(docs, [s["tag"]], **{k: v for k, v in s.items() if k != "tag"})
+        docs = tag(docs, [s["tag"]], profiles=profiles, **{k: v for k, v in s.items() if k != "tag"})
     return docs
 
 

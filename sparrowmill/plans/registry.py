@@ -10,8 +10,8 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import decode, text as T, timecode, tokens, wer
-from ..operators import align, filters, joins, sampling, scoring, segments, tags
+from ..functions import bpe, decode, text as T, timecode, tokens, wer
+from ..operators import align, filters, joins, language, sampling, scoring, segments, tags
 from ..session import scratch
 from ..sinks import committed, outputs, tables
 from ..sources import archives, transcripts
@@ -714,3 +714,42 @@ def q_segment_files(spark, sf_dir):
     committed.write_files(turns, path, F.concat_ws("/", "conv_id", F.concat("turn", F.lit(".srt"))), transcripts.write_subtitles(caption, F.lit(0), "srt"))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.srt").load(path)
     return found.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("name"), F.md5("content").alias("content_md5"))
+
+
+BUCKET = "(ascii({0}) * 961 + ascii(substr({0}, 2, 1)) * 31 + ascii(substr({0}, 3, 1)))"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+')) AS w FROM documents),
+f AS (SELECT doc_id, lang, {BUCKET.format("w")} % 4096 AS b FROM w UNION ALL SELECT doc_id, lang, ({BUCKET.format("right(w, 3)")} * 7 + 1) % 4096 FROM w),
+c AS (SELECT lang, b, count(*) AS n FROM f WHERE doc_id % 3 <> 1 AND lang IS NOT NULL GROUP BY ALL), t AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
+s AS (SELECT f.doc_id, t.lang, sum(round(1000 * ln((coalesce(c.n, 0) + 1) / (t.total + 4096)))) AS score FROM f CROSS JOIN t LEFT JOIN c ON c.lang = t.lang AND c.b = f.b GROUP BY ALL)
+SELECT doc_id, doc_id % 3 = 1 AS held_out, coalesce((SELECT s.lang FROM s WHERE s.doc_id = d.doc_id ORDER BY score DESC, s.lang LIMIT 1), 'en') AS text_lang FROM documents d""")
+def q_text_lang_learned(spark, sf_dir):
+    """Languages by profiles learned from two thirds of the documents."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.col("doc_id") % 3 == 1
+    profiles = language.learn(docs.where(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), language.language_of(F.col("text"), profiles).alias("text_lang"))
+
+
+def vocabulary_path() -> str:
+    """The public English vocabulary that stands in for a model's own."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query()
+def q_ctx_tokens(spark, sf_dir):
+    """Context checks with the tokens of a public vocabulary; equal to that of its own library in the tests."""
+    docs = captioned(spark, sf_dir).select("doc_id", bpe.token_counts(vocabulary_path())(tokens.spoken(F.col("captions"))).alias("counts"))
+    return docs.select("doc_id", F.array_join("counts", ",").alias("counts"), tokens.context_of(F.col("counts"), F.col("doc_id") % 2 == 1).alias("k")).select("doc_id", "counts", "k.*")
+
+
+@query()
+def q_token_ids(spark, sf_dir):
+    """Training sequences with the ids of a public vocabulary: captions two seconds apart, a draw fixed by the id."""
+    rows = captioned(spark, sf_dir).select("doc_id", bpe.token_ids(vocabulary_path())(tokens.spoken(F.col("captions"))).alias("c"))
+    own = F.transform("c", lambda ids, i: F.struct((i * 2000).alias("start"), (i * 2000 + 1500).alias("end"), ids.alias("ids")))
+    seq = tokens.sequence(own, F.size("c") * 2000, F.lit(True), F.col("doc_id") % 3 == 0, sampling.drawn(F.col("doc_id")))
+    return rows.select("doc_id", seq.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_ids"), F.array_join("t", ",").alias("ids"), F.array_contains(tokens.sequence_faults(F.col("t")), "too long").alias("too_long"))
