@@ -12,8 +12,13 @@ from sparrowmill.llm import common, language, near_dup, packing, pii, suffix_ded
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no text, no letters, or the two nearest codewords too close."""
+    """Drops documents without a language: no text, no letters, or the two nearest codewords too close.
+
+    Without any labelled row to learn from nothing can be judged, and all documents stay.
+    """
     model = language.train(docs.where(~language.held_out()).select("doc_id", "text", "lang"))
+    if not model["names"]:
+        return docs
     names = common.fresh(docs.columns, "lang_pred", "lang_score", "lang_ambiguous")
     judged = language.predict(docs, model, tuple(names))
     return judged.where((F.col(names[0]) != "und") & ~F.col(names[2])).drop(*names)
