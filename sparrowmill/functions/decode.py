@@ -64,19 +64,6 @@ def spoken(chunks: Column) -> Column:
     return F.transform(tidy, lambda c, i: F.when(i == F.size(tidy) - 1, c.withField("text", strip_foreign(c.text))).otherwise(c))
 
 
-def running_times(chunks: Column) -> Column:
-    """Chunks (start, end, text) whose times start anew now and then, on one time line: each fresh start adds the span so far."""
-    zero = F.get(chunks, F.lit(0))["start"]
-    seed = F.struct(F.lit(-1.0).alias("before"), F.lit(0.0).alias("offset"), F.lit(0.0).alias("span"), F.slice(chunks, 1, 0).alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        offset = s.offset + F.when(c.start < s.before, s.span).otherwise(0.0)
-        moved = c.withField("start", c.start + offset).withField("end", c.end + offset)
-        return F.struct(c.end.alias("before"), offset.alias("offset"), (c.end - zero).alias("span"), F.concat(s.out, F.array(moved)).alias("out"))
-
-    return F.aggregate(chunks, seed, step, lambda s: s.out)
-
-
 def time_slices(tokens: Column, first_time: int = 50363) -> Column:
     """Slices (start, end as numbers of time tokens; tokens) of decoder output, cut between neighbouring time tokens.
 

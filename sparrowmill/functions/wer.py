@@ -70,45 +70,63 @@ def distance_ladder(manual: Column, machine: Column, norm_manual: Column, norm_m
     return wer(ref, hyp)
 
 
-def edit_counts(ref: list[str], hyp: list[str], step: int = 256) -> tuple[int, int, int]:
-    """Substitutions, deletions and insertions of a least alignment; of equally good ones matches and substitutions come
-    first, then deletions, seen from the end. Every ``step``-th row of costs is kept and the rows between are made again on the
-    way back, so memory is that of a few rows, not of the whole table."""
+#: Cells of a row of costs that are worked on at once, for all pairs together.
+CELLS = 1 << 18
+
+
+def edit_counts(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
+    """Substitutions, deletions and insertions of a least alignment of each pair; of equally good ones matches and
+    substitutions come first, then deletions, seen from the end.
+
+    Pairs of like size are aligned together, row by row: each cell carries the substitutions and deletions of its own
+    best way, so there is no way back and memory is that of a row. A cell that insertions lead to has those of the last
+    cell before it that none leads to.
+    """
+    out = np.zeros((len(pairs), 3), np.int64)
+    order = sorted(range(len(pairs)), key=lambda k: (-len(pairs[k][1]), -len(pairs[k][0])))
+    at = 0
+    while at < len(order):
+        width = len(pairs[order[at]][1]) + 1
+        some = order[at : at + max(1, CELLS // width)]
+        at += len(some)
+        some.sort(key=lambda k: -len(pairs[k][0]))
+        out[some] = aligned([pairs[k] for k in some], width)
+    return out
+
+
+def aligned(pairs: list[tuple[list[str], list[str]]], width: int) -> np.ndarray:
+    """``edit_counts`` of pairs with falling numbers of reference words, by rows of ``width`` cells."""
     ids: dict[str, int] = {}
-    a, b = (np.array([ids.setdefault(w, len(ids)) for w in t], np.int64) for t in (ref, hyp))
-    column = np.arange(len(b) + 1)
-
-    def following(row: np.ndarray, i: int) -> np.ndarray:
-        best = np.minimum(row[1:] + 1, row[:-1] + (b != a[i - 1]))
-        return np.minimum.accumulate(np.concatenate([[i], best]) - column) + column
-
-    kept, row = {0: column}, column
-    for i in range(1, len(a) + 1):
-        row = following(row, i)
-        if i % step == 0:
-            kept[i] = row
-    subs = dels = ins = 0
-    i, j = len(a), len(b)
-    while i or j:
-        first = max(0, (i - 1) // step * step)
-        rows = [kept[first]]
-        for k in range(first + 1, i + 1):
-            rows.append(following(rows[-1], k))
-        while i > first or j and not i:
-            here = rows[i - first][j]
-            before = rows[i - first - 1] if i > first else None
-            if before is not None and j and before[j - 1] + (a[i - 1] != b[j - 1]) == here:
-                subs += int(a[i - 1] != b[j - 1])
-                i, j = i - 1, j - 1
-            elif before is not None and before[j] + 1 == here:
-                dels, i = dels + 1, i - 1
-            else:
-                ins, j = ins + 1, j - 1
-    return subs, dels, ins
+    number = lambda words: [ids.setdefault(w, len(ids)) for w in words]
+    refs, hyps = [number(r) for r, _ in pairs], np.full((len(pairs), width - 1), -1)
+    for k, (_, h) in enumerate(pairs):
+        hyps[k, : len(h)] = number(h)
+    column, last = np.arange(width), np.array([len(h) for _, h in pairs])
+    cost = np.tile(column, (len(pairs), 1))
+    subs, dels, out = np.zeros_like(cost), np.zeros_like(cost), np.zeros((len(pairs), 3), np.int64)
+    lengths = np.array([len(r) for r in refs])
+    for i in range(int(lengths.max(initial=0)) + 1):
+        n = int((lengths >= i).sum())
+        if i:
+            cost, subs, dels = cost[:n], subs[:n], dels[:n]
+            wrong = (hyps[:n] != np.array([r[i - 1] for r in refs[:n]])[:, None]).astype(np.int64)
+            across = cost[:, :-1] + wrong <= cost[:, 1:] + 1
+            best, s, d = cost + 1, subs.copy(), dels + 1
+            best[:, 1:] = np.where(across, cost[:, :-1] + wrong, best[:, 1:])
+            s[:, 1:] = np.where(across, subs[:, :-1] + wrong, s[:, 1:])
+            d[:, 1:] = np.where(across, dels[:, :-1], d[:, 1:])
+            # where insertions lead from: the last of the least costs less places
+            cost = np.minimum.accumulate(best - column, 1) + column
+            source = np.maximum.accumulate(np.where(cost == best, column, 0), 1)
+            subs, dels = np.take_along_axis(s, source, 1), np.take_along_axis(d, source, 1)
+        for k in np.flatnonzero(lengths[:n] == i):
+            c, a, b = cost[k, last[k]], subs[k, last[k]], dels[k, last[k]]
+            out[k] = a, b, c - a - b
+    return out
 
 
 @F.pandas_udf(StructType().add("subs", "long").add("dels", "long").add("ins", "long"))
 def alignment(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Substitutions, deletions and insertions of arrays of words; null arrays are empty."""
-    rows = [edit_counts(list(r) if r is not None else [], list(h) if h is not None else []) for r, h in zip(ref, hyp)]
-    return pd.DataFrame(rows, columns=["subs", "dels", "ins"], dtype="int64")
+    words = lambda x: [] if x is None else list(x)
+    return pd.DataFrame(edit_counts([(words(r), words(h)) for r, h in zip(ref, hyp)]), columns=["subs", "dels", "ins"], dtype="int64")

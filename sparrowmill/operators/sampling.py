@@ -52,25 +52,36 @@ def poisson(keys: np.ndarray, replicates: int) -> np.ndarray:
     return np.searchsorted(chances, (z >> np.uint64(11)) * 2.0**-53, side="right")
 
 
-def bootstrap_means(df: DataFrame, key: list[str], value: str, weight: str, replicates: int = 1000) -> DataFrame:
-    """b and the weighted mean of each Poisson resample of ``df``; a resample without weight has a null mean.
+def bootstrap_means(df: DataFrame, key: list[str], value: str, weight: str, replicates: int = 1000, by: str | None = None) -> DataFrame:
+    """b and the weighted mean of each Poisson resample of ``df``, or of each of its groups ``by``; a resample without weight has a null mean.
 
-    Rows are folded into a pair of sums for each replicate inside the tasks. Rows without value or weight are left out.
+    Rows are folded into a pair of sums for each replicate (and group of the batch) inside the tasks. Rows without value
+    or weight are left out.
     """
-    arrow = pa.schema([("b", pa.int32()), ("total", pa.float64()), ("weight", pa.float64())])
+    arrow = pa.schema([("s", pa.string()), ("b", pa.int32()), ("total", pa.float64()), ("weight", pa.float64())])
+
+    def sums_of(group, total, weights):
+        return pa.RecordBatch.from_arrays([pa.array([group] * replicates, pa.string()), pa.array(range(replicates), pa.int32()), pa.array(total), pa.array(weights)], schema=arrow)
 
     def fold(batches):
-        total, weights = np.zeros(replicates), np.zeros(replicates)
+        held: dict[str | None, list] = {}
         for b in batches:
-            k, v, w = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            for at in range(0, len(k), 1024):
-                drawn = poisson(k[at : at + 1024], replicates)
-                total += (v[at : at + 1024] * w[at : at + 1024]) @ drawn
-                weights += w[at : at + 1024] @ drawn
-        yield pa.RecordBatch.from_arrays([pa.array(range(replicates), pa.int32()), pa.array(total), pa.array(weights)], schema=arrow)
-
-    rows = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).select(F.xxhash64(*key), F.col(value).cast("double"), F.col(weight).cast("double"))
-    sums = rows.mapInArrow(fold, "b int, total double, weight double").groupBy("b").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+            groups, (k, v, w) = np.array(b.column(0).to_pylist(), object), (c.to_numpy(zero_copy_only=False) for c in b.columns[1:])
+            for g in dict.fromkeys(groups.tolist()):
+                mine = np.flatnonzero(groups == g) if g is not None else np.flatnonzero([x is None for x in groups])
+                total, weights = held.setdefault(g, [np.zeros(replicates), np.zeros(replicates)])
+                for at in range(0, len(mine), 1024):
+                    own = mine[at : at + 1024]
+                    drawn = poisson(k[own], replicates)
+                    total += (v[own] * w[own]) @ drawn
+                    weights += w[own] @ drawn
+                if len(held) > 64:
+                    yield from (sums_of(x, *pair) for x, pair in held.items())
+                    held.clear()
+        yield from (sums_of(x, *pair) for x, pair in held.items())
+
+    rows = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).select(F.col(by).cast("string") if by else F.lit(""), F.xxhash64(*key), F.col(value).cast("double"), F.col(weight).cast("double"))
+    sums = rows.mapInArrow(fold, "s string, b int, total double, weight double").groupBy("s", "b").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
     return sums.select("b", F.try_divide("total", "weight").alias("mean"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import timecode
 from ..functions.tokens import context_modes
+from .running import pack_numbers
 
 WINDOW, MOST, CONTEXT, SHORTEST = 30_000, 120, 448, 15
 SCHEMA = "id string, seg_id long, start_ms long, length_ms long, n_captions long, text string, silent boolean, reason string"
@@ -183,30 +184,17 @@ def pack_count(sizes: Column, most: int) -> Column:
     return fold.packs
 
 
-def pack_numbers(spans: Column, most: float) -> Column:
-    """The pack of each span (start, end) of an array in order: a pack closes when the next end lies more than ``most`` after its start."""
-    seed = F.struct(F.lit(None).cast("double").alias("start"), F.lit(-1).alias("pack"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = F.coalesce(F.round(x.end - s.start, 6) <= most, F.lit(False))
-        pack = F.when(fits, s["pack"]).otherwise(s["pack"] + 1)
-        return F.struct(F.when(fits, s.start).otherwise(x.start.cast("double")).alias("start"), pack.alias("pack"), F.concat(s.out, F.array(pack)).alias("out"))
-
-    return F.aggregate(spans, seed, step, lambda s: s.out)
-
-
 def pack_utterances(utterances: DataFrame, most: float = WINDOW / 1000, limit: int = CONTEXT) -> DataFrame:
     """Utterances (utt_id ``<base>-<5 digits>-<start>-<end>``, text) joined to segments of one base and at most ``most`` seconds.
 
     Returns utt_id (base, running number, first start, last end), text, ts (from the segment's start), dur, ts_mode,
     no_ts_mode; a single utterance that is longer stands alone; ids of another form and segments over the context are
-    left out. All utterances of one base, a recording, are one row while they are packed.
+    left out. The utterances of a recording stream through one task in order; a row gathers those of one segment.
     """
     part = lambda k: F.regexp_extract("utt_id", r"^(.*)-\d{5}-(\d{3,})-(\d{3,})$", k)
     rows = utterances.where(part(2) != "").select(
         part(1).alias("base"), part(2).alias("from"), part(3).alias("to"), timecode.utterance_seconds(part(2)).alias("start"), timecode.utterance_seconds(part(3)).alias("end"), "utt_id", "text")
-    whole = rows.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("utt_id", "start", "end", "from", "to", "text"))).alias("u"))
-    numbered = whole.select("base", F.explode(F.arrays_zip("u", pack_numbers(F.col("u"), most).alias("pack"))).alias("x")).select("base", "x.pack", "x.u.*")
+    numbered = pack_numbers(rows, "base", ["utt_id"], "start", "end", most)
     packs = numbered.groupBy("base", "pack").agg(F.array_sort(F.collect_list(F.struct("utt_id", "start", "end", "from", "to", "text"))).alias("u"), F.max("pack").alias("m"))
     last = F.col("pack") == F.max("pack").over(Window.partitionBy("base"))
     first = F.col("u")[0]

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import bpe, decode, text as T, timecode, tokens, wer
-from ..operators import align, filters, joins, language, sampling, scoring, segments, tags
+from ..operators import align, filters, joins, language, running, sampling, scoring, segments, tags
 from ..session import scratch
 from ..sinks import committed, outputs, tables
 from ..sources import archives, transcripts
@@ -308,15 +308,24 @@ def q_edit_ladder(spark, sf_dir):
     return pairs.select("conv_id", "n", F.round(ladder, 6).alias("edit_dist"))
 
 
-def scored_pairs(spark, sf_dir):
+def scored_pairs(spark, sf_dir, kinds=False):
     pairs = q_pair_turns(spark, sf_dir).withColumns({"ref": T.normalise(F.col("ref")), "hyp": T.normalise(F.col("hyp"))})
-    return scoring.pair_scores(scoring.valid_references(pairs), F.col("ref"), F.col("hyp"))
+    return scoring.pair_scores(scoring.valid_references(pairs), F.col("ref"), F.col("hyp"), kinds)
 
 
-@query()
+# rows of cells with their costs, substitutions and deletions; where insertions lead to a cell, it has those of the last of the least costs less places before it
+SDI = """list_reduce(list_prepend({{'w': '', 'p': list_transform(range(0, len({h}) + 1), lambda x: {{'c': x, 's': CAST(0 AS BIGINT), 'd': CAST(0 AS BIGINT)}})}},
+list_transform({r}, lambda x: {{'w': x, 'p': CAST([] AS STRUCT(c BIGINT, s BIGINT, d BIGINT)[])}})), lambda a, x: {{'w': '', 'p': list_transform([list_transform(a.p, lambda v, j:
+CASE WHEN j > 1 AND a.p[j - 1].c + (CASE WHEN {h}[j - 1] = x.w THEN 0 ELSE 1 END) <= v.c + 1
+THEN {{'b': a.p[j - 1].c + (CASE WHEN {h}[j - 1] = x.w THEN 0 ELSE 1 END), 's': a.p[j - 1].s + (CASE WHEN {h}[j - 1] = x.w THEN 0 ELSE 1 END), 'd': a.p[j - 1].d}} ELSE {{'b': v.c + 1, 's': v.s, 'd': v.d + 1}} END)],
+lambda t: list_transform(list_transform(t, lambda v, j: list_max(list_transform(t[1:j], lambda y, k: {{'m': k - y.b, 'k': k, 's': y.s, 'd': y.d}}))), lambda z, j: {{'c': j - z.m, 's': z.s, 'd': z.d}}))[1]}}).p[-1]"""
+
+
+@query(f"""SELECT conv_id, n, ref_words, e.s AS subs, e.d AS dels, e.c - e.s - e.d AS ins FROM (SELECT conv_id, n, len(r) AS ref_words, {SDI.format(r='r', h='h')} AS e
+FROM (SELECT conv_id, n, {SPLIT.format(NORMAL.format('ref'))} AS r, {SPLIT.format(NORMAL.format('hyp'))} AS h FROM {PAIRS})) WHERE ref_words > 0""")
 def q_sdi(spark, sf_dir):
-    """Substitutions, deletions and insertions of each pair; a least alignment isn't unique, so brute force tests it."""
-    return scored_pairs(spark, sf_dir).select("conv_id", "n", "ref_words", "subs", "dels", "ins")
+    """Substitutions, deletions and insertions of each pair; matches and substitutions go before deletions, these before insertions, seen from the end."""
+    return scored_pairs(spark, sf_dir, kinds=True).select("conv_id", "n", "ref_words", "subs", "dels", "ins")
 
 
 @query(f"""SELECT CAST(conv_id % 3 AS INTEGER) AS eval_set, count(*) AS pairs, CAST(sum(ref_words) AS BIGINT) AS ref_words, CAST(sum(edits) AS BIGINT) AS edits, round(sum(edits) * 100 / sum(ref_words), 6) AS wer,
@@ -503,9 +512,10 @@ SELECT user_id, list_filter(CASE WHEN list_position(c, 'you') > 0 THEN c[1:list_
 FROM (SELECT user_id, list(trim({CHUNK_TEXT}) ORDER BY event_id) AS c FROM events GROUP BY user_id))""")
 def q_takewhile(spark, sf_dir):
     rows = load(spark, sf_dir, "events").withColumn("text", F.expr(CHUNK_TEXT))
-    chunks = F.array_sort(F.collect_list(F.struct("event_id", F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), "text")))
-    kept = rows.groupBy("user_id").agg(chunks.alias("c")).select("user_id", decode.spoken(F.col("c")).alias("k"))
-    return kept.select("user_id", F.size("k").cast("long").alias("chunks"), F.array_join("k.text", "|").alias("text"))
+    kept = running.spoken(rows.select("user_id", "event_id", "text"), "user_id", "event_id", decode.FILLER)
+    told = kept.groupBy("user_id").agg(F.count("*").alias("chunks"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "text"))), lambda c: c.text), "|").alias("text"))
+    users = rows.select("user_id").distinct()
+    return users.join(told, "user_id", "left").select("user_id", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 @query(f"""SELECT event_id, round(s + o, 3) AS start_s, round(e + o, 3) AS end_s FROM (SELECT *, coalesce(sum(CASE WHEN s < before THEN before - zero ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS o FROM (
@@ -514,9 +524,8 @@ FROM (SELECT event_id, user_id, (ms % 100000) / 1000 AS s, (ms % 100000) / 1000
 def q_offset_reset(spark, sf_dir):
     s = (F.col("ms") % 100000) / 1000
     rows = timed(spark, sf_dir).select("user_id", "event_id", s.alias("start"), (s + 2.0).alias("end"))
-    whole = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "start", "end"))).alias("c"))
-    found = whole.select(F.explode(decode.running_times(F.col("c"))).alias("c"))
-    return found.select("c.event_id", F.round("c.start", 3).alias("start_s"), F.round("c.end", 3).alias("end_s"))
+    found = running.running_times(rows, "user_id", "event_id")
+    return found.select("event_id", F.round("start", 3).alias("start_s"), F.round("end", 3).alias("end_s"))
 
 
 TOKEN = "CASE WHEN event_id % 3 = 0 OR event_id % 7 = 0 THEN 50363 + event_id % 1500 ELSE event_id % 50000 END"
@@ -531,9 +540,8 @@ SELECT user_id, CAST(k - 1 AS INTEGER) AS k, CASE WHEN len(cuts) = 0 THEN 0 ELSE
 coalesce(CASE WHEN len(cuts) = 0 THEN nullif(list_filter(t, lambda x: x >= 50363)[-1] - 50363, 0) ELSE t[b - 1] - 50363 END, -1) AS end_at, CAST(b - a AS INTEGER) AS n_tokens FROM v""")
 def q_time_slices(spark, sf_dir):
     rows = load(spark, sf_dir, "events").withColumn("t", F.expr(TOKEN).cast("int"))
-    whole = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "t"))).alias("x"))
-    cut = whole.select("user_id", F.posexplode(decode.time_slices(F.col("x.t"))).alias("k", "s"))
-    return cut.select("user_id", "k", F.col("s.start").alias("start_at"), F.coalesce("s.end", F.lit(-1)).alias("end_at"), F.size("s.tokens").alias("n_tokens"))
+    cut = running.time_slices(rows, "user_id", "event_id", "t")
+    return cut.select("user_id", "k", F.col("start").alias("start_at"), F.coalesce("end", F.lit(-1)).alias("end_at"), "n_tokens")
 
 
 @query("SELECT event_id, round(CASE WHEN event_id < 20 THEN event_id / 20 ELSE greatest(0.0, (10000 - event_id) / 9980) END, 9) AS rate FROM events")
@@ -644,7 +652,15 @@ def q_nearest_align(spark, sf_dir):
     return found.select("id", "seg_no", "start", "end", "first", "last", F.array_join("texts", " ").alias("text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_type || ' ' || user_id AS text, CAST(floor(value * 300) AS BIGINT) AS d, CASE WHEN event_id % 9 = 0 THEN 40000 ELSE 500 END AS gap,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
+p AS (SELECT *, sum(d + gap) OVER (PARTITION BY user_id ORDER BY i) AS z FROM e), u AS (SELECT user_id, i, text, CAST((z - d) // 10 AS BIGINT) AS a, CAST(z // 10 AS BIGINT) AS b FROM p),
+-- utterance after utterance: the start of the segment, and its number
+r AS (SELECT user_id, i, a AS first, 0 AS pack FROM u WHERE i = 0 UNION ALL
+  SELECT u.user_id, u.i, CASE WHEN u.b - r.first <= 3000 THEN r.first ELSE u.a END, CASE WHEN u.b - r.first <= 3000 THEN r.pack ELSE r.pack + 1 END FROM r JOIN u ON u.user_id = r.user_id AND u.i = r.i + 1),
+g AS (SELECT user_id, pack, min(a) AS a, max(b) AS b, count(*) AS n, CAST(sum({W.format("text")}) AS BIGINT) AS t, pack = max(pack) OVER (PARTITION BY user_id) AS last FROM r JOIN u USING (user_id, i) GROUP BY user_id, pack),
+k AS (SELECT *, t + 2 * n + CASE WHEN last THEN 0 ELSE 1 END + 2 <= 448 AS ts_mode, t + 3 <= 448 AS no_ts_mode FROM g)
+SELECT 'u' || user_id || printf('-%05d-%08d-%08d', pack, a, b) AS utt_id, n, round((b - a) / 100, 6) AS dur, ts_mode, no_ts_mode FROM k WHERE ts_mode OR no_ts_mode""")
 def q_pack_utterances(spark, sf_dir):
     rows = event_captions(spark, sf_dir).select("id", F.posexplode("captions").alias("i", "c"))
     stamp = lambda ms: F.lpad(F.expr(f"{ms} div 10").cast("string"), 8, "0")

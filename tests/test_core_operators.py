@@ -58,8 +58,8 @@ def test_edit_counts(spark):
     r = random.Random(6)
     for _ in range(200):
         a, b = (r.choices("abcd", k=r.randint(0, 14)) for _ in range(2))
-        s, d, i = wer.edit_counts(a, b, step=3)
-        assert s + d + i == least(a, b) and d - i == len(a) - len(b) and (s, d, i) == wer.edit_counts(a, b, step=100)
+        s, d, i = wer.edit_counts([(a, b)])[0]
+        assert s + d + i == least(a, b) and d - i == len(a) - len(b)
     pairs = spark.createDataFrame([("s", "the cat sat on the mat", "the cat sat on mat now"), ("s", "a b c", ""), ("t", "é à ü", "é à x")], "eval_set string, ref string, hyp string")
     scored = scoring.pair_scores(pairs, F.col("ref"), F.col("hyp"))
     assert [(g["edits"], g["ref_words"]) for g in scored.collect()] == [(2, 6), (3, 3), (1, 3)]
