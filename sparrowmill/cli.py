@@ -36,29 +36,49 @@ def tagged_shards(rows: DataFrame, config: str, path: str) -> None:
         outputs.write_tagged(tagged, rolled, path)
 
 
-def segment(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Segments are made once and written, then sorted into their files."""
-    kept = scratch(spark, "segments")
-    segments.segment_table(rows.select("id", F.col("timed").alias("captions"))).join(rows.select("id", "shard").dropDuplicates(["id"]), "id", "left").write.parquet(kept)
+def segment(spark: SparkSession, rows: DataFrame, path: str) -> str:
+    """Segments are made once and written, counted as they pass, then sorted into their files."""
+    report, kept = outputs.Report(), scratch(spark, "segments")
+    table = segments.segment_table(rows.select("id", F.col("timed").alias("captions")))
+    watched = report.watch(table, "segment", **{c: F.col(c) for c in segments.COUNTERS})
+    watched.join(rows.select("id", "shard").dropDuplicates(["id"]), "id", "left").write.parquet(kept)
     outputs.write_segments(spark.read.parquet(kept), path)
+    return report.text()
 
 
-def score(spark: SparkSession, source: str, path: str) -> None:
+def score(spark: SparkSession, source: str, path: str) -> str:
+    report = outputs.Report()
     pairs = spark.read.schema("eval_set string, ref string, hyp string").json(source)
     ref, hyp = T.normalise_english(F.col("ref")), T.normalise_english(F.col("hyp"))
-    scored = scoring.pair_scores(scoring.valid_references(pairs.withColumns({"ref": ref, "hyp": hyp})), F.col("ref"), F.col("hyp"))
+    watched = report.watch(pairs.withColumns({"ref": ref, "hyp": hyp}), "score", without_reference=F.coalesce(F.col("ref"), F.lit("")) == "", not_scored=F.col("ref") == scoring.IGNORED)
+    scored = scoring.pair_scores(scoring.valid_references(watched), F.col("ref"), F.col("hyp"))
     tables.write_table(scoring.corpus_scores(scored, ["eval_set"]), path)
+    return report.text()
 
 
-def assign(spark: SparkSession, rows: DataFrame, maps: str, path: str) -> None:
+def ingest(spark: SparkSession, source: str, path: str) -> str:
+    """Records by shard, and dead letters of transcripts without captions, in one pass."""
+    report = outputs.Report()
+    found = transcripts.read_transcripts(spark, source).drop("captions")
+    watched = report.watch(found, "ingest", failed=F.col("failed"), seconds=F.col("length"), characters=F.length("content"))
+    sharded = watched.withColumn("shard", F.regexp_extract("subtitle_file", r"shard_(\d+)/", 1).try_cast("int"))
+    name = outputs.shard_name("shard", "shard_%05d.jsonl.gz")
+    bad = F.when(F.col("failed"), "failed_transcripts.jsonl.gz")
+    outputs.write_parts(path, outputs.routed(sharded, (name, outputs.record(found), F.col("id")), (bad, outputs.letter("id", "ingest", "no captions"), F.col("id"))))
+    return report.text()
+
+
+def assign(spark: SparkSession, rows: DataFrame, maps: str, path: str) -> str:
     """Records with the languages of the maps, ``en`` where they say nothing; those are dead letters too."""
-    held = transcripts.read_language_maps(spark, maps).withColumnRenamed("lang", "audio_lang")
-    own = rows.drop("audio_lang", *PARTS)
-    missing = joins.missing(own.select("id"), held, "id").select("id", F.lit("language").alias("stage"), F.lit("missing").alias("reason"), F.lit(1).alias("n"))
-    known = joins.lookup(own, held, "id", "audio_lang", "en")
-    outputs.write_parts(
-        path, outputs.part(known, outputs.shard_name("shard", "shard_%05d.jsonl.gz"), outputs.record(known, "shard"), F.col("id")),
-        outputs.part(missing, "missing_audio_lang.jsonl.gz", outputs.record(missing), F.col("id")))
+    report = outputs.Report()
+    held = transcripts.read_language_maps(spark, maps).select("id", F.col("lang").alias("said"))
+    own = rows.drop("audio_lang", *PARTS).join(held, "id", "left")
+    missing = F.col("id").isNotNull() & F.col("said").isNull()
+    watched = report.watch(own, "language", missing=missing).withColumn("audio_lang", F.when(F.col("id").isNotNull(), F.coalesce("said", F.lit("en"))))
+    name = outputs.shard_name("shard", "shard_%05d.jsonl.gz")
+    bad = F.when(missing, "missing_audio_lang.jsonl.gz")
+    outputs.write_parts(path, outputs.routed(watched, (name, outputs.record(watched, "shard", "said"), F.col("id")), (bad, outputs.letter("id", "language", "missing"), F.col("id"))))
+    return report.text()
 
 
 #: Columns of ``documents`` that are parsed from the record, and values that statistics count.
@@ -70,10 +90,11 @@ COMMANDS = {
 }
 
 
-def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
+def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> str | None:
     """ingest: transcripts to records. tag, filter, segment, sample: records by shard. assign: languages of maps. vote: a map
     from (id, lang) votes. reseg: utterances (utt_id, text) to segments. score: word error rates. percentiles: of a column of
-    an overall sample of --size rows. bars: error bars of score files (wer, ref_length)."""
+    an overall sample of --size rows. bars: error bars of score files (wer, ref_length). ingest, assign, segment and score
+    return their counters as text."""
     parser = argparse.ArgumentParser(prog="sparrowmill")
     commands = parser.add_subparsers(dest="command", required=True)
     for name, texts in COMMANDS.items():
@@ -87,9 +108,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
     if args.command == "score":
         return score(spark, args.input, args.output)
     if args.command == "ingest":
-        found = transcripts.read_transcripts(spark, args.input).drop("captions")
-        sharded = found.withColumn("shard", F.regexp_extract("subtitle_file", r"shard_(\d+)/", 1).try_cast("int"))
-        return outputs.write_parts(args.output, outputs.part(sharded, outputs.shard_name("shard", "shard_%05d.jsonl.gz"), outputs.record(found), F.col("id")))
+        return ingest(spark, args.input, args.output)
     if args.command == "vote":
         votes = spark.read.schema("id string, seg_no long, content string, lang string").json(args.input)
         voted = joins.majority(votes.where("content <> ''"), "id", "lang", "seg_no")
@@ -107,15 +126,15 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
     if args.command == "tag":
         tagged_shards(rows, args.config, args.output)
     elif args.command == "assign":
-        assign(spark, rows, args.maps, args.output)
+        return assign(spark, rows, args.maps, args.output)
     elif args.command == "filter":
         kept = filters.with_hit(rows, filters.load_config(args.config)).where("hit = 'pass'").drop("hit", *PARTS)
         tables.write_shards(kept, args.output, "shard")
     elif args.command == "segment":
-        segment(spark, rows, args.output)
+        return segment(spark, rows, args.output)
     else:
         tables.write_shards(sampling.per_shard(rows.drop(*PARTS), "shard", "id", args.size, args.seed), args.output, "shard")
 
 
 if __name__ == "__main__":
-    run()
+    print(run() or "", end="")

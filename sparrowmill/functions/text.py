@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .numbers import standard_numbers
+
 SPACES = r"(?U)\s+"
 
 
@@ -165,10 +167,11 @@ SHORT_FORMS = (
 )
 
 
-def normalise_english(text: Column, spellings: dict[str, str] | None = None) -> Column:
-    """The published English normalisation, but for number words: remarks, fillers, short forms, signs, accents, spaces.
+def normalise_english(text: Column, spellings: dict[str, str] | None = None, spoken_numbers: bool = True) -> Column:
+    """The published English normalisation: remarks, fillers, short forms, signs, accents, spoken numbers, spaces.
 
-    ``spellings`` maps whole words, as from British to American ones.
+    ``spellings`` maps whole words, as from British to American ones. Spoken numbers pass through Arrow; without them all
+    steps are expressions.
     """
     text = F.regexp_replace(F.lower(text), r"[<\[][^>\]]*[>\]]", "")
     text = F.regexp_replace(F.regexp_replace(text, r"\(([^)]+?)\)", ""), FILLERS, "")
@@ -179,6 +182,8 @@ def normalise_english(text: Column, spellings: dict[str, str] | None = None) ->
     # accents go with their marks; signs but for those of numbers and money become spaces
     text = F.translate(text, "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy")
     text = F.regexp_replace(text, r"[^\p{L}\p{N}.%$¢€£\s]", " ")
+    if spoken_numbers:
+        text = standard_numbers(text)
     if spellings:
         names = F.create_map(*(F.lit(x) for pair in spellings.items() for x in pair))
         text = F.array_join(F.transform(words(text), lambda w: F.coalesce(names[w], w)), " ")

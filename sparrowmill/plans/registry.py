@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import bpe, decode, text as T, timecode, tokens, wer
+from ..functions import bpe, decode, numbers, text as T, timecode, tokens, wer
 from ..operators import align, filters, joins, language, running, sampling, scoring, segments, tags
 from ..session import scratch
 from ..sinks import committed, outputs, tables
@@ -769,3 +769,36 @@ def q_token_ids(spark, sf_dir):
     own = F.transform("c", lambda ids, i: F.struct((i * 2000).alias("start"), (i * 2000 + 1500).alias("end"), ids.alias("ids")))
     seq = tokens.sequence(own, F.size("c") * 2000, F.lit(True), F.col("doc_id") % 3 == 0, sampling.drawn(F.col("doc_id")))
     return rows.select("doc_id", seq.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_ids"), F.array_join("t", ",").alias("ids"), F.array_contains(tokens.sequence_faults(F.col("t")), "too long").alias("too_long"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, CAST(floor(o_totalprice) AS BIGINT) AS d, CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS c FROM orders WHERE o_totalprice >= 1)
+SELECT o_orderkey, regexp_replace('order ' || o_orderkey || ' paid $' || d || '.' || printf('%02d', c) || ' for the ' || o_custkey
+  || CASE WHEN o_custkey % 100 IN (11, 12, 13) THEN 'th' WHEN o_custkey % 10 = 1 THEN 'st' WHEN o_custkey % 10 = 2 THEN 'nd' WHEN o_custkey % 10 = 3 THEN 'rd' ELSE 'th' END || ' time', '\\b1(s?)\\b', 'one\\1', 'g') AS normal FROM o""")
+def q_spoken_numbers(spark, sf_dir):
+    """Orders told in words, normalised to digits again: keys, sums of money, ordinals."""
+    price, key = F.col("o_totalprice").cast("double"), F.col("o_custkey")
+    dollars, cents = F.floor(price), F.round(price * 100).cast("long") % 100
+    rows = load(spark, sf_dir, "orders").where(price >= 1).withColumn("customer", numbers.spelled(key))
+    ordinal, last = F.regexp_replace("customer", r"(\w+)$", ""), F.regexp_extract("customer", r"(\w+)$", 1)
+    names = F.create_map(*(F.lit(x) for w in (*numbers.SMALL, *numbers.TENS, "hundred", *numbers.SCALES) for x in (w, numbers.ordinal(w))), F.lit("zero"), F.lit("zeroth"))
+    told = F.concat(F.lit("Order "), numbers.spelled(F.col("o_orderkey")), F.lit(" paid "), numbers.spelled(dollars), F.lit(" dollars and "), numbers.spelled(cents), F.lit(" cents, for the "), ordinal, names[last], F.lit(" time."))
+    return rows.select("o_orderkey", T.normalise_english(told).alias("normal"))
+
+
+@query("""WITH d AS (SELECT d.doc_id, coalesce(text, '') AS text, l.doc_id IS NOT NULL AS labelled, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
+c AS (SELECT count(*) AS n, count(*) FILTER (text = '') AS e, sum(length(text)) AS s, count(*) FILTER (NOT labelled) AS m, count(*) FILTER (coalesce(toxic, 0) = 1) AS t, count(*) FILTER (coalesce(toxic, 0) = 0) AS k FROM d)
+SELECT stage, counter, CAST(value AS DOUBLE) AS value FROM c, LATERAL (VALUES ('ingest', 'rows', n), ('ingest', 'empty', e), ('ingest', 'characters', s), ('language', 'rows', n), ('language', 'missing', m),
+  ('filter', 'rows', k), ('files', 'kept.jsonl.gz', k), ('files', 'missing.jsonl.gz', m), ('files', 'toxic.jsonl.gz', t)) v(stage, counter, value) WHERE stage <> 'files' OR value > 0""")
+def q_run_report(spark, sf_dir):
+    """Counters of three stages and the files of a run, all from one pass: records, dead letters of missing and of toxic ones."""
+    report, path = outputs.Report(), scratch(spark, "run")
+    docs = report.watch(load(spark, sf_dir, "documents"), "ingest", empty=F.coalesce("text", F.lit("")) == "", characters=F.length("text"))
+    known = docs.join(load(spark, sf_dir, "labels").select("doc_id", "toxic", F.lit(True).alias("labelled")), "doc_id", "left")
+    missing, toxic = F.col("labelled").isNull(), F.coalesce("toxic", F.lit(0)) == 1
+    watched = report.watch(known, "language", missing=missing)
+    lines = outputs.routed(
+        watched, (F.when(~toxic, "kept.jsonl.gz"), F.to_json(F.struct("doc_id", "text")), F.col("doc_id")),
+        (F.when(missing, "missing.jsonl.gz"), outputs.letter("doc_id", "language", "missing"), F.col("doc_id")), (F.when(toxic, "toxic.jsonl.gz"), outputs.letter("doc_id", "filter", "toxic"), F.col("doc_id")))
+    outputs.write_parts(path, report.watch(lines, "lines", kept=F.col("name") == "kept.jsonl.gz"))
+    told = report.table(spark).where("stage <> 'lines' OR counter = 'kept'").select(F.when(F.col("stage") == "lines", "filter").otherwise(F.col("stage")).alias("stage"), F.when(F.col("stage") == "lines", "rows").otherwise(F.col("counter")).alias("counter"), "value")
+    return told.unionByName(committed.manifest(docs, path).select(F.lit("files").alias("stage"), F.col("name").alias("counter"), F.col("rows").cast("double").alias("value")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..operators import segments
 from . import committed
@@ -16,6 +16,43 @@ def part(rows: DataFrame, name: Column | str, line: Column, order: Column | None
     return rows.select(named.cast("string").alias("name"), (F.lit("") if order is None else order.cast("string")).alias("order"), line.cast("string").alias("line"))
 
 
+def routed(rows: DataFrame, *routes: tuple) -> DataFrame:
+    """As ``part``, for several files from one pass over ``rows``: each route is (name, line, order), and a row goes wherever the name is not null."""
+    text = lambda c: (F.lit(c) if isinstance(c, str) else F.lit("") if c is None else c).cast("string")
+    ways = F.array(*(F.when(text(n).isNotNull(), F.struct(text(n).alias("name"), text(o).alias("order"), text(line).alias("line"))) for n, line, o in routes))
+    return rows.select(F.explode(F.array_compact(ways)).alias("r")).select("r.*")
+
+
+def letter(key: Column | str, stage: str, reason: Column | str, n: Column | int = 1) -> Column:
+    """A dead letter (id, stage, reason, n) as a line."""
+    named = lambda c: c if isinstance(c, Column) else F.lit(c)
+    return F.to_json(F.struct((F.col(key) if isinstance(key, str) else key).cast("string").alias("id"), F.lit(stage).alias("stage"), named(reason).alias("reason"), named(n).alias("n")))
+
+
+class Report:
+    """Counters of a run's stages, taken while the rows pass on their way to the sinks: no stage is scanned again for them."""
+
+    def __init__(self):
+        self.seen: list[tuple[str, Observation]] = []
+
+    def watch(self, rows: DataFrame, stage: str, **counters: Column) -> DataFrame:
+        """``rows``, with sums of ``counters`` (numbers or conditions) and the number of rows; to be used in one action."""
+        seen = Observation(f"{stage}-{len(self.seen)}")
+        self.seen.append((stage, seen))
+        sums = [F.coalesce(F.sum(c.cast("double")), F.lit(0.0)).alias(k) for k, c in counters.items()]
+        return rows.observe(seen, F.count(F.lit(1)).cast("double").alias("rows"), *sums)
+
+    def rows(self) -> list[tuple[str, str, float]]:
+        """(stage, counter, value), for when the action is over."""
+        return [(stage, k, v) for stage, seen in self.seen for k, v in seen.get.items()]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows(), "stage string, counter string, value double")
+
+    def text(self) -> str:
+        return "".join(f"{stage} {k}: {v:g}\n" for stage, k, v in self.rows())
+
+
 def write_parts(path: str, *parts: DataFrame, overwrite: bool = False) -> None:
     """All lines of all parts in one job; files whose names end in .gz are gzipped."""
     lines = reduce(DataFrame.unionByName, parts)

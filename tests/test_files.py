@@ -186,19 +186,23 @@ def test_commands(spark, tmp_path):
     (tmp_path / "raw" / "shard_00002").mkdir(parents=True)
     (tmp_path / "raw" / "shard_00002" / "v1.vtt").write_text("WEBVTT\n\n00:00:00.000 --> 00:00:04.000\nHello there.\n\n")
     (tmp_path / "raw" / "shard_00002" / "v2.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\nyes\n\n")
-    cli.run(["ingest", "--input", f"{tmp_path}/raw", "--output", f"{tmp_path}/docs"], spark)
-    assert everything(tmp_path / "docs") == ["shard_00002.jsonl.gz"]
+    (tmp_path / "raw" / "shard_00002" / "v3.srt").write_text("nothing")
+    told = cli.run(["ingest", "--input", f"{tmp_path}/raw", "--output", f"{tmp_path}/docs"], spark).splitlines()
+    assert {"ingest rows: 3", "ingest failed: 1", "ingest seconds: 5"} <= set(told)
+    assert everything(tmp_path / "docs") == ["failed_transcripts.jsonl.gz", "shard_00002.jsonl.gz"]
+    assert spark.read.json(f"{tmp_path}/docs/failed_transcripts.jsonl.gz").first().asDict() == {"id": "v3", "stage": "ingest", "reason": "no captions", "n": 1}
+    (tmp_path / "docs" / "failed_transcripts.jsonl.gz").unlink()
     (tmp_path / "votes.jsonl").write_text("".join(json.dumps({"id": "v1", "seg_no": k, "content": c, "lang": v}) + "\n" for k, (v, c) in enumerate([("fr", "a"), ("de", "b"), ("de", "c"), ("fr", ""), ("fr", None)])))
     cli.run(["vote", "--input", f"{tmp_path}/votes.jsonl", "--output", f"{tmp_path}/maps"], spark)
     cli.run(["assign", "--input", f"{tmp_path}/docs", "--output", f"{tmp_path}/known", "--maps", f"{tmp_path}/maps"], spark)
     assert everything(tmp_path / "known") == ["missing_audio_lang.jsonl.gz", "shard_00002.jsonl.gz"]
     got = {r["id"]: r["audio_lang"] for r in spark.read.json(f"{tmp_path}/known/shard_00002.jsonl.gz").collect()}
-    assert got == {"v1": "de", "v2": "en"} and spark.read.json(f"{tmp_path}/known/missing_audio_lang.jsonl.gz").first()["id"] == "v2"
+    assert got == {"v1": "de", "v2": "en", "v3": "en"} and {r["id"] for r in spark.read.json(f"{tmp_path}/known/missing_audio_lang.jsonl.gz").collect()} == {"v2", "v3"}
     (tmp_path / "t.yaml").write_text("pipeline:\n  - tag: casing\n  - tag: num_words\n  - tag: repeating_lines\n")
     cli.run(["tag", "--input", f"{tmp_path}/docs", "--output", f"{tmp_path}/tagged", "--config", f"{tmp_path}/t.yaml"], spark)
     with open(f"{tmp_path}/tagged/shard_00002_stats.json") as f:
         stats = {(s["tag"], s["stat"]): s["value"] for s in map(json.loads, f)}
-    assert stats == {("casing", "casing_upper_avg"): 0.0, ("casing", "casing_lower_avg"): 0.5, ("casing", "casing_mixed_avg"): 0.5, ("num_words", "num_words_sum"): 3.0, ("repeating_lines", "repeating_lines_avg"): 0.0}
+    assert stats == {("casing", "casing_upper_avg"): 0.0, ("casing", "casing_lower_avg"): 1 / 3, ("casing", "casing_mixed_avg"): 2 / 3, ("num_words", "num_words_sum"): 3.0, ("repeating_lines", "repeating_lines_avg"): 0.0}
     (tmp_path / "u.jsonl").write_text("".join(json.dumps({"utt_id": f"r-0000{k}-{k * 1000:08d}-{k * 1000 + 900:08d}", "text": "w"}) + "\n" for k in range(5)))
     cli.run(["reseg", "--input", f"{tmp_path}/u.jsonl", "--output", f"{tmp_path}/reseg"], spark)
     assert [len(r["text"]) for r in spark.read.json(f"{tmp_path}/reseg").orderBy("utt_id").collect()] == [3, 2]
@@ -208,3 +212,17 @@ def test_commands(spark, tmp_path):
     (tmp_path / "s.csv").write_text("wer,ref_length\n0.5,10\n0.5,30\n")
     cli.run(["bars", "--input", f"{tmp_path}/s.csv", "--output", f"{tmp_path}/bars"], spark)
     assert spark.read.json(f"{tmp_path}/bars").first()["mean"] == 0.5
+
+
+def test_one_pass_for_counters_and_files(spark, tmp_path):
+    """Several files and the counters of two stages come from one scan of the input."""
+    from sparrowmill.sinks import outputs
+
+    spark.range(100).write.parquet(f"{tmp_path}/in")
+    report = outputs.Report()
+    rows = report.watch(spark.read.parquet(f"{tmp_path}/in"), "read", odd=F.col("id") % 2 == 1)
+    lines = report.watch(outputs.routed(rows, ("all.jsonl", F.to_json(F.struct("id")), F.col("id")), (F.when(F.col("id") % 10 == 3, "bad.jsonl"), outputs.letter("id", "read", "three"), None)), "lines")
+    assert lines._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    outputs.write_parts(f"{tmp_path}/out", lines)
+    assert sorted(report.rows()) == [("lines", "rows", 110.0), ("read", "odd", 50.0), ("read", "rows", 100.0)] and "read odd: 50\n" in report.text()
+    assert everything(tmp_path / "out") == ["all.jsonl", "bad.jsonl"] and len(open(f"{tmp_path}/out/bad.jsonl").readlines()) == 10
