@@ -324,11 +324,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return signed.select("id", "n_shingles", "set_key").join(classes, "set_key", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
+def set_size(text, words: int):
+    """Number of a text's shingles, as an expression; for the few rows that are in no comparison."""
+    own = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    many = lambda w: F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.array_join(F.slice(w, i, F.lit(words)), " "))))
+    return F.get(F.transform(F.array(own), lambda w: F.when(F.size(w) < words, F.least(F.size(w), F.lit(1))).otherwise(many(w))), F.lit(0)).cast("long")
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows without a doc_id cannot be named by a group and are left out."""
-    docs = common.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").where("id is not null")
-    found = near_duplicates(docs, words=4)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    """Rows without a doc_id cannot be named by a group: each stands alone, kept, with component_id null."""
+    docs = common.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = near_duplicates(docs.where("id is not null"), words=4)
+    named = found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    alone = docs.where("id is null").select(F.col("id").alias("doc_id"), set_size(F.col("text"), 4).alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return named.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

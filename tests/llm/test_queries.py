@@ -148,3 +148,12 @@ def test_added_spans_are_found():
     model = pii.fit(counts)
     found = {k: sum(bool(pii.all_spans(t, model)[1]) for t, j in docs if j == k) / 50 for k in range(8)}
     assert min(found[k] for k in range(4)) >= 0.9 and max(found[k] for k in range(4, 8)) == 0
+
+
+def test_op4_rows_without_id(spark, tmp_path):
+    texts = ["A b c d e", "a B c d e f f f f f", "one two", " ", "", None, "x x x x x x", "É a b c d", "a\x0bb\tc  d"]
+    spark.createDataFrame([(None, t) for t in texts] + [(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["op4_near_dup"](spark, str(tmp_path)).collect()
+    assert len(got) == 2 * len(texts)
+    named, alone = [sorted(g["n_shingles"] for g in got if (g["doc_id"] is None) == none) for none in (False, True)]
+    assert named == alone and all(g["component_id"] is None and g["kept"] for g in got if g["doc_id"] is None)
