@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import bpe, decode, numbers, text as T, timecode, tokens, wer
-from ..operators import align, filters, joins, language, running, sampling, scoring, segments, tags
+from ..operators import align, filters, joins, language, machine, running, sampling, scoring, segments, tags
 from ..session import scratch
 from ..sinks import committed, outputs, tables
 from ..sources import archives, transcripts
@@ -802,3 +802,30 @@ def q_run_report(spark, sf_dir):
     outputs.write_parts(path, report.watch(lines, "lines", kept=F.col("name") == "kept.jsonl.gz"))
     told = report.table(spark).where("stage <> 'lines' OR counter = 'kept'").select(F.when(F.col("stage") == "lines", "filter").otherwise(F.col("stage")).alias("stage"), F.when(F.col("stage") == "lines", "rows").otherwise(F.col("counter")).alias("counter"), "value")
     return told.unionByName(committed.manifest(docs, path).select(F.lit("files").alias("stage"), F.col("name").alias("counter"), F.col("rows").cast("double").alias("value")))
+
+
+TIMES = """SELECT user_id, event_id, event_type || ' ' || user_id AS text, row_number() OVER w - 1 AS i, CAST(floor(value * {0}) AS BIGINT) AS d,
+  CAST(sum(CAST(floor(value * {0}) AS BIGINT) + CASE WHEN event_id % 9 = 0 THEN 40000 ELSE 500 END) OVER w AS BIGINT) AS z FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"""
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT user_id, i // 3 AS n, min(z - d) AS s, max(z) AS e FROM ({TIMES.format(400)}) GROUP BY ALL),
+c AS (SELECT user_id, list({{'s': z - d + 700, 'e': z + 700, 't': {W.format("text")}}} ORDER BY i) AS c FROM ({TIMES.format(400)}) GROUP BY user_id),
+b AS (SELECT user_id, c, (SELECT list({{'s': s, 'e': e}} ORDER BY n) FROM m WHERE m.user_id = c.user_id AND n < 120) AS m FROM c),
+-- one run after another: where it starts, where it ends, what becomes of it
+r AS (SELECT user_id, c, m, CAST(0 AS BIGINT) AS k, CAST(1 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS VARCHAR) AS kind FROM b UNION ALL
+  SELECT user_id, c, m, k + (kind = 'segment')::INT, b + 1, a, b, kind FROM (SELECT *, CASE WHEN c[a].e - c[a].s > 30000 THEN 'over_30_line'
+      WHEN list_sum(list_transform(c[a:b], lambda x: x.t)) + 2 * (b - a + 1) + (b < len(c))::INT + 2 > 448 AND list_sum(list_transform(c[a:b], lambda x: x.t)) + 3 > 448 THEN 'over_ctx_len'
+      WHEN c[b].e - c[a].s < 15 THEN 'faulty_audio' ELSE 'segment' END AS kind FROM (
+    SELECT user_id, c, m, k, a, CASE WHEN c[a].e - c[a].s > 30000 THEN a ELSE coalesce(list_filter(range(a, len(c)), lambda j: c[j + 1].e - c[j + 1].s > 30000 OR abs(c[j + 1].e - m[k + 1].e) > abs(c[j].e - m[k + 1].e))[1], len(c)) END AS b FROM (
+      SELECT user_id, c, m, k, coalesce(list_filter(range(pos, len(c)), lambda i: abs(c[i + 1].s - m[k + 1].s) >= abs(c[i].s - m[k + 1].s))[1], len(c)) AS a FROM r WHERE pos <= len(c) AND k < len(m)))))
+SELECT CAST(user_id AS VARCHAR) AS id, CASE WHEN kind = 'segment' THEN CAST(k - 1 AS INTEGER) ELSE -1 END AS seg_no, kind, c[a].s AS start, c[b].e AS "end", b - a + 1 AS n FROM r WHERE kind IS NOT NULL""")
+def q_machine_segments(spark, sf_dir):
+    """Machine captions 700 ms late, some too long for a window, cut to a user's segments of three captions each."""
+    rows = load(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value") * 400).alias("d"), F.when(F.col("event_id") % 9 == 0, 40000).otherwise(500).alias("gap"), F.concat_ws(" ", "event_type", "user_id").alias("text"))
+    own = Window.partitionBy("user_id").orderBy("event_id")
+    end = F.sum(F.col("d") + F.col("gap")).over(own)
+    timed_rows = rows.select(F.col("user_id").cast("string").alias("id"), (F.row_number().over(own) - 1).alias("n"), (end - F.col("d")).alias("start"), end.alias("end"), "text")
+    manual = timed_rows.groupBy("id", F.floor(F.col("n") / 3).alias("n")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    late = timed_rows.withColumns({"start": F.col("start") + 700, "end": F.col("end") + 700})
+    made = machine.machine_segments(manual, late)
+    return made.select("id", F.coalesce("seg_no", F.lit(-1)).alias("seg_no"), "kind", "start", "end", F.size("texts").cast("long").alias("n"))
