@@ -128,6 +128,16 @@ def word_count(text: str) -> int:
     return len(text.split())
 
 
+def rows_of(key: str | None, captions: list[tuple[int, int, str]], count: Callable[[str], int], kind: str) -> list[dict]:
+    """A document's rows of TABLE."""
+    found, n, reason = checked(captions, count, kind)
+    rows = []
+    for s in found or [{"reason": reason or "no segment"}]:
+        named = {"seg_id": f"{key}_{s['seg_no']}", "audio_file": f"{key}/{s['audio_timestamp']}.npy"} if found else {}
+        rows.append({"id": key} | s | named | (n if s.get("seg_no", 0) == 0 else {}))
+    return rows
+
+
 def segment_table(docs: DataFrame, count: Callable[[str], int] = word_count, kind: str = "vtt") -> DataFrame:
     """Segments of ``docs`` (id, captions) that pass all checks, as TABLE. The counters stand on a document's first row;
     a document without a segment is one row that has only them and its reason."""
@@ -138,10 +148,7 @@ def segment_table(docs: DataFrame, count: Callable[[str], int] = word_count, kin
         for b in batches:
             rows = []
             for i, captions in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found, n, reason = checked([(c["start"], c["end"], c["text"]) for c in captions or []], count, kind)
-                for s in found or [{"reason": reason or "no segment"}]:
-                    named = {"seg_id": f"{i}_{s['seg_no']}", "audio_file": f"{i}/{s['audio_timestamp']}.npy"} if found else {}
-                    rows.append({"id": i} | s | named | (n if s.get("seg_no", 0) == 0 else {}))
+                rows += rows_of(i, [(c["start"], c["end"], c["text"]) for c in captions or []], count, kind)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return docs.select("id", "captions").mapInArrow(run, TABLE)
