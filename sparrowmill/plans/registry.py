@@ -426,7 +426,27 @@ def placed(rows: DataFrame, key: str, order: str) -> DataFrame:
     return whole.select("id", F.transform("c", lambda c: F.struct(c.start.alias("start"), c.end.alias("end"), c.text.alias("text"))).alias("captions"))
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, i - 1 AS i, l[i] AS text, length(l[i]) * 120 AS d, CASE WHEN (i - 1) % 7 = 6 THEN 40000 ELSE 0 END AS gap FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM {L})),
+z AS (SELECT doc_id, i, text, CAST(sum(d + gap) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e, d FROM t),
+-- captions of the same times are one, with the last text
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS i, e - d AS s, e, arg_max(text, i) AS text FROM z GROUP BY doc_id, e - d, e),
+-- caption after caption: where the window starts, its first caption (0: none), its last end; the speech that a caption closes, and the silence before it
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS pos, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS upto, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS BIGINT) AS c1, CAST(0 AS BIGINT) AS quiet, CAST(0 AS BIGINT) AS n_full, CAST(NULL AS BIGINT) AS rest_at, CAST(NULL AS BIGINT) AS rest_end, CAST(0 AS BIGINT) AS long FROM documents
+  UNION ALL SELECT doc_id, i, CASE WHEN is_long THEN e WHEN silent AND (rest OR gap <= 0) THEN s ELSE at3 END, CASE WHEN is_long THEN 0 WHEN held2 = 0 THEN i ELSE held2 END, e, a, b, c1, at2, n_full, CASE WHEN rest THEN at3 END, CASE WHEN rest THEN s END, is_long::BIGINT
+  FROM (SELECT *, at2 + n_full * 30000 AS at3, silent AND (CASE WHEN gap >= 30000 THEN e - (at2 + n_full * 30000) > 30000 ELSE gap > 0 END) AS rest
+  FROM (SELECT *, CASE WHEN silent AND gap >= 30000 THEN gap // 30000 ELSE 0 END AS n_full
+  FROM (SELECT *, NOT is_long AND held2 = 0 AND e - at2 > 30000 AS silent, s - at2 AS gap
+  FROM (SELECT doc_id, i, s, e, is_long, CASE WHEN closes THEN at1 END AS a, CASE WHEN closes THEN upto END AS b, CASE WHEN closes THEN first END AS c1, CASE WHEN closes AND NOT is_long THEN upto ELSE at1 END AS at2, CASE WHEN closes THEN 0 ELSE first END AS held2
+  FROM (SELECT c.doc_id, c.i, c.s, c.e, c.e - c.s > 30000 AS is_long, coalesce(r.pos, c.s) AS at1, r.first, r.upto, r.first > 0 AND (c.e - c.s > 30000 OR c.e - coalesce(r.pos, c.s) > 30000) AS closes
+    FROM r JOIN c ON c.doc_id = r.doc_id AND c.i = r.i + 1)))))),
+w AS (SELECT doc_id, i, 0 AS part, a AS s, b AS e, c1, i - 1 AS c2 FROM r WHERE c1 IS NOT NULL
+  UNION ALL SELECT doc_id, i, 1 + k, quiet + k * 30000, quiet + (k + 1) * 30000, NULL, NULL FROM (SELECT doc_id, i, quiet, unnest(range(0, n_full)) AS k FROM r WHERE n_full > 0)
+  UNION ALL SELECT doc_id, i, 1000000, rest_at, rest_end, NULL, NULL FROM r WHERE rest_at IS NOT NULL
+  UNION ALL SELECT doc_id, i + 1, 0, pos, upto, first, i FROM (SELECT *, i = max(i) OVER (PARTITION BY doc_id) AS final FROM r) WHERE final AND first > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, part) - 1 AS seg_id FROM w)
+SELECT CAST(doc_id AS VARCHAR) AS id, seg_id, s AS start_ms, e - s AS length_ms, CASE WHEN c1 IS NULL THEN 0 ELSE c2 - c1 + 1 END AS n_captions,
+  coalesce((SELECT string_agg(c.text, chr(10) ORDER BY c.i) FROM c WHERE c.doc_id = k.doc_id AND c.i BETWEEN k.c1 AND k.c2), '') AS text, c1 IS NULL AS silent, CAST(NULL AS VARCHAR) AS reason FROM k WHERE seg_id < 120
+UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, 'no segment, ' || CAST(sum(long) AS BIGINT) || ' long captions' FROM r WHERE doc_id NOT IN (SELECT doc_id FROM k) GROUP BY doc_id""")
 def q_segments(spark, sf_dir):
     """Captions of made-up length (120 ms a character) with a pause before every seventh one."""
     rows = captioned(spark, sf_dir).select("doc_id", F.posexplode("captions").alias("i", "text"))
