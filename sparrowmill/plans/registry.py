@@ -426,12 +426,9 @@ def placed(rows: DataFrame, key: str, order: str) -> DataFrame:
     return whole.select("id", F.transform("c", lambda c: F.struct(c.start.alias("start"), c.end.alias("end"), c.text.alias("text"))).alias("captions"))
 
 
-@query(f"""WITH RECURSIVE t AS (SELECT doc_id, i - 1 AS i, l[i] AS text, length(l[i]) * 120 AS d, CASE WHEN (i - 1) % 7 = 6 THEN 40000 ELSE 0 END AS gap FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM {L})),
-z AS (SELECT doc_id, i, text, CAST(sum(d + gap) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e, d FROM t),
--- captions of the same times are one, with the last text
-c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS i, e - d AS s, e, arg_max(text, i) AS text FROM z GROUP BY doc_id, e - d, e),
--- caption after caption: where the window starts, its first caption (0: none), its last end; the speech that a caption closes, and the silence before it
-r AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS pos, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS upto, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS BIGINT) AS c1, CAST(0 AS BIGINT) AS quiet, CAST(0 AS BIGINT) AS n_full, CAST(NULL AS BIGINT) AS rest_at, CAST(NULL AS BIGINT) AS rest_end, CAST(0 AS BIGINT) AS long FROM documents
+#: Windows ``w`` (doc_id, i, part, start, end, first and last caption; none in silence) of captions ``c`` (doc_id, i from 1, s, e, text) of ``docs``; ``r`` also has the captions that are too long.
+SEGMENTING = """-- caption after caption: where the window starts, its first caption (0: none), its last end; the speech that a caption closes, and the silence before it
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS pos, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS upto, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS BIGINT) AS c1, CAST(0 AS BIGINT) AS quiet, CAST(0 AS BIGINT) AS n_full, CAST(NULL AS BIGINT) AS rest_at, CAST(NULL AS BIGINT) AS rest_end, CAST(0 AS BIGINT) AS long FROM docs
   UNION ALL SELECT doc_id, i, CASE WHEN is_long THEN e WHEN silent AND (rest OR gap <= 0) THEN s ELSE at3 END, CASE WHEN is_long THEN 0 WHEN held2 = 0 THEN i ELSE held2 END, e, a, b, c1, at2, n_full, CASE WHEN rest THEN at3 END, CASE WHEN rest THEN s END, is_long::BIGINT
   FROM (SELECT *, at2 + n_full * 30000 AS at3, silent AND (CASE WHEN gap >= 30000 THEN e - (at2 + n_full * 30000) > 30000 ELSE gap > 0 END) AS rest
   FROM (SELECT *, CASE WHEN silent AND gap >= 30000 THEN gap // 30000 ELSE 0 END AS n_full
@@ -442,7 +439,14 @@ r AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS pos, CAST(0
 w AS (SELECT doc_id, i, 0 AS part, a AS s, b AS e, c1, i - 1 AS c2 FROM r WHERE c1 IS NOT NULL
   UNION ALL SELECT doc_id, i, 1 + k, quiet + k * 30000, quiet + (k + 1) * 30000, NULL, NULL FROM (SELECT doc_id, i, quiet, unnest(range(0, n_full)) AS k FROM r WHERE n_full > 0)
   UNION ALL SELECT doc_id, i, 1000000, rest_at, rest_end, NULL, NULL FROM r WHERE rest_at IS NOT NULL
-  UNION ALL SELECT doc_id, i + 1, 0, pos, upto, first, i FROM (SELECT *, i = max(i) OVER (PARTITION BY doc_id) AS final FROM r) WHERE final AND first > 0),
+  UNION ALL SELECT doc_id, i + 1, 0, pos, upto, first, i FROM (SELECT *, i = max(i) OVER (PARTITION BY doc_id) AS final FROM r) WHERE final AND first > 0)"""
+
+
+@query(f"""WITH RECURSIVE docs AS (SELECT doc_id FROM documents), t AS (SELECT doc_id, i - 1 AS i, l[i] AS text, length(l[i]) * 120 AS d, CASE WHEN (i - 1) % 7 = 6 THEN 40000 ELSE 0 END AS gap FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM {L})),
+z AS (SELECT doc_id, i, text, CAST(sum(d + gap) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e, d FROM t),
+-- captions of the same times are one, with the last text
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS i, e - d AS s, e, arg_max(text, i) AS text FROM z GROUP BY doc_id, e - d, e),
+{SEGMENTING},
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, part) - 1 AS seg_id FROM w)
 SELECT CAST(doc_id AS VARCHAR) AS id, seg_id, s AS start_ms, e - s AS length_ms, CASE WHEN c1 IS NULL THEN 0 ELSE c2 - c1 + 1 END AS n_captions,
   coalesce((SELECT string_agg(c.text, chr(10) ORDER BY c.i) FROM c WHERE c.doc_id = k.doc_id AND c.i BETWEEN k.c1 AND k.c2), '') AS text, c1 IS NULL AS silent, CAST(NULL AS VARCHAR) AS reason FROM k WHERE seg_id < 120
@@ -639,25 +643,43 @@ def q_model_info(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", T.model_kind(F.col("url")).alias("kind"), T.model_size(F.col("url")).alias("size"))
 
 
+TIMES = """SELECT user_id, event_id, event_type || ' ' || user_id AS text, row_number() OVER w - 1 AS i, CAST(floor(value * {0}) AS BIGINT) AS d,
+  CAST(sum(CAST(floor(value * {0}) AS BIGINT) + CASE WHEN event_id % 9 = 0 THEN 40000 ELSE 500 END) OVER w AS BIGINT) AS z FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"""
+EVENT_CAPTIONS = f"""docs AS (SELECT DISTINCT user_id AS doc_id FROM events), c AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY min(i)) AS i, z - d AS s, z AS e, arg_max(text, i) AS text FROM ({TIMES.format(300)}) GROUP BY user_id, z - d, z)"""
+MS = "printf('%02d:%02d:%02d{1}%03d', {0} // 3600000, ({0} // 60000) % 60, ({0} // 1000) % 60, {0} % 1000)"
+CHECKED = f"""WITH RECURSIVE {EVENT_CAPTIONS},
+{SEGMENTING},
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, part) AS k, count(*) OVER (PARTITION BY doc_id) AS k_all FROM w),
+g AS (SELECT n.doc_id, n.k, n.s, n.e, n.c1 IS NULL AS silent, n.k = n.k_all AS last, count(c.i) AS lines, CAST(coalesce(sum({W.format("c.text")}), 0) AS BIGINT) AS words, min(c.s) AS c_s, max(c.e) AS c_e, coalesce(bool_or(c.s > c.e), false) AS odd,
+  'WEBVTT' || chr(10) || chr(10) || coalesce(string_agg({MS.format("greatest(0, c.s - n.s)", ".")} || ' --> ' || {MS.format("greatest(0, c.e - n.s)", ".")} || chr(10) || c.text || chr(10) || chr(10), '' ORDER BY c.i), '') AS content
+  FROM n LEFT JOIN c ON c.doc_id = n.doc_id AND c.i BETWEEN n.c1 AND n.c2 GROUP BY ALL),
+h AS (SELECT *, words + 2 * lines + (NOT last)::INT + 2 AS timed, words + 3 AS plain FROM g),
+f AS (SELECT *, CASE WHEN NOT silent AND (odd OR c_e > e) THEN 'bad_text' WHEN NOT silent AND timed > 448 AND plain > 448 THEN 'over_ctx_len' WHEN e - s < 15 THEN 'faulty_audio' ELSE '' END AS fault FROM h)"""
+
+
 def event_captions(spark, sf_dir):
     """Captions of a user: events in order, gaps and lengths from their values."""
     rows = load(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value") * 300).alias("d"), F.when(F.col("event_id") % 9 == 0, 40000).otherwise(500).alias("gap"), F.concat_ws(" ", "event_type", "user_id").alias("text"))
     return placed(rows, "user_id", "event_id")
 
 
-@query()
+@query(f"""{CHECKED} SELECT CAST(doc_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS seg_no, s AS start_ms, e - s AS length_ms, silent, timed <= 448 AS ts_mode, plain <= 448 AS no_ts_mode,
+  CASE WHEN silent THEN 0 ELSE timed END AS num_tokens_ts_mode, content AS seg_content, {MS.format("s", ",")} || '_' || CASE WHEN last OR silent THEN {MS.format("e", ",")} ELSE {MS.format("(s + 30000)", ",")} END AS audio_timestamp FROM f WHERE fault = ''""")
 def q_segment_table(spark, sf_dir):
     """Segments that pass the checks of order, context and length, as subtitles."""
     found = segments.segment_table(event_captions(spark, sf_dir))
     return found.where("seg_no is not null").select("id", "seg_no", "start_ms", "length_ms", "silent", "ts_mode", "no_ts_mode", "num_tokens_ts_mode", "seg_content", "audio_timestamp")
 
 
-@query()
+@query(f"""{CHECKED} SELECT count(*) FILTER (fault = '') AS segment_count, (SELECT CAST(sum(long) AS BIGINT) FROM r) AS over_30_line_segment_count, count(*) FILTER (fault = 'bad_text') AS bad_text_segment_count,
+  count(*) FILTER (fault = 'over_ctx_len') AS over_ctx_len_segment_count, count(*) FILTER (fault = 'faulty_audio') AS faulty_audio_segment_count, CAST(0 AS BIGINT) AS failed_transcript_count,
+  count(DISTINCT CASE WHEN fault = '' THEN doc_id END) AS video_id_count, count(DISTINCT CASE WHEN fault = '' THEN doc_id END) * 30 / 3600 AS dur_by_video_id_count FROM f""")
 def q_segment_counters(spark, sf_dir):
     return segments.counters(segments.segment_table(event_captions(spark, sf_dir)))
 
 
-@query()
+@query(f"""{CHECKED} SELECT CAST(doc_id AS VARCHAR) AS id, 'segment' AS stage, fault AS reason, count(*) AS n FROM f WHERE fault <> '' GROUP BY ALL
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'segment', 'over_30_line', CAST(sum(long) AS BIGINT) FROM r GROUP BY doc_id HAVING sum(long) > 0""")
 def q_dead_letters(spark, sf_dir):
     return segments.dead_letters(segments.segment_table(event_captions(spark, sf_dir)))
 
@@ -824,10 +846,6 @@ def q_run_report(spark, sf_dir):
     return told.unionByName(committed.manifest(docs, path).select(F.lit("files").alias("stage"), F.col("name").alias("counter"), F.col("rows").cast("double").alias("value")))
 
 
-TIMES = """SELECT user_id, event_id, event_type || ' ' || user_id AS text, row_number() OVER w - 1 AS i, CAST(floor(value * {0}) AS BIGINT) AS d,
-  CAST(sum(CAST(floor(value * {0}) AS BIGINT) + CASE WHEN event_id % 9 = 0 THEN 40000 ELSE 500 END) OVER w AS BIGINT) AS z FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"""
-
-
 @query(f"""WITH RECURSIVE m AS (SELECT user_id, i // 3 AS n, min(z - d) AS s, max(z) AS e FROM ({TIMES.format(400)}) GROUP BY ALL),
 c AS (SELECT user_id, list({{'s': z - d + 700, 'e': z + 700, 't': {W.format("text")}}} ORDER BY i) AS c FROM ({TIMES.format(400)}) GROUP BY user_id),
 b AS (SELECT user_id, c, (SELECT list({{'s': s, 'e': e}} ORDER BY n) FROM m WHERE m.user_id = c.user_id AND n < 120) AS m FROM c),
