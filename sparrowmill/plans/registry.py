@@ -684,16 +684,6 @@ def q_dead_letters(spark, sf_dir):
     return segments.dead_letters(segments.segment_table(event_captions(spark, sf_dir)))
 
 
-@query()
-def q_nearest_align(spark, sf_dir):
-    """A user's windows of three captions each against captions 700 ms late."""
-    docs = event_captions(spark, sf_dir)
-    spans = F.transform(F.sequence(F.lit(1), F.size("captions"), F.lit(3)), lambda k: F.struct(F.get("captions", k - 1)["start"].alias("start"), F.get("captions", F.least(k + 1, F.size("captions") - 1))["end"].alias("end")))
-    late = F.transform("captions", lambda c: F.struct((c.start + 700).alias("start"), (c.end + 700).alias("end"), c.text.alias("text")))
-    found = align.nearest_align(docs.select("id", spans.alias("segments"), late.alias("captions")))
-    return found.select("id", "seg_no", "start", "end", "first", "last", F.array_join("texts", " ").alias("text"))
-
-
 @query(f"""WITH RECURSIVE e AS (SELECT user_id, event_type || ' ' || user_id AS text, CAST(floor(value * 300) AS BIGINT) AS d, CASE WHEN event_id % 9 = 0 THEN 40000 ELSE 500 END AS gap,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
 p AS (SELECT *, sum(d + gap) OVER (PARTITION BY user_id ORDER BY i) AS z FROM e), u AS (SELECT user_id, i, text, CAST((z - d) // 10 AS BIGINT) AS a, CAST(z // 10 AS BIGINT) AS b FROM p),
@@ -867,3 +857,28 @@ def q_machine_segments(spark, sf_dir):
     late = timed_rows.withColumns({"start": F.col("start") + 700, "end": F.col("end") + 700})
     made = machine.machine_segments(manual, late)
     return made.select("id", F.coalesce("seg_no", F.lit(-1)).alias("seg_no"), "kind", "start", "end", F.size("texts").cast("long").alias("n"))
+
+
+@query("""SELECT user_id AS session, string_agg(event_type || ' ', '' ORDER BY event_id) AS text, CAST(sum(length(event_type) + 1) AS BIGINT) AS n_chars FROM events GROUP BY user_id""")
+def q_session_texts(spark, sf_dir):
+    """Whole session texts from the list state that a stream leaves behind; batches only add to it."""
+    stream = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit(" ")).alias("chunk"))
+    path = scratch(spark, "session-texts")
+    sessions.drain(sessions.appended(stream, None, emit_text=False), f"{path}/out", f"{path}/checkpoint", "update", sessions.ROCKSDB)
+    return sessions.session_texts(spark, f"{path}/checkpoint").select(F.col("session").cast("long").alias("session"), "text", "n_chars")
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT user_id, i // 3 AS n, min(z - d) AS s, max(z) AS e FROM ({TIMES.format(300)}) GROUP BY ALL),
+c AS (SELECT user_id, list({{'s': z - d + 700, 'e': z + 700, 't': text}} ORDER BY i) AS c FROM ({TIMES.format(300)}) GROUP BY user_id),
+b AS (SELECT user_id, c, (SELECT list({{'s': s, 'e': e}} ORDER BY n) FROM m WHERE m.user_id = c.user_id AND n < 120) AS m FROM c),
+r AS (SELECT user_id, c, m, CAST(-1 AS BIGINT) AS k, CAST(1 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM b UNION ALL
+  SELECT user_id, c, m, k, b + 1, a, b FROM (SELECT user_id, c, m, k, a, coalesce(list_filter(range(a, len(c)), lambda j: abs(c[j + 1].e - m[k + 1].e) > abs(c[j].e - m[k + 1].e))[1], len(c)) AS b FROM (
+    SELECT user_id, c, m, k + 1 AS k, coalesce(list_filter(range(pos, len(c)), lambda i: abs(c[i + 1].s - m[k + 2].s) >= abs(c[i].s - m[k + 2].s))[1], len(c)) AS a FROM r WHERE pos <= len(c) AND k + 1 < len(m))))
+SELECT CAST(user_id AS VARCHAR) AS id, k AS seg_no, m[k + 1].s AS start, m[k + 1].e AS "end", a - 1 AS first, b - 1 AS last, array_to_string(list_transform(c[a:b], lambda x: x.t), ' ') AS text FROM r WHERE k >= 0""")
+def q_nearest_align(spark, sf_dir):
+    """A user's windows of three captions each against captions 700 ms late."""
+    docs = event_captions(spark, sf_dir)
+    spans = F.transform(F.sequence(F.lit(1), F.size("captions"), F.lit(3)), lambda k: F.struct(F.get("captions", k - 1)["start"].alias("start"), F.get("captions", F.least(k + 1, F.size("captions") - 1))["end"].alias("end")))
+    late = F.transform("captions", lambda c: F.struct((c.start + 700).alias("start"), (c.end + 700).alias("end"), c.text.alias("text")))
+    found = align.nearest_align(docs.select("id", spans.alias("segments"), late.alias("captions")))
+    return found.select("id", "seg_no", "start", "end", "first", "last", F.array_join("texts", " ").alias("text"))

@@ -95,3 +95,49 @@ def test_bars_of_sets_in_one_pass(spark):
     parts = {(r["b"], round(r["mean"], 9)) for k in range(3) for r in sampling.bootstrap_means(rows.where(F.col("s") == f"s{k}"), ["i"], "wer", "ref_words", 50).collect()}
     assert whole == parts and len(whole) == 150
     assert scoring.overall_bars(rows, "s", ["i"], 50).first()["n_bootstrap"] == 150
+
+
+def test_session_lists(spark, tmp_path):
+    """Chunks of several batches, a cleared session, one that a timer clears; the state holds the whole texts."""
+    import time
+
+    from sparrowmill.streaming import sessions
+
+    def put(*rows):
+        spark.createDataFrame(list(rows), "session string, seq long, chunk string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run(name, timeout):
+        stream = spark.readStream.schema("session string, seq long, chunk string").parquet(f"{tmp_path}/in")
+        sessions.drain(sessions.appended(stream, timeout), f"{tmp_path}/{name}", f"{tmp_path}/c{name}", "update", sessions.ROCKSDB)
+        return {r["session"]: (r["text"], r["n_chars"]) for r in sessions.session_texts(spark, f"{tmp_path}/c{name}").collect()}
+
+    put(("a", 2, "y"), ("a", 1, "x"), ("b", 1, "q"))
+    assert run("out", None) == {"a": ("xy", 2), "b": ("q", 1)}
+    put(("a", 3, "z" * 100_000), ("b", 2, None), ("b", 3, "r"), ("c", 1, None))
+    assert run("out", None) == {"a": ("xy" + "z" * 100_000, 100_002), "b": ("r", 1)}
+    told = [(r["session"], r["n_chars"], len(r["text"])) for r in spark.read.parquet(f"{tmp_path}/out").where("batch_no = 1").orderBy("session").collect()]
+    assert told == [("a", 100_002, 100_002), ("b", 1, 1), ("c", 0, 0)]
+
+
+def test_silent_sessions_are_cleared(spark, tmp_path):
+    """By timers, which keep a stream going: it is stopped from outside."""
+    import os
+    import time
+
+    from sparrowmill.streaming import sessions
+
+    spark.createDataFrame([("a", 1, "x")], "session string, seq long, chunk string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, sessions.ROCKSDB)
+    seen = []
+    stream = spark.readStream.schema("session string, seq long, chunk string").parquet(f"{tmp_path}/in")
+    query = sessions.appended(stream, 1000).writeStream.outputMode("update").foreachBatch(lambda rows, n: seen.extend(map(tuple, rows.collect()))).option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 90
+        while len(seen) < 2 and time.time() < until:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+        spark.conf.set(name, before)
+    assert seen[:2] == [("a", "x", 1), ("a", "", 0)] and os.path.exists(f"{tmp_path}/c/state")
