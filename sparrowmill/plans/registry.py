@@ -612,15 +612,37 @@ def q_tag_rollup(spark, sf_dir):
     return tags.rolled_up(tags.stat_rows(tagged, stats, "source")).select("tag", "stat", F.round("value", 6).alias("value"))
 
 
-CUE = r"rtrim(regexp_replace(regexp_replace(l[1], '<[^<>]*>', '', 'g'), '\r', '', 'g'))"
+CUE = r"rtrim(regexp_replace(regexp_replace(x, '<[^<>]*>', '', 'g'), '\r', '', 'g'))"
+AT = "printf('%02d:%02d:%02d.%03d', ({0}) // 3600000, (({0}) // 60000) % 60, (({0}) // 1000) % 60, ({0}) % 1000)"
+CLEANED = r"regexp_replace({0}, '[ ]*(?:[A-Z][a-zA-Z]*[ ])+:[ ]*|[ ]*(?:&nbsp;|&amp;|&lt;|&gt;|=|\.{{3}}|\\h)+[ ]*', ' ', 'g')".format(CUE)
 
 
-@query(f"""SELECT doc_id, CASE WHEN lang = 'en' THEN 'pass' ELSE 'lang' END AS hit, 'WEBVTT' || chr(10) || chr(10) || '00:00:01.000 --> 00:00:02.500' || chr(10) || regexp_replace({CUE}, '[ ]*(?:[A-Z][a-zA-Z]*[ ])+:[ ]*|[ ]*(?:&nbsp;|&amp;|&lt;|&gt;|=|\\.{{3}}|\\\\h)+[ ]*', ' ', 'g') || chr(10) || chr(10) AS seg_content FROM {L}""".replace("\\\\.", "\\.").replace("\\\\\\\\h", "\\\\h"))
+def subtitled(spark, sf_dir):
+    """Documents whose lines are captions two seconds apart, as subtitle files."""
+    times = F.transform("captions", lambda c, i: F.struct((i * 2000).cast("long").alias("start"), (i * 2000 + 1500).cast("long").alias("end"), c.alias("text")))
+    return captioned(spark, sf_dir).withColumn("seg_content", transcripts.write_subtitles(times, F.lit(0).cast("long")))
+
+
+@query(f"""SELECT doc_id, CASE WHEN lang = 'en' THEN 'pass' ELSE 'lang' END AS hit, 'WEBVTT' || chr(10) || chr(10) || array_to_string(list_transform(l, lambda x, i: {AT.format('(i - 1) * 2000')} || ' --> ' || {AT.format('(i - 1) * 2000 + 1500')} || chr(10)
+|| {CLEANED} || chr(10) || chr(10)), '') AS seg_content FROM {L}""")
 def q_seg_clean(spark, sf_dir):
-    """The cleaning step in a filter pipeline, on a subtitle of each document's first line."""
-    content = F.concat(F.lit("WEBVTT\n\n00:00:01.000 --> 00:00:02.500\n"), F.col("captions")[0], F.lit("\n\n"))
-    docs = captioned(spark, sf_dir).withColumn("seg_content", content)
-    return filters.with_hit(docs, [{"tag": "lang", "ref_value": ["en"]}, {"tag": "seg_content"}]).select("doc_id", "hit", "seg_content")
+    """The cleaning step in a filter pipeline, on all captions of each document."""
+    return filters.with_hit(subtitled(spark, sf_dir), [{"tag": "lang", "ref_value": ["en"]}, {"tag": "seg_content"}]).select("doc_id", "hit", "seg_content")
+
+
+@query(f"SELECT doc_id, trim(array_to_string(list_transform(l, lambda x: trim({CUE})), ' ')) AS seg_text FROM {L}")
+def q_seg_text(spark, sf_dir):
+    """Texts read from subtitle files."""
+    return subtitled(spark, sf_dir).select("doc_id", transcripts.segment_text(F.col("seg_content")).alias("seg_text"))
+
+
+@query(f"""SELECT CAST(conv_id % 3 AS INTEGER) AS eval_set, CAST(sum(chars) AS BIGINT) AS chars, round(sum(edits / words * chars) / sum(chars), 6) AS by_chars FROM (SELECT conv_id, length(r) AS chars,
+len({SPLIT.format('r')}) AS words, {EDITS.format(r=SPLIT.format('r'), h=SPLIT.format('h'))} AS edits FROM (SELECT conv_id, {NORMAL.format('ref')} AS r, {NORMAL.format('hyp')} AS h FROM {PAIRS}) WHERE r <> '') GROUP BY ALL""")
+def q_scores_by_chars(spark, sf_dir):
+    """Mean rates weighted by the reference's characters."""
+    scored = scored_pairs(spark, sf_dir).withColumn("eval_set", (F.col("conv_id") % 3).cast("int"))
+    chars = scored.groupBy("eval_set").agg(F.sum("ref_chars").alias("chars"))
+    return scoring.corpus_scores(scored, ["eval_set"]).join(chars, "eval_set").select("eval_set", "chars", F.round("by_chars", 6).alias("by_chars"))
 
 
 SEQ = """SELECT doc_id, CASE WHEN n = 0 THEN [50257, 50362, 50256] WHEN timed AND NOT bare AND ne <= 30000 THEN list_concat(list_concat([50257], flatten(list_transform(c, lambda x, i: list_concat(list_concat([50363 + (i - 1) * 100], x), [50363 + (i - 1) * 100 + 75])))), [50363 + ne // 20, 50256])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.text import machine_text, plain_text
 from ..functions.timecode import to_ms
 from ..operators.joins import merge_maps
 
@@ -19,11 +20,17 @@ def captions(content: Column) -> Column:
     return F.filter(parsed, lambda c: c.start.isNotNull() & c.end.isNotNull())
 
 
+def segment_text(content: Column, machine: bool = False) -> Column:
+    """Text of a segment's subtitles; null or unreadable content is empty. ``machine``: of rolling machine captions."""
+    texts = F.transform(captions(F.coalesce(content, F.lit(""))), lambda c: c.text)
+    return F.trim(machine_text(texts, True)) if machine else plain_text(texts)
+
+
 def read_transcripts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Document records of transcript files below ``path``: id, subtitle_file, content, captions, length (s), failed."""
+    """Document records of transcript files below ``path``: id (the name up to its first dot), subtitle_file, content, captions, length (s), failed."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{vtt,srt}").text(path, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    docs = raw.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("id"), F.col("_metadata.file_path").alias("subtitle_file"), F.col("value").alias("content"), captions(F.col("value")).alias("captions"))
+    docs = raw.select(F.substring_index(name, ".", 1).alias("id"), F.col("_metadata.file_path").alias("subtitle_file"), F.col("value").alias("content"), captions(F.col("value")).alias("captions"))
     span = F.element_at("captions.end", -1) - F.element_at("captions.start", 1)
     return docs.withColumn("length", F.when((F.size("captions") > 0) & (span > 0), span / 1000).otherwise(0.0)).withColumn("failed", F.size("captions") == 0)
 
