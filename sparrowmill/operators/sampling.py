@@ -26,10 +26,16 @@ def percentiles(rows: DataFrame, value: str, partitions: int) -> DataFrame:
     Equal values are counted first, so that ties are one row; distinct values are dealt to ranges between approximate
     quantiles, and ranks come from the counts of the ranges and a running count within each. Nulls are left out.
     """
-    own = rows.select(F.col(value).alias("v")).where("v is not null")
+    own = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    return percentiles_of_counts(own, partitions)
+
+
+def percentiles_of_counts(own: DataFrame, partitions: int) -> DataFrame:
+    """``percentiles`` of values that were counted before: (v, n), each value once."""
     cuts = own.agg(F.percentile_approx("v", [k / partitions for k in range(1, partitions)])).first()[0] if partitions > 1 else None
-    span = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col("v"))) if cuts else F.lit(0)
-    dealt = own.groupBy("v").agg(F.count("*").alias("n")).withColumn("p", span)
+    # a value's range by binary search over the cuts, told as the runs between them
+    span = search(F.col("v"), sorted(set(cuts))) if cuts else F.lit(0)
+    dealt = own.withColumn("p", span)
     counts = dealt.groupBy("p").agg(F.sum("n").alias("held"))
     starts = counts.select("p", (F.sum("held").over(Window.orderBy("p")) - F.col("held")).alias("start"), F.sum("held").over(Window.partitionBy(F.lit(0))).alias("total"))
     upto = F.sum("n").over(Window.partitionBy("p").orderBy("v"))
@@ -42,6 +48,14 @@ def percentiles(rows: DataFrame, value: str, partitions: int) -> DataFrame:
     return ranked.select("v", F.explode(F.concat(held, last)).alias("i")).select(F.col("i").cast("int").alias("percentile"), F.col("v").alias("value"))
 
 
+def search(value: Column, cuts: list) -> Column:
+    """How many of ``cuts`` (sorted) lie below ``value``: a tree of comparisons, as deep as the logarithm of their number."""
+    if not cuts:
+        return F.lit(0)
+    mid = len(cuts) // 2
+    return F.when(value > cuts[mid], search(value, cuts[mid + 1 :]) + (mid + 1)).otherwise(search(value, cuts[:mid]))
+
+
 def poisson(keys: np.ndarray, replicates: int) -> np.ndarray:
     """Poisson(1) draws, a row for each key and a column for each replicate, fixed by key and replicate number."""
     chances = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(25)])

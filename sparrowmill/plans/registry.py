@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import bpe, decode, numbers, text as T, timecode, tokens, wer
-from ..operators import align, filters, joins, language, machine, running, sampling, scoring, segments, tags
+from ..operators import align, filters, joins, language, machine, mergeable, running, sampling, scoring, segments, tags
 from ..session import scratch
 from ..sinks import committed, outputs, tables
 from ..sources import archives, transcripts
@@ -904,3 +904,25 @@ def q_nearest_align(spark, sf_dir):
     late = F.transform("captions", lambda c: F.struct((c.start + 700).alias("start"), (c.end + 700).alias("end"), c.text.alias("text")))
     found = align.nearest_align(docs.select("id", spans.alias("segments"), late.alias("captions")))
     return found.select("id", "seg_no", "start", "end", "first", "last", F.array_join("texts", " ").alias("text"))
+
+
+def in_two_runs(spark, sf_dir, state, tag):
+    """States of the events' shards (user_id % 7): even ones first, then odd ones and one again."""
+    rows, path = load(spark, sf_dir, "events").withColumn("shard", F.col("user_id") % 7), scratch(spark, tag)
+    for some in ("shard % 2 = 0", "shard % 2 = 1 OR shard = 4"):
+        mergeable.keep(state(rows.where(some)), path, "shard")
+    return mergeable.kept(spark, path)
+
+
+@query(ORACLES["q_reservoir"])
+def q_reservoir_merged(spark, sf_dir):
+    """The overall sample from states of shards, kept in two runs."""
+    state = in_two_runs(spark, sf_dir, lambda rows: mergeable.sample_state(rows.select("event_id", "value", "shard"), "shard", "event_id", 1000), "samples")
+    return mergeable.merged_sample(state, "event_id", 1000).select("event_id", "value")
+
+
+@query(ORACLES["q_percentiles"])
+def q_percentiles_merged(spark, sf_dir):
+    """Exact percentiles from the counted values of shards, kept in two runs."""
+    state = in_two_runs(spark, sf_dir, lambda rows: mergeable.value_state(rows, "shard", "value"), "values")
+    return mergeable.merged_percentiles(state, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -141,3 +141,20 @@ def test_silent_sessions_are_cleared(spark, tmp_path):
         query.stop()
         spark.conf.set(name, before)
     assert seen[:2] == [("a", "x", 1), ("a", "", 0)] and os.path.exists(f"{tmp_path}/c/state")
+
+
+def test_merged_states_equal_one_pass(spark, tmp_path):
+    from sparrowmill.operators import mergeable
+
+    rows = spark.createDataFrame([(i, i % 5, float(i * i % 101) if i % 9 else None) for i in range(700)], "id long, shard long, v double")
+    for k, some in enumerate(("shard < 2", "shard >= 2", "shard = 1")):
+        mergeable.keep(mergeable.sample_state(rows.where(some), "shard", "id", 60), f"{tmp_path}/s", "shard")
+        mergeable.keep(mergeable.value_state(rows.where(some), "shard", "v"), f"{tmp_path}/v", "shard")
+    state = mergeable.kept(spark, f"{tmp_path}/s")
+    for k in (1, 60):
+        assert sorted(r["id"] for r in mergeable.merged_sample(state, "id", k).collect()) == sorted(r["id"] for r in sampling.overall(rows, "id", k).collect())
+    assert state.count() == 300
+    one = sorted(map(tuple, sampling.percentiles(rows, "v", 8).collect()))
+    assert sorted(map(tuple, mergeable.merged_percentiles(mergeable.kept(spark, f"{tmp_path}/v"), 8).collect())) == one and len(one) == 101
+    found = spark.range(50).select("id", sampling.search(F.col("id"), [3, 7, 7, 20, 41]).alias("n")).collect()
+    assert [r["n"] for r in found] == [sum(c < i for c in (3, 7, 7, 20, 41)) for i in range(50)]
