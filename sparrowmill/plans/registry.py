@@ -357,7 +357,8 @@ def q_overall_bars(spark, sf_dir):
 
 @query("SELECT event_id, (value / 100 > 0.6 AND NOT value / 10 - 8 > -1.0) AS skipped FROM events")
 def q_skip_rule(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_id", ((F.col("value") / 100 > 0.6) & ~(F.col("value") / 10 - 8 > -1.0)).alias("skipped"))
+    v = F.col("value")
+    return load(spark, sf_dir, "events").select("event_id", decode.skipped(v / 100, v / 10 - 8).alias("skipped"))
 
 
 @query(f"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_ids, len(t) > 448 AS over_length, array_to_string(list_concat(t, list_transform(range(greatest(0, 448 - len(t))), lambda i: 51864)), ',') AS text_input,
@@ -449,13 +450,15 @@ c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS
 {SEGMENTING},
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, part) - 1 AS seg_id FROM w)
 SELECT CAST(doc_id AS VARCHAR) AS id, seg_id, s AS start_ms, e - s AS length_ms, CASE WHEN c1 IS NULL THEN 0 ELSE c2 - c1 + 1 END AS n_captions,
-  coalesce((SELECT string_agg(c.text, chr(10) ORDER BY c.i) FROM c WHERE c.doc_id = k.doc_id AND c.i BETWEEN k.c1 AND k.c2), '') AS text, c1 IS NULL AS silent, CAST(NULL AS VARCHAR) AS reason FROM k WHERE seg_id < 120
-UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, 'no segment, ' || CAST(sum(long) AS BIGINT) || ' long captions' FROM r WHERE doc_id NOT IN (SELECT doc_id FROM k) GROUP BY doc_id""")
+  coalesce((SELECT string_agg(c.text, chr(10) ORDER BY c.i) FROM c WHERE c.doc_id = k.doc_id AND c.i BETWEEN k.c1 AND k.c2), '') AS text, c1 IS NULL AS silent, '' AS reason FROM k WHERE seg_id < 120
+UNION ALL SELECT CAST(doc_id AS VARCHAR), -1, -1, -1, 0, '', false, 'no segment, ' || CAST(sum(long) AS BIGINT) || ' long captions' FROM r WHERE doc_id NOT IN (SELECT doc_id FROM k) GROUP BY doc_id""")
 def q_segments(spark, sf_dir):
     """Captions of made-up length (120 ms a character) with a pause before every seventh one."""
     rows = captioned(spark, sf_dir).select("doc_id", F.posexplode("captions").alias("i", "text"))
     timed_rows = rows.withColumns({"d": (F.length("text") * 120).cast("long"), "gap": F.when(F.col("i") % 7 == 6, 40000).otherwise(0).cast("long")})
-    return segments.segments(placed(timed_rows, "doc_id", "i"))
+    found = segments.segments(placed(timed_rows, "doc_id", "i"))
+    none = {"seg_id": -1, "start_ms": -1, "length_ms": -1, "n_captions": 0, "text": "", "silent": False, "reason": ""}
+    return found.select("id", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in none.items()))
 
 
 SHIFTED = "CASE WHEN ms - 7200000 < 0 THEN ms - 7200000 + 86400000 ELSE ms - 7200000 END"
