@@ -17,8 +17,8 @@ from pyspark.sql import Column, functions as F
 
 #: How the vocabulary cuts texts (fixed value): short forms, letters, numbers and signs with the space before them, spaces.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers, and the longest of them.
-REMEMBERED, LONG = 1 << 17, 64
+#: Pieces that a worker remembers, the longest of them, and bytes up to which a piece is merged without a heap.
+REMEMBERED, LONG, SHORT = 1 << 17, 64, 40
 
 
 class Vocabulary:
@@ -27,7 +27,7 @@ class Vocabulary:
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, f)))}
-        self.cut, self.known = regex.compile(PATTERN), {}
+        self.cut, self.known, self.none = regex.compile(PATTERN), {}, max(self.ranks.values(), default=0) + 1
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one piece. Parts are spans of bytes in a linked list; a pair in the heap is void once either part has changed."""
@@ -35,6 +35,8 @@ class Vocabulary:
         if piece in ranks:
             return [ranks[piece]]
         n = len(piece)
+        if n <= SHORT:
+            return self.merged_short([piece[i : i + 1] for i in range(n)])
         end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
@@ -57,6 +59,17 @@ class Vocabulary:
             i = after[i]
         return out
 
+    def merged_short(self, parts: list[bytes]) -> list[int]:
+        """As ``merged``, by looking at all pairs again: quicker for the few bytes of most words."""
+        get, none = self.ranks.get, self.none
+        while len(parts) > 1:
+            found = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+            if (least := min(found)) == none:
+                break
+            i = found.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [self.ranks[p] for p in parts]
+
     def encode(self, text: str) -> list[int]:
         out, known = [], self.known
         for piece in self.cut.findall(text):

@@ -28,11 +28,13 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", buckets: int
 
     Counts of all rows are summed in the tasks; what reaches the driver is a number for each language and bucket.
     """
-    seen = rows.where(F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.explode(features(F.col(text), buckets)).alias("b")).groupBy("l", "b").agg(F.count("*").alias("n"))
-    if (n := seen.select("l").distinct().limit(MOST_LANGUAGES + 1).count()) > MOST_LANGUAGES:
-        raise ValueError(f"over {n - 1} languages")
+    # the outer form keeps the features from being made again to rule out empty lists
+    own = rows.where(F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.explode_outer(features(F.col(text), buckets)).alias("b")).where("b IS NOT NULL")
+    seen = own.groupBy("l", "b").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES * buckets + 1).collect()
+    if len({r["l"] for r in seen}) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
     counts: dict[str, dict[int, int]] = {}
-    for r in seen.collect():
+    for r in seen:
         counts.setdefault(r["l"], {})[r["b"]] = r["n"]
     return {k: [round(1000 * math.log((c.get(b, 0) + 1) / (sum(c.values()) + buckets))) for b in range(buckets)] for k, c in counts.items()}
 
