@@ -345,10 +345,15 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Of different texts that share an id, those go that are near-duplicates of a text with a smaller id; the others stay.
     Rows whose doc_id is null cannot be named by a group and stay, as do texts without words. Other columns stay,
-    whatever their names; of repeated rows one stays.
+    whatever their names; of rows with one id and text that with the least other columns stays, as JSON.
     """
-    name, = common.fresh(docs.columns, "near_id")
-    own = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    name, kept = common.fresh(docs.columns, "near_id", "kept_row")
+    own, rest = docs.where("doc_id is not null"), [c for c in docs.columns if c not in ("doc_id", "text")]
+    if rest:
+        others = F.struct(*(F.col(f"`{c}`") for c in rest))
+        own = own.groupBy("doc_id", "text").agg(F.min_by(others, F.to_json(others)).alias(kept)).select("doc_id", "text", f"`{kept}`.*").select(*(F.col(f"`{c}`") for c in docs.columns))
+    else:
+        own = own.distinct()
     found = near_duplicates(own.select(F.col("doc_id").alias("id"), "text"), words, percent)
     # an id stays if one of its texts leads a group
     judged = found.groupBy("id").agg(F.max((F.col("id") == F.col("component")).cast("int")).alias("leads"))
