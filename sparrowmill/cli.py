@@ -7,25 +7,27 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as T
-from .operators import filters, joins, sampling, scoring, segments, tags
+from .operators import filters, joins, language, sampling, scoring, segments, tags
 from .session import scratch, session
 from .sinks import outputs, tables
 from .sources import evalsets, transcripts
 
-DOCUMENT = "id string, subtitle_file string, audio_file string, content string, mach_content string, length double, audio_lang string, text_lang string, casing string, repeating_lines boolean, edit_dist double, seg_edit_dist double, seg_content string"
+DOCUMENT = "id string, subtitle_file string, audio_file string, content string, mach_content string, length double, audio_lang string, text_lang string, casing string, repeating_lines boolean, edit_dist double, seg_edit_dist double, seg_id string, seg_content string, mach_seg_content string"
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
+def documents(spark: SparkSession, path: str, level: str = "document") -> DataFrame:
+    """Records with their captions and machine captions, of the whole document or of the segment that a record is."""
     rows = transcripts.read_jsonl(spark, path, DOCUMENT)
-    own = lambda c: F.col(c).alias(c)
-    parsed = rows.withColumn("timed", transcripts.captions(F.coalesce("content", F.lit("")))).withColumn("mach_captions", F.col("timed.text"))
-    machine = F.transform(transcripts.captions(F.coalesce("mach_content", F.lit(""))), lambda c: c.text)
-    return parsed.withColumns({"captions": F.col("timed.text"), "mach_captions": machine}).select(*(own(c) for c in rows.columns), "timed", "captions", "mach_captions")
+    content, machine = ("seg_content", "mach_seg_content") if level == "segment" else ("content", "mach_content")
+    timed = rows.withColumn("timed", transcripts.captions(F.coalesce(content, F.lit(""))))
+    said = F.transform(transcripts.captions(F.coalesce(machine, F.lit(""))), lambda c: c.text)
+    return timed.select(*rows.columns, "timed", F.col("timed.text").alias("captions"), said.alias("mach_captions"))
 
 
-def tagged_shards(rows: DataFrame, config: str, path: str) -> None:
+def tagged_shards(rows: DataFrame, config: str, path: str, profiles: dict | None = None) -> None:
+    """Tags of a configuration with each shard's statistics; ``profiles``: learned text languages."""
     steps = filters.load_config(config)
-    tagged = tags.from_config(rows, steps).drop(*PARTS)
+    tagged = tags.from_config(rows, steps, profiles).drop(*PARTS)
     own = {s["tag"]: tagged.schema[s["tag"]].dataType.simpleString() for s in steps if s["tag"] in tagged.columns}
     stats = {f"{t}_count": (t, F.col(t).cast("long")) for t, kind in own.items() if kind == "boolean"} | {f"{t}_sum": (t, F.col(t)) for t, kind in own.items() if kind in ("bigint", "double", "int")}
     stats |= {f"{t}_{v}_count": (t, (F.col(t) == v).cast("long")) for t, kind in own.items() if kind == "string" for v in VALUES.get(t, ())}
@@ -86,12 +88,13 @@ PARTS = ("timed", "captions", "mach_captions")
 VALUES = {"casing": ("upper", "lower", "mixed"), "text_lang": ("en",)}
 #: Command -> its arguments besides --input, --output, --size and --seed.
 COMMANDS = {
-    "ingest": (), "tag": ("--config",), "filter": ("--config",), "segment": (), "sample": (), "score": (), "assign": ("--maps",), "vote": (), "reseg": (), "percentiles": ("--column",), "bars": (),
+    "ingest": (), "learn": (), "tag": ("--config",), "filter": ("--config",), "segment": (), "sample": (), "score": (), "assign": ("--maps",), "vote": (), "reseg": (), "percentiles": ("--column",), "bars": (),
 }
 
 
 def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> str | None:
-    """ingest: transcripts to records. tag, filter, segment, sample: records by shard. assign: languages of maps. vote: a map
+    """ingest: transcripts to records. learn: language profiles of records (text, lang). tag (of --level document or segment, with
+    learned --languages if given), filter, segment, sample: records by shard. assign: languages of maps. vote: a map
     from (id, lang) votes. reseg: utterances (utt_id, text) to segments. score: word error rates. percentiles: of a column of
     an overall sample of --size rows. bars: error bars of score files (wer, ref_length). ingest, assign, segment and score
     return their counters as text."""
@@ -103,15 +106,19 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> str
             sub.add_argument(flag, required=True)
         sub.add_argument("--size", type=int, default=1000)
         sub.add_argument("--seed", type=int, default=42)
+        sub.add_argument("--level", choices=("document", "segment"), default="document")
+        sub.add_argument("--languages")
     args = parser.parse_args(argv)
     spark = spark or session()
     if args.command == "score":
         return score(spark, args.input, args.output)
     if args.command == "ingest":
         return ingest(spark, args.input, args.output)
+    if args.command == "learn":
+        return language.as_table(spark, language.learn(spark.read.schema("text string, lang string").json(args.input))).write.parquet(args.output)
     if args.command == "vote":
         votes = spark.read.schema("id string, seg_no long, content string, lang string").json(args.input)
-        voted = joins.majority(votes.where("content <> ''"), "id", "lang", "seg_no")
+        voted = joins.majority(votes, "id", "lang", "seg_no", "content")
         return outputs.write_map(voted, args.output)
     if args.command == "reseg":
         return tables.write_table(segments.pack_utterances(spark.read.schema("utt_id string, text string").json(args.input)), args.output)
@@ -122,9 +129,9 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> str
     if args.command == "bars":
         scores = evalsets.read_scores(spark, args.input).withColumn("n", F.monotonically_increasing_id())
         return tables.write_table(sampling.error_bars(sampling.bootstrap_means(scores, ["n"], "wer", "ref_length")), args.output)
-    rows = documents(spark, args.input)
+    rows = documents(spark, args.input, args.level)
     if args.command == "tag":
-        tagged_shards(rows, args.config, args.output)
+        tagged_shards(rows, args.config, args.output, language.from_table(spark.read.parquet(args.languages)) if args.languages else None)
     elif args.command == "assign":
         return assign(spark, rows, args.maps, args.output)
     elif args.command == "filter":

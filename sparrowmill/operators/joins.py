@@ -15,9 +15,9 @@ def missing(rows: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).join(mapping, key, "left_anti")
 
 
-def majority(votes: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """The commonest value of each key, the first met among equals; votes are counted before the window."""
-    counts = votes.groupBy(key, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+def majority(votes: DataFrame, key: str, value: str, order: str, content: str | None = None) -> DataFrame:
+    """The commonest value of each key, the first met among equals; with ``content``, votes on null or empty content don't count."""
+    counts = (votes.where(F.col(content) != "") if content else votes).groupBy(key, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     best = F.max_by(F.struct(value, "n"), F.struct("n", (-F.col("first")).alias("f"), value))
     return counts.groupBy(key).agg(best.alias("b")).select(key, f"b.{value}", "b.n")
 

@@ -203,6 +203,16 @@ def test_commands(spark, tmp_path):
     with open(f"{tmp_path}/tagged/shard_00002_stats.json") as f:
         stats = {(s["tag"], s["stat"]): s["value"] for s in map(json.loads, f)}
     assert stats == {("casing", "casing_upper_avg"): 0.0, ("casing", "casing_lower_avg"): 1 / 3, ("casing", "casing_mixed_avg"): 2 / 3, ("num_words", "num_words_sum"): 3.0, ("repeating_lines", "repeating_lines_avg"): 0.0}
+    vtt = lambda t: f"WEBVTT\n\n00:00:00.000 --> 00:00:04.000\n{t}\n\n"
+    (tmp_path / "segs").mkdir()
+    record = {"id": "v1", "seg_id": "v1_0", "content": vtt("whole"), "seg_content": vtt("der Hund und die Katze"), "mach_seg_content": vtt("der Hund oder die Katze")}
+    (tmp_path / "segs" / "shard_00001.jsonl").write_text(json.dumps(record) + "\n")
+    (tmp_path / "seg.yaml").write_text("pipeline:\n  - tag: edit_dist\n  - tag: text_lang\n")
+    (tmp_path / "known.jsonl").write_text(json.dumps({"text": "der die und", "lang": "xx"}) + "\n" + json.dumps({"text": "the and of", "lang": "yy"}) + "\n")
+    cli.run(["learn", "--input", f"{tmp_path}/known.jsonl", "--output", f"{tmp_path}/profiles"], spark)
+    cli.run(["tag", "--input", f"{tmp_path}/segs", "--output", f"{tmp_path}/segtags", "--config", f"{tmp_path}/seg.yaml", "--level", "segment", "--languages", f"{tmp_path}/profiles"], spark)
+    got = spark.read.json(f"{tmp_path}/segtags/shard_00001.jsonl.gz").first()
+    assert (got["edit_dist"], got["text_lang"]) == (0.2, "xx")
     (tmp_path / "u.jsonl").write_text("".join(json.dumps({"utt_id": f"r-0000{k}-{k * 1000:08d}-{k * 1000 + 900:08d}", "text": "w"}) + "\n" for k in range(5)))
     cli.run(["reseg", "--input", f"{tmp_path}/u.jsonl", "--output", f"{tmp_path}/reseg"], spark)
     assert [len(r["text"]) for r in spark.read.json(f"{tmp_path}/reseg").orderBy("utt_id").collect()] == [3, 2]
