@@ -10,7 +10,6 @@ and of its context, that decides which candidates become spans. Base spans alway
 from __future__ import annotations
 
 import bisect
-import hashlib
 import re
 
 import numpy as np
