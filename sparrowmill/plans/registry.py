@@ -762,7 +762,7 @@ def q_tar_shards(spark, sf_dir):
     path = scratch(spark, "tar-shards")
     both = member(".txt", "text").unionByName(member(".lang", "lang"))
     committed.write_archives(both, path, F.concat("source", F.lit(".tar")), F.col("member"), F.col("content"))
-    samples = archives.tar_samples(spark, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    samples = archives.tar_samples(spark, path)
     text = F.col("parts")["txt"]
     return samples.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "key", F.decode(F.col("parts")["lang"], "UTF-8").alias("lang"), F.octet_length(text).cast("long").alias("n_bytes"), F.md5(text).alias("text_md5"))
 

@@ -11,6 +11,7 @@ import gzip
 import io
 import json
 import lzma
+import re
 import tarfile
 import zlib
 from collections.abc import Iterator
@@ -228,15 +229,45 @@ def read_members(spark: SparkSession, path: str | list[str], names: list[str]) -
     return whole_members(read_tar(spark, path, tuple(names)).where(F.col("member").isin(names)))
 
 
-def tar_samples(spark: SparkSession, path: str | list[str], parts: int, rank: int = 0, world: int = 1, seed: int = 42) -> DataFrame:
-    """Samples of archive shards: members of one name but for the ending are one row (archive, key, parts: ending -> content).
+def tar_samples(spark: SparkSession, path: str | list[str], parts: int | None = None, rank: int = 0, world: int = 1, seed: int = 42) -> DataFrame:
+    """Samples of archive shards: neighbouring members of one name but for the ending are one row (archive, key, parts: ending -> content).
 
-    Shards are dealt to ``world`` readers in turn; the order of samples is that of a hash with the seed.
+    Shards are dealt to ``world`` readers in turn and grouped as they stream past; with ``parts``, samples are dealt to so
+    many parts in the order of a hash with the seed. A sample that its archive's damage cuts off is left out.
     """
-    members = whole_members(read_tar(spark, path, ("",), rank=rank, world=world))
-    own = members.withColumns({"key": F.regexp_extract("member", r"^((?:.*/)?[^/.]+)", 1), "ending": F.regexp_extract("member", r"^(?:.*/)?[^/.]+\.(.*)$", 1)})
-    rows = own.groupBy("archive", "key").agg(F.map_from_entries(F.collect_list(F.struct("ending", "content"))).alias("parts"))
-    return rows.repartition(parts, "key").sortWithinPartitions(F.md5(F.concat(F.lit(f"{seed}|"), "key")))
+    schema = "archive string, key string, parts map<string,binary>"
+    arrow = pa.schema([("archive", pa.string()), ("key", pa.string()), ("parts", pa.map_(pa.string(), pa.binary()))])
+    name = re.compile(r"((?:.*/)?[^/.]+)\.?(.*)", re.S)
+
+    def run(found):
+        def samples():
+            now, held = None, {}
+            for b in found:
+                for archive, member, content, error in zip(*(b.column(k).to_pylist() for k in range(4))):
+                    named = name.fullmatch(member or "")
+                    key, ending = named.groups() if named else (member, "")
+                    if error is None and now == (archive, key):
+                        held[ending] = held.get(ending, b"") + content
+                        continue
+                    if now and not (error is not None and now == (archive, key)):
+                        yield *now, held
+                    now, held = ((archive, key), {ending: content}) if error is None else (None, {})
+            if now:
+                yield *now, held
+
+        out, n = [], 0
+        for archive, key, held in samples():
+            out.append((archive, key, list(held.items())))
+            n += sum(map(len, held.values())) + 64
+            if n >= BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                out, n = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    members = read_tar(spark, path, ("",), rank=rank, world=world).select("archive", "member", "content", "error")
+    rows = members.mapInArrow(run, schema)
+    return rows.repartition(parts, "key").sortWithinPartitions(F.md5(F.concat(F.lit(f"{seed}|"), "key"))) if parts else rows
 
 
 def read_arrow(spark: SparkSession, path: str | list[str], schema: str | T.StructType, glob: str = "*.arrow") -> DataFrame:

@@ -36,6 +36,15 @@ def test_members_in_parts(spark, tmp_path):
     assert [r["member"] for r in archives.read_members(spark, str(tmp_path), ["b.bin"]).collect()] == ["b.bin"]
 
 
+def test_samples_of_neighbouring_members(spark, tmp_path):
+    make_tar(tmp_path / "a.tar", {"d.x/1.txt": b"t", "d.x/1.seg.json": b"{}", "2.txt": b"", "noend": b"n", "3.txt": b"u"})
+    make_tar(tmp_path / "b.tar", {"3.txt": b"v", "3.cls": b"w", "4.txt": b"z" * 3000, "4.cls": b"y" * 3000})
+    (tmp_path / "b.tar").write_bytes((tmp_path / "b.tar").read_bytes()[:5500])
+    for parts in (None, 3):
+        got = {(os.path.basename(r["archive"]), r["key"]): {k: bytes(v) for k, v in r["parts"].items()} for r in archives.tar_samples(spark, str(tmp_path), parts).collect()}
+        assert got == {("a.tar", "d.x/1"): {"txt": b"t", "seg.json": b"{}"}, ("a.tar", "2"): {"txt": b""}, ("a.tar", "noend"): {"": b"n"}, ("a.tar", "3"): {"txt": b"u"}, ("b.tar", "3"): {"txt": b"v", "cls": b"w"}}
+
+
 def test_archive_beyond_two_gigabytes(spark, tmp_path):
     """A member of more bytes than a row can have, read in parts."""
     n, block = 2_200_000_000, bytes(1 << 20)
