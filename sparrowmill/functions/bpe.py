@@ -70,19 +70,25 @@ class Vocabulary:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def ids_of(self, piece: str) -> list[int]:
+        """Ids of a piece that isn't remembered."""
+        ids = self.merged(piece.encode())
+        if len(piece) <= LONG:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[piece] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
-        out, known = [], self.known
+        out, get = [], self.known.get
         for piece in self.cut.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.merged(piece.encode())
-                if len(piece) <= LONG:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
+            out += get(piece) or self.ids_of(piece)
         return out
 
+    def count(self, text: str) -> int:
+        get = self.known.get
+        return sum([len(get(piece) or self.ids_of(piece)) for piece in self.cut.findall(text)])
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -96,7 +102,7 @@ class Counter:
         self.path = path
 
     def __call__(self, text: str) -> int:
-        return len(vocabulary(self.path).encode(text))
+        return vocabulary(self.path).count(text)
 
 
 def token_ids(path: str) -> Callable[[Column], Column]:
@@ -116,6 +122,6 @@ def token_counts(path: str) -> Callable[[Column], Column]:
     @F.arrow_udf("array<int>")
     def counts(lists: pa.Array) -> pa.Array:
         v = vocabulary(path)
-        return pa.array([None if own is None else [len(v.encode(t or "")) for t in own] for own in lists.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([None if own is None else [v.count(t or "") for t in own] for own in lists.to_pylist()], pa.list_(pa.int32()))
 
     return counts
