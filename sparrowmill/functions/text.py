@@ -7,6 +7,8 @@ from pyspark.sql import Column, functions as F
 from .numbers import standard_numbers
 
 SPACES = r"(?U)\s+"
+#: Spaces of any script (the separators Zs), as trimming takes them off; tabs and line ends stay.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def lines(text: Column) -> Column:
@@ -21,15 +23,20 @@ def word_count(captions: Column) -> Column:
     return F.aggregate(captions, F.lit(0).cast("long"), lambda n, c: n + F.size(words(c)))
 
 
+def trimmed(text: Column) -> Column:
+    return F.trim(text, F.lit(BLANKS))
+
+
 def plain_text(captions: Column) -> Column:
     """Trimmed captions joined by spaces; blank captions leave their space."""
-    return F.trim(F.array_join(F.transform(captions, F.trim), " "))
+    # a function of two parameters would get the caption's number as the signs to trim
+    return trimmed(F.array_join(F.transform(captions, lambda c: trimmed(c)), " "))
 
 
 def caption_casing(caption: Column) -> Column:
     """mixed if blank or both cases, upper if only capitals, else lower (digits too)."""
     up, low = caption.rlike("[A-Z]"), caption.rlike("[a-z]")
-    return F.when((F.trim(caption) == "") | (up & low), "mixed").when(up, "upper").otherwise("lower")
+    return F.when((trimmed(caption) == "") | (up & low), "mixed").when(up, "upper").otherwise("lower")
 
 
 def casing_counts(captions: Column) -> Column:
