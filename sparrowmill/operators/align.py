@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .segments import by_document
+
 MOST = 120
 
 
@@ -32,17 +31,12 @@ def nearest_align(docs: DataFrame) -> DataFrame:
     """(id, seg_no, start, end, first, last, texts) of ``docs`` (id, segments: array of start, end; captions: array of start, end,
     text): each segment with the captions that lie nearest. Documents are rows, so nothing is shuffled; null arrays are empty."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for key, segments, captions in zip(frame["id"], frame["segments"], frame["captions"]):
-                spans = [(s["start"], s["end"]) for s in (segments if segments is not None else [])]
-                own = captions if captions is not None else []
-                for k, (a, b) in enumerate(nearest(spans, [(c["start"], c["end"]) for c in own])):
-                    rows.append((key, k, *spans[k], a, b - 1, [own[i]["text"] for i in range(a, b)]))
-            yield pd.DataFrame(rows, columns=["id", "seg_no", "start", "end", "first", "last", "texts"])
-
-    return docs.select("id", "segments", "captions").mapInPandas(run, "id string, seg_no long, start long, end long, first long, last long, texts array<string>")
+    def rows(key, segments, captions):
+        found = nearest(segments, [c[:2] for c in captions])
+        return [dict(id=key, seg_no=k, start=segments[k][0], end=segments[k][1], first=a, last=b - 1, texts=[t for _, _, t in captions[a:b]]) for k, (a, b) in enumerate(found)]
+
+    result = "id string, seg_no long, start long, end long, first long, last long, texts array<string>"
+    return by_document(docs, rows, result, segments=("start", "end"), captions=("start", "end", "text"))
 
 
 def pair_sorted(left: DataFrame, right: DataFrame, left_path: str, right_path: str) -> DataFrame:

@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import timecode
@@ -16,6 +16,8 @@ from ..functions.tokens import context_modes
 from .running import pack_numbers
 
 WINDOW, MOST, CONTEXT, SHORTEST = 30_000, 120, 448, 15
+#: Documents that a task turns to Python objects at once.
+AT_ONCE = 32
 SCHEMA = "id string, seg_id long, start_ms long, length_ms long, n_captions long, text string, silent boolean, reason string"
 #: What happened to a document's windows; columns of ``segment_table`` and of ``counters``.
 COUNTERS = ("segment_count", "over_30_line_segment_count", "bad_text_segment_count", "over_ctx_len_segment_count", "faulty_audio_segment_count", "failed_transcript_count")
@@ -138,20 +140,40 @@ def rows_of(key: str | None, captions: list[tuple[int, int, str]], count: Callab
     return rows
 
 
-def segment_table(docs: DataFrame, count: Callable[[str], int] = word_count, kind: str = "vtt") -> DataFrame:
-    """Segments of ``docs`` (id, captions) that pass all checks, as TABLE. The counters stand on a document's first row;
-    a document without a segment is one row that has only them and its reason."""
-    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
-    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in TABLE.split(", ")])
+def tuples(lists: pa.ListArray, *fields: str) -> list[list[tuple]]:
+    """Lists of structs as lists of tuples of ``fields``; null lists are empty."""
+    flat = lists.flatten()
+    own = dict(zip((f.name for f in flat.type), flat.flatten()))
+    values, out, at = list(zip(*(own[f].to_pylist() for f in fields))), [], 0
+    for n in pc.fill_null(pc.list_value_length(lists), 0).to_pylist():
+        out.append(values[at : at + n])
+        at += n
+    return out
+
+
+def by_document(docs: DataFrame, rows: Callable[..., list[dict]], result: str, **arrays: tuple[str, ...]) -> DataFrame:
+    """``rows(id, *lists)`` of each row of ``docs``, as ``result``; ``arrays`` names columns and the fields to take.
+
+    A few documents at a time become Python objects, and what they give leaves at once, so that a task's memory doesn't
+    grow with the documents of an Arrow batch.
+    """
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in result.split(", ")])
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, captions in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows += rows_of(i, [(c["start"], c["end"], c["text"]) for c in captions or []], count, kind)
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for at in range(0, b.num_rows, AT_ONCE):
+                some = b.slice(at, AT_ONCE)
+                lists = [tuples(some.column(c), *fields) for c, fields in arrays.items()]
+                yield pa.RecordBatch.from_pylist([r for own in zip(some.column("id").to_pylist(), *lists) for r in rows(*own)], schema=schema)
 
-    return docs.select("id", "captions").mapInArrow(run, TABLE)
+    return docs.select(F.col("id").cast("string").alias("id"), *arrays).mapInArrow(run, result)
+
+
+def segment_table(docs: DataFrame, count: Callable[[str], int] = word_count, kind: str = "vtt") -> DataFrame:
+    """Segments of ``docs`` (id, captions) that pass all checks, as TABLE. The counters stand on a document's first row;
+    a document without a segment is one row that has only them and its reason."""
+    return by_document(docs, lambda key, captions: rows_of(key, captions, count, kind), TABLE, captions=("start", "end", "text"))
 
 
 def counters(table: DataFrame, *by: str) -> DataFrame:
@@ -169,18 +191,14 @@ def dead_letters(table: DataFrame) -> DataFrame:
 
 def segments(docs: DataFrame) -> DataFrame:
     """Segments of ``docs`` (id, captions: array of start, end, text); a failed document gives one row with its reason."""
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def rows(key: str | None, captions: list[tuple[int, int, str]]) -> list[dict]:
+        found, long, reason = segment(captions)
+        out = [dict(zip(names, (key, k, *s))) for k, s in enumerate(found)]
+        return out if found and not reason else [*out, {"id": key, "reason": reason or f"no segment, {long} long captions"}]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for i, captions in zip(frame["id"], frame["captions"]):
-                found, long, reason = segment([(c["start"], c["end"], c["text"]) for c in captions])
-                rows += [(i, k, *s, None) for k, s in enumerate(found)]
-                if reason or not found:
-                    rows.append((i, None, None, None, None, None, None, reason or f"no segment, {long} long captions"))
-            yield pd.DataFrame(rows, columns=["id", "seg_id", "start_ms", "length_ms", "n_captions", "text", "silent", "reason"]).astype({k: "Int64" for k in ("seg_id", "start_ms", "length_ms", "n_captions")} | {"silent": "boolean"})
-
-    return docs.select("id", "captions").mapInPandas(run, SCHEMA)
+    return by_document(docs, rows, SCHEMA, captions=("start", "end", "text"))
 
 
 def pack_count(sizes: Column, most: int) -> Column:
