@@ -847,7 +847,7 @@ c AS (SELECT count(*) AS n, count(*) FILTER (text = '') AS e, sum(length(text))
 SELECT stage, counter, CAST(value AS DOUBLE) AS value FROM c, LATERAL (VALUES ('ingest', 'rows', n), ('ingest', 'empty', e), ('ingest', 'characters', s), ('language', 'rows', n), ('language', 'missing', m),
   ('filter', 'rows', k), ('files', 'kept.jsonl.gz', k), ('files', 'missing.jsonl.gz', m), ('files', 'toxic.jsonl.gz', t)) v(stage, counter, value) WHERE stage <> 'files' OR value > 0""")
 def q_run_report(spark, sf_dir):
-    """Counters of three stages and the files of a run, all from one pass: records, dead letters of missing and of toxic ones."""
+    """Counters of three stages and the files of a run, in parts by task, all from one pass: records, dead letters of missing and of toxic ones."""
     report, path = outputs.Report(), scratch(spark, "run")
     docs = report.watch(load(spark, sf_dir, "documents"), "ingest", empty=F.coalesce("text", F.lit("")) == "", characters=F.length("text"))
     known = docs.join(load(spark, sf_dir, "labels").select("doc_id", "toxic", F.lit(True).alias("labelled")), "doc_id", "left")
@@ -856,9 +856,10 @@ def q_run_report(spark, sf_dir):
     lines = outputs.routed(
         watched, (F.when(~toxic, "kept.jsonl.gz"), F.to_json(F.struct("doc_id", "text")), F.col("doc_id")),
         (F.when(missing, "missing.jsonl.gz"), outputs.letter("doc_id", "language", "missing"), F.col("doc_id")), (F.when(toxic, "toxic.jsonl.gz"), outputs.letter("doc_id", "filter", "toxic"), F.col("doc_id")))
-    outputs.write_parts(path, report.watch(lines, "lines", kept=F.col("name") == "kept.jsonl.gz"))
+    outputs.write_parts(path, report.watch(lines, "lines", kept=F.col("name") == "kept.jsonl.gz"), split=True)
     told = report.table(spark).where("stage <> 'lines' OR counter = 'kept'").select(F.when(F.col("stage") == "lines", "filter").otherwise(F.col("stage")).alias("stage"), F.when(F.col("stage") == "lines", "rows").otherwise(F.col("counter")).alias("counter"), "value")
-    return told.unionByName(committed.manifest(docs, path).select(F.lit("files").alias("stage"), F.col("name").alias("counter"), F.col("rows").cast("double").alias("value")))
+    files = committed.manifest(docs, path).groupBy(outputs.file_of(F.col("name")).alias("counter")).agg(F.sum("rows").cast("double").alias("value"))
+    return told.unionByName(files.select(F.lit("files").alias("stage"), "counter", "value"))
 
 
 @query(f"""WITH RECURSIVE m AS (SELECT user_id, i // 3 AS n, min(z - d) AS s, max(z) AS e FROM ({TIMES.format(400)}) GROUP BY ALL),

@@ -53,9 +53,27 @@ class Report:
         return "".join(f"{stage} {k}: {v:g}\n" for stage, k, v in self.rows())
 
 
-def write_parts(path: str, *parts: DataFrame, overwrite: bool = False) -> None:
-    """All lines of all parts in one job; files whose names end in .gz are gzipped."""
+def numbered(name: Column, number: Column) -> Column:
+    """``kept.jsonl.gz`` and 3 as ``kept-00003.jsonl.gz``."""
+    return F.regexp_replace(name, r"^((?:.*/)?[^./]+)", F.concat(F.lit("$1-"), F.format_string("%05d", number)))
+
+
+def file_of(name: Column) -> Column:
+    """What ``numbered`` numbered."""
+    return F.regexp_replace(name, r"-\d{5,}(\.[^/]*)?$", "$1")
+
+
+def write_parts(path: str, *parts: DataFrame, overwrite: bool = False, split: bool = False) -> None:
+    """All lines of all parts in one job; files whose names end in .gz are gzipped.
+
+    A file is written by one task. ``split``, for files that grow with the input: every task writes its own rows of a file
+    as a numbered part (``file_of`` gives the file), in order within the part, and nothing is shuffled.
+    """
     lines = reduce(DataFrame.unionByName, parts)
+    if split:
+        own = lines.select(numbered(F.col("name"), F.spark_partition_id()).alias("name"), "order", "line")
+        committed.save(own.sortWithinPartitions("name", "order").select("name", "line"), path, "lines", overwrite)
+        return
     committed.save(lines.repartition("name").sortWithinPartitions("name", "order").select("name", "line"), path, "lines", overwrite)
 
 

@@ -2,8 +2,10 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparrowmill.operators import align, segments
+from sparrowmill.sinks import committed, outputs
 
 
 class Tasks:
@@ -26,3 +28,30 @@ def test_documents_leave_a_few_at_a_time(spark, operator):
     out = [b.to_pydict() for b in operator(Tasks())(iter([held]))]
     assert max(len(set(b["id"])) for b in out) <= segments.AT_ONCE
     assert {i for b in out for i in b["id"]} == {d["id"] for d in docs if d["id"] != "7" or operator is not align.nearest_align}
+
+
+def test_a_file_in_parts_by_task(spark, tmp_path):
+    path = f"file://{tmp_path}/run"
+    rows = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") % 2 == 0, "a.b/kept.jsonl.gz").otherwise("odd"), F.col("id").cast("string"), F.col("id").cast("string")).toDF("name", "line", "order")
+    outputs.write_parts(path, rows, split=True)
+    parts = committed.manifest(rows, path)
+    assert parts.agg(F.max("rows")).first()[0] <= 250 and parts.count() == 16
+    files = parts.groupBy(outputs.file_of(F.col("name")).alias("f")).agg(F.sum("rows").alias("n"))
+    assert {tuple(r) for r in files.collect()} == {("a.b/kept.jsonl.gz", 2000), ("odd", 2000)}
+    assert spark.read.text(f"{path}/a.b/kept-*.jsonl.gz").distinct().count() == 2000
+
+
+def test_tasks_of_the_run_report(spark, tmp_path, monkeypatch):
+    """With more input files there are more parts; the counters stay those of the files."""
+    from sparrowmill.plans import registry
+
+    texts = [(i, f"text {i}", "en", "s", 6) for i in range(80)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(0, 80, 2)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = []
+    save = committed.save
+    monkeypatch.setattr(committed, "save", lambda rows, path, *more: (seen.append(path), save(rows, path, *more)))
+    got = {(r["stage"], r["counter"]): r["value"] for r in registry.QUERIES["q_run_report"](spark, str(tmp_path)).collect()}
+    assert got["files", "kept.jsonl.gz"] == 80 and got["files", "missing.jsonl.gz"] == 40
+    most = committed.manifest(spark.range(1), seen[0]).where("name LIKE 'kept%'").agg(F.max("rows")).first()[0]
+    assert most < 80
