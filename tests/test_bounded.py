@@ -1,5 +1,7 @@
 """What a task holds or reads doesn't grow with the rows it gets."""
 
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -55,3 +57,17 @@ def test_tasks_of_the_run_report(spark, tmp_path, monkeypatch):
     assert got["files", "kept.jsonl.gz"] == 80 and got["files", "missing.jsonl.gz"] == 40
     most = committed.manifest(spark.range(1), seen[0]).where("name LIKE 'kept%'").agg(F.max("rows")).first()[0]
     assert most < 80
+
+
+def test_tokens_by_the_library_and_without():
+    """Short texts go to the library if it is there; results are those of the own merging."""
+    from sparrowmill.functions import bpe
+    from sparrowmill.plans import registry
+
+    fast, plain = bpe.Vocabulary(registry.vocabulary_path()), bpe.Vocabulary(registry.vocabulary_path())
+    assert fast.library
+    plain.library = None
+    r = random.Random(4)
+    made = ["".join(r.choices("the ingéßá日本 \n\t\r'sll0 1.,!?_-🙂 　", k=r.randint(0, 60))) for _ in range(2000)]
+    for t in ["", " ", "'s 'll I'm", "a" * 5000, "é" * 3000, " " * 150_000 + "x", "<|endoftext|>", *made]:
+        assert fast.encode(t) == plain.encode(t) and fast.count(t) == plain.count(t) == len(plain.encode(t))
