@@ -17,8 +17,12 @@ def clean_content(content: Column) -> Column:
     """Subtitle text with every caption cleaned; text without captions is passed through."""
     own = F.transform(captions(content), lambda c: c.withField("text", clean_caption(c.text)))
     zero = F.lit(0).cast("long")
-    made = F.when(content.startswith("WEBVTT"), write_subtitles(own, zero)).otherwise(write_subtitles(own, zero, "srt"))
-    return F.when(F.size(own) > 0, made).otherwise(content)
+
+    def made(c: Column) -> Column:
+        return F.when(F.size(c) == 0, content).when(content.startswith("WEBVTT"), write_subtitles(c, zero)).otherwise(write_subtitles(c, zero, "srt"))
+
+    # as a lambda's variable the captions are found once, not in each branch
+    return F.transform(F.array(own), lambda c: made(c))[0]
 
 
 def load_config(path: str) -> list[dict]:

@@ -14,9 +14,10 @@ def captions(content: Column) -> Column:
     blocks = F.split(F.regexp_replace(F.regexp_replace(content, "\r\n?", "\n"), "^﻿", ""), r"\n[ \t]*\n")
     timed = F.filter(blocks, lambda b: b.contains("-->"))
     line = r"(?s)^(?:.*?\n)?[ \t]*([0-9:.,]+)[ \t]+-->[ \t]+([0-9:.,]+)[^\n]*\n?(.*)$"
-    parsed = F.transform(timed, lambda b: F.struct(
-        to_ms(F.regexp_extract(b, line, 1)).alias("start"), to_ms(F.regexp_extract(b, line, 2)).alias("end"),
-        F.regexp_replace(F.rtrim(F.regexp_replace(F.regexp_extract(b, line, 3), r"\n+$", "")), r"<[^<>\n]*>", "").alias("text")))
+    # each block is searched once for each part, however often a part is looked at
+    parts = F.transform(timed, lambda b: F.struct(F.regexp_extract(b, line, 1).alias("a"), F.regexp_extract(b, line, 2).alias("b"), F.regexp_extract(b, line, 3).alias("t")))
+    parsed = F.transform(parts, lambda p: F.struct(
+        to_ms(p.a).alias("start"), to_ms(p.b).alias("end"), F.regexp_replace(F.rtrim(F.regexp_replace(p.t, r"\n+$", "")), r"<[^<>\n]*>", "").alias("text")))
     return F.filter(parsed, lambda c: c.start.isNotNull() & c.end.isNotNull())
 
 

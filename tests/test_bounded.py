@@ -71,3 +71,13 @@ def test_tokens_by_the_library_and_without():
     made = ["".join(r.choices("the ingéßá日本 \n\t\r'sll0 1.,!?_-🙂 　", k=r.randint(0, 60))) for _ in range(2000)]
     for t in ["", " ", "'s 'll I'm", "a" * 5000, "é" * 3000, " " * 150_000 + "x", "<|endoftext|>", *made]:
         assert fast.encode(t) == plain.encode(t) and fast.count(t) == plain.count(t) == len(plain.encode(t))
+
+
+def test_captions_are_found_once(spark):
+    """Cleaning splits a content once, and looks for times once in each of its blocks."""
+    from sparrowmill.operators import filters
+
+    rows = spark.createDataFrame([("WEBVTT\n\n00:00:01.000 --> 00:00:02.000\na  =b\n\n",), ("none",), (None,)], "x string").select(filters.clean_content(F.col("x")).alias("y"))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1 and plan.count("-->[ ") == 3
+    assert [r["y"] for r in rows.collect()] == ["WEBVTT\n\n00:00:01.000 --> 00:00:02.000\na b\n\n", "none", None]
