@@ -785,8 +785,8 @@ def q_segment_files(spark, sf_dir):
     caption = F.array(F.struct(F.lit(0).alias("start"), F.lit(2000).alias("end"), F.col("text")))
     path = scratch(spark, "segment-files")
     committed.write_files(turns, path, F.concat_ws("/", "conv_id", F.concat("turn", F.lit(".srt"))), transcripts.write_subtitles(caption, F.lit(0), "srt"))
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.srt").load(path)
-    return found.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("name"), F.md5("content").alias("content_md5"))
+    found = archives.read_files(committed.manifest(turns, path), path)
+    return found.select("name", F.md5("content").alias("content_md5"))
 
 
 BUCKET = "(ascii({0}) * 961 + ascii(substr({0}, 2, 1)) * 31 + ascii(substr({0}, 3, 1)))"

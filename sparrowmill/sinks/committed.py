@@ -1,14 +1,17 @@
 """Named files as a sink of its own: one file a row, one file of lines a shard, or one archive a shard.
 
-Tasks write into a staging folder of their attempt; the driver moves what all successful attempts wrote to its place when
-the job commits, and deletes the staging folder when it commits or aborts. So a failed or repeated task leaves nothing,
-and readers see the files of a job together. A manifest beside the folder lists each file with its rows and bytes.
+Tasks write into a staging folder of their attempt, with a list of their files beside it. When all have succeeded, a second
+job compares the names and moves the files to their places, in as many tasks as the session has cores: the driver handles
+one list a task, never the files. The staging folder goes when the job ends or fails, so a failed or repeated task
+leaves nothing, and no file is in its place before all are written. A manifest beside the folder lists each file with its
+rows and bytes; it is there once all files are in their places.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import itertools
 import json
 import posixpath
 import tarfile
@@ -18,18 +21,22 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-MANIFEST = ".manifest.jsonl"
+MANIFEST, STAGED = ".manifest.jsonl", "_staged-"
+FILES = "name string, rows long, bytes long"
+#: Moves that a task has under way.
+MOVES = 4
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Of one task: (staged path, name, rows, bytes)."""
+    """Of one task: its attempt, which names its list."""
 
-    files: list[tuple[str, str, int, int]]
+    attempt: str
 
 
 def place(uri: str):
@@ -39,19 +46,23 @@ def place(uri: str):
 class FileWriter(DataSourceWriter):
     """Rows (name, content), (name, line) or (name, member, content), by ``kind``: files, lines, tar."""
 
-    def __init__(self, options: dict, overwrite: bool):
-        self.uri, self.kind, self.overwrite, self.job = options["path"].rstrip("/"), options["kind"], overwrite, uuid.uuid4().hex
+    def __init__(self, options: dict):
+        self.uri, self.kind, self.job = options["path"].rstrip("/"), options["kind"], options["job"]
         fs, root = place(self.uri)
-        fs.create_dir(f"{root}/_staged-{self.job}", recursive=True)
+        fs.create_dir(f"{root}/{STAGED}{self.job}/lists", recursive=True)
 
     def write(self, iterator: Iterator) -> Written:
         fs, root = place(self.uri)
-        staged = f"{root}/_staged-{self.job}/{uuid.uuid4().hex}"
+        attempt = uuid.uuid4().hex
+        staged = f"{root}/{STAGED}{self.job}/{attempt}"
         # not with its parents: a task that outlives its job has nowhere to write
         fs.create_dir(staged, recursive=False)
         try:
             make = {"files": self.files, "lines": self.lines, "tar": self.archives}[self.kind]
-            return Written(list(make(fs, staged, iterator)))
+            with fs.open_output_stream(f"{staged}.jsonl", compression=None, buffer_size=1 << 20) as told:
+                for path, name, rows, size in make(fs, staged, iterator):
+                    told.write((json.dumps({"name": name, "rows": rows, "bytes": size, "staged": f"{attempt}/{posixpath.basename(path)}"}) + "\n").encode())
+            return Written(attempt)
         except BaseException:
             if fs.get_file_info(staged).type == pyarrow.fs.FileType.Directory:
                 fs.delete_dir(staged)
@@ -61,9 +72,7 @@ class FileWriter(DataSourceWriter):
         if not name or name in seen or name.startswith(("/", "_")) or ".." in name.split("/"):
             raise ValueError(f"no name for a file of its own: {name!r}")
         seen.add(name)
-        path = f"{staged}/{name}"
-        if posixpath.dirname(path) != staged:
-            fs.create_dir(posixpath.dirname(path), recursive=True)
+        path = f"{staged}/{len(seen)}"
         return path, fs.open_output_stream(path, compression=None)
 
     def files(self, fs, staged, rows):
@@ -106,37 +115,26 @@ class FileWriter(DataSourceWriter):
         return self.runs(fs, staged, rows, lambda name, out: tarfile.open(fileobj=out, mode="w|gz" if name.endswith(".gz") else "w|"), add, lambda tar: tar.close())
 
     def commit(self, messages: list[Written | None]) -> None:
+        """Only lists of attempts that count are left for ``publish``."""
         fs, root = place(self.uri)
-        files = sorted((f for m in messages if m for f in m.files), key=lambda f: f[1])
-        if len({f[1] for f in files}) < len(files):
-            self.clear(fs, root)
-            raise ValueError("two tasks wrote files of one name")
-        if self.overwrite:
-            for info in fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True)):
-                if posixpath.basename(info.path) != f"_staged-{self.job}":
-                    (fs.delete_dir if info.type == pyarrow.fs.FileType.Directory else fs.delete_file)(info.path)
-        for folder in {posixpath.dirname(f"{root}/{f[1]}") for f in files}:
-            fs.create_dir(folder, recursive=True)
-        with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda f: fs.move(f[0], f"{root}/{f[1]}"), files))
-        self.clear(fs, root)
-        with fs.open_output_stream(root + MANIFEST) as out:
-            for _, name, rows, size in files:
-                out.write((json.dumps({"name": name, "rows": rows, "bytes": size}) + "\n").encode())
+        for m in messages:
+            if m:
+                fs.move(f"{root}/{STAGED}{self.job}/{m.attempt}.jsonl", f"{root}/{STAGED}{self.job}/lists/{m.attempt}.jsonl")
 
     def abort(self, messages: list[Written | None]) -> None:
-        self.clear(*place(self.uri))
-
-    def clear(self, fs, root: str) -> None:
-        """Tasks that are being stopped may still write; what they leave goes too."""
-        staged = f"{root}/_staged-{self.job}"
-        for _ in range(50):
-            if fs.get_file_info(staged).type != pyarrow.fs.FileType.Directory:
-                return
-            try:
-                fs.delete_dir(staged)
-            except OSError:
-                time.sleep(0.1)
+        clear(self.uri, self.job)
+
+
+def clear(uri: str, job: str) -> None:
+    """Tasks that are being stopped may still write; what they leave goes too."""
+    fs, root = place(uri)
+    for _ in range(50):
+        if fs.get_file_info(f"{root}/{STAGED}{job}").type != pyarrow.fs.FileType.Directory:
+            return
+        try:
+            fs.delete_dir(f"{root}/{STAGED}{job}")
+        except OSError:
+            time.sleep(0.1)
 
 
 class FileSink(DataSource):
@@ -145,17 +143,64 @@ class FileSink(DataSource):
         return "sparrowmill_sink"
 
     def writer(self, schema: T.StructType, overwrite: bool) -> FileWriter:
-        return FileWriter(dict(self.options), overwrite)
+        return FileWriter(dict(self.options))
+
+
+def mover(uri: str, job: str):
+    """Moves staged files to their places, batch by batch. What an earlier attempt of the task has moved is there already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = place(uri)
+        made: set[str] = set()
+
+        def move(files):
+            for name, size, staged in files:
+                try:
+                    fs.move(f"{root}/{STAGED}{job}/{staged}", f"{root}/{name}")
+                except OSError:
+                    info = fs.get_file_info(f"{root}/{name}")
+                    if fs.get_file_info(f"{root}/{STAGED}{job}/{staged}").is_file or not info.is_file or info.size != size:
+                        raise
+
+        with ThreadPoolExecutor(MOVES) as pool:
+            for b in batches:
+                files = list(zip(*(b.column(c).to_pylist() for c in ("name", "bytes", "staged"))))
+                for folder in {posixpath.dirname(f"{root}/{name}") for name, _, _ in files} - made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                list(pool.map(move, itertools.batched(files, 256)))
+                yield b.select(["name", "rows", "bytes"])
+
+    return run
+
+
+def publish(spark: SparkSession, uri: str, job: str, overwrite: bool) -> None:
+    """Tasks move what has been staged, each a run of neighbouring names, and write the manifest of it."""
+    fs, root = place(uri)
+    staged = spark.read.schema(f"{FILES}, staged string").json(f"{uri}/{STAGED}{job}/lists")
+    if staged.groupBy("name").count().where("count > 1").limit(1).count():
+        raise ValueError("two tasks wrote files of one name")
+    if overwrite:
+        for info in fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True)):
+            if posixpath.basename(info.path) != f"{STAGED}{job}":
+                (fs.delete_dir if info.type == pyarrow.fs.FileType.Directory else fs.delete_file)(info.path)
+    tasks = 2 * max(spark.sparkContext.defaultParallelism, 1)
+    staged.repartitionByRange(tasks, "name").mapInArrow(mover(uri, job), FILES).write.mode("overwrite").json(uri + MANIFEST)
 
 
 def save(rows: DataFrame, path: str, kind: str, overwrite: bool = False) -> None:
-    rows.sparkSession.dataSource.register(FileSink)
-    rows.write.format(FileSink.name()).mode("overwrite" if overwrite else "append").option("kind", kind).save(path)
+    spark, uri, job = rows.sparkSession, path.rstrip("/"), uuid.uuid4().hex
+    spark.dataSource.register(FileSink)
+    rows.write.format(FileSink.name()).mode("overwrite" if overwrite else "append").option("kind", kind).option("job", job).save(path)
+    try:
+        publish(spark, uri, job, overwrite)
+    finally:
+        clear(uri, job)
 
 
 def manifest(rows_of: DataFrame, path: str) -> DataFrame:
     """(name, rows, bytes) of the last job's files."""
-    return rows_of.sparkSession.read.schema("name string, rows long, bytes long").json(path.rstrip("/") + MANIFEST)
+    return rows_of.sparkSession.read.schema(FILES).json(path.rstrip("/") + MANIFEST)
 
 
 def write_files(rows: DataFrame, path: str, name: Column, content: Column, overwrite: bool = False) -> None:

@@ -195,6 +195,28 @@ def through_spark(spark: SparkSession, uris: list[str], kind: str, schema: str |
     return spark.read.format("binaryFile").load(uris).select("path", "content").mapInArrow(run, kind_of)
 
 
+def read_files(names: DataFrame, path: str) -> DataFrame:
+    """(name, content) of whole files below ``path``, opened by the tasks as ``names`` (a manifest of ``sinks.committed``) has them.
+
+    No folder is searched, and a task takes a run of neighbouring names: their number is that of the cores, not of the files.
+    """
+    schema = pa.schema([("name", pa.string()), ("content", pa.binary())])
+
+    def run(found):
+        fs, root = pyarrow.fs.FileSystem.from_uri(path.rstrip("/").replace("s3a://", "s3://").replace("s3n://", "s3://"))
+
+        def rows():
+            for b in found:
+                for name in b.column(0).to_pylist():
+                    with fs.open_input_file(f"{root}/{name}") as file:
+                        yield name, file.read()
+
+        yield from batches(rows(), schema)
+
+    tasks = 2 * max(names.sparkSession.sparkContext.defaultParallelism, 1)
+    return names.select("name").repartitionByRange(tasks, "name").mapInArrow(run, "name string, content binary")
+
+
 def read_tar(spark: SparkSession, path: str | list[str], suffixes: tuple[str, ...] = (".srt", ".vtt"), glob: str = "*.tar*", rank: int = 0, world: int = 1, part: int = PART) -> DataFrame:
     """MEMBERS of the archives under ``path``: a row for each ``part`` bytes of a member with one of ``suffixes`` and, with ``error``, for each archive that is damaged.
 

@@ -1,9 +1,11 @@
 """Archives, lines and named files: damage, size, dealing, commits and failed tasks."""
 
 import gzip
+import hashlib
 import io
 import json
 import os
+import pickle
 import tarfile
 
 import pyarrow as pa
@@ -159,6 +161,50 @@ def test_failed_task_leaves_no_file(spark, tmp_path):
     assert everything(out) == ["0.txt", "1.txt", "2.txt"] and not os.path.exists(tmp_path / "up.txt")
 
 
+def test_the_driver_handles_lists_not_files(spark, tmp_path):
+    """What a task tells the driver is as short for many files as for few."""
+    told = []
+    for n in (1, 1000):
+        writer = committed.FileSink({"path": str(tmp_path / "out"), "kind": "files", "job": str(n)}).writer(None, False)
+        told.append(len(pickle.dumps(writer.write(iter([(f"{n}/{i}.txt", "x") for i in range(n)])))))
+    assert max(told) < min(told) + 20
+
+
+def test_moves_are_repeatable(spark, tmp_path):
+    """A second attempt of a task finds what the first has moved; a file that is nowhere is an error."""
+    uri, staged = str(tmp_path / "out"), tmp_path / "out" / "_staged-j" / "t"
+    staged.mkdir(parents=True)
+    for i in range(3):
+        (staged / str(i)).write_text("x" * i)
+    held = pa.RecordBatch.from_pylist([{"name": f"d/{i}.txt", "rows": 1, "bytes": i, "staged": f"t/{i}"} for i in range(3)])
+    for _ in range(2):
+        assert [b.to_pydict() for b in committed.mover(uri, "j")(iter([held]))] == [{"name": ["d/0.txt", "d/1.txt", "d/2.txt"], "rows": [1] * 3, "bytes": [0, 1, 2]}]
+        assert everything(uri) == ["d/0.txt", "d/1.txt", "d/2.txt"]
+    lost = pa.RecordBatch.from_pylist([{"name": "d/2.txt", "rows": 1, "bytes": 5, "staged": "t/5"}])
+    with pytest.raises(OSError):
+        list(committed.mover(uri, "j")(iter([lost])))
+
+
+def test_failed_move_leaves_no_staged_file(spark, tmp_path):
+    out = str(tmp_path / "out")
+    committed.write_files(spark.range(1), out, F.lit("a/x.txt"), F.lit("old"))
+    with pytest.raises(Exception, match="[Dd]irectory"):
+        committed.write_files(spark.range(1), out, F.lit("a"), F.lit("new"))
+    assert everything(out) == ["a/x.txt"] and os.listdir(out) == ["a"]
+
+
+def test_many_files_in_few_tasks(spark, tmp_path):
+    """As many tasks read files as there are cores, however many files there are; nothing is lost and none is another's."""
+    from sparrowmill.plans import registry
+
+    turns = spark.range(2000).select(F.expr("id div 7").alias("conv_id"), (F.col("id") % 7).alias("turn"), F.lit("user").alias("role"), F.when(F.col("id") % 11 > 0, F.repeat(F.concat("id", F.lit(" é\n")), 2)).alias("text"))
+    turns.repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = registry.QUERIES["q_segment_files"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    text = lambda i: f"{i} é\n" * 2 if i % 11 else ""
+    assert {(r["name"], r["content_md5"]) for r in found.collect()} == {(f"{i // 7}/{i % 7}.srt", hashlib.md5(f"1\n00:00:00,000 --> 00:00:02,000\n{text(i)}\n\n".encode()).hexdigest()) for i in range(2000)}
+
+
 def test_outputs_of_a_segment_run(spark, tmp_path):
     from sparrowmill.operators import segments
     from sparrowmill.sinks import outputs
