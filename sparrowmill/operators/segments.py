@@ -5,7 +5,8 @@ Documents are rows, so no shuffle is needed; the loop over a document's captions
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +19,8 @@ from .running import pack_numbers
 WINDOW, MOST, CONTEXT, SHORTEST = 30_000, 120, 448, 15
 #: Documents that a task turns to Python objects at once.
 AT_ONCE = 32
+#: Rows that leave a task at once.
+ROWS = 1024
 SCHEMA = "id string, seg_id long, start_ms long, length_ms long, n_captions long, text string, silent boolean, reason string"
 #: What happened to a document's windows; columns of ``segment_table`` and of ``counters``.
 COUNTERS = ("segment_count", "over_30_line_segment_count", "bad_text_segment_count", "over_ctx_len_segment_count", "faulty_audio_segment_count", "failed_transcript_count")
@@ -96,17 +99,19 @@ def subtitles(own: list[tuple[int, int, str]], begin: int, kind: str) -> str:
     return ("WEBVTT\n\n" if kind == "vtt" else "") + body
 
 
-def checked(captions: list[tuple[int, int, str]], count: Callable[[str], int], kind: str = "vtt") -> tuple[list[dict], dict[str, int], str | None]:
-    """The document's usable segments, its counters, and why it failed.
+def usable(captions: list[tuple[int, int, str]], count: Callable[[str], int], most: int | None = None) -> tuple[list[tuple], dict[str, int], str | None]:
+    """The document's usable windows (start, end, captions, whether it is the last, tokens with and without times), its counters,
+    and why it failed.
 
     A window of speech needs captions in order within it (else bad_text), a number of tokens that fits with or without
-    times (else over_ctx_len), and 15 ms of sound (else faulty_audio). At most MOST segments are kept.
+    times (else over_ctx_len), and 15 ms of sound (else faulty_audio). All windows are looked at, unless ``most`` is given:
+    then none after that many usable ones.
     """
     found, long, reason = windows(captions)
     n = dict.fromkeys(COUNTERS, 0) | {"over_30_line_segment_count": long, "failed_transcript_count": int(reason is not None)}
     out = []
     for k, (a, b, own) in enumerate(found):
-        if len(out) == MOST:
+        if len(out) == most:
             break
         tokens = sum(count(t.strip()) for _, _, t in own)
         last = k == len(found) - 1
@@ -118,26 +123,39 @@ def checked(captions: list[tuple[int, int, str]], count: Callable[[str], int], k
         elif b - a < SHORTEST:
             n["faulty_audio_segment_count"] += 1
         else:
-            early = any(x < a for x, _, _ in own)
-            out.append({
-                "seg_no": len(out), "audio_timestamp": f"{clock(a, ',')}_{clock(b if last or not own else a + WINDOW, ',')}", "text_timestamp": f"{clock(a, ',')}_{clock(b, ',')}", "start_ms": a, "length_ms": b - a,
-                "norm_end_ms": b - a, "seg_content": subtitles(own, a, kind), "silent": not own, "ts_mode": timed <= CONTEXT, "no_ts_mode": plain <= CONTEXT, "only_no_ts_mode": early, "num_tokens_ts_mode": timed if own else 0, "num_tokens_no_ts_mode": plain if own else 0})
+            out.append((a, b, own, last, timed, plain))
     n["segment_count"] = len(out)
     return out, n, reason
 
 
+def described(seg_no: int, window: tuple, kind: str) -> dict:
+    """A usable window as a segment."""
+    a, b, own, last, timed, plain = window
+    early = any(x < a for x, _, _ in own)
+    return {
+        "seg_no": seg_no, "audio_timestamp": f"{clock(a, ',')}_{clock(b if last or not own else a + WINDOW, ',')}", "text_timestamp": f"{clock(a, ',')}_{clock(b, ',')}", "start_ms": a, "length_ms": b - a,
+        "norm_end_ms": b - a, "seg_content": subtitles(own, a, kind), "silent": not own, "ts_mode": timed <= CONTEXT, "no_ts_mode": plain <= CONTEXT, "only_no_ts_mode": early, "num_tokens_ts_mode": timed if own else 0, "num_tokens_no_ts_mode": plain if own else 0}
+
+
+def checked(captions: list[tuple[int, int, str]], count: Callable[[str], int], kind: str = "vtt", most: int | None = MOST) -> tuple[list[dict], dict[str, int], str | None]:
+    """The first ``most`` usable segments of one document (all with None), its counters up to there, and why it failed; tables
+    have all segments (``rows_of``)."""
+    found, n, reason = usable(captions, count, most)
+    return [described(k, w, kind) for k, w in enumerate(found)], n, reason
+
+
 def word_count(text: str) -> int:
     return len(text.split())
 
 
-def rows_of(key: str | None, captions: list[tuple[int, int, str]], count: Callable[[str], int], kind: str) -> list[dict]:
-    """A document's rows of TABLE."""
-    found, n, reason = checked(captions, count, kind)
-    rows = []
-    for s in found or [{"reason": reason or "no segment"}]:
-        named = {"seg_id": f"{key}_{s['seg_no']}", "audio_file": f"{key}/{s['audio_timestamp']}.npy"} if found else {}
-        rows.append({"id": key} | s | named | (n if s.get("seg_no", 0) == 0 else {}))
-    return rows
+def rows_of(key: str | None, captions: list[tuple[int, int, str]], count: Callable[[str], int], kind: str) -> Iterator[dict]:
+    """A document's rows of TABLE, one after another: all its segments."""
+    found, n, reason = usable(captions, count)
+    if not found:
+        yield {"id": key, "reason": reason or "no segment"} | n
+    for k, w in enumerate(found):
+        s = described(k, w, kind)
+        yield {"id": key} | s | {"seg_id": f"{key}_{k}", "audio_file": f"{key}/{s['audio_timestamp']}.npy"} | (n if k == 0 else {})
 
 
 def tuples(lists: pa.ListArray, *fields: str) -> list[list[tuple]]:
@@ -151,11 +169,11 @@ def tuples(lists: pa.ListArray, *fields: str) -> list[list[tuple]]:
     return out
 
 
-def by_document(docs: DataFrame, rows: Callable[..., list[dict]], result: str, **arrays: tuple[str, ...]) -> DataFrame:
+def by_document(docs: DataFrame, rows: Callable[..., Iterable[dict]], result: str, **arrays: tuple[str, ...]) -> DataFrame:
     """``rows(id, *lists)`` of each row of ``docs``, as ``result``; ``arrays`` names columns and the fields to take.
 
-    A few documents at a time become Python objects, and what they give leaves at once, so that a task's memory doesn't
-    grow with the documents of an Arrow batch.
+    A few documents at a time become Python objects, and what they give leaves a few rows at a time, so that a task's memory
+    doesn't grow with the documents of an Arrow batch.
     """
     kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in result.split(", ")])
@@ -165,7 +183,9 @@ def by_document(docs: DataFrame, rows: Callable[..., list[dict]], result: str, *
             for at in range(0, b.num_rows, AT_ONCE):
                 some = b.slice(at, AT_ONCE)
                 lists = [tuples(some.column(c), *fields) for c, fields in arrays.items()]
-                yield pa.RecordBatch.from_pylist([r for own in zip(some.column("id").to_pylist(), *lists) for r in rows(*own)], schema=schema)
+                found = (r for own in zip(some.column("id").to_pylist(), *lists) for r in rows(*own))
+                while piece := list(islice(found, ROWS)):
+                    yield pa.RecordBatch.from_pylist(piece, schema=schema)
 
     return docs.select(F.col("id").cast("string").alias("id"), *arrays).mapInArrow(run, result)
 

@@ -34,3 +34,19 @@ def odd_lines(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["q_extract_text", "q_seg_text", "q_casing", "q_casing_stats"])
 def test_trimmed_lines(spark, odd_lines, name):
     same(spark, odd_lines, name)
+
+
+@pytest.fixture(scope="module")
+def long_users(spark, tmp_path_factory):
+    """Users of up to 900 events, far more than 120 segments; late ones are of too many words or too long for a window."""
+    path = str(tmp_path_factory.mktemp("long-users"))
+    said = lambda u, i: "w " * 460 if u == 1 and i in (3, 390, 391) else "view"
+    took = lambda u, i: 200.0 if i % 100 == 99 else (7 * i + u) % 90
+    rows = [(1000 * u + i, u, said(u, i), float(took(u, i))) for u, n in ((1, 400), (2, 900), (3, 5)) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{path}/events.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["q_dead_letters"])
+def test_all_segments_of_long_documents(spark, long_users, name):
+    same(spark, long_users, name)
