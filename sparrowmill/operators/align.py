@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .segments import by_document
 
-MOST = 120
 
-
-def nearest(segments: list[tuple[int, int]], captions: list[tuple[int, int]], most: int = MOST) -> list[tuple[int, int]]:
+def nearest(segments: list[tuple[int, int]], captions: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """For each segment the captions a..b-1 that fit it best, going forward only: a is the last before the distance of starts
     stops shrinking, b the first at which the distance of ends grows. Segments after the last caption get none."""
     found, at, n = [], 0, len(captions)
-    for start, end in segments[:most]:
+    for start, end in segments:
         if at >= n:
             break
         a = at
@@ -33,7 +31,7 @@ def nearest_align(docs: DataFrame) -> DataFrame:
 
     def rows(key, segments, captions):
         found = nearest(segments, [c[:2] for c in captions])
-        return [dict(id=key, seg_no=k, start=segments[k][0], end=segments[k][1], first=a, last=b - 1, texts=[t for _, _, t in captions[a:b]]) for k, (a, b) in enumerate(found)]
+        return (dict(id=key, seg_no=k, start=segments[k][0], end=segments[k][1], first=a, last=b - 1, texts=[t for _, _, t in captions[a:b]]) for k, (a, b) in enumerate(found))
 
     result = "id string, seg_no long, start long, end long, first long, last long, texts array<string>"
     return by_document(docs, rows, result, segments=("start", "end"), captions=("start", "end", "text"))

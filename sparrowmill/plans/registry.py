@@ -896,7 +896,7 @@ def q_session_texts(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE m AS (SELECT user_id, i // 3 AS n, min(z - d) AS s, max(z) AS e FROM ({TIMES.format(300)}) GROUP BY ALL),
 c AS (SELECT user_id, list({{'s': z - d + 700, 'e': z + 700, 't': text}} ORDER BY i) AS c FROM ({TIMES.format(300)}) GROUP BY user_id),
-b AS (SELECT user_id, c, (SELECT list({{'s': s, 'e': e}} ORDER BY n) FROM m WHERE m.user_id = c.user_id AND n < 120) AS m FROM c),
+b AS (SELECT user_id, c, (SELECT list({{'s': s, 'e': e}} ORDER BY n) FROM m WHERE m.user_id = c.user_id) AS m FROM c),
 r AS (SELECT user_id, c, m, CAST(-1 AS BIGINT) AS k, CAST(1 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM b UNION ALL
   SELECT user_id, c, m, k, b + 1, a, b FROM (SELECT user_id, c, m, k, a, coalesce(list_filter(range(a, len(c)), lambda j: abs(c[j + 1].e - m[k + 1].e) > abs(c[j].e - m[k + 1].e))[1], len(c)) AS b FROM (
     SELECT user_id, c, m, k + 1 AS k, coalesce(list_filter(range(pos, len(c)), lambda i: abs(c[i + 1].s - m[k + 2].s) >= abs(c[i].s - m[k + 2].s))[1], len(c)) AS a FROM r WHERE pos <= len(c) AND k + 1 < len(m))))

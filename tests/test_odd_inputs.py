@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from sparrowmill.operators import align
 from sparrowmill.plans import registry
 
 
@@ -47,6 +48,11 @@ def long_users(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["q_dead_letters"])
+@pytest.mark.parametrize("name", ["q_dead_letters", "q_nearest_align"])
 def test_all_segments_of_long_documents(spark, long_users, name):
     same(spark, long_users, name)
+
+
+def test_nearest_of_many_segments():
+    spans = [(i * 1000, i * 1000 + 900) for i in range(500)]
+    assert align.nearest(spans, spans) == [(i, i + 1) for i in range(500)]
