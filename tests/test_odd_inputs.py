@@ -48,7 +48,7 @@ def long_users(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["q_dead_letters", "q_nearest_align"])
+@pytest.mark.parametrize("name", ["q_dead_letters", "q_nearest_align", "q_segment_table", "q_segment_counters"])
 def test_all_segments_of_long_documents(spark, long_users, name):
     same(spark, long_users, name)
 
